@@ -41,6 +41,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def streamed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, whose memory a worker gives back.
+
+    The bound is a setting of the session, which is lowered if it is higher: a batch of rows with long texts would
+    otherwise be held several times over by the executor and by its worker.
+    """
+    spark = df.sparkSession
+    held = spark.conf.get(_BATCH).lower()
+    if int(held.rstrip("bkmg")) << {"k": 10, "m": 20, "g": 30}.get(held.rstrip("b")[-1:], 0) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def in_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run a function over each Arrow batch; it yields batches of `schema`."""
 
@@ -49,7 +73,7 @@ def in_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[pa.Re
             if batch.num_rows:
                 yield from per_batch(batch)
 
-    return df.mapInArrow(run, schema)
+    return streamed(df, run, schema)
 
 
 def batch_of(**columns) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import stored, streamed
 
 #: Edges that one task may hold after each partition has been cut to a forest; more go through star rounds.
 ONE_TASK = 1_000_000
@@ -60,7 +60,7 @@ def _labels(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.
 
 def reduced(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of a forest with the same components within each partition."""
-    return edges.mapInArrow(lambda batches: _labels(batches, HELD_NODES), edges.schema)
+    return streamed(edges, lambda batches: _labels(batches, HELD_NODES), edges.schema)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -83,4 +83,4 @@ def components(edges: DataFrame) -> DataFrame:
         if moved.exceptAll(edges).isEmpty() and edges.exceptAll(moved).isEmpty():
             return moved.union(moved.select("b", "b").distinct())
         edges = moved
-    return edges.coalesce(1).mapInArrow(lambda batches: _labels(batches, None), edges.schema)
+    return streamed(edges.coalesce(1), lambda batches: _labels(batches, None), edges.schema)

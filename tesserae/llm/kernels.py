@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that a kernel holds at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a kernel holds at once, a little below a power of two; a longer text is a slice of its own.
+SLICE_BYTES = (1 << 20) - 64
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, in_arrow, semi, sorted_runs, stored, table
+from .common import batch_of, in_arrow, semi, sorted_runs, stored, streamed, table
 from .components import components
 from .kernels import mix, shingle_sets, slices
 
@@ -233,12 +233,12 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     members = stored(member_sets(docs, words, num, den, whole=False, id_col=id_col, text_col=text_col))
     sets = members.where("n > 0")
     tokens = sets.select(F.explode("tokens").alias("h"), "s1").repartition("h").sortWithinPartitions("h", "s1")
-    shared = tokens.mapInArrow(_shared, "s1 long, h long, df long")
+    shared = streamed(tokens, _shared, "s1 long, h long, df long")
     shared = shared.groupBy("s1").agg(F.collect_list(F.struct("h", "df")).alias("shared"))
     nodes = sets.groupBy("s1").agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
     # A set without shared tokens among those counted still has keys if it has too few counted ones.
     keys = in_arrow(nodes.join(shared, "s1").select("s1", "n", "counted", "shared"), _keys(num, den), "key long, s1 long, n long")
-    chained = keys.repartition("key").sortWithinPartitions("key", "n", "s1").mapInArrow(_chains(num, den), "a long, b long")
+    chained = streamed(keys.repartition("key").sortWithinPartitions("key", "n", "s1"), _chains(num, den), "a long, b long")
     groups = stored(components(chained)).toDF("s1", "gid")
 
     chosen = members.select("doc_id", "n", "s1", "s2").join(groups, "s1")
@@ -251,7 +251,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     whole = whole.withColumn("_other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     gid = F.xxhash64("gid", F.least("_own", "_other"), F.greatest("_own", "_other"))
     blocks = whole.select(gid.alias("gid"), node().alias("node"), "tokens").repartition("gid").sortWithinPartitions("gid")
-    linked = components(blocks.mapInArrow(_verified(num, den), "a string, b string")).toDF("_node", "_label")
+    linked = components(streamed(blocks, _verified(num, den), "a string, b string")).toDF("_node", "_label")
 
     members = members.select("doc_id", "n", F.when(F.col("n") > 0, node()).alias("node"))
     labelled = members.join(linked, F.col("node") == F.col("_node"), "left").select("doc_id", "n", F.coalesce("_label", "node").alias("label"))
