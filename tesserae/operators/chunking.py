@@ -84,8 +84,10 @@ def character_chunks(docs: DataFrame, size: int = 2000, overlap: int = 500, keep
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.assign(text=[list(enumerate(split_characters(t or "", size, overlap))) for t in batch["text"]]).explode("text").dropna(subset=["text"])
-            yield batch.assign(chunk_index=[x[0] for x in batch["text"]], text=[x[1] for x in batch["text"]])[[*keep, "chunk_index", "text"]]
+            parts = [(i, k, piece) for i, t in enumerate(batch["text"]) for k, piece in enumerate(split_characters(t or "", size, overlap))]
+            held = {c: batch[c].tolist() for c in keep}
+            rows = {c: [held[c][p[0]] for p in parts] for c in keep} | {"chunk_index": [p[1] for p in parts], "text": [p[2] for p in parts]}
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in rows.items()})
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", chunk_index int, text string"
