@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, batch_of, in_arrow, sorted_runs, stored, table
+from .common import BROADCAST_ROWS, batch_of, in_arrow, sorted_runs, stored, streamed, table
 from .kernels import BYTE, mix, powers, ranges, slices
 from .suffix_sort import suffix_order
 
@@ -101,26 +101,46 @@ def _documents(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by gram, context and place: those whose context stood before (gram null), and those whose
-    gram has several contexts, one for each context."""
+    """From anchors sorted by route, context and place: those whose context stood before (gram null), and those whose
+    gram has several contexts, one for each context. Rows that are known repeats pass."""
     hot, last = None, None
-    for rows, more in sorted_runs(batches, "gram", 1 << 20):
-        gram, context = rows.column("gram").to_numpy(), rows.column("context").to_numpy()
-        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])
-        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        several = np.add.reduceat(new.astype(np.int64), starts) > 1
-        wide = np.repeat(several, np.diff(np.append(starts, len(gram))))
+    names = ["context", "doc", "tie", "place"]
+    for rows, more in sorted_runs(batches, "route", 1 << 20):
+        known = rows.column("known").to_numpy(zero_copy_only=False)
+        gram = rows.column("route").to_numpy()
+        parts = [rows.column(c).to_numpy() for c in names]
+        change = gram[1:] != gram[:-1]
+        new = np.concatenate([[True], change | (parts[0][1:] != parts[0][:-1])])
+        # A row that comes twice is one occurrence.
+        again = np.concatenate([[False], ~(change | np.any([x[1:] != x[:-1] for x in parts], axis=0))])
+        starts = np.flatnonzero(np.concatenate([[True], change]))
+        wide = np.repeat(np.add.reduceat((new & ~known).astype(np.int64), starts) > 1, np.diff(np.append(starts, len(gram))))
         if hot is not None and gram[0] == hot:
             wide[gram == hot] = True
-            new[0] = context[0] != last
+            new[0] = parts[0][0] != last[0]
+            again[0] = all(x[0] == y for x, y in zip(parts, last, strict=True))
         if more:
             wide[:] = True
-        hot, last = (int(gram[-1]), int(context[-1])) if more or (hot is not None and gram[-1] == hot) else (None, None)
-        keep = ~new | wide
+        hot, last = (int(gram[-1]), [x[-1] for x in parts]) if more or (hot is not None and gram[-1] == hot) else (None, None)
+        shut = known | ~new
+        keep = (known | ~again) & (shut | wide)
         if keep.any():
-            rows = rows.select(["doc", "tie", "place", "gram"]).filter(pa.array(keep))
-            gram = pa.array(gram[keep], mask=~new[keep])
-            yield batch_of(doc=rows.column("doc").combine_chunks(), tie=rows.column("tie").combine_chunks(), place=rows.column("place").combine_chunks(), gram=gram)
+            rows = rows.select(["doc", "tie", "place"]).filter(pa.array(keep))
+            yield batch_of(**{c: rows.column(c).combine_chunks() for c in ("doc", "tie", "place")}, gram=pa.array(gram[keep], mask=shut[keep]))
+
+
+def known_repeats(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether an anchor of a slice repeats one before it in the same slice, context and all."""
+    order = np.lexsort((place, tie, doc, context, gram))
+    g, c, d, t, p = (x[order] for x in (gram, context, doc, tie, place))
+    same = np.concatenate([[False], (g[1:] == g[:-1]) & (c[1:] == c[:-1])])
+    moved = np.concatenate([[False], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+    # Not the first occurrence of its context: some earlier row of the run is at another place.
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    steps = np.cumsum(moved & same)
+    out = np.empty(len(order), bool)
+    out[order] = same & (steps > steps[start])
+    return out
 
 
 def _by_document(length: int, gram: int):
@@ -313,20 +333,24 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
         for a, b, data, offsets in slices(batch.column("text")):
             text, place, key, context = anchors(data, offsets, length, gram)
-            yield batch_of(gram=key, context=context, doc=doc[a:b][text], tie=tie[a:b][text], place=place)
-
-    found = in_arrow(docs.select("doc", "tie", "text"), anchored, "gram long, context long, doc long, tie long, place long")
-    found = found.repartition("gram").sortWithinPartitions("gram", "context", "doc", "tie", "place")
-    met = found.mapInArrow(_met, "doc long, tie long, place long, gram long").repartition("doc").sortWithinPartitions("doc", "tie", "place")
-    met = stored(met.mapInArrow(_by_document(length, gram), "doc long, tie long, low array<long>, high array<long>, place array<long>, gram array<long>"))
+            d, t = doc[a:b][text], tie[a:b][text]
+            # What repeats within the slice is a repeat already: it needn't meet its gram, however common that is.
+            known = known_repeats(key, context, d, t, place)
+            route = np.where(known, mix(place.astype(U64) + mix(d.astype(U64))).view(np.int64), key)
+            yield batch_of(route=route, known=known, context=context, doc=d, tie=t, place=place)
+
+    found = in_arrow(docs.select("doc", "tie", "text"), anchored, "route long, known boolean, context long, doc long, tie long, place long")
+    found = found.repartition("route").sortWithinPartitions("route", "known", "context", "doc", "tie", "place")
+    met = streamed(found, _met, "doc long, tie long, place long, gram long").repartition("doc").sortWithinPartitions("doc", "tie", "place")
+    met = stored(streamed(met, _by_document(length, gram), "doc long, tie long, low array<long>, high array<long>, place array<long>, gram array<long>"))
     open_ = met.where("size(gram) > 0").select("doc", "tie", "place", "gram")
     texts = docs.select("doc", "tie", "text")
     around = _with(texts if unique else texts.dropDuplicates(["doc", "tie"]), open_, F.size("gram"), "inner")
     around = in_arrow(around, _contexts(length, gram), "gram long, doc long, tie long, place long, left long, bytes binary")
-    shards = around.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "place").mapInArrow(_sorted_shards(length, gram), "doc long, tie long, low long, high long")
+    shards = streamed(around.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "place"), _sorted_shards(length, gram), "doc long, tie long, low long, high long")
     both = shards.union(met.select("doc", "tie", F.explode(F.arrays_zip("low", "high")).alias("r")).select("doc", "tie", "r.low", "r.high"))
-    both = both.repartition("doc").sortWithinPartitions("doc", "tie", "low").mapInArrow(_united, "doc long, tie long, low array<long>, high array<long>")
-    return _with(docs, stored(both), F.size("low"), "left").select("doc_id", F.encode("text", "utf-8").alias("text"), "low", "high")
+    both = streamed(both.repartition("doc").sortWithinPartitions("doc", "tie", "low"), _united, "doc long, tie long, low array<long>, high array<long>")
+    return _with(docs, stored(both), F.size("low"), "left").select("doc_id", F.encode("text", "utf-8").alias("text"), "low", F.transform("high", lambda x: F.least(x, F.octet_length("text"))).alias("high"))
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
