@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import config
 from .engine import Engine
 from .operators import evaluation, filters, generation, html_tables, prompt_search, table_chunks
+from .schemas import TABLE_CHUNK
 from .sources import beir, ingest, store, tables
 
 
@@ -103,7 +104,7 @@ def process_tables(args: argparse.Namespace) -> None:
 
 def collection(args: argparse.Namespace) -> None:
     spark = session()
-    chunks = spark.read.json(args.chunks)
+    chunks = spark.read.schema(TABLE_CHUNK).json(args.chunks)
     if args.chunk_types:
         chunks = chunks.where(F.col("chunk_type").isin(*args.chunk_types))
     done = spark.read.parquet(args.tables)
