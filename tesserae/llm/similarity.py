@@ -34,7 +34,7 @@ U64 = np.uint64
 #: Sets of a token from which it counts as frequent.
 FREQUENT = 64
 #: Tokens in the largest prefix (less one) of sets that index combinations.
-SHORT_PREFIX = 24
+SHORT_PREFIX = 10
 #: Rows under one token that a task holds; a token with more counts as one with as many.
 HELD_ROWS = 200_000
 #: Tokens, with 500 more for each set, in a block of sets that are verified together.
