@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, in_arrow, semi, sorted_runs, stored, streamed, table
+from .common import BROADCAST_ROWS, batch_of, in_arrow, semi, sorted_runs, stored, streamed, table
 from .components import components
 from .kernels import mix, shingle_sets, slices
 
@@ -268,8 +268,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = stored(jaccard_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "component_id"))
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    from .common import BROADCAST_ROWS
-
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
     if not twice.isEmpty():
