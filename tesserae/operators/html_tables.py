@@ -87,14 +87,14 @@ def clean(text: str) -> str:
     return "".join(c for c in flat if ord(c) >= 32).strip()[:500]
 
 
-def title(html: str) -> str | None:
+def title(root: _Node) -> str | None:
     """The first spanning head cell of more than three characters, else the caption, else a long first head cell."""
-    root = tree(re.sub(r"<(\w+)_([^>]+)>", r"<\1 \2>", html))
     heads = all_below(root, ("th",))
     for head in heads:
-        said = " ".join(shown(head, " ").split())
-        if "colspan" in head.attributes and len(said) > 3:
-            return said
+        if "colspan" in head.attributes:
+            said = " ".join(shown(head, " ").split())
+            if len(said) > 3:
+                return said
     for node in all_below(root, ("caption",))[:1]:
         if said := " ".join(shown(node, " ").split()):
             return said
@@ -103,11 +103,14 @@ def title(html: str) -> str | None:
 
 
 def parse(html: str | None, normalize_tags: bool = False) -> dict | None:
+    """What is found in a text; the title is read from mended tags, the rows only if asked for."""
     if html is None or len(html) > MOST_CHARACTERS:
         return None
     try:
-        named = title(html)
-        root = tree(re.sub(r"<(\w+)_([^>]+)>", r"<\1 \2>", html) if normalize_tags else html)
+        mended = re.sub(r"<(\w+)_([^>]+)>", r"<\1 \2>", html)
+        first = tree(mended)
+        named = title(first)
+        root = first if normalize_tags or mended == html else tree(html)
     except (AssertionError, RecursionError, ValueError):
         return None
     found = all_below(root, ("table",))
