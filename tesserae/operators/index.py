@@ -56,9 +56,17 @@ def _scores(queries: DataFrame, corpus: DataFrame, metric: str, precision: int |
 
 
 def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The same by dot products of matrices in Arrow batches: for large corpora. The query matrix is of bounded size."""
-    if queries.count() > BLOCK:
-        raise ValueError(f"more than {BLOCK} queries: search in blocks")
+    """The same by dot products of matrices in Arrow batches: for large corpora. A query matrix holds about BLOCK queries;
+    more are searched block by block."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    marked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    out = _block_scores(marked.where("_block = 0"), corpus, k)
+    for b in range(1, blocks):
+        out = out.union(_block_scores(marked.where(F.col("_block") == b), corpus, k))
+    return ranked(out, ["query_id"], "item_id", k)
+
+
+def _block_scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     rows = queries.select("query_id", "vector").toPandas()
     sent = corpus.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), np.array(rows["vector"].tolist(), dtype=float)))
 
@@ -73,8 +81,7 @@ def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"query_id": np.tile(ids, len(keep)), "item_id": items[keep].ravel(), "score": np.take_along_axis(scores, keep, 0).ravel()})
 
     kinds = dict(corpus.dtypes) | dict(queries.dtypes)
-    found = corpus.sort("item_id").select("item_id", "vector").mapInPandas(search, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
-    return ranked(found, ["query_id"], "item_id", k)
+    return corpus.sort("item_id").select("item_id", "vector").mapInPandas(search, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
 
 
 def search(queries: DataFrame, corpus: DataFrame, retrieval: Retrieval) -> DataFrame:

@@ -157,7 +157,7 @@ def _hash_sql(text: str) -> str:
 def _judged(spark, sf_dir):
     rows = base.unit_vectors(spark, sf_dir)
     asked = rows.where(F.col("vec_id") < QUERIES_BELOW).select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    qrels = rows.join(F.broadcast(asked.limit(QUERIES_BELOW)), (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("query_id")))
+    qrels = rows.join(F.broadcast(asked), (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("query_id")))
     return qrels.select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1.0).alias("relevance"))
 
 

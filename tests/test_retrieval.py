@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,14 @@ def test_top_k(spark):
     assert index.top_k(asked, corpus.limit(0), 2).count() == 0
 
 
+def test_top_k_blocks_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 3)
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(10)]
+    items, asked = spark.createDataFrame(rows, "item_id long, vector array<double>"), spark.createDataFrame(rows, "query_id long, vector array<double>")
+    want = {(q, sorted(range(10), key=lambda i: (-np.dot(v, rows[i][1]), i))[0]) for q, v in rows}
+    assert {(r["query_id"], r["item_id"]) for r in index.top_k_blocks(asked, items, 1).collect()} == want
+
+
 def test_near_candidates(spark):
     import random
 
