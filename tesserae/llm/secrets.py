@@ -8,6 +8,7 @@ fits; a cheap one ("password is required") is not.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 
@@ -142,11 +143,14 @@ def suspects(data, offsets) -> list[int]:
     """Texts of a slice that may hold a span: a cheap test over the bytes, exact for the fixed patterns."""
     import numpy as np
 
-    raw = data.tobytes()
+    # A byte between texts that no pattern can match: what ends one text neither joins nor uses up what begins the next.
+    whole = data.tobytes()
+    raw = b"\x00".join([whole[a:b] for a, b in itertools.pairwise(offsets.tolist())])
     places = [m.start() for m in CUE.finditer(raw.lower())]
     for mark in MARKS:
         places += [m.start() for m in mark.finditer(raw)]
-    return np.unique(np.searchsorted(offsets, np.array(places, np.int64), "right") - 1).tolist() if places else []
+    starts = offsets[:-1] + np.arange(len(offsets) - 1)
+    return np.unique(np.searchsorted(starts, np.array(places, np.int64), "right") - 1).tolist() if places else []
 
 
 def joined(spans: list[tuple[int, int, str, int]]) -> str:
