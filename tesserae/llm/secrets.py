@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a guess-cost dynamic programme over values in a credential context.
 
 The programme finds the cheapest way to guess a value as a sequence of common words, dates, repeats,
-keyboard walks and brute-force spans. A value that stays dear is a secret even where no fixed pattern
+keyboard walks, plain words and brute-force spans. A value that stays dear is a secret even where no fixed pattern
 fits; a cheap one ("password is required") is not.
 """
 
@@ -27,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: What may stand before a credential, and how it is tied to its value.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|client|auth)[_-]?(?:key|token|secret)|credentials?|bearer)["'`]?(?:\s{0,3}(?:[:=]>?|->)\s{0,3}|\s{1,3}(?:is|was|est|ist|es)\s{1,3})["'`]?([^\s"'`<>,;]{6,})|://[^\s/:@"'<>]{1,256}:([^\s/@"'<>]{6,256})@""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|client|auth)[_-]?(?:key|token|secret)|credentials?|bearer)["'`]?(?:\s{0,3}(?:[:=]>?|->)\s{0,3}|\s{1,3}(?:is|was|est|ist|es)\s{1,3})["'`]?([^\s"'`<>,;]{6,})|://[^\s/:@"'<>]++:([^\s/@"'<>]{6,}+)@""",
     re.IGNORECASE | re.ASCII,
 )
 #: log10 of the guesses from which a value counts as a secret.
@@ -52,12 +52,40 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY = {c: (y, x) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _UNITS = 8
+#: A plain word: log10 of the guesses at least (a large dictionary) and for each letter (1.3 bits of running text), and
+#: its letters at least and at most.
+WORD, LETTER = 5.5, 0.4
+_WORD_LETTERS = (4, 40)
+_VOWELS = frozenset("aeiouy")
+#: Pairs of consonants that stand in words of the languages of Western Europe; random letters seldom keep to them.
+_PAIRS = frozenset(
+    "bb bl br bs bt cc ch ck cl cn cq cr cs ct dd dg dj dl dm dn dr ds dt dv dw ff fl fr fs ft gg gh gl gm gn gr gs gt hl hm hn hr "
+    "hs ht hw kk kl kn kr ks kt kw lb lc ld lf lg lh lk ll lm ln lp lr ls lt lv lw lz mb mf ml mm mn mp ms mt nb nc nd nf ng nh "
+    "nj nk nl nm nn np nq nr ns nt nv nw nz pf ph pl pp pr ps pt qu rb rc rd rf rg rh rj rk rl rm rn rp rq rr rs rt rv rw rz sb sc "
+    "sf sg sh sk sl sm sn sp sq sr ss st sw sz tb tc tf th tl tm tn tr ts tt tw tz vr wh wk wl wn wr ws xc xp xt zl zt zw zz".split()
+)
 
 
 def _class(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+def word_ends(low: str) -> list[int]:
+    """For each place of a lower-case value, how far letters go on that may be one word: pairs that occur, few vowels in a
+    row. Letters beyond ASCII go with any other."""
+    n = len(low)
+    end, vowels = [0] * n, [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        c = low[i]
+        if not c.isalpha():
+            continue
+        vowels[i] = vowels[i + 1] + 1 if c in _VOWELS else 0
+        d = low[i + 1] if i + 1 < n and low[i + 1].isalpha() else ""
+        goes = d and (c in _VOWELS or d in _VOWELS or not c.isascii() or not d.isascii() or c + d in _PAIRS) and vowels[i] <= 3
+        end[i] = end[i + 1] if goes else i + 1
+    return end
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation of a value; 0 for an empty one.
 
@@ -86,6 +114,18 @@ def guess_cost(value: str) -> float:
             walk[i] = walk[i + 1] + 1
             turn[i] = turn[i + 1] + (step != last)
         last = step
+    # How far letters or digits go on in the order of the alphabet, even where two of them are also neighbours on the keyboard.
+    row = [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        step = ord(low[i + 1]) - ord(low[i])
+        if low[i].isalnum() and low[i + 1].isalnum() and abs(step) == 1:
+            row[i] = row[i + 1] + 1 if row[i + 1] and ord(low[i + 2]) - ord(low[i + 1]) == step else 1
+    words, (short, long) = word_ends(low), _WORD_LETTERS
+    # The first place from each on with a vowel or a letter beyond ASCII, and with a capital: what a word has and how it is written.
+    sound, capital = [n] * (n + 1), [n] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        sound[i] = i if low[i] in _VOWELS or not low[i].isascii() else sound[i + 1]
+        capital[i] = i if value[i] != low[i] else capital[i + 1]
     for i in range(n):
         here = best[i]
 
@@ -98,6 +138,10 @@ def guess_cost(value: str) -> float:
             rank = _RANK.get(low[i:j]) or (_RANK.get(plain[i:j], 0) and 2 * _RANK[plain[i:j]])
             if rank:
                 reach(j, math.log10(rank + 1) + (0.0 if value[i:j].islower() else math.log10(2)))
+        for j in range(max(i + short, sound[i] + 1), min(words[i], i + long) + 1):
+            # In small letters, with a capital at its start, or all in capitals.
+            if capital[i] >= j or capital[i + 1] >= j or value[i:j].isupper():
+                reach(j, max(WORD, LETTER * (j - i)) + (0.0 if capital[i] >= j else math.log10(2)))
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             reach(m.end(), math.log10(200 if m.end() - i == 4 else 365 * 200))
         for u, run in enumerate(again, 1):
@@ -107,6 +151,8 @@ def guess_cost(value: str) -> float:
                 reach(i + count * u, unit + math.log10(count))
         if walk[i] >= 2:
             reach(i + walk[i] + 1, math.log10(47 * (walk[i] + 1)) + turn[i] * math.log10(8))
+        if row[i] >= 2:
+            reach(i + row[i] + 1, math.log10(47 * (row[i] + 1)) + math.log10(8))
     return best[n]
 
 
@@ -119,16 +165,23 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, str, int]], dear: float = DEAR) -> list[tuple[int, int, str, int]]:
-    """Values in a credential context, outside the base spans, that are dear to guess and more than letters."""
+    """Values in a credential context that are dear to guess, without the parts of them that base spans hold."""
     out = []
     for m in CONTEXT.finditer(text):
         group = 1 if m[1] is not None else 2
         start, value = m.start(group), m[group].rstrip(".:!?)]}")
         end = start + len(value)
-        if len(value) < LEAST_VALUE or value.isalpha() or any(s < end and start < e for s, e, _, _ in base):
+        if len(value) < LEAST_VALUE:
             continue
-        if any(c.isdigit() for c in value) and guess_cost(value) >= dear:
-            out.append((start, end, "guess", start))
+        parts, at = [], start
+        for s, e, _, _ in sorted(x for x in base if x[0] < end and start < x[1]):
+            if s > at:
+                parts.append((at, s, "guess", at))
+            at = max(at, e)
+        if at < end:
+            parts.append((at, end, "guess", at))
+        if parts and guess_cost(value) >= dear:
+            out += parts
     return out
 
 

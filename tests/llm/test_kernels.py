@@ -132,6 +132,16 @@ def test_secret_spans():
     assert secrets.all_spans("the password is required here, password: nothing.")[1] == secrets.base_spans("the password is required here, password: nothing.")
 
 
+def test_every_context_value_is_judged():
+    guessed = lambda text: [text[s:e] for s, e, kind, _ in secrets.all_spans(text)[1] if kind == "guess"]
+    assert guessed("pwd: xK!mQ@vL#pZ") == ["xK!mQ@vL#pZ"] and guessed("pwd: xKqmQvLpZrTw") == ["xKqmQvLpZrTw"]
+    assert guessed("password=hunter22$Zk9!vQ7x") == ["$Zk9!vQ7x"]
+    assert guessed("pwd: !k" + "0123456789abcdef" * 2 + "#Q") == ["!k", "#Q"]
+    user, key = "u" * 300, "xK!9mQ@"[:6] * 60
+    assert guessed(f"db://{user}:{key}@host") == [key]
+    assert guessed("password: verification, the token is Authorization. secret: geändert; pwd is REQUIRED, passwort") == []
+
+
 def test_swaps_lower_the_score_of_names():
     name, insult = toxicity._one("muslims"), toxicity._one("scum")
     other = toxicity._one("jews")
