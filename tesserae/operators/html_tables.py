@@ -13,8 +13,8 @@ from ..functions import text as tx
 
 #: found: whether there is a table; rows: its rows and cells; title: what the markup calls it.
 PARSED = "found boolean, rows array<array<struct<head:boolean,text:string>>>, title string"
-#: Characters of HTML that are parsed at most; a longer text takes the fallback, as one that can't be parsed does.
-MOST_CHARACTERS = 4_000_000
+#: Rows of the first table that are taken; the rest of a text is read on only for its title.
+MOST_ROWS = 100
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
 
@@ -27,29 +27,60 @@ class _Node:
 
 
 class _Tree(HTMLParser):
-    """A tree in which an element stays open until its own end tag, or that of one around it, comes."""
+    """A tree in which an element stays open until its own end tag, or that of one around it, comes.
+
+    It holds the first table until its first rows are closed, and head cells and captions that may be the title, those
+    outside of that table at the root in document order; so memory follows what is taken, not the length of a text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [_Node("", {})]
+        self.counts = {"table": 0, "tr": 0, "th": 0, "caption": 0}
+        # Places among the open elements: the first table, its first rows, the outermost title kept outside of it.
+        self.table, self.rows, self.kept = None, [], None
+
+    def _add(self, node: _Node, opens: bool) -> None:
+        name, place = node.name, len(self.open)
+        whole = self.table is not None or self.kept is not None
+        title = name == "caption" and not self.counts[name] or name == "th" and (not self.counts[name] or "colspan" in node.attributes)
+        first = name == "table" and not self.counts[name]
+        if whole or title or first:
+            self.open[-1 if whole else 0].children.append(node)
+        if opens:
+            if first:
+                self.table = place
+            elif name == "tr" and self.table is not None and self.counts["tr"] < MOST_ROWS:
+                self.rows.append(place)
+            if title and self.kept is None:
+                self.kept = place
+            self.open.append(node)
+        if name == "tr" and self.table is None:
+            return
+        if name in self.counts:
+            self.counts[name] += 1
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in _VOID:
-            self.open.append(node)
+        self._add(_Node(tag, dict(attrs)), tag not in _VOID)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(_Node(tag, dict(attrs)))
+        self._add(_Node(tag, dict(attrs)), False)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name == tag:
                 del self.open[i:]
+                while self.rows and self.rows[-1] >= i:
+                    self.rows.pop()
+                if self.table is not None and (self.table >= i or self.counts["tr"] >= MOST_ROWS and not self.rows):
+                    self.table = None
+                if self.kept is not None and self.kept >= i:
+                    self.kept = None
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if self.table is not None or self.kept is not None:
+            self.open[-1].children.append(data)
 
 
 def tree(html: str) -> _Node:
@@ -104,7 +135,7 @@ def title(root: _Node) -> str | None:
 
 def parse(html: str | None, normalize_tags: bool = False) -> dict | None:
     """What is found in a text; the title is read from mended tags, the rows only if asked for."""
-    if html is None or len(html) > MOST_CHARACTERS:
+    if html is None:
         return None
     try:
         mended = re.sub(r"<(\w+)_([^>]+)>", r"<\1 \2>", html)
@@ -114,7 +145,7 @@ def parse(html: str | None, normalize_tags: bool = False) -> dict | None:
     except (AssertionError, RecursionError, ValueError):
         return None
     found = all_below(root, ("table",))
-    rows = [[{"head": c.name == "th", "text": clean(shown(c))} for c in all_below(r, ("td", "th"))] for r in all_below(found[0], ("tr",))[:100]] if found else []
+    rows = [[{"head": c.name == "th", "text": clean(shown(c))} for c in all_below(r, ("td", "th"))] for r in all_below(found[0], ("tr",))[:MOST_ROWS]] if found else []
     return {"found": bool(found), "rows": rows, "title": named}
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,38 @@ def test_edges(spark):
     assert blank["headers"] == ["b"]
 
 
+def test_any_length():
+    row = "<tr><td>" + "y" * 40 + "</td><td>2</td></tr>"
+    html = "<p>before</p><table><tr><th>a</th><th>b</th></tr>" + row * 70_000 + "<tr><th colspan=2>The title</th></tr></table>"
+    assert len(html) > 4_000_000
+    got = ht.parse(html)
+    assert len(got["rows"]) == 100 and got["rows"][99][0]["text"] == "y" * 40 and got["title"] == "The title"
+    assert len(ht.tree(html).children) == 2
+
+
+class Whole(ht._Tree):
+    """A tree of everything."""
+
+    def _add(self, node, opens):
+        self.open[-1].children.append(node)
+        if opens:
+            self.open.append(node)
+
+    def handle_data(self, data):
+        self.open[-1].children.append(data)
+
+
+def test_pruned_tree(monkeypatch):
+    monkeypatch.setattr(ht, "MOST_ROWS", 3)
+    pick, tags = random.Random(5), "table tr td th caption p".split()
+    for _ in range(3000):
+        html = "".join(pick.choice([f"<{t}>", f"</{t}>", f"<{t}/>", "<th colspan=2>", "<tr><td>", "</td></tr>", "text", "long one "]) for t in pick.choices(tags, k=pick.randint(1, 40)))
+        got = ht.parse(html)
+        with monkeypatch.context() as m:
+            m.setattr(ht, "_Tree", Whole)
+            assert ht.parse(html) == got, html
+
+
 def test_long_cells(spark):
     r = processed(spark, f"<table><tr><td>h</td></tr><tr><td>{'y' * 600}</td></tr></table>").first()
     assert len(r["rows"][0][0]) == 500
