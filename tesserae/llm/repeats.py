@@ -14,6 +14,7 @@ its first place are repeats.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,16 @@ from .suffix_sort import suffix_order
 
 U64 = np.uint64
 LENGTH, GRAM = 100, 32
-#: Contexts of one gram that a task holds; further ones follow in pieces, which remember the strings before them.
+#: Contexts of one gram that a task holds; further ones follow in pieces, whose strings meet on disk.
 HELD_ROWS = 40_000
 #: Places, over all documents, that may be broadcast after counting them; more go through a shuffle.
 BROADCAST_PLACES = 4_000_000
 #: Positions of a slice whose windows are searched at once: they share 64 bits with the hash.
 _STEP, _PLACE = 1 << 23, (1 << 24) - 1
 _LATE = (1 << 63) - 1
+#: The first place of a string in a piece, by the hash of the string, and how many of them are judged at once.
+_FIRST = np.dtype([("value", U64), ("doc", np.int64), ("tie", np.int64), ("at", np.int64)])
+FIRST_ROWS = 1 << 20
 
 
 def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +222,51 @@ def reachable(keys: np.ndarray, total: np.ndarray, down: np.ndarray, at: np.ndar
     return np.minimum(out, room)
 
 
-def repeats(rows: pa.Table, length: int, gram: int, seen: np.ndarray | None, keep_seen: bool) -> tuple[pa.RecordBatch | None, np.ndarray | None]:
+class Firsts:
+    """First places of strings in the pieces of a gram, in one unnamed file by the top byte of the string's hash."""
+
+    def __init__(self) -> None:
+        self.file, self.end = tempfile.TemporaryFile(), 0
+        self.parts: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+
+    def put(self, rows: np.ndarray) -> None:
+        top = (rows["value"] >> U64(56)).astype(np.int64)
+        self.file.seek(self.end)
+        rows[np.argsort(top, kind="stable")].tofile(self.file)
+        for bucket, n in enumerate(np.bincount(top, minlength=256).tolist()):
+            if n:
+                self.parts[bucket].append((self.end, n))
+                self.end += n * _FIRST.itemsize
+
+    def _read(self, bucket: int, k: int, cuts: int) -> np.ndarray:
+        """Of a bucket the k-th of so many ranges of hashes."""
+        out = []
+        for begin, n in self.parts[bucket]:
+            self.file.seek(begin)
+            rows = np.fromfile(self.file, _FIRST, n)
+            out.append(rows[(rows["value"] >> U64(24)) % U64(cuts) == k] if cuts > 1 else rows)
+        return np.concatenate(out)
+
+    def repeats(self, length: int) -> Iterator[pa.RecordBatch]:
+        """Ranges of the strings that stood in an earlier place."""
+        for bucket, parts in enumerate(self.parts):
+            cuts = -(-sum(n for _, n in parts) // FIRST_ROWS)
+            for k in range(cuts):
+                rows = self._read(bucket, k, cuts)
+                rows = rows[np.lexsort((rows["at"], rows["tie"], rows["doc"], rows["value"]))]
+                new = np.concatenate([[True], rows["value"][1:] != rows["value"][:-1]])
+                first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+                again = rows[(rows["doc"] != first["doc"]) | (rows["tie"] != first["tie"]) | (rows["at"] != first["at"])]
+                if len(again):
+                    yield batch_of(doc=np.ascontiguousarray(again["doc"]), tie=np.ascontiguousarray(again["tie"]), low=np.ascontiguousarray(again["at"]), high=again["at"] + length)
+
+
+def repeats(rows: pa.Table, length: int, gram: int, alone: bool = True) -> tuple[pa.RecordBatch | None, np.ndarray | None]:
     """Repeated strings among the contexts of a shard, as merged ranges of documents.
 
-    seen: hashes of the strings of earlier pieces of the same gram; keep_seen: whether a further piece follows.
+    alone: whether no gram has contexts in other shards; else the first places of all strings come too.
     """
+    firsts = None
     reach = length - gram
     keys, doc, tie, place, left = (rows.column(c).to_numpy() for c in ("gram", "doc", "tie", "place", "left"))
     column = rows.column("bytes").combine_chunks()
@@ -233,12 +277,12 @@ def repeats(rows: pa.Table, length: int, gram: int, seen: np.ndarray | None, kee
     total, down = running(data)
     at = ends[:-1] + left
     before, after = left, ends[1:] - at - gram
-    if seen is None and not keep_seen:
+    if alone:
         before = reachable(keys, total, down, at, before, reach, -1, gram)
         after = reachable(keys, total, down, at, after, reach, 1, gram)
     used = np.flatnonzero(before + after >= reach)
     if not len(used):
-        return None, seen
+        return None, firsts
     before, after, at = before[used], after[used], at[used]
     size = before + gram + after
     text = np.ones(int(size.sum()) + len(size) + 1, np.uint16)
@@ -270,23 +314,24 @@ def repeats(rows: pa.Table, length: int, gram: int, seen: np.ndarray | None, kee
     first = np.flatnonzero(~equal)
     least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(rank))))
     again = rank > least
-    if seen is not None:
-        again |= np.isin(value, seen)
-    if keep_seen:
-        seen = np.unique(value[first]) if seen is None else np.union1d(seen, value[first])
+    if not alone:
+        kept = np.flatnonzero(~again)
+        firsts = np.empty(len(kept), _FIRST)
+        for name, column in zip(_FIRST.names, (value, d, t, s), strict=True):
+            firsts[name] = column[kept]
     if not again.any():
-        return None, seen
+        return None, firsts
     chosen = in_order[again[in_order]]
     d, t, s = d[chosen], t[chosen], s[chosen]
     number = _documents(d, t)
     begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
     of, low, high = merged(number, s, s + length)
-    return batch_of(doc=d[begin][of], tie=t[begin][of], low=low, high=high), seen
+    return batch_of(doc=d[begin][of], tie=t[begin][of], low=low, high=high), firsts
 
 
 def _sorted_shards(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, seen = None, None
+        hot, firsts = None, None
         for rows, more in sorted_runs(batches, "gram", HELD_ROWS):
             keys = rows.column("gram").to_numpy()
             parts = [(rows, more)]
@@ -295,12 +340,19 @@ def _sorted_shards(length: int, gram: int):
                 parts = [(rows.slice(0, cut), False), (rows.slice(cut), more)]
             for part, further in parts:
                 key = int(part.column("gram")[0].as_py())
-                if key != hot:
-                    hot, seen = None, None
-                found, seen = repeats(part, length, gram, seen, further)
-                hot = key if further else hot
+                if firsts is not None and key != hot:
+                    yield from firsts.repeats(length)
+                    hot, firsts = None, None
+                alone = key != hot and not further
+                found, first = repeats(part, length, gram, alone)
+                if not alone:
+                    hot, firsts = key, firsts or Firsts()
+                    if first is not None:
+                        firsts.put(first)
                 if found is not None:
                     yield found
+        if firsts is not None:
+            yield from firsts.repeats(length)
 
     return run
 

@@ -142,6 +142,22 @@ def test_every_context_value_is_judged():
     assert guessed("password: verification, the token is Authorization. secret: geändert; pwd is REQUIRED, passwort") == []
 
 
+def test_first_places_meet_on_disk(monkeypatch):
+    monkeypatch.setattr(repeats, "FIRST_ROWS", 5)
+    rng, firsts, first, want = np.random.default_rng(2), repeats.Firsts(), {}, set()
+    pool = rng.integers(0, 1 << 64, 500, np.uint64, endpoint=False)
+    for piece in range(20):
+        rows = np.zeros(200, repeats._FIRST)
+        rows["value"], rows["doc"], rows["at"] = rng.choice(pool, 200, False), piece, rng.permutation(200)
+        firsts.put(rows)
+        for v, d, _, at in rows.tolist():
+            if first.setdefault(v, (d, at)) != (d, at):
+                want.add((d, at, at + 100))
+    assert firsts.end == 20 * 200 * repeats._FIRST.itemsize and not any(isinstance(x, np.ndarray) for x in vars(firsts).values())
+    got = [row for b in firsts.repeats(100) for row in zip(*(b.column(c).to_pylist() for c in ("doc", "low", "high")), strict=True)]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_swaps_lower_the_score_of_names():
     name, insult = toxicity._one("muslims"), toxicity._one("scum")
     other = toxicity._one("jews")
