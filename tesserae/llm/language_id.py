@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import batch_of, in_arrow, table
+from .common import batch_of, in_arrow, stored, streamed, table
 from .kernels import ALNUM, LOWER, slices
 
 #: Hashed n-gram features (bytes, two and three long), as a power of two.
 BITS = 12
 #: Documents of each language that the centroids are fitted on, at most (about: they are drawn by hash).
 SAMPLE = 600
-#: Languages that are learned at most, the most frequent first; it bounds what the driver holds.
-LANGUAGES = 200
 CENTROIDS = 4
 #: Share of a language's own training texts that may lie outside the rejection distance.
 OUTSIDE = 0.01
@@ -76,49 +76,48 @@ class Centroids:
         return names, score, (score < self.least[best]) | ~known
 
 
-def fit(vectors: np.ndarray, languages: list[str], *, centroids: int = CENTROIDS, seed: int = 3, rounds: int = 15) -> Centroids:
-    """Spherical k-means within each language; farthest-first seeds, so that rare kinds of text get a centroid."""
-    names = sorted(set(languages))
-    idf = np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(0))).astype(np.float32) + 1
+def weighted(vectors: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = vectors * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    label = np.array([names.index(v) for v in languages])
-    rows, of, least = [], [], []
-    for k in range(len(names)):
-        own = x[label == k]
-        picked = own.mean(0, keepdims=True)
-        picked /= max(np.linalg.norm(picked), 1e-9)
-        while len(picked) < min(centroids, len(own)):
-            far = (own @ picked.T).max(1).argmin()
-            picked = np.vstack([picked, own[far]])
-        for _ in range(rounds):
-            nearest = (own @ picked.T).argmax(1)
-            for c in range(len(picked)):
-                if (nearest == c).any():
-                    mean = own[nearest == c].mean(0)
-                    picked[c] = mean / max(np.linalg.norm(mean), 1e-9)
-        close = own @ picked.T
-        nearest = close.argmax(1)
+    return x
+
+
+def fit(own: np.ndarray, *, centroids: int = CENTROIDS, rounds: int = 15) -> tuple[list[np.ndarray], list[float]]:
+    """Spherical k-means within a language; farthest-first seeds, so that rare kinds of text get a centroid."""
+    rows, least = [], []
+    picked = own.mean(0, keepdims=True)
+    picked /= max(np.linalg.norm(picked), 1e-9)
+    while len(picked) < min(centroids, len(own)):
+        far = (own @ picked.T).max(1).argmin()
+        picked = np.vstack([picked, own[far]])
+    for _ in range(rounds):
+        nearest = (own @ picked.T).argmax(1)
         for c in range(len(picked)):
-            mine = close[nearest == c, c]
-            if len(mine):
-                rows.append(picked[c])
-                of.append(k)
-                least.append(float(np.quantile(mine, OUTSIDE)))
-    return Centroids(names, np.array(rows, np.float32), np.array(of), np.array(least), idf)
+            if (nearest == c).any():
+                mean = own[nearest == c].mean(0)
+                picked[c] = mean / max(np.linalg.norm(mean), 1e-9)
+    close = own @ picked.T
+    nearest = close.argmax(1)
+    for c in range(len(picked)):
+        mine = close[nearest == c, c]
+        if len(mine):
+            rows.append(picked[c])
+            least.append(float(np.quantile(mine, OUTSIDE)))
+    return rows, least
 
 
 def train(docs: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS, seed: int = 3) -> Centroids:
     """Centroids from docs (doc_id, text, lang), from a bounded sample of each language drawn by hash.
 
-    Rows without text, without letters or with a null lang teach nothing.
+    Every lang value is learned; each is fitted on an executor, and the driver holds its centroids only. Rows without
+    text, without letters or with a null lang teach nothing.
     """
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = docs.groupBy("lang").count().sort(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    rate = F.lit(0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], int(1_000_000 * min(1.0, sample / r["count"]))).otherwise(rate)
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < rate).limit(2 * sample * max(1, len(counts)))
+    rates = docs.groupBy("lang").agg(F.greatest(F.lit(1), (F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(sample) / F.count(F.lit(1)))).cast("int")).alias("rate"))
+    drawn = docs.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < F.col("rate"))
+    # Rows that share an id are drawn together or not at all, so their number needs a bound of its own.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), F.xxhash64("text")))
+    picked = drawn.withColumn("_place", place).where(F.col("_place") <= 2 * sample)
 
     def per_batch(batch: pa.RecordBatch):
         for a, b, data, offsets in slices(batch.column(0)):
@@ -126,12 +125,37 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS,
             x = frequencies(data, offsets)[keep]
             yield batch_of(lang=batch.column(1).slice(a, b - a).filter(pa.array(keep)), vector=pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary()))
 
-    rows = in_arrow(picked.select("text", "lang"), per_batch, "lang string, vector binary").sort("lang", "vector").toArrow()
-    if not rows.num_rows:
-        none = np.zeros((0, 1 << BITS), np.float32)
+    vectors = stored(in_arrow(picked.select("text", "lang"), per_batch, "lang string, vector binary"))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, texts = 0, np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                rows += 1
+                texts += np.frombuffer(v.as_buffer(), np.float16) > 0
+        if rows:
+            yield batch_of(rows=[rows], texts=[texts.tolist()])
+
+    rows, texts = 0, np.zeros(1 << BITS, np.int64)
+    for r in streamed(vectors.select("vector"), seen, "rows long, texts array<long>").toLocalIterator():
+        rows, texts = rows + r["rows"], texts + np.array(r["texts"])
+    none = np.zeros((0, 1 << BITS), np.float32)
+    if not rows:
         return Centroids([], none, np.zeros(0, int), np.zeros(0), np.ones(1 << BITS, np.float32))
-    vectors = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"].to_pylist()]).astype(np.float32)
-    return fit(vectors, rows["lang"].to_pylist(), centroids=centroids, seed=seed)
+    idf = np.log((1 + rows) / (1 + texts)).astype(np.float32) + 1
+
+    def per_language(group: pa.Table) -> pa.Table:
+        own = np.stack([np.frombuffer(v, np.float16) for v in sorted(group["vector"].to_pylist())]).astype(np.float32)
+        found, least = fit(weighted(own, idf), centroids=centroids)
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(found), pa.string()), "c": pa.array(range(len(found)), pa.int32()), "vector": pa.array([x.astype(np.float32).tobytes() for x in found], pa.binary()), "least": least})
+
+    got = vectors.groupBy("lang").applyInArrow(per_language, "lang string, c int, vector binary, least double").toArrow().sort_by([("lang", "ascending"), ("c", "ascending")])
+    names = got["lang"].unique().to_pylist()
+    at = {name: k for k, name in enumerate(names)}
+    centres = np.empty((got.num_rows, 1 << BITS), np.float32)
+    for i, v in enumerate(got["vector"]):
+        centres[i] = np.frombuffer(v.as_buffer(), np.float32)
+    return Centroids(names, centres, np.array([at[v] for v in got["lang"].to_pylist()]), got["least"].to_numpy(), idf)
 
 
 def identified(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

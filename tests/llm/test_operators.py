@@ -350,6 +350,16 @@ def test_toxicity(spark, edges, none):
     assert {r["score"] for r in toxicity.scored(edges, blank).collect()} == {0.5}
 
 
+def test_every_language_is_learned(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(230)]
+    rows = [(i * 10 + j, f"{n}{n} {n}x{n} {n}{n}{j}", n) for i, n in enumerate(names) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == names and len(model.rows) == len(model.of) == len(model.least)
+    got = language_id.identified(docs, model).join(docs, "doc_id")
+    assert got.where("lang_pred = lang").select("lang").distinct().count() == 230
+
+
 def test_language_id(spark, edges, none):
     rng = random.Random(6)
     sounds = {"aa": "the shing ther ion", "bb": "über sch ung ein", "cc": "ción que los ñas"}
