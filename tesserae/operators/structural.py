@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import structure as sx
 from ..functions import vectors as vx
 from .embedding import Encoder, hash_encoder
+from .index import BLOCK
 
 
 def structure_vectors(structures: DataFrame, dimension: int, encoder: Encoder = hash_encoder) -> DataFrame:
@@ -30,7 +31,14 @@ def scores(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, vectors
 
 
 def compare(query: DataFrame, candidates: DataFrame, dimension: int, encoder: Encoder = hash_encoder) -> DataFrame:
-    """(query_id, candidate_id, value) of texts against few candidate texts: cosine in 0..1."""
+    """(query_id, candidate_id, value) of texts against few candidate texts: cosine in 0..1. A broadcast holds about
+    BLOCK queries; more go block by block."""
     asked = query.select("query_id", encoder(F.col("text"), dimension).alias("_q"))
     held = candidates.select("candidate_id", encoder(F.col("text"), dimension).alias("_c"))
-    return held.crossJoin(F.broadcast(asked.limit(4096))).select("query_id", "candidate_id", vx.unit_interval(vx.cosine(F.col("_q"), F.col("_c"))).alias("value"))
+    blocks = max(1, -(-query.count() // BLOCK))
+    marked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        part = held.crossJoin(F.broadcast(marked.where(F.col("_block") == b))).select("query_id", "candidate_id", vx.unit_interval(vx.cosine(F.col("_q"), F.col("_c"))).alias("value"))
+        out = part if out is None else out.union(part)
+    return out

@@ -145,7 +145,7 @@ def structural_similarity(spark, sf_dir):
     vectors = structural.structure_vectors(_structures(spark, sf_dir), 32)
     asked = base.questions(spark, sf_dir)
     chunks = _structures(spark, sf_dir).select(F.concat("table_id", F.lit("_full_table")).alias("chunk_id"), F.create_map().cast("map<string,string>").alias("metadata"))
-    pairs = asked.select("query_id").crossJoin(F.broadcast(chunks.select("chunk_id").limit(1000)))  # 25 brands
+    pairs = asked.select("query_id").crossJoin(F.broadcast(chunks.select("chunk_id")))  # 25 brands
     rows = structural.scores(pairs, asked, chunks, vectors, 32)
     return rows.select("query_id", "chunk_id", F.round("value", 6).alias("value"))
 

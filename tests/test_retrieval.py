@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae import config
 from tesserae.engine import Engine, Plugins
-from tesserae.operators import bm25, embedding, evaluation, filters, fusion, generation, index, prompt_search, rerank
+from tesserae.operators import bm25, embedding, evaluation, filters, fusion, generation, index, prompt_search, rerank, structural
 
 
 def vectors(spark, name, rows):
@@ -34,6 +34,13 @@ def test_top_k_blocks_of_many_queries(spark, monkeypatch):
     assert {(r["query_id"], r["item_id"]) for r in index.top_k_blocks(asked, items, 1).collect()} == want
 
 
+def test_compare_many_queries(spark):
+    asked = spark.range(5000).select(F.col("id").alias("query_id"), F.concat(F.lit("q"), "id").alias("text"))
+    held = spark.createDataFrame([("c", "a text")], "candidate_id string, text string")
+    got = structural.compare(asked, held, 4)
+    assert got.count() == got.select("query_id").distinct().count() == 5000
+
+
 def test_near_candidates(spark):
     import random
 
