@@ -11,6 +11,7 @@ import hashlib
 import itertools
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,16 @@ _LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4310$5!7", "aaeiossit")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY = {c: (y, x) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_DATE = re.compile(
+    r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
+    r"|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d"
+)
+#: Characters of the shortest and the longest date.
+_DATE_LENGTHS = (5, 10)
 _UNITS = 8
+#: Steps of a walk and turns of a repeat that are offered at every number up to this; longer ones also as far as they go.
+_EACH = 32
 #: A plain word: log10 of the guesses at least (a large dictionary) and for each letter (1.3 bits of running text), and
 #: its letters at least and at most.
 WORD, LETTER = 5.5, 0.4
@@ -86,40 +95,53 @@ def word_ends(low: str) -> list[int]:
     return end
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of a value; 0 for an empty one.
+def walk_runs(low: str) -> tuple[list[int], list[int], list[int]]:
+    """For each place of a lower-case value how many keyboard steps follow, the changes of direction before each place,
+    and how many steps through the alphabet or the digits in one direction follow."""
+    n = len(low)
+    steps: list[tuple[int, int] | None] = []
+    for c, d in itertools.pairwise(low):
+        a, b = _KEY.get(c), _KEY.get(d)
+        near = a is not None and b is not None and abs(b[0] - a[0]) <= 1 and abs(b[1] - a[1]) <= 1
+        following = c.isalnum() and abs(ord(d) - ord(c)) == 1
+        steps.append((b[0] - a[0], b[1] - a[1]) if near else (9, ord(d) - ord(c)) if following else None)
+    walk, row = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        if steps[i] is not None:
+            walk[i] = walk[i + 1] + 1
+        step = ord(low[i + 1]) - ord(low[i])
+        if low[i].isalnum() and low[i + 1].isalnum() and abs(step) == 1:
+            row[i] = row[i + 1] + 1 if row[i + 1] and ord(low[i + 2]) - ord(low[i + 1]) == step else 1
+    turns = [0] * (n + 1)
+    for i in range(1, n - 1):
+        turns[i] = turns[i - 1] + (steps[i] != steps[i - 1])
+    return walk, turns, row
 
-    Time and memory follow the length of the value: each place starts a bounded number of segments.
+
+def lengths_of(most: int, least: int) -> list[int]:
+    """What is offered of a run that goes on for `most`: each number up to _EACH, and all of it."""
+    return [*range(least, min(most, _EACH) + 1), *([most] if most > _EACH else [])]
+
+
+def segments(value: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 of the guesses) of all segments that the programme may put together, in order of start.
+
+    A walk costs its first key, its length and its turns; a repeat its unit and how often it comes; a word its rank, or
+    what a large dictionary holds; anything else is brute force, one character at a time.
     """
     n = len(value)
     low = value.lower()
     if len(low) != n:
         low = value
     plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
-    # How far each place goes on repeating a unit of u characters, and how far a keyboard or alphabet walk goes.
+    # How far each place goes on repeating a unit of u characters.
     again = []
     for u in range(1, _UNITS + 1):
         run = [0] * (n + 1)
         for i in range(n - u - 1, -1, -1):
             run[i] = run[i + 1] + 1 if value[i] == value[i + u] else 0
         again.append(run)
-    walk, turn, last = [0] * (n + 1), [0] * (n + 1), None
-    for i in range(n - 2, -1, -1):
-        a, b = _KEY.get(low[i]), _KEY.get(low[i + 1])
-        step = (b[0] - a[0], b[1] - a[1]) if a and b and abs(b[0] - a[0]) <= 1 and abs(b[1] - a[1]) <= 1 else None
-        if step is None and low[i].isalnum() and abs(ord(low[i + 1]) - ord(low[i])) == 1:
-            step = (9, ord(low[i + 1]) - ord(low[i]))
-        if step is not None:
-            walk[i] = walk[i + 1] + 1
-            turn[i] = turn[i + 1] + (step != last)
-        last = step
-    # How far letters or digits go on in the order of the alphabet, even where two of them are also neighbours on the keyboard.
-    row = [0] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        step = ord(low[i + 1]) - ord(low[i])
-        if low[i].isalnum() and low[i + 1].isalnum() and abs(step) == 1:
-            row[i] = row[i + 1] + 1 if row[i + 1] and ord(low[i + 2]) - ord(low[i + 1]) == step else 1
+    walk, turns, row = walk_runs(low)
     words, (short, long) = word_ends(low), _WORD_LETTERS
     # The first place from each on with a vowel or a letter beyond ASCII, and with a capital: what a word has and how it is written.
     sound, capital = [n] * (n + 1), [n] * (n + 1)
@@ -127,33 +149,45 @@ def guess_cost(value: str) -> float:
         sound[i] = i if low[i] in _VOWELS or not low[i].isascii() else sound[i + 1]
         capital[i] = i if value[i] != low[i] else capital[i + 1]
     for i in range(n):
-        here = best[i]
-
-        def reach(j: int, cost: float, here: float = here) -> None:
-            if here + cost < best[j]:
-                best[j] = here + cost
-
-        reach(i + 1, _class(value[i]))
+        yield i, i + 1, _class(value[i])
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j]) or (_RANK.get(plain[i:j], 0) and 2 * _RANK[plain[i:j]])
             if rank:
-                reach(j, math.log10(rank + 1) + (0.0 if value[i:j].islower() else math.log10(2)))
+                yield i, j, math.log10(rank + 1) + (0.0 if value[i:j].islower() else math.log10(2))
         for j in range(max(i + short, sound[i] + 1), min(words[i], i + long) + 1):
             # In small letters, with a capital at its start, or all in capitals.
             if capital[i] >= j or capital[i + 1] >= j or value[i:j].isupper():
-                reach(j, max(WORD, LETTER * (j - i)) + (0.0 if capital[i] >= j else math.log10(2)))
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            reach(m.end(), math.log10(200 if m.end() - i == 4 else 365 * 200))
+                yield i, j, max(WORD, LETTER * (j - i)) + (0.0 if capital[i] >= j else math.log10(2))
+        if value[i].isdigit():
+            if _YEAR.match(value, i):
+                yield i, i + 4, math.log10(200)
+            for j in range(i + _DATE_LENGTHS[0], min(n, i + _DATE_LENGTHS[1]) + 1):
+                if _DATE.fullmatch(value, i, j):
+                    yield i, j, math.log10(365 * 200)
         for u, run in enumerate(again, 1):
-            if run[i] and run[i] + u >= max(3, 2 * u):
-                unit = min(sum(map(_class, value[i : i + u])), math.log10(_RANK[low[i : i + u]] + 1) if low[i : i + u] in _RANK else math.inf)
-                count = (run[i] + u) // u
-                reach(i + count * u, unit + math.log10(count))
-        if walk[i] >= 2:
-            reach(i + walk[i] + 1, math.log10(47 * (walk[i] + 1)) + turn[i] * math.log10(8))
-        if row[i] >= 2:
-            reach(i + row[i] + 1, math.log10(47 * (row[i] + 1)) + math.log10(8))
-    return best[n]
+            # A unit that repeats a shorter one itself is that one, oftener.
+            if not run[i] or any(u % v == 0 and again[v - 1][i] >= u for v in range(1, u)):
+                continue
+            low_unit = low[i : i + u]
+            unit = min(sum(map(_class, value[i : i + u])), math.log10(_RANK[low_unit] + 1) if low_unit in _RANK else math.inf)
+            for count in lengths_of((run[i] + u) // u, 3 if u == 1 else 2):
+                yield i, i + count * u, unit + math.log10(count)
+        for k in lengths_of(walk[i], 2):
+            yield i, i + k + 1, math.log10(47 * (k + 1)) + (1 + turns[i + k - 1] - turns[i]) * math.log10(8)
+        for k in lengths_of(row[i], 2):
+            yield i, i + k + 1, math.log10(47 * (k + 1)) + math.log10(8)
+
+
+def guess_cost(value: str) -> float:
+    """log10 of the guesses of the cheapest segmentation of a value; 0 for an empty one.
+
+    Time and memory follow the length of the value: each place starts a bounded number of segments.
+    """
+    best = [0.0] + [math.inf] * len(value)
+    for i, j, cost in segments(value):
+        if best[i] + cost < best[j]:
+            best[j] = best[i] + cost
+    return best[len(value)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -241,7 +275,11 @@ def secret_spans(docs: DataFrame, *, dear: float = DEAR, id_col: str = "doc_id",
 
 
 def redacted(docs: DataFrame, *, mark: str = "[SECRET]", dear: float = DEAR, text_col: str = "text") -> DataFrame:
-    """docs with each secret value replaced by a mark (of an assignment its value only); n_chars follows the text."""
+    """docs with each secret value replaced by a mark (of an assignment its value only); n_chars follows the text.
+
+    Null and empty texts, and texts without a secret, stay as they are; repeated rows come back each; other columns,
+    null or not, pass through; an empty table gives an empty one.
+    """
     place, length = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def per_batch(batch: pa.RecordBatch):
