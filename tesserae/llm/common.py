@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MOST = (1 << 63) - 1
 #: Rows of a side that may be broadcast after counting it; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -112,6 +113,14 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Itera
         yield pa.Table.from_batches(held), False
 
 
+def hash_share(hashed: Column, sample: int, count: int | Column) -> Column:
+    """Whether a 64-bit hash falls into the share sample / count of all its values: exact for any count, all if count is
+    sample at most."""
+    count = F.greatest(F.lit(1), F.lit(count) if isinstance(count, int) else count).cast("long")
+    bound = F.when(count <= sample, F.lit(_MOST)).otherwise(F.floor(F.lit(_MOST).cast("decimal(38,0)") * F.lit(sample).cast("decimal(18,0)") / count.cast("decimal(19,0)")).cast("long"))
+    return hashed.bitwiseAND(F.lit(_MOST)) <= bound
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is among ids: by broadcast if few (counted), else by a shuffle."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

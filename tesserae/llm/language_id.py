@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, in_arrow, stored, streamed, table
+from .common import batch_of, hash_share, in_arrow, stored, streamed, table
 from .kernels import ALNUM, LOWER, slices
 
 #: Hashed n-gram features (bytes, two and three long), as a power of two.
@@ -113,8 +113,8 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS,
     text, without letters or with a null lang teach nothing.
     """
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    rates = docs.groupBy("lang").agg(F.greatest(F.lit(1), (F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(sample) / F.count(F.lit(1)))).cast("int")).alias("rate"))
-    drawn = docs.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < F.col("rate"))
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    drawn = docs.join(F.broadcast(counts), "lang").where(hash_share(F.xxhash64(F.lit(seed), "doc_id"), sample, F.col("_rows")))
     # Rows that share an id are drawn together or not at all, so their number needs a bound of its own.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), F.xxhash64("text")))
     picked = drawn.withColumn("_place", place).where(F.col("_place") <= 2 * sample)

@@ -231,11 +231,36 @@ def test_swaps_lower_the_score_of_names():
     rows = []
     for i in range(400):
         bad = i % 2
-        f = {int(x) for x in rng.integers(0, 500, 10)} | ({insult} if bad else set()) | ({name} if rng.random() < (0.8 if bad else 0.2) else set())
-        rows.append((bad, np.array(sorted(f), np.int32), [(name, other)] if name in f else []))
+        f = {int(x) for x in rng.integers(0, 500, 10)} | ({insult} if bad and rng.random() < 0.6 else set()) | ({name} if rng.random() < (0.8 if bad else 0.2) else set())
+        f = np.array(sorted(f), np.int32)
+        rows.append((bad, f, [(np.array([name]), name, other)] if name in f else []))
     weight = lambda m: dict(zip(m.features.tolist(), m.weights.tolist(), strict=True))
-    plain, fair = (weight(toxicity.fit(rows, penalty=p)) for p in (0.0, 5.0))
+    plain, fair = (weight(toxicity.fit(rows, penalty=p)) for p in (0.0, toxicity.PENALTY))
     assert plain[name] > 0.3 and abs(fair[name]) < 0.2 * plain[name] and fair[insult] > 1
+    assert toxicity.fit(rows).swaps == sum(len(r[2]) for r in rows)
+
+
+def test_swaps_are_all_other_names_of_a_sentence():
+    found = toxicity.swaps("Black cats. The black and the white ones! nothing\nwomen, Women and girls")
+    one = toxicity._one
+    got = [(a, b) for _, a, b in found]
+    own = ("black", "white", "asian", "latino", "arab")
+    want = [(one("black"), one(x)) for x in own[1:]] + [(one(w), one(x)) for w in ("black", "white") for x in own[2:]] + [(one(w), one(x)) for w in ("girls", "women") for x in ("men", "boys")]
+    assert sorted(got) == sorted(want)
+    assert set(found[0][0].tolist()) == {one("black"), one("cats")}
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(30)]
+    changes = {((0, 1, 5), (0, 2, 5)): 3, ((), (4,)): 1, ((7, 8), (8,)): 2}
+    loss = toxicity.Loss(rows, rng.integers(0, 2, 30).astype(float), changes, 5.0)
+    w, b, step = rng.normal(size=12), 0.3, 1e-6
+    grad, gb = loss.gradient(w, b)
+    for i in range(12):
+        d = np.eye(12)[i] * step
+        assert grad[i] == pytest.approx((loss.value(w + d, b) - loss.value(w - d, b)) / (2 * step), abs=1e-6)
+    assert gb == pytest.approx((loss.value(w, b + step) - loss.value(w, b - step)) / (2 * step), abs=1e-6)
 
 
 def test_fit_without_both_classes():

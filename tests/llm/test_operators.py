@@ -350,6 +350,52 @@ def test_toxicity(spark, edges, none):
     assert {r["score"] for r in toxicity.scored(edges, blank).collect()} == {0.5}
 
 
+def test_neutral_mentions_are_left_alone(spark):
+    """Where toxic documents name a group oftener, swaps keep plain mentions of it below the threshold."""
+    rng = random.Random(12)
+    bad = ["scumword", "vileword", "trashword"]
+    rows = []
+    for i in range(1200):
+        toxic = i % 2
+        names = " the muslims were here." if rng.random() < (0.7 if toxic else 0.005) else f" the {rng.choice(WORDS)} were here."
+        insult = " " + rng.choice(bad) if toxic and rng.random() < 0.6 else ""
+        rows.append((i, prose(rng, 25) + insult + "." + names, toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, prose(rng, 25) + ". the muslims were here.") for i in range(300)], "doc_id long, text string")
+    wrong, caught = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        wrong[penalty] = toxicity.scored(neutral, model).where(F.col("score") >= 0.7).count()
+        found = toxicity.scored(docs, model).where(F.col("score") >= 0.7).select("doc_id")
+        caught[penalty] = found.join(docs, "doc_id").where("text like '%word%'").count()
+        assert model.swaps > 0
+    print("neutral mentions rejected of 300:", wrong, "toxic caught:", caught)
+    assert wrong[toxicity.PENALTY] <= 0.2 * wrong[0.0] and wrong[0.0] > 50
+    assert caught[toxicity.PENALTY] >= 0.85 * caught[0.0]
+
+
+def test_samples_of_huge_classes(spark):
+    """A share of any count is exact: a class of 10 thousand million rows still gives its sample."""
+    from tesserae.llm.common import hash_share
+
+    span = (1 << 63) // 1000
+    df = spark.range(1000).select((F.col("id") * span).alias("h"), (-F.col("id") * span - 1).alias("minus"))
+    for sample, count in ((600, 10**10), (4000, 4 * 10**9 + 7), (5, 5), (1, 3), (7, 1)):
+        bound = (1 << 63) - 1 if count <= sample else ((1 << 63) - 1) * sample // count
+        for n in (count, F.lit(count)):
+            assert df.where(hash_share(F.col("h"), sample, n)).count() == sum(i * span <= bound for i in range(1000))
+        assert bound > 10**9
+
+
+def test_toxicity_with_one_id_everywhere(spark):
+    rng = random.Random(4)
+    rows = [(1, prose(rng, 5) + " vileword") for _ in range(300)] + [(1, "same text vileword")] * 100 + [(i, prose(rng, 5)) for i in range(2, 40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i == 1)) for i in range(40)], "doc_id long, toxic int")
+    found = toxicity.labelled(docs, labels, sample=60, seed=1)
+    assert 30 < sum(r[0] for r in found) < 100 and sum(1 - r[0] for r in found) == 38
+
+
 def test_every_language_is_learned(spark):
     names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(230)]
     rows = [(i * 10 + j, f"{n}{n} {n}x{n} {n}{n}{j}", n) for i, n in enumerate(names) for j in range(3)]
