@@ -205,6 +205,45 @@ def test_urls(spark):
     assert found["bad.example.net"][0] == "block" and found["good.example.net"][0] == "allow"
 
 
+def test_url_levels(spark):
+    hosts = ["a.b.example.co.uk", "example.co.uk", "co.uk", "me@www.example.com:8080", "com", "", "x.y.net:"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in df.select(*url_reputation.levels(F.col("host"))).collect()]
+    assert got == [("example.co.uk", "co.uk"), ("example.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", ""), ("y.net", "net")]
+
+
+def test_beta_quantile(spark):
+    rng = np.random.default_rng(0)
+    pairs = [(1.0, 9.0), (9.0, 1.0), (5.0, 5.0), (50.0, 2.0), (2.0, 50.0), (300.0, 300.0), (20.0, 0.5), (0.5, 0.5)]
+    df = spark.createDataFrame(pairs, "a double, b double").select(url_reputation.low_quantile(F.col("a"), F.col("b")))
+    for (a, b), (x,) in zip(pairs, df.collect(), strict=True):
+        assert x == pytest.approx(np.quantile(rng.beta(a, b, 200_000), 0.1), abs=0.02)
+
+
+@pytest.mark.parametrize("scatter", [3.0, 30.0, None])
+def test_url_strength(spark, scatter):
+    """The fitted strength is near that of the beta distribution that the members' shares were drawn from."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 200, 3000)
+    share = rng.beta(0.3 * scatter, 0.7 * scatter, 3000) if scatter else np.full(3000, 0.3)
+    rows = [(int(a), int(b), 0.3) for a, b in zip(n, rng.binomial(n, share), strict=True)]
+    got = url_reputation.strength(spark.createDataFrame(rows, "n long, k long, m double"), "n", "k", "m")
+    assert (got == pytest.approx(scatter, rel=0.15)) if scatter else got > 300
+
+
+def test_url_hot_hosts(spark, monkeypatch):
+    """Hosts with many pages have the same values whether they are joined by broadcast or not; no row is lost."""
+    rng = random.Random(3)
+    hosts = ["hot.example.com"] * 300 + [f"h{i}.example.com" for i in range(40)] + [None] * 3
+    urls = [h and f"http://{h}/{rng.choice(['de', 'fr', 'en'])}/{i}" for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(str, url_reputation.judged(pages).collect()))
+    for hot in (1, 10**9):
+        monkeypatch.setattr(url_reputation, "HOT", hot)
+        assert sorted(map(str, url_reputation.judged(pages).collect())) == want
+    assert len(want) == len(urls)
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for key, text in sorted(rows):
