@@ -49,6 +49,43 @@ def test_media(edges, none):
     assert len({tuple(r)[1:] for r in rows if r["doc_id"] == 5}) == 1
 
 
+def brute_resize(image, rows, columns):
+    """Cell by cell: each source sample weighs the area of it that the cell covers."""
+    def shares(size, cells):
+        return np.array([[max(0.0, min(i + 1, (c + 1) * size / cells) - max(i, c * size / cells)) for i in range(size)] for c in range(cells)])
+
+    a, b = shares(image.shape[0], rows), shares(image.shape[1], columns)
+    return a @ image @ b.T / (image.shape[0] * image.shape[1] / (rows * columns))
+
+
+@pytest.mark.parametrize(("shape", "band"), [((1, 64), 4096), ((2, 64), 1), ((7, 64), 3), ((300, 64), 64), ((300, 64), 4096), ((8, 9), 5), ((50, 13), 7)])
+def test_area_resize(shape, band, monkeypatch):
+    monkeypatch.setattr(media, "BAND", band)
+    image = np.random.default_rng(2).integers(0, 256, shape, np.uint8)
+    assert np.allclose(media.area_resize(image, 8, 9), brute_resize(image.astype(float), 8, 9))
+    colour = np.stack([image, image // 2, image // 3], axis=2)
+    assert np.allclose(media.area_resize(colour, 3, 2), brute_resize(colour.mean(2), 3, 2))
+
+
+@pytest.mark.parametrize("tile", [16, 256])
+def test_text_media_is_what_it_says(spark, tile):
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (1, 3, 9, 40, 3000)] + ["", None, "é漢\x00", "a" * 64, "b" * 128]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.text_media(df, tile=tile).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_bytes"] == len(r["tiles"]) and r["media_sha256"] == hashlib.sha256(r["tiles"]).hexdigest()
+        assert media.unpacked(bytes(r["tiles"]), tile).tobytes() == payload
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        assert r["n_tiles"] == -(-len(image) // tile) * -(-64 // tile)
+        small = np.round(brute_resize(image.astype(float), 8, 9), 6)
+        bits = "".join("1" if small[y, x] < small[y, x + 1] else "0" for y in range(8) for x in range(8))
+        assert r["feature"] == f"{int(bits, 2):016x}"
+
+
 @pytest.mark.parametrize("shape", [(1, 1), (5, 7), (64, 3), (9, 8, 3)])
 def test_media_formats(shape):
     image = np.random.default_rng(1).integers(0, 256, shape, np.uint8)
@@ -69,8 +106,9 @@ def test_media_bits():
     assert media.decode(b"P1\n3 2\n101\n010").tolist() == [[0, 255, 0], [255, 0, 255]]
     assert media.decode(b"P4\n3 2\n\xa0\x40").tolist() == [[0, 255, 0], [255, 0, 255]]
     assert media.decode(b"P5\n1 1\n65535\n\x01\x02").tolist() == [[258]]
-    with pytest.raises(ValueError):
-        media.decode(b"GIF89a")
+    for junk in (b"GIF89a", b"P5\n100000 100000\n255\n\x00", b"P5\n0 3\n255\n"):
+        with pytest.raises(ValueError):
+            media.decode(junk)
 
 
 def test_media_tiles(spark):
