@@ -163,12 +163,12 @@ def test_decontamination(spark, edges, none):
                         found.add(str(k))
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2)
     assert want[0][2] == 2 and want[2][2] == 1
-    for size in (1 << 20, 10):
-        got = decontaminate.contamination(df, bench, block_bytes=size).collect()
+    for size in (1 << 20, 0):
+        got = decontaminate.contamination(df, bench, broadcast_bytes=size).collect()
         assert {r["doc_id"]: tuple(r)[1:6] for r in got} == want
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(df, bench, mode="spans", min_items=1).collect()}
-    assert cut[1] == "a  b" and items[0].upper() not in cut[0] and cut[3] == docs[3] and cut[4] is None
-    assert {r["doc_id"] for r in decontaminate.decontaminated(df, bench, min_items=1).collect()} == {3, 4, 5}
+        cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(df, bench, mode="spans", min_items=1, broadcast_bytes=size).collect()}
+        assert cut[1] == "a  b" and items[0].upper() not in cut[0] and cut[3] == docs[3] and cut[4] is None
+        assert {r["doc_id"] for r in decontaminate.decontaminated(df, bench, min_items=1, broadcast_bytes=size).collect()} == {3, 4, 5}
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(edges, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
@@ -533,6 +533,45 @@ def test_held_out(spark):
     assert all(r["t"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) and r["l"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
 
 
+def test_large_benchmark(spark, edges, none, monkeypatch):
+    """A join and a broadcast find the same, common windows, repeated rows, nulls and other columns included."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, rng.randint(1, 30))) for i in range(40)]
+    items += [(100 + i, "one line that stands in very many items " + str(i)) for i in range(20)]
+    docs = [(i, prose(rng, 20) + " " + (" ".join(items[rng.randrange(60)][1].split()[:12]) if i % 3 else "One line that stands in very many items 7"), "x") for i in range(120)]
+    docs += [docs[0], (None, docs[1][1], None), (7, None, "x"), (7, "", "x"), (500, prose(rng, 20_000) + " " + items[3][1], "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _key string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    small = sorted(map(str, decontaminate.contamination(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 12)
+    for common in (1000, 5):
+        monkeypatch.setattr(decontaminate, "COMMON", common)
+        assert sorted(map(str, decontaminate.contamination(df, bench, broadcast_bytes=0).collect())) == small
+    assert len(small) == len(docs) and sum("contaminated=True" in r for r in small) > 30
+    for size in (0, 1 << 20):
+        for mode in ("documents", "spans"):
+            assert decontaminate.decontaminated(none, bench, mode=mode, broadcast_bytes=size).count() == 0
+            kept = decontaminate.decontaminated(edges, bench, mode=mode, broadcast_bytes=size)
+            assert kept.columns == edges.columns and kept.count() == edges.count()
+
+
+def test_decontamination_sql(spark):
+    import os
+
+    import duckdb
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the sample tables")
+    got = decontaminate.op9_benchmark_decontamination(spark, "/root/testdata/sf0.001").toPandas()
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        path = f"/root/testdata/sf0.001/{t}.parquet"
+        con.sql(f"create view {t} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    want = con.sql(decontaminate.SQL).df()[list(got.columns)]
+    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
+    assert (got["n_items"] > 0).any()
+
+
 def test_url_sql(spark):
     import os
 
