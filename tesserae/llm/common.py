@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make one only where none is set, on one machine."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Use the shared folder that the cluster names, and name it; make one only where none is set, on one machine."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    if (held := context.getCheckpointDir()) is not None:
+        return held
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if context.master.startswith("local[") or context.master == "local":
@@ -31,6 +31,13 @@ def checkpoint_dir(spark: SparkSession) -> None:
         else:
             named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
     context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it lies. PySpark has no call for it, so this goes through the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

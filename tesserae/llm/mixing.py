@@ -19,8 +19,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: Times that a source, and each of its documents, is taken at most.
 MOST = 2
-#: Words in a shard, about; a source has as many shards as that makes.
-SHARD_TOKENS = 250_000
+#: Words in a shard, about, and shards of a source at most: those of a very large source are larger.
+SHARD_TOKENS, MOST_SHARDS = 250_000, 1 << 16
 #: Words in a block at most; a block is also a thousandth of the smallest target at most, so that rounding stays small.
 BLOCK_TOKENS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,30 +80,34 @@ def apportion(votes: DataFrame, group: list[str], key: list[str], vote: str, sea
     return joined.withColumn(out, F.col("_low") + F.col("_won")).drop("_n", "_total", "_low", "_high", "_need", "_won")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, keep: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs; taken counts words, repeats included.
 
+    keep: all columns of docs, followed by size, source_size, target and taken, which replace columns of these names.
     A null text has size 0; null sources are one source, which comes last. A null id is an id like any other;
     repeated rows are separate documents. An empty table gives an empty result; sources without words get target 0.
     """
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct("*").alias("_row")] if keep else []))
+    sized = stored(held.drop("_row"))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(least / 1000))).cast("long"))
     sources = sources.withColumns({"_all": F.lit(0), "seats": F.round(F.sum("target").over(everything) / F.col("block")).cast("long")})
     sources = apportion(sources, ["_all"], ["source"], "target", "seats", "quota").drop("_all", "seats")
-    sources = stored(sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long")))
+    sources = stored(sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_tokens))).cast("long")))
 
-    joined = sized.join(sources.withColumnRenamed("source", "_source"), sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    joined = joined.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id"))
-    joined = joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
-    shards = joined.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("block").alias("block"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+    def sharded(rows: DataFrame) -> DataFrame:
+        out = rows.join(sources.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
+        return out.withColumns({"_order": F.xxhash64(F.lit(seed), "doc_id"), "shard": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards"))})
+
+    shards = sharded(sized).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("block").alias("block"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = apportion(shards, ["source"], ["shard"], "shard_size", "source_quota", "shard_quota")
     # A capped source is taken most times whole, its last blocks included though they may be short.
     words = F.when(F.col("target") >= most * F.col("source_size"), most * F.col("shard_size")).otherwise(F.least(F.col("shard_quota") * F.col("block"), most * F.col("shard_size")))
     shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", words.alias("words"))
 
+    joined = sharded(held if keep else sized)
     placed = joined.join(shards, joined["source"].eqNullSafe(F.col("_source")) & (joined["shard"] == F.col("_shard")))
     order = Window.partitionBy("source", "shard").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_end", F.sum("size").over(order)).withColumn("_start", F.col("_end") - F.col("size"))
@@ -114,10 +118,10 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     placed = placed.withColumn("_to", F.col("_from") + F.col("_rest"))
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("_end"), hi) - F.greatest(F.col("_start"), lo))
     run = overlap(F.col("_from"), F.col("_to")) + overlap(F.lit(0), F.col("_to") - F.col("shard_size"))
-    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("_passes") + run).cast("long").alias("taken"))
+    out = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target").cast("double"), "taken": (F.col("size") * F.col("_passes") + run).cast("long")}
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in out] if keep else [F.col("doc_id")]
+    return placed.select(*own, *[c.alias(name) for name, c in out.items()])
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
-
-

@@ -235,12 +235,12 @@ def fit(rows: list[Row], prior: float | None = None, *, penalty: float = PENALTY
     """The least loss by Adam on all rows. Features: those that tell the classes apart, and all that a swap takes away.
 
     prior: the share of toxic documents outside the sample, to which the intercept is set. Without rows of both
-    classes the model has no weights and gives the prior, or 0.5 without one.
+    classes the model has no weights and gives the prior, or 0.5 without one or where that is less: it rejects nothing.
     """
     y = np.array([r[0] for r in rows], np.float64)
     base = min(max(0.5 if prior is None else prior, 1e-3), 1 - 1e-3)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(base / (1 - base))))
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), min(0.0, float(np.log(base / (1 - base)))))
     size = 1 << BITS
     there = [np.bincount(np.concatenate([r[1] for r in rows if r[0] == c]), minlength=size) for c in (0, 1)]
     n0, n1 = (y == 0).sum(), (y == 1).sum()

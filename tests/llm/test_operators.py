@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -206,6 +207,15 @@ def test_mixing(spark, seed):
     assert sorted(map(tuple, mixing.mix(df, shard_tokens=2000).collect())) == sorted(map(tuple, got))
 
 
+def test_mixing_keeps_columns(spark, edges, none):
+    rows = mixing.mix(edges, keep=True)
+    assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "size", "source_size", "target", "taken"]
+    plain = sorted(map(str, mixing.mix(edges).collect()))
+    assert sorted(map(str, rows.select("doc_id", "size", "source_size", "target", "taken").collect())) == plain
+    assert sorted(map(str, rows.select("doc_id", "text", "lang", "source").collect())) == sorted(map(str, edges.select("doc_id", "text", "lang", "source").collect()))
+    assert mixing.mix(none, keep=True).count() == 0
+
+
 def test_mixing_edges(edges, none, spark):
     assert mixing.mix(none).count() == 0
     got = mixing.mix(edges).collect()
@@ -526,6 +536,28 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.collect()} == seen["source mixing"]
     assert [n for n, _ in corpus_pipeline.STAGES] == list(seen)
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "taken"] and "[SECRET]" in got.where("doc_id = 1003").first()["text"]
+    folder = got.inputFiles()[0].removeprefix("file://").rsplit("/", 2)
+    assert os.listdir(folder[0]) == [folder[1]] == ["4"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, edges, none, empty, tmp_path):
+    """Every stage takes nulls in any column, empty and long texts, repeated rows and ids, other columns, and no rows."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0, 1), (4, 0, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").limit(0 if empty else 9).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").limit(0 if empty else 9).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (none, edges):
+        held = docs
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, held, str(tmp_path))
+            if name != "source mixing":
+                assert after.columns == docs.columns
+                after = spark.createDataFrame(after.collect(), docs.schema)
+            # Of the edge rows one is a repeated row; nothing else goes.
+            assert after.count() == docs.count() - (docs is edges and name not in ("toxicity",)), name
+            held = after
 
 
 def test_held_out(spark):
@@ -556,8 +588,6 @@ def test_large_benchmark(spark, edges, none, monkeypatch):
 
 
 def test_decontamination_sql(spark):
-    import os
-
     import duckdb
 
     if not os.path.isdir("/root/testdata/sf0.001"):
@@ -573,8 +603,6 @@ def test_decontamination_sql(spark):
 
 
 def test_url_sql(spark):
-    import os
-
     import duckdb
 
     if not os.path.isdir("/root/testdata/sf0.001"):
