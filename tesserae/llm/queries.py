@@ -16,4 +16,4 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_language_id": language_id.op10_language_id,
 }
-SQL = {"op3_url_reputation": url_reputation.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
+SQL = {"op3_url_reputation": url_reputation.SQL, "op6_jaccard_join": similarity.SQL, "op9_benchmark_decontamination": decontaminate.SQL}

@@ -1,15 +1,18 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its word shingles. Two sets of Jaccard t or more share at least ceil(t n) tokens of either,
-so each misses at most d = n - ceil(t n) of the other's, and for every k the first d + k tokens of both, in one order
-of all tokens, have k in common. The steps:
-
-1. Tokens whose hash lies in a fixed range are counted over all sets. They come first in the order, the rarest
-   first; the others follow by hash. A set with more than d tokens that no other set has can't have a partner: that
-   leaves few sets, mostly those with partners.
-2. A rare token in the prefix of d + 2 is a key. Of frequent tokens, sets of up to SHORT tokens index combinations of
-   two within that prefix; longer sets index single ones within d + 1. Sets near that size do both, so that each
-   pair meets in one scheme.
+so each has at most d = n - ceil(t n) tokens that the other lacks, and together they have at most D = floor(n / t) - n.
+All tokens stand in one order: those whose hash lies in a fixed range are counted over all sets, the rarest come first;
+the others follow by hash. The steps:
+
+1. A set with more than d counted tokens that no other set has can't have a partner: that leaves few sets.
+2. Rare tokens are keys by themselves: if two partners share any, the first token that they share is rare, and stands
+   among the first d + 1 of both. Frequent tokens are keys in combinations of two. If partners share no rare token,
+   each of the r tokens of a set before its frequent ones is one that the other lacks; so D - r at most are left, and each
+   parts at most one pair of neighbours among the shared frequent tokens. Hence of the first D - r + 2 that they share
+   two are neighbours in both sets, and stand among the first D + d + 2 - 2 r frequent ones of a set: the extended prefix.
+   A set of any size has fewer than D + d + 2 keys. Where a set is so small, or t so low, that partners may share fewer
+   than D + 2 tokens, single frequent tokens of the plain prefix are keys as well.
 3. Under each key, sets in order of size are chained where sizes allow; chains make candidate groups, and a group's
    sets are brought together, large groups in pairs of blocks of bounded size, and verified.
 
@@ -19,7 +22,6 @@ No step lists the pairs under a key, and no partner is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,6 @@ from .kernels import mix, shingle_sets, slices
 U64 = np.uint64
 #: Sets of a token from which it counts as frequent.
 FREQUENT = 64
-#: Tokens in the largest prefix (less one) of sets that index combinations.
-SHORT_PREFIX = 10
 #: Rows under one token that a task holds; a token with more counts as one with as many.
 HELD_ROWS = 200_000
 #: Tokens, with 500 more for each set, in a block of sets that are verified together.
@@ -46,6 +46,17 @@ def spare(n, num: int, den: int):
     return n - (n * num + den - 1) // den
 
 
+def differing(n, num: int, den: int):
+    """Tokens at most that only one of two partners has, where one of them has n."""
+    return n * (den - num) // num
+
+
+def small_sets(num: int, den: int) -> int:
+    """The largest size at which partners may share fewer than D + 2 tokens; no bound where that goes on for ever."""
+    sizes = [n for n in range(1, 4 * den) if n - spare(n, num, den) < differing(n, num, den) + 2]
+    return (1 << 62) if sizes and sizes[-1] == 4 * den - 1 else max(sizes, default=0)
+
+
 def counted_range(num: int, den: int) -> int:
     """Hashes below this are counted: a share of tokens that leaves half as many again as may be spared."""
     return int(min(1.0, 1.5 * (den - num) / den + 0.05) * (1 << 64)) - 1
@@ -72,7 +83,7 @@ def member_sets(docs: DataFrame, words: int, num: int, den: int, *, whole: bool,
                 one.append(x)
                 two.append(y)
                 counted.append(c)
-                tokens.append((s if whole else s[: max(c, min(len(s), int(spare(len(s), num, den)) + 2))]).view(np.int64))
+                tokens.append((s if whole else s[: max(c, spare(len(s), num, den) + differing(len(s), num, den) + 2)]).view(np.int64))
             ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))
             yield batch_of(doc_id=batch.column(0).slice(a, b - a), n=np.array(sizes, np.int64), s1=np.array(one, np.int64), s2=np.array(two, np.int64), counted=np.array(counted, np.int64), tokens=lists)
@@ -80,23 +91,26 @@ def member_sets(docs: DataFrame, words: int, num: int, den: int, *, whole: bool,
     return in_arrow(docs.select(id_col, text_col), per_batch, f"doc_id {kind}, n long, s1 long, s2 long, counted long, tokens array<long>")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (h, s1) sorted by both: (s1, h, df) of the tokens that more than one set has."""
-    hot = None
-    for rows, more in sorted_runs(batches, "h", HELD_ROWS):
-        h, s = (rows.column(c).to_numpy() for c in ("h", "s1"))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        h, s = h[new], s[new]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        df = np.repeat(np.diff(np.concatenate([starts, [len(h)]])), np.diff(np.concatenate([starts, [len(h)]])))
-        if hot is not None:
-            df[h == hot] = HELD_ROWS
-        hot = int(h[-1]) if more else None
-        df = np.full(len(h), HELD_ROWS) if more else np.minimum(df, HELD_ROWS)
-        keep = df > 1
-        if keep.any():
-            yield batch_of(s1=s[keep], h=h[keep], df=df[keep].astype(np.int64))
+def _shared(below: np.uint64):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (h, s1) sorted by both: (s1, h, df) of the tokens that more than one set has, or that aren't counted."""
+        hot = None
+        for rows, more in sorted_runs(batches, "h", HELD_ROWS):
+            h, s = (rows.column(c).to_numpy() for c in ("h", "s1"))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+            h, s = h[new], s[new]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            df = np.repeat(np.diff(np.concatenate([starts, [len(h)]])), np.diff(np.concatenate([starts, [len(h)]])))
+            if hot is not None:
+                df[h == hot] = HELD_ROWS
+            hot = int(h[-1]) if more else None
+            df = np.full(len(h), HELD_ROWS) if more else np.minimum(df, HELD_ROWS)
+            keep = (df > 1) | (h.view(U64) >= below)
+            if keep.any():
+                yield batch_of(s1=s[keep], h=h[keep], df=df[keep].astype(np.int64))
+
+    return run
 
 
 def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, counted: int, num: int, den: int) -> list[int]:
@@ -105,19 +119,21 @@ def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, counted: int, num: int, d
     h, at = np.unique(h, return_index=True)
     df = df[at]
     first = h < below
-    d, alone = int(spare(n, num, den)), counted - int(first.sum())
-    if alone > d:
+    d, both, alone = spare(n, num, den), differing(n, num, den), counted - int(first.sum())
+    if not both or alone > d:
         return []
-    order = np.lexsort((h[first], df[first]))[: d + 2 - alone]
-    head, count = h[first][order], df[first][order]
-    short = int(SHORT_PREFIX * den / (den - num))
-    rare = count < FREQUENT
-    out = [mix(head[rare]), mix(h[~first])]
-    if n * den >= short * num:
-        out.append(mix(head[: d + 1 - alone][~rare[: d + 1 - alone]] ^ U64(1)))
-    if n <= short and (~rare).sum() > 1:
-        pairs = np.array(list(combinations(np.sort(head[~rare]).tolist(), 2)), U64)
-        out.append(mix(mix(pairs[:, 0]) + pairs[:, 1]))
+    order = np.lexsort((h[first], df[first]))
+    h, frequent = np.concatenate([h[first][order], h[~first]]), np.concatenate([df[first][order] >= FREQUENT, np.ones(int((~first).sum()), bool)])
+    plain = slice(0, d + 1 - alone)
+    out = [mix(h[plain][~frequent[plain]])]
+    before = alone + int((~frequent).sum())
+    if before <= d:
+        small = small_sets(num, den)
+        if n * num <= small * den:
+            out.append(mix(h[plain][frequent[plain]] ^ U64(1)))
+        if n > small:
+            own = h[frequent][: both + d + 2 - 2 * before]
+            out.append(mix(mix(own[:-1]) + own[1:]))
     return np.concatenate(out).view(np.int64).tolist()
 
 
@@ -233,7 +249,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     members = stored(member_sets(docs, words, num, den, whole=False, id_col=id_col, text_col=text_col))
     sets = members.where("n > 0")
     tokens = sets.select(F.explode("tokens").alias("h"), "s1").repartition("h").sortWithinPartitions("h", "s1")
-    shared = streamed(tokens, _shared, "s1 long, h long, df long")
+    shared = streamed(tokens, _shared(U64(counted_range(num, den))), "s1 long, h long, df long")
     shared = shared.groupBy("s1").agg(F.collect_list(F.struct("h", "df")).alias("shared"))
     nodes = sets.groupBy("s1").agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
     # A set without shared tokens among those counted still has keys if it has too few counted ones.
@@ -280,3 +296,22 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 90 * (x.n + y.n - both_)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT words.doc_id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM words LEFT JOIN sizes ON words.doc_id = sizes.doc_id JOIN reach ON reach.a = words.doc_id GROUP BY words.doc_id
+"""
