@@ -14,7 +14,9 @@ the others follow by hash. The steps:
    A set of any size has fewer than D + d + 2 keys. Where a set is so small, or t so low, that partners may share fewer
    than D + 2 tokens, single frequent tokens of the plain prefix are keys as well.
 3. Under each key, sets in order of size are chained where sizes allow; chains make candidate groups, and a group's
-   sets are brought together, large groups in pairs of blocks of bounded size, and verified.
+   sets are brought together and verified. A group larger than a block is compared with a few pivots of its own first:
+   what links to one another that way is settled, and only sets outside of the largest settled part meet the blocks of
+   the others. So a large group of copies is not compared with itself.
 
 No step lists the pairs under a key, and no partner is left out.
 """
@@ -39,6 +41,8 @@ FREQUENT = 64
 HELD_ROWS = 200_000
 #: Tokens, with 500 more for each set, in a block of sets that are verified together.
 BLOCK = 1_000_000
+#: Sets of a group larger than that which all its sets are compared with first, and tasks that share a group then.
+PIVOTS, SALTS = 4, 64
 
 
 def spare(n, num: int, den: int):
@@ -181,9 +185,11 @@ def _chains(num: int, den: int):
     return run
 
 
-def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Places of linked pairs that connect all sets that links connect. Every pair of fitting sizes is compared exactly."""
+def links(sets: list[np.ndarray], num: int, den: int, settled: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Places of linked pairs that connect all sets that links connect. Every pair of fitting sizes is compared exactly;
+    settled sets are known to be connected."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    known = np.array(settled, bool)[order] if settled else np.zeros(len(sets), bool)
     sizes = np.array([len(sets[i]) for i in order])
     _, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -193,13 +199,13 @@ def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     out = []
     for i in range(1, len(order)):
         low = int(np.searchsorted(sizes * den, sizes[i] * num))
-        if low >= i:
+        if low >= i or known[i] and known[low:i].all():
             continue
         own = ids[starts[i] : ends[i]]
         marks[own] = 1
         both = np.add.reduceat(marks[ids[starts[low] : ends[i - 1]]], starts[low:i] - starts[low], dtype=np.int64)
         marks[own] = 0
-        near = low + np.flatnonzero(both * den >= num * (sizes[i] + sizes[low:i] - both))
+        near = low + np.flatnonzero((both * den >= num * (sizes[i] + sizes[low:i] - both)) & ~(known[i] & known[low:i]))
         for j in near[np.unique(label[near], return_index=True)[1]].tolist():
             out.append((order[i], order[j]))
             label[label == label[j]] = label[i]
@@ -208,32 +214,67 @@ def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
 
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (gid, node, tokens) sorted by gid: edges (a, b) between linked nodes of a block."""
+        """From (gid, node, settled, tokens) sorted by gid: edges (a, b) between linked nodes of a block."""
 
-        def of(names: list[str], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        def of(names: list[str], settled: list[bool], sets: list[np.ndarray]) -> pa.RecordBatch | None:
             at = list(dict(zip(names, range(len(names)), strict=True)).values())
-            pairs = links([sets[i] for i in at], num, den) if len(at) > 1 else []
+            pairs = links([sets[i] for i in at], num, den, [settled[i] for i in at]) if len(at) > 1 else []
             if not pairs:
                 return None
             return batch_of(a=[max(names[at[i]], names[at[j]]) for i, j in pairs], b=[min(names[at[i]], names[at[j]]) for i, j in pairs])
 
-        gid, names, sets = None, [], []
+        gid, held = None, ([], [], [])
         for batch in batches:
             lists = batch.column("tokens")
             flat, offsets = lists.values.to_numpy().view(U64), lists.offsets.to_numpy()
-            for i, (g, name) in enumerate(zip(batch.column("gid").to_pylist(), batch.column("node").to_pylist(), strict=True)):
-                if g != gid:
-                    if (found := of(names, sets)) is not None:
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gid", "node", "settled")), strict=True)):
+                if row[0] != gid:
+                    if (found := of(*held)) is not None:
                         yield found
-                    gid, names, sets = g, [], []
-                names.append(name)
-                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
-        if (found := of(names, sets)) is not None:
+                    gid, held = row[0], ([], [], [])
+                for part, value in zip(held, (*row[1:], flat[offsets[i] : offsets[i + 1]].copy()), strict=True):
+                    part.append(value)
+        if (found := of(*held)) is not None:
             yield found
 
     return run
 
 
+def beside(left: DataFrame, right: DataFrame, key: str, salt: Column) -> DataFrame:
+    """left joined to right, which has few rows for a key, however many left has: by broadcast if right has few rows, as
+    counted, else each key is dealt over SALTS tasks."""
+    if right.limit(SALTS * SALTS + 1).count() <= SALTS * SALTS:
+        return left.join(F.broadcast(right), key)
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("_salt", F.pmod(salt, F.lit(SALTS).cast("long"))).join(right, [key, "_salt"]).drop("_salt")
+
+
+def _settled(whole: DataFrame, giant: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For groups larger than a block: edges from their sets to pivots, and (node, key, settled) of the comparisons that
+    are left. whole: gid, node, s2, n, tokens; giant: gid, weight."""
+    own = beside(whole.select("gid", "node", "s2", "n"), giant, "gid", F.col("s2"))
+    picks = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)])
+    pivots = own.groupBy("gid").agg(F.array_distinct(picks).alias("_p")).select("gid", F.explode("_p").alias("pivot"))
+    pivots = stored(pivots.join(whole.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens")).dropDuplicates(["pivot"]), "pivot"))
+    met = beside(whole, pivots, "gid", F.col("s2")).where("node != pivot")
+    both = F.size(F.array_intersect("tokens", "ptokens"))
+    met = met.select("node", "pivot", "n", "pn", both.alias("both")).where(F.col("both") * den >= num * (F.col("n") + F.col("pn") - F.col("both")))
+    edges = stored(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+    labels = components(edges).toDF("node", "_label")
+    own = stored(own.join(labels, "node", "left").withColumn("_label", F.coalesce("_label", "node")))
+    parts = own.groupBy("gid", "_label").agg(F.sum(F.col("n") + 500).alias("_part"))
+    parts = parts.groupBy("gid").agg(F.max_by("_label", F.struct("_part", "_label")).alias("_main"), F.max("_part").alias("_main_weight"))
+    own = beside(own, parts, "gid", F.col("s2")).withColumn("settled", F.col("_label") == F.col("_main"))
+    count = lambda weight: F.ceil(weight / BLOCK).cast("long")
+    own = own.withColumns({"_mains": count(F.col("_main_weight")), "_rests": count(F.col("weight") - F.col("_main_weight"))})
+    own = own.withColumn("_own", F.pmod("s2", F.greatest(F.lit(1), F.when(F.col("settled"), F.col("_mains")).otherwise(F.col("_rests")))))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
+    place = lambda kind, i, j: F.xxhash64("gid", F.lit(kind), i, j)
+    main = F.transform(upto("_rests"), lambda j: place("main", F.col("_own"), j))
+    rest = F.concat(F.transform(upto("_mains"), lambda i: place("main", i, F.col("_own"))), F.transform(upto("_rests"), lambda k: place("rest", F.least("_own", k), F.greatest("_own", k))))
+    return edges, own.select("node", "settled", F.explode(F.when(F.col("settled"), main).otherwise(rest)).alias("key"))
+
+
 def node() -> Column:
     """One name for both values of a signature."""
     return F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0"))
@@ -262,12 +303,20 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     some = semi(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), stored(ids), "_id")
     some = some.union(docs.where(F.col(id_col).isNull()).select(id_col, text_col))
     whole = member_sets(some, words, num, den, whole=True, id_col="_id", text_col="_text").where("n > 0").select("s1", "s2", "n", "tokens").join(groups, "s1")
-    weights = chosen.groupBy("gid", "s1").agg(F.max("n").alias("n")).groupBy("gid").agg(F.ceil(F.sum(F.col("n") + 500) / BLOCK).alias("blocks"))
-    whole = whole.join(weights, "gid").withColumn("_own", F.pmod("s2", "blocks"))
-    whole = whole.withColumn("_other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    gid = F.xxhash64("gid", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    blocks = whole.select(gid.alias("gid"), node().alias("node"), "tokens").repartition("gid").sortWithinPartitions("gid")
-    linked = components(streamed(blocks, _verified(num, den), "a string, b string")).toDF("_node", "_label")
+    whole = whole.withColumn("node", node())
+    weights = chosen.groupBy("gid", "s1").agg(F.max("n").alias("n")).groupBy("gid").agg(F.sum(F.col("n") + 500).alias("weight"))
+    giant = stored(weights.where(F.col("weight") > BLOCK))
+    some_giant = not giant.isEmpty()
+    if some_giant:
+        whole = stored(whole)
+        pivoted, left = _settled(whole, giant, num, den)
+        small = whole.join(giant, "gid", "left_anti")
+        again = whole.select("node", "tokens").dropDuplicates(["node"]).join(left, "node").select(F.col("key").alias("gid"), "node", "settled", "tokens")
+        blocks = small.select("gid", "node", F.lit(False).alias("settled"), "tokens").union(again)
+    else:
+        blocks = whole.select("gid", "node", F.lit(False).alias("settled"), "tokens")
+    edges = streamed(blocks.repartition("gid").sortWithinPartitions("gid"), _verified(num, den), "a string, b string")
+    linked = components(edges.union(pivoted) if some_giant else edges).toDF("_node", "_label")
 
     members = members.select("doc_id", "n", F.when(F.col("n") > 0, node()).alias("node"))
     labelled = members.join(linked, F.col("node") == F.col("_node"), "left").select("doc_id", "n", F.coalesce("_label", "node").alias("label"))
@@ -299,7 +348,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-
+]+') AS w FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s
   FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM words WHERE len(w) > 0)

@@ -373,10 +373,11 @@ def brute_groups(rows, words, num, den):
     return {i: (len(sets[i]), forest.find(i)) for i in keys}
 
 
-@pytest.mark.parametrize(("words", "num", "frequent", "block"), [(3, 90, 64, 10**6), (3, 90, 2, 10**6), (5, 80, 3, 10**6), (2, 60, 2, 3000), (1, 50, 4, 2000)])
+@pytest.mark.parametrize(("words", "num", "frequent", "block"), [(3, 90, 64, 10**6), (3, 90, 2, 3000), (5, 80, 3, 10**6), (5, 80, 3, 2000), (2, 60, 2, 3000), (1, 50, 4, 2000)])
 def test_jaccard(spark, words, num, frequent, block, monkeypatch):
     monkeypatch.setattr(similarity, "FREQUENT", frequent)
     monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "SALTS", 2 if block < 3000 else 64)
     rng = random.Random(num)
     rows = []
     for _ in range(12):
