@@ -32,10 +32,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{_SPACE}+"), lambda x: x != "")
 
 
+def rank_parts(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and `_`, some of them empty: ranking tokens and what is none."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
+
+
+def is_rank_token(part: Column) -> Column:
+    """Whether a part has two characters or more and isn't a stop word."""
+    return (F.length(part) >= 2) & ~part.isin(*STOP_WORDS)
+
+
 def rank_tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and `_`, of two characters or more, without stop words."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " ")
-    return F.filter(parts, lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
+    return F.filter(rank_parts(text), is_rank_token)
 
 
 def sentences(text: Column) -> Column:

@@ -7,10 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.store import kept
 from .index import ranked
 
+#: Terms that may be broadcast, after counting them.
+BROADCAST_ROWS = 100_000
 K1, B, EPSILON = 1.2, 0.75, 0.25
 
 
@@ -25,24 +29,43 @@ class Statistics:
 
 
 def tokens(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(item_id, tokens) of rows that aren't blank."""
-    return rows.where(~tx.blank(F.col(text_col))).select(F.col(id_col).alias("item_id"), tx.rank_tokens(F.col(text_col)).alias("tokens"))
+    """(item_id, term): one row for each ranking token of rows that aren't blank; made by one expression, filtered as rows."""
+    parts = rows.select(F.col(id_col).alias("item_id"), F.explode(tx.rank_parts(F.col(text_col))).alias("term"))
+    return parts.where(tx.is_rank_token(F.col("term")))
 
 
-def counted(tokenized: DataFrame, name: str = "tf") -> DataFrame:
-    """(item_id, length, term, tf). Terms of a document are counted in its own row, so nothing is shuffled."""
-    terms = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias(name)))
-    short = tokenized.where(F.size("tokens") <= 256).select("item_id", F.size("tokens").alias("length"), F.explode(terms).alias("x")).select("item_id", "length", "x.*")
-    # Counting in the row is quadratic in its terms: longer rows are counted by a sort of their tokens.
-    long_ = tokenized.where(F.size("tokens") > 256).select("item_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("item_id", "length", "term").agg(F.count(F.lit(1)).cast("int").alias(name))
-    return short.unionByName(long_)
+def document_frequencies(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(term, df) alone: nothing is kept."""
+    return tokens(rows, id_col, text_col).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def fit(rows: DataFrame, id_col: str, text_col: str = "text") -> Statistics:
-    tokenized = tokens(rows, id_col, text_col)
-    n, mean = tokenized.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    postings = counted(tokenized)
-    return Statistics(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, mean or 0.0)
+def documents(rows: DataFrame, text_col: str = "text") -> int:
+    """Documents that count: those that aren't blank."""
+    return rows.where(~tx.blank(F.col(text_col))).count()
+
+
+def fit(rows: DataFrame, id_col: str, text_col: str = "text", terms: DataFrame | None = None) -> Statistics:
+    """Statistics of a corpus whose ids are unique, from one pass that counts its tokens and keeps the counts.
+
+    terms: (term) to keep postings of, where it is known what will be asked; all other tokens of a document are counted
+    together, for its length.
+    """
+    found = tokens(rows, id_col, text_col)
+    if terms is not None:
+        wanted = terms.select("term").distinct().withColumn("_wanted", F.lit(True))
+        found = beside(found, wanted, "term").select("item_id", F.when(F.col("_wanted"), F.col("term")).alias("term"))
+    counted = found.groupBy("item_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    whole = F.sum("tf").over(Window.partitionBy("item_id")).cast("int")
+    postings = kept(counted.withColumn("length", whole))
+    n, total = documents(rows, text_col), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    postings = postings.where(F.col("term").isNotNull())
+    return Statistics(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, total / n if n else 0.0)
+
+
+def beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with what right says of its key, if anything: by broadcast if right has few rows, as counted, else by a shuffle."""
+    few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right, key, "left")
 
 
 def idf(n: int):
@@ -56,13 +79,12 @@ def scores(queries: DataFrame, known: Statistics, *, query_col: str = "query_id"
     candidates: (query_id, item_id) pairs to score; without it every document is. A term that the fitted corpus lacks
     adds epsilon * ln(n + 1) for each time it is asked. Query terms narrow the postings before anything is summed.
     """
-    asked = counted(tokens(queries, query_col, text_col), "qtf").select(F.col("item_id").alias("query_id"), "term", "qtf")
-    weights = asked.select("term").distinct().join(known.frequencies, "term", "left").withColumn("idf", idf(known.n))
-    asked = asked.join(weights, "term")
-    held = known.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = held.join(asked, "term")
+    asked = tokens(queries, query_col, text_col).groupBy(F.col("item_id").alias("query_id"), "term").agg(F.count(F.lit(1)).alias("qtf"))
+    hits = known.postings.join(asked, "term")
     if candidates is not None:
         hits = hits.join(candidates.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_semi")
+    weights = known.frequencies.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", idf(known.n))
+    hits = hits.join(weights, "term", "left")
     tf, qtf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(known.mean_length, 1e-9))), F.col("qtf") * (k1 + 1) / (F.col("qtf") + k1)
     gain = F.when(F.col("df").isNull(), epsilon * math.log(known.n + 1) * F.col("qtf")).otherwise(F.col("idf") * tf * qtf)
     return hits.groupBy("query_id", "item_id").agg(F.sum(gain).alias("score"))

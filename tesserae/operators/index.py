@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,10 @@ from ..functions import vectors as vx
 
 #: Query vectors that one broadcast holds; more queries are searched in blocks of so many.
 BLOCK = 4096
+#: Queries up to which expressions compare vectors; more are compared as a matrix.
+FEW = 16
+#: Items whose scores for a block of queries are held at once.
+PART = 1024
 
 
 def ranked(scores: DataFrame, keys: list[str], item: str, k: int, score: str = "score") -> DataFrame:
@@ -33,55 +38,74 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "dot", precision: int | None = None) -> DataFrame:
     """(query_id, item_id, score, stage_rank) from queries (query_id, vector) and corpus (item_id, vector), exactly.
 
-    The corpus streams past the queries, block by block; each partition keeps k candidates of a query. precision:
-    digits by which scores are compared, where two engines must agree on ties.
+    The corpus streams past the queries; each partition keeps k candidates of a query. A few queries are broadcast to
+    expressions, more are blocks of a matrix. precision: digits by which scores are compared, where two engines must
+    agree on ties. Vectors of one search have one length; a null vector is nobody's neighbour.
     """
-    n = queries.count()
-    if n <= BLOCK:
-        return ranked(_scores(queries, corpus, metric, precision), ["query_id"], "item_id", k).select("query_id", "item_id", "score", "stage_rank")
-    blocks = -(-n // BLOCK)
-    marked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = [ranked(_scores(marked.where(F.col("_block") == b).drop("_block"), corpus, metric, precision), ["query_id"], "item_id", k) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("query_id", "item_id", "score", "stage_rank")
-
-
-def _scores(queries: DataFrame, corpus: DataFrame, metric: str, precision: int | None) -> DataFrame:
+    if metric not in ("dot", "inverse_l2"):
+        raise ValueError(f"unknown metric: {metric}")
+    if queries.limit(FEW + 1).count() > FEW:
+        return top_k_blocks(queries, corpus, k, metric=metric, precision=precision)
     # A stated query set of bounded size against the corpus, which is never broadcast.
-    pairs = corpus.select("item_id", F.col("vector").alias("_item")).crossJoin(F.broadcast(queries.select("query_id", "vector")))
+    asked = F.broadcast(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"))
+    pairs = corpus.where(F.col("vector").isNotNull()).select("item_id", F.col("vector").alias("_item")).crossJoin(asked)
     score = similarity(metric, F.col("vector"), F.col("_item"))
-    return pairs.select("query_id", "item_id", (F.round(score, precision) if precision else score).alias("score"))
+    scores = pairs.select("query_id", "item_id", (F.round(score, precision) if precision else score).alias("score"))
+    return ranked(scores, ["query_id"], "item_id", k).select("query_id", "item_id", "score", "stage_rank")
 
 
-def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The same by dot products of matrices in Arrow batches: for large corpora. A query matrix holds about BLOCK queries;
-    more are searched block by block."""
+def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "dot", precision: int | None = None) -> DataFrame:
+    """The same by products of matrices over Arrow batches. A query matrix holds about BLOCK queries; more go block by
+    block."""
     blocks = max(1, -(-queries.count() // BLOCK))
-    marked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
-    out = _block_scores(marked.where("_block = 0"), corpus, k)
-    for b in range(1, blocks):
-        out = out.union(_block_scores(marked.where(F.col("_block") == b), corpus, k))
-    return ranked(out, ["query_id"], "item_id", k)
-
-
-def _block_scores(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "vector").toPandas()
-    sent = corpus.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), np.array(rows["vector"].tolist(), dtype=float)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = sent.value
+    marked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    parts = [_block_scores(marked.where(F.col("_block") == b), corpus, k, metric, precision) for b in range(blocks)]
+    out = functools.reduce(DataFrame.union, parts)
+    return ranked(out, ["query_id"], "item_id", k).select("query_id", "item_id", "score", "stage_rank")
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """The values of a list column without nulls, a row for each."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _block_scores(queries: DataFrame, corpus: DataFrame, k: int, metric: str, precision: int | None) -> DataFrame:
+    rows = queries.select("query_id", "vector").toArrow().combine_chunks()
+    sent = corpus.sparkSession.sparkContext.broadcast(rows)
+
+    def best(scores: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of each column of (items, queries), ties by item."""
+        order = np.argsort(items, axis=0, kind="stable")
+        scores, items = np.take_along_axis(scores, order, 0), np.take_along_axis(items, order, 0)
+        order = np.argsort(-scores, axis=0, kind="stable")[:k]
+        return np.take_along_axis(scores, order, 0), np.take_along_axis(items, order, 0)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = sent.value.column("query_id")
+        if not len(ids):
+            return
+        asked = matrix(sent.value.column("vector").combine_chunks())
+        held, kind = None, None
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            scores = np.array(batch["vector"].tolist(), dtype=float) @ matrix.T
-            keep = np.argsort(-scores, axis=0, kind="stable")[:k]
-            items = batch["item_id"].to_numpy()
-            yield pd.DataFrame({"query_id": np.tile(ids, len(keep)), "item_id": items[keep].ravel(), "score": np.take_along_axis(scores, keep, 0).ravel()})
+            kind = batch.schema.field(0).type
+            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
+                own = matrix(part.column(1))
+                scores = own @ asked.T
+                if metric == "inverse_l2":
+                    scores = 1 / (1 + np.maximum((own**2).sum(1)[:, None] + (asked**2).sum(1) - 2 * scores, 0))
+                if precision:
+                    scores = np.round(scores, precision)
+                items = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False)[:, None], scores.shape)
+                found = best(scores, items)
+                held = found if held is None else best(*(np.concatenate(x) for x in zip(held, found, strict=True)))
+        if held is not None:
+            scores, items = held
+            query = pa.concat_arrays(ids.chunks).take(pa.array(np.tile(np.arange(len(ids)), len(scores))))
+            yield pa.RecordBatch.from_arrays([query, pa.array(items.ravel(), kind), pa.array(scores.ravel())], ["query_id", "item_id", "score"])
 
     kinds = dict(corpus.dtypes) | dict(queries.dtypes)
-    return corpus.sort("item_id").select("item_id", "vector").mapInPandas(search, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
+    items = corpus.where(F.col("vector").isNotNull()).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    return items.mapInArrow(search, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
 
 
 def search(queries: DataFrame, corpus: DataFrame, retrieval: Retrieval) -> DataFrame:

@@ -49,17 +49,18 @@ def bm25_tokens(spark, sf_dir):
 
 
 def bm25_doc_freq(spark, sf_dir):
-    return bm25.fit(base.table(spark, sf_dir, "documents"), "doc_id").frequencies.select("term", F.col("df").cast("long").alias("df"))
+    return bm25.document_frequencies(base.table(spark, sf_dir, "documents"), "doc_id").select("term", F.col("df").cast("long").alias("df"))
 
 
 def bm25_idf(spark, sf_dir):
-    known = bm25.fit(base.table(spark, sf_dir, "documents"), "doc_id")
-    return known.frequencies.select("term", F.round(bm25.idf(known.n), 6).alias("idf"))
+    docs = base.table(spark, sf_dir, "documents")
+    return bm25.document_frequencies(docs, "doc_id").select("term", F.round(bm25.idf(bm25.documents(docs)), 6).alias("idf"))
 
 
 def _top(spark, sf_dir):
-    known = bm25.fit(base.table(spark, sf_dir, "documents"), "doc_id")
-    return known, bm25.top_k(base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), known, K)
+    asked = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    known = bm25.fit(base.table(spark, sf_dir, "documents"), "doc_id", terms=bm25.tokens(asked, "query_id"))
+    return known, bm25.top_k(asked, known, K)
 
 
 def bm25_topk(spark, sf_dir):

@@ -10,7 +10,8 @@ from ..functions import vectors as vx
 from ..operators import embedding, evaluation, filters, fusion, index, structural
 from . import base
 
-QUERIES_BELOW = 20
+#: Every so many-th vector asks, against all.
+EVERY = 50
 K = 10
 STAGES = Retrieval(stages=(Stage("d16", 16, 20, 0.2), Stage("d32", 32, 20, 0.3), Stage("d64", 64, 20, 0.5)))
 WEIGHTS = Retrieval(stages=STAGES.stages, lambda_similarity=0.6, alpha_reliability=0.2, beta_temporal=0.1, gamma_domain=0.05, zeta_structural_similarity=0.05, epsilon_bm25=0.1)
@@ -41,7 +42,7 @@ def hash_embedding(spark, sf_dir):
 def _vectors(spark, sf_dir):
     rows = base.unit_vectors(spark, sf_dir)
     items = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    asked = rows.where(F.col("vec_id") < QUERIES_BELOW).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return items, asked
 
 
@@ -70,14 +71,14 @@ def _hits(spark, sf_dir):
     rows = base.unit_vectors(spark, sf_dir)
     parts = F.array(*[F.struct(F.lit(s.name).alias("stage"), vx.resolution(F.col("embedding"), s.dimension).alias("vector")) for s in STAGES.stages])
     staged = rows.select("vec_id", F.explode(parts).alias("s")).select("vec_id", "s.*")
-    asked = staged.where(F.col("vec_id") < QUERIES_BELOW).withColumnRenamed("vec_id", "query_id")
+    asked = staged.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
     return index.search(asked, staged.withColumnRenamed("vec_id", "chunk_id"), STAGES)
 
 
 _DOT = "list_dot_product(q.{0}, c.{0})"
 STAGED_SQL = f"""base AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings),
 res AS (SELECT vec_id, label, {", ".join(f"list_transform(list_slice(e, 1, {s.dimension}), lambda x: x / sqrt(list_dot_product(list_slice(e, 1, {s.dimension}), list_slice(e, 1, {s.dimension})))) AS {s.name}" for s in STAGES.stages)} FROM base),
-hits AS ({" UNION ALL ".join(f"SELECT query_id, '{s.name}' AS stage, chunk_id, score, rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_DOT.format(s.name)} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(s.name)} DESC, c.vec_id) AS rank FROM res q, res c WHERE q.vec_id < {QUERIES_BELOW}) WHERE rank <= {s.top_k}" for s in STAGES.stages)}),
+hits AS ({" UNION ALL ".join(f"SELECT query_id, '{s.name}' AS stage, chunk_id, score, rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_DOT.format(s.name)} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(s.name)} DESC, c.vec_id) AS rank FROM res q, res c WHERE q.vec_id % {EVERY} = 0) WHERE rank <= {s.top_k}" for s in STAGES.stages)}),
 summed AS (SELECT query_id, chunk_id, sum(score * CASE stage {" ".join(f"WHEN '{s.name}' THEN {s.weight}::double" for s in STAGES.stages)} END) AS similarity FROM hits GROUP BY query_id, chunk_id)"""
 
 
@@ -100,7 +101,7 @@ def _chunks(spark, sf_dir):
 
 
 def _queries(spark, sf_dir, filtered):
-    rows = base.unit_vectors(spark, sf_dir).where(F.col("vec_id") < QUERIES_BELOW)
+    rows = base.unit_vectors(spark, sf_dir).where(F.col("vec_id") % EVERY == 0)
     wanted = F.create_map(F.lit("filter__group"), F.format_string('["g%d", "G9"]', F.col("label"))) if filtered else F.create_map().cast("map<string,string>")
     return rows.select(F.col("vec_id").alias("query_id"), wanted.alias("metadata"))
 
@@ -156,7 +157,7 @@ def _hash_sql(text: str) -> str:
 
 def _judged(spark, sf_dir):
     rows = base.unit_vectors(spark, sf_dir)
-    asked = rows.where(F.col("vec_id") < QUERIES_BELOW).select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
     qrels = rows.join(F.broadcast(asked), (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("query_id")))
     return qrels.select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1.0).alias("relevance"))
 
@@ -195,7 +196,7 @@ def eval_by_stage(spark, sf_dir):
 
 EVAL_SQL = f"""{STAGED_SQL}, run AS (
   SELECT stage, query_id, chunk_id AS doc_id, row_number() OVER (PARTITION BY stage, query_id ORDER BY rank) AS rank FROM hits WHERE chunk_id <> query_id
-), rel AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM res q JOIN res c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id < {QUERIES_BELOW}),
+), rel AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM res q JOIN res c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0),
 wanted AS (SELECT query_id, count(*) AS wanted FROM rel GROUP BY query_id),
 marked AS (SELECT run.*, (rel.doc_id IS NOT NULL)::int::double AS gain FROM run LEFT JOIN rel USING (query_id, doc_id)),
 best AS (SELECT *, row_number() OVER (PARTITION BY stage, query_id ORDER BY gain DESC, rank) AS ideal FROM marked),
@@ -215,7 +216,7 @@ def filter_terms(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (vector_l2_normalize, vector_slice_renorm, vector_pad_truncate, hash_embedding, vector_topk_dot, vector_topk_inverse_l2, vector_topk_blocks, stage_fusion, metadata_priors, weighted_fusion, metadata_filter_soft, filter_terms, structure_text, structural_similarity, unique_docs, eval_precision_recall, eval_mrr, eval_ndcg, eval_by_stage)}
 
 _POS = "SELECT vec_id, i AS pos, round(v[i + 1], 6)::double AS x FROM (SELECT *, unnest(generate_series(0, len(v) - 1)) AS i FROM ({0}))"
-_TOP = f"SELECT query_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({{0}}, 9) AS score FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings) q, (SELECT vec_id, embedding::double[] AS e FROM embeddings) c WHERE q.vec_id < {QUERIES_BELOW})) WHERE rank <= {K}"
+_TOP = f"SELECT query_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({{0}}, 9) AS score FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings) q, (SELECT vec_id, embedding::double[] AS e FROM embeddings) c WHERE q.vec_id % {EVERY} = 0)) WHERE rank <= {K}"
 SQL = {
     "vector_l2_normalize": _POS.format("SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (SELECT vec_id, list_transform(embedding::double[], lambda x: x * 3) AS e FROM embeddings)"),
     "vector_slice_renorm": "WITH s AS (SELECT vec_id, d AS dimension, list_slice(embedding::double[], 1, d) AS e FROM embeddings, (SELECT unnest([16, 32])::bigint AS d)), n AS (SELECT vec_id, dimension, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM s) SELECT vec_id, dimension, i AS pos, round(v[i + 1], 6) AS x FROM (SELECT *, unnest(generate_series(0, len(v) - 1)) AS i FROM n)",

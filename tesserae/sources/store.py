@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _loaded: set[str] = set()
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where results are kept between jobs: the checkpoint folder that the session names; a folder of this machine only
+    where there is one machine, else the warehouse."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tesserae-"))
+            atexit.register(shutil.rmtree, _local[0], True)
+        return _local[0]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.kept"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written as Parquet to the shared folder: later reads take the columns they need,
+    and a lost executor loses nothing. The files stay until the folder goes."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def content_key(frames: dict[str, DataFrame], settings: object) -> str:
