@@ -149,13 +149,43 @@ def parse(html: str | None, normalize_tags: bool = False) -> dict | None:
     return {"found": bool(found), "rows": rows, "title": named}
 
 
+#: What a regular table's texts are made of: no markup, no white space but blanks, nothing that parsers treat in a way of their own.
+_PLAIN = r"[ -%'-;=?-~\u00C0-\u024F]"
+_CELLS = rf"<t[dh]>{_PLAIN}*+</t[dh]>"
+
+
+def regular(html: Column) -> Column:
+    """Whether a text is one table of plain rows and cells, with a caption or without, and nothing else."""
+    rest = F.regexp_replace(F.regexp_replace(html, r"<td>(_PLAIN*+)</td>|<th>(_PLAIN*+)</th>".replace("_PLAIN", _PLAIN), "\u0001"), "<tr>\u0001++</tr>", "\u0002")
+    return rest.rlike(rf"^<table>(?:<caption>{_PLAIN}*+</caption>)?\u0002++</table>$")
+
+
+def _regular_parse(html: Column) -> Column:
+    """The parse of a regular table, by splitting its text."""
+    flat = lambda x: F.substring(F.trim(F.regexp_replace(x, " {2,}", " ")), 1, 500)
+    cells = lambda r: F.transform(F.filter(F.split(r, "</t[dh]>"), lambda c: c != ""), lambda c: F.struct(c.startswith("<th>").alias("head"), flat(F.substr(c, F.lit(5))).alias("text")))
+    # The first rows, cut before they are split: a text may hold many more.
+    body = F.substring_index(F.substring_index(html, "</tr>", MOST_ROWS), "<tr>", -MOST_ROWS)
+    body = F.when(F.contains(html, F.lit("</caption>")), F.regexp_replace(body, "^.*</caption>", "")).otherwise(F.regexp_replace(body, "^<table>", ""))
+    rows = F.transform(F.filter(F.split(F.regexp_replace(body, "</?tr>", "\u0001"), "\u0001+"), lambda r: (r != "") & ~r.startswith("</table>")), cells)
+    caption = flat(F.regexp_extract(html, "^<table><caption>([^<]*)</caption>", 1))
+    first = flat(F.regexp_extract(html, "<th>([^<]*)</th>", 1))
+    title = F.when(caption != "", caption).when(F.length(first) > 20, first)
+    return F.struct(F.lit(True).alias("found"), rows.alias("rows"), title.alias("title")).cast(f"struct<{PARSED.replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean')}>")
+
+
 def parsed(html: Column, normalize_tags: bool = False) -> Column:
+    """Regular tables are split by expressions; the rest goes to the parser."""
+
     @F.pandas_udf(PARSED)
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [parse(t, normalize_tags) or {"found": None, "rows": None, "title": None} for t in texts]
         return pd.DataFrame(rows, columns=["found", "rows", "title"])
 
-    return run(html)
+    plain = F.coalesce(regular(html), F.lit(False))
+    # Always true, but not to be copied: filters and projections above would otherwise repeat the parse.
+    once = F.monotonically_increasing_id() >= 0
+    return F.when(plain & once, _regular_parse(html)).otherwise(run.asNondeterministic()(F.when(~plain, html)))
 
 
 def linearized(table: Column, html: Column) -> Column:
