@@ -34,6 +34,9 @@ class Stage:
     normalize: bool = True
     metric: str = "dot"
     model_name: str | None = None
+    #: exact, or cells: search only the cells nearest to a query (`probes` of them).
+    search: str = "exact"
+    probes: int = 12
 
 
 @dataclass(frozen=True)

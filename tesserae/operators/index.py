@@ -93,8 +93,8 @@ def _block_scores(queries: DataFrame, corpus: DataFrame, k: int, metric: str, pr
                 scores = own @ asked.T
                 if metric == "inverse_l2":
                     scores = 1 / (1 + np.maximum((own**2).sum(1)[:, None] + (asked**2).sum(1) - 2 * scores, 0))
-                if precision:
-                    scores = np.round(scores, precision)
+                # Products of equal vectors may differ in their last bits, which must not order them.
+                scores = np.round(scores, precision or 12)
                 items = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False)[:, None], scores.shape)
                 found = best(scores, items)
                 held = found if held is None else best(*(np.concatenate(x) for x in zip(held, found, strict=True)))
@@ -114,7 +114,8 @@ def search(queries: DataFrame, corpus: DataFrame, retrieval: Retrieval) -> DataF
     for stage in retrieval.stages:
         own = corpus.where(F.col("stage") == stage.name).select(F.col("chunk_id").alias("item_id"), "vector")
         asked = queries.where(F.col("stage") == stage.name).select("query_id", "vector")
-        parts.append(top_k(asked, own, stage.top_k, metric=stage.metric).withColumn("stage", F.lit(stage.name)))
+        found = near_candidates(asked, own, stage.top_k, probes=stage.probes, metric=stage.metric) if stage.search == "cells" else top_k(asked, own, stage.top_k, metric=stage.metric)
+        parts.append(found.withColumn("stage", F.lit(stage.name)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -130,23 +131,64 @@ def checked_stages(chunks: DataFrame, vectors: DataFrame, retrieval: Retrieval)
             raise ValueError(f"stage {stage.name} has no vector for chunk {lacking[0][0]}")
 
 
-def near_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, bucket_length: float = 0.5, tables: int = 8, seed: int = 11) -> DataFrame:
-    """Approximate search by random projections into buckets, then exact scores: for a corpus too large to scan.
+#: Vectors that cell centres are fitted on, at most (about: they are drawn by hash), the centres at most, and tasks that share a cell.
+SAMPLE, CELLS, SALTS = 20_000, 256, 8
+
+
+def cell_centres(corpus: DataFrame, *, sample: int = SAMPLE, cells: int = CELLS, rounds: int = 12, seed: int = 11) -> np.ndarray:
+    """Centres of the cells of an index, by k-means on a bounded sample; about the square root of its size, `cells` at most."""
+    corpus = corpus.where(F.col("vector").isNotNull()).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = corpus.count()
+    drawn = F.xxhash64(F.lit(seed), "item_id")
+    if rows > sample:
+        corpus = corpus.where(drawn.bitwiseAND(F.lit((1 << 63) - 1)) <= ((1 << 63) - 1) * sample // rows)
+    held = corpus.orderBy(drawn).limit(2 * sample).toArrow()
+    if not held.num_rows:
+        return np.zeros((0, 0))
+    points = matrix(held.column("vector").combine_chunks())
+    centres = points[: max(1, min(cells, int(len(points) ** 0.5)))].copy()
+    for _ in range(rounds):
+        near = nearest(points, centres, 1)[:, 0]
+        total = np.zeros_like(centres)
+        np.add.at(total, near, points)
+        count = np.bincount(near, minlength=len(centres))
+        centres[count > 0] = total[count > 0] / count[count > 0][:, None]
+    return centres
 
-    Queries and items meet in a bucket of some projection by an equi-join; recall follows tables and bucket_length.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    as_vector = lambda df, name: df.select(name, "vector", array_to_vector(vx.as_double(F.col("vector"))).alias("features"))
-    items, asked = as_vector(corpus, "item_id"), as_vector(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(items)
-    keyed = lambda df, name: model.transform(df).select(name, "vector", F.posexplode("hashes").alias("t", "h")).select(name, "vector", "t", F.element_at(_array("h"), 1).alias("b"))
-    met = keyed(items, "item_id").withColumnRenamed("vector", "_item").join(keyed(asked, "query_id"), ["t", "b"]).dropDuplicates(["query_id", "item_id"])
-    return ranked(met.select("query_id", "item_id", vx.dot(F.col("vector"), F.col("_item")).alias("score")), ["query_id"], "item_id", k)
+def nearest(points: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each point."""
+    far = (centres**2).sum(1) - 2 * points @ centres.T
+    return np.argsort(far, axis=1, kind="stable")[:, :k]
 
 
-def _array(name: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
+def in_cells(rows: DataFrame, name: str, centres: np.ndarray, k: int) -> DataFrame:
+    """(name, vector, cell) of each row for its k nearest cells; every row has one."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
+                cells = nearest(matrix(part.column(1)), sent.value, k)
+                at = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(cells.ravel().astype(np.int32))], [name, "vector", "cell"])
 
-    return vector_to_array(F.col(name))
+    kind = dict(rows.dtypes)[name]
+    rows = rows.where(F.col("vector").isNotNull()).select(name, F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInArrow(assign, f"{name} {kind}, vector array<double>, cell int")
+
+
+def near_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, probes: int = 12, metric: str = "dot", centres: np.ndarray | None = None) -> DataFrame:
+    """Approximate search: all items lie in cells, a query looks at its `probes` nearest ones, scores are exact there.
+
+    Cells are fitted on a bounded sample, every item is in one. A cell with many items is dealt over SALTS tasks. Recall
+    grows with probes and is 1 where they cover all cells.
+    """
+    centres = cell_centres(corpus) if centres is None else centres
+    if not len(centres):
+        return top_k(queries, corpus, k, metric=metric)
+    items = in_cells(corpus, "item_id", centres, 1).withColumnRenamed("vector", "_item").withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)))
+    asked = in_cells(queries, "query_id", centres, probes).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = items.join(asked, ["cell", "_salt"])
+    scores = met.select("query_id", "item_id", similarity(metric, F.col("vector"), F.col("_item")).alias("score"))
+    return ranked(scores, ["query_id"], "item_id", k).select("query_id", "item_id", "score", "stage_rank")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,10 @@ class Search:
 
 def candidates(prompt: str, settings: Search, step: int = 0) -> list[str]:
     """The prompt with one instruction that it lacks, in seeded order, up to the number of a step."""
-    unseen = [i.strip() for i in settings.instructions if i.strip() and i.lower() not in prompt.lower()]
-    random.Random(f"{settings.seed}-{step}").shuffle(unseen)
-    return [f"{prompt.strip()}\n\n{i}" for i in unseen[: settings.mutations_per_step]]
+    said = prompt.casefold()
+    lacking = [x for x in dict.fromkeys(map(str.strip, settings.instructions)) if x and x.casefold() not in said]
+    drawn = random.Random(f"{settings.seed}-{step}").sample(lacking, min(settings.mutations_per_step, len(lacking)))
+    return ["\n\n".join((prompt.strip(), x)) for x in drawn]
 
 
 def scored(prompts: list[str], held: DataFrame, examples: DataFrame, model: Callable[[Column], Column] | None = None) -> dict[str, float]:
@@ -50,24 +53,42 @@ def scored(prompts: list[str], held: DataFrame, examples: DataFrame, model: Call
     return {p: found.get(i, 0.0) for i, p in enumerate(prompts)}
 
 
-def optimize(base: str, held: DataFrame, examples: DataFrame, settings: Search | None = None, model: Callable[[Column], Column] | None = None) -> tuple[str, list[dict]]:
-    """The best prompt and the history; a candidate must beat the best so far by more than min_gain."""
+@dataclass(frozen=True)
+class Trial:
+    step: int
+    score: float
+    prompt: str
+
+
+def chosen(held: Trial, tried: Sequence[Trial], gain: float) -> Trial:
+    """What is held after the trials, each of which must beat what is held by more than a gain."""
+    return functools.reduce(lambda best, trial: trial if trial.score > best.score + gain else best, tried, held)
+
+
+def trials(prompt: str, step: int, held: DataFrame, examples: DataFrame, settings: Search, model: Callable[[Column], Column] | None) -> list[Trial]:
+    """A step's candidates with their scores, from one job."""
+    texts = candidates(prompt, settings, step) if step else [prompt]
+    found = scored(texts, held, examples, model) if texts else {}
+    return [Trial(step, found[t], t) for t in texts]
+
+
+def history(base: str, held: DataFrame, examples: DataFrame, settings: Search | None = None, model: Callable[[Column], Column] | None = None) -> list[Trial]:
+    """The base prompt and each prompt that replaced the one before it, until a step brings nothing or steps run out."""
     settings = settings or Search()
     if examples.isEmpty():
         raise ValueError("no examples to search with")
     if settings.sample_size:
         examples = examples.orderBy(F.xxhash64(F.lit(settings.seed), "query_id")).limit(settings.sample_size)
-    prompt = base.strip()
-    score = scored([prompt], held, examples, model)[prompt]
-    history = [{"step": 0, "score": score, "prompt": prompt}]
-    for step in range(1, settings.max_steps + 1):
-        best, best_score = prompt, score
-        tried = candidates(prompt, settings, step)
-        for text, value in scored(tried, held, examples, model).items() if tried else ():
-            if value > best_score + settings.min_gain:
-                best, best_score = text, value
-        if best == prompt:
+    kept = trials(base.strip(), 0, held, examples, settings, model)
+    while len(kept) <= settings.max_steps:
+        new = chosen(kept[-1], trials(kept[-1].prompt, len(kept), held, examples, settings, model), settings.min_gain)
+        if new is kept[-1]:
             break
-        prompt, score = best, best_score
-        history.append({"step": step, "score": score, "prompt": prompt})
-    return prompt, history
+        kept.append(new)
+    return kept
+
+
+def optimize(base: str, held: DataFrame, examples: DataFrame, settings: Search | None = None, model: Callable[[Column], Column] | None = None) -> tuple[str, list[dict]]:
+    """The best prompt, and what led to it."""
+    kept = history(base, held, examples, settings, model)
+    return kept[-1].prompt, [dataclasses.asdict(t) for t in kept]

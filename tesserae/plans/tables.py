@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import html_tables, table_chunks as tc
-from ..sources import beir
+from ..sources import beir, store
+from ..sources import tables as sources
 from . import base
 
 
@@ -103,9 +106,35 @@ def chunk_question_window(spark, sf_dir):
 
 
 def chunk_plain(spark, sf_dir):
-    """All chunks of the plain family, counted by type with their total length."""
-    rows = tc.plain_chunks(base.processed_orders(spark, sf_dir))
-    return rows.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).cast("long").alias("total_length"))
+    """All chunks of the plain family."""
+    return _digest(tc.plain_chunks(base.processed_orders(spark, sf_dir)), "id", "chunk_type")
+
+
+def chunk_limited_table(spark, sf_dir):
+    return _orders(spark, sf_dir, lambda rows: tc.limited_table_only(rows, 200))
+
+
+def chunk_limited_sample(spark, sf_dir):
+    """Samples of long tables under a limit that some rows don't fit."""
+    rows = tc.limited_sample(html_tables.processed(base.nation_tables(spark, sf_dir)), 400)
+    get = lambda p: F.get_json_object("content", p)
+    return rows.select("id", get("$.total_rows").cast("long").alias("total_rows"), get("$.showing_rows").cast("long").alias("showing_rows"), F.length("content").cast("long").alias("n_chars"), get("$.sample_rows[0].data['order id']").alias("first_id"))
+
+
+def nq_interactions(spark, sf_dir):
+    """Order tables as question records in JSON lines, read and searched for their annotated tables."""
+    orders = base.order_tables(spark, sf_dir)
+    spaced = F.regexp_replace(F.regexp_replace("table_text", "<", " <"), ">", "> ")
+    tokens = F.concat(F.array(F.lit("Before")), F.filter(F.split(spaced, " +"), lambda x: x != ""))
+    span = lambda a, b: F.struct(a.alias("start_token"), b.alias("end_token"))
+    one, end = F.lit(1), F.size("t")
+    answer = lambda at: F.struct(one.alias("start_token"), end.alias("end_token"), F.lit(at).alias("candidate_index"))
+    annotations = F.array(*[F.struct(answer(at).alias("long_answer"), F.array(span(F.lit(2), F.lit(5))).alias("short_answers")) for at in (-1, 0)])
+    record = F.struct("example_id", F.col("question").alias("question_text"), F.transform("t", lambda x: F.struct(x.alias("token"))).alias("document_tokens"), F.array(F.struct(one.alias("start_token"), end.alias("end_token"), F.lit(True).alias("top_level"))).alias("long_answer_candidates"), annotations.alias("annotations"))
+    path = f"{store.shared_folder(spark)}/records-{uuid.uuid4().hex}.jsonl"
+    orders.withColumn("t", tokens).select(F.to_json(record).alias("value")).write.text(path)
+    rows = sources.interactions(sources.nq_records(spark, path))
+    return rows.select("example_id", "question", F.md5(F.col("table_text").cast("binary")).alias("text_md5"), F.col("answers")[0].alias("answer"), F.col("table_end_token").cast("long").alias("end_token"))
 
 
 def _collection(spark, sf_dir):
@@ -127,18 +156,26 @@ def beir_qrels(spark, sf_dir):
     return _collection(spark, sf_dir)[0].qrels
 
 
+def beir_files(spark, sf_dir):
+    """The collection written to files and read back."""
+    root = f"{store.shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    beir.write(_collection(spark, sf_dir)[0], root)
+    data = beir.split(spark, root)
+    part = lambda name, df, key, said: df.select(F.lit(name).alias("part"), key.alias("id"), F.md5(said.cast("string").cast("binary")).alias("content_md5"))
+    qrels = part("qrels", data.qrels, F.concat_ws(">", "query_id", "doc_id"), F.col("relevance"))
+    return part("corpus", data.corpus, F.col("doc_id"), F.col("text")).union(part("queries", data.queries, F.col("query_id"), F.col("text"))).union(qrels)
+
+
 def beir_filter(spark, sf_dir):
     """What is kept when only pure tables stay."""
     return beir.restricted(_collection(spark, sf_dir)[0], ["pure_table"])[1].select("part", "original", "kept", "removed", F.round("rate", 6).alias("rate"))
 
 
 def chunk_statistics(spark, sf_dir):
-    from ..sources import store
-
     return store.chunk_statistics(_collection(spark, sf_dir)[1])
 
 
-QUERIES = {f.__name__: f for f in (table_id, table_cells, table_linearize, table_structure, table_infobox, table_description, chunk_table_full, chunk_table_pure, chunk_table_row, chunk_table_column, chunk_table_structure, chunk_table_sample, chunk_table_window, chunk_question_full, chunk_question_row, answer_cell_match, chunk_question_context, chunk_question_window, chunk_plain, beir_corpus, beir_queries, beir_qrels, beir_filter, chunk_statistics)}
+QUERIES = {f.__name__: f for f in (table_id, table_cells, table_linearize, table_structure, table_infobox, table_description, chunk_table_full, chunk_table_pure, chunk_table_row, chunk_table_column, chunk_table_structure, chunk_table_sample, chunk_table_window, chunk_question_full, chunk_question_row, answer_cell_match, chunk_question_context, chunk_question_window, chunk_plain, chunk_limited_table, chunk_limited_sample, nq_interactions, beir_files, beir_corpus, beir_queries, beir_qrels, beir_filter, chunk_statistics)}
 
 # --- SQL ------------------------------------------------------------------------------------------------------------
 
@@ -166,7 +203,7 @@ walk AS (SELECT table_id, t, 0::bigint AS n, 0::bigint AS s, e0::bigint AS e FRO
   UNION ALL SELECT table_id, t, n + 1, e - {overlap}, least(e - {overlap} + {size}, length(t)) FROM walk WHERE e - {overlap} < length(t) - {overlap})"""
 
 
-_NATIONS = """nations AS (SELECT c_nationkey, o_orderkey, cast(o_orderkey AS varchar) || ' | ' || o_orderpriority || ' | ' || c_name AS line, c_name,
+_NATIONS = """nations AS (SELECT c_nationkey, o_orderkey, cast(o_orderkey AS varchar) || ' | ' || o_orderpriority || ' | ' || c_name AS line, c_name, o_orderpriority,
   row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS i FROM orders JOIN customer ON o_custkey = c_custkey),
 long AS (SELECT substr(md5('nation-' || c_nationkey || '_Who ordered?'), 1, 12) AS table_id, least(count(*), 50) AS shown,
   'order id | priority | customer || ' || string_agg(line, ' || ' ORDER BY i) FILTER (i <= 99) AS t,
@@ -202,14 +239,29 @@ UNION ALL SELECT table_id || '_pure_table', 'pure_table', table_id, md5('{{"colu
     "chunk_statistics": f"{_O}, c AS (SELECT count(*) AS r, count(DISTINCT table_id) AS t FROM named) SELECT 'table_row' AS chunk_type, r AS n, round(100.0::double * r / (r + t), 4) AS percent FROM c UNION ALL SELECT 'pure_table', t, round(100.0::double * t / (r + t), 4) FROM c",
 }
 _PLAIN = f"""{_O}, {_WHOLE}, d AS (SELECT *, 'Question: ' || question || ' | ' AS q, {_SAID} || '. It relates to the question: ' || question AS said FROM whole),
-full_ AS (SELECT count(*) AS n, sum(length(q || 'Description: ' || said || ' | Table: ' || t)) AS l FROM d), ctx AS (SELECT count(*) AS n, sum(length(q || 'Context: ' || said)) AS l FROM d),
-rows_ AS (SELECT count(*) AS n, sum(length({_NAMED})) AS l FROM named),
 lines AS (SELECT table_id, string_agg('Sample Row ' || (i + 1) || ': ' || {_LINE}, ' | ' ORDER BY i) AS s FROM named WHERE i < 3 GROUP BY table_id),
-smp AS (SELECT count(*) AS n, sum(length(q || 'Table Headers: {_HEAD_LINE} | ' || s)) AS l FROM d JOIN lines USING (table_id)),
 wide AS (SELECT table_id, q, t, substr(t, 1, 512) AS f FROM d WHERE length(t) > 512),
 firsts AS (SELECT *, CASE WHEN 512 - strpos(reverse(f), ' ') > 512 * 0.8 AND strpos(reverse(f), ' ') > 0 THEN 512 - strpos(reverse(f), ' ') ELSE 512 END AS e0 FROM wide),
-walk AS (SELECT table_id, q, t, 0::bigint AS s, e0::bigint AS e FROM firsts UNION ALL SELECT table_id, q, t, e - 50, least(e - 50 + 512, length(t)) FROM walk WHERE e < length(t)),
-win AS (SELECT count(*) AS n, sum(length(q || 'Table Section: ' || substr(t, s + 1, e - s))) AS l FROM walk)
-SELECT 'full_table' AS chunk_type, n, cast(l AS bigint) AS total_length FROM full_ UNION ALL SELECT 'question_context', n, cast(l AS bigint) FROM ctx UNION ALL SELECT 'table_row', n, cast(l AS bigint) FROM rows_
-UNION ALL SELECT 'question_sample', n, cast(l AS bigint) FROM smp UNION ALL SELECT 'sliding_window', n, cast(l AS bigint) FROM win WHERE n > 0"""
+walk AS (SELECT table_id, q, t, 0::bigint AS n, 0::bigint AS s, e0::bigint AS e FROM firsts UNION ALL SELECT table_id, q, t, n + 1, e - 50, least(e - 50 + 512, length(t)) FROM walk WHERE e < length(t))
+SELECT table_id || '_full' AS id, 'full_table' AS chunk_type, md5(q || 'Description: ' || said || ' | Table: ' || t) AS content_md5 FROM d
+UNION ALL SELECT table_id || '_context', 'question_context', md5(q || 'Context: ' || said) FROM d
+UNION ALL SELECT table_id || '_row_' || i, 'table_row', md5({_NAMED}) FROM named
+UNION ALL SELECT table_id || '_question_sample', 'question_sample', md5(q || 'Table Headers: {_HEAD_LINE} | ' || s) FROM d JOIN lines USING (table_id)
+UNION ALL SELECT table_id || '_window_' || n, 'sliding_window', md5(q || 'Table Section: ' || substr(t, s + 1, e - s)) FROM walk"""
 SQL["chunk_plain"] = _PLAIN.replace("WITH cells", "WITH RECURSIVE cells")
+SQL["chunk_limited_table"] = f"{_O}, {_WHOLE} SELECT table_id || '_table_only' AS id, md5(CASE WHEN length(t) > 200 THEN substr(t, 1, 150) || '... [truncated]' ELSE t END) AS content_md5 FROM whole"
+_SAMPLES = """rows_ AS (SELECT c_nationkey, i, '{"row_index":' || i || ',"data":{"order id":"' || o_orderkey || '","priority":"' || o_orderpriority || '","customer":"' || c_name || '"}}' AS j FROM nations WHERE i <= 5),
+ks AS (SELECT unnest([1, 2, 3, 4, 5])::bigint AS k),
+tried AS (SELECT c_nationkey, k, '{"headers":["order id","priority","customer"],"sample_rows":[' || string_agg(j, ',' ORDER BY i) || '],"total_rows":' AS head FROM rows_ JOIN ks ON i <= k GROUP BY c_nationkey, k),
+sized AS (SELECT table_id, least(shown, 49) AS total, k, length(head || least(shown, 49) || ',"showing_rows":' || k || '}') AS n, first_id FROM long JOIN tried ON table_id = substr(md5('nation-' || c_nationkey || '_Who ordered?'), 1, 12)),
+best AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY CASE WHEN n <= 400 THEN -k ELSE k END) AS place FROM sized)"""
+SQL["chunk_limited_sample"] = f"WITH {_NATIONS}, {_SAMPLES} SELECT table_id || '_sample' AS id, cast(total AS bigint) AS total_rows, k AS showing_rows, n AS n_chars, cast(first_id AS varchar) AS first_id FROM best WHERE place = 1"
+_HTML = "'<table><caption>Order lines</caption><tr><th>line id</th><th>part</th><th>qty</th><th>price</th><th>flag</th></tr>' || string_agg('<tr><td>' || c0 || '</td><td>' || c1 || '</td><td>' || c2 || '</td><td>' || c3 || '</td><td>' || c4 || '</td></tr>', '' ORDER BY i) || '</table>'"
+SQL["nq_interactions"] = f"""{_O}, h AS (SELECT l_orderkey, question, {_HTML} AS h FROM named GROUP BY l_orderkey, question),
+t AS (SELECT l_orderkey, question, list_filter(string_split(replace(replace(h, '<', ' <'), '>', '> '), ' '), lambda x: x <> '') AS t FROM h)
+SELECT cast(l_orderkey AS varchar) AS example_id, question, md5(array_to_string(t, ' ')) AS text_md5, array_to_string(list_slice(t, 2, 4), ' ') AS answer, len(t) + 1 AS end_token FROM t"""
+_PURE = f"""'{{"columns":["line id","part","qty","price","flag"],"rows":[' || string_agg('[' || {_JSON} || ']', ',' ORDER BY i) || ']}}'"""
+SQL["beir_files"] = f"""{_O}, {_WHOLE} SELECT 'corpus' AS part, table_id || '_row_' || i AS id, md5('table_row' || chr(10) || {_NAMED}) AS content_md5 FROM named
+UNION ALL SELECT 'corpus', table_id || '_pure_table', md5('pure_table' || chr(10) || {_PURE}) FROM named GROUP BY table_id
+UNION ALL SELECT 'queries', table_id, md5(question) FROM whole
+UNION ALL SELECT 'qrels', table_id || '>' || table_id || '_row_' || i, md5('1.0') FROM named UNION ALL SELECT DISTINCT 'qrels', table_id || '>' || table_id || '_pure_table', md5('1.0') FROM named"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import structure as sx
 from ..functions import text as tx
 from ..operators import bm25, chunking, generation, prompt_search, rerank
-from ..sources import ingest
+from ..sources import ingest, store
 from . import base
 
 K = 10
@@ -194,24 +196,56 @@ def fallback_answer(spark, sf_dir):
     return rows.select(F.col("query_id").alias("item_id"), "answer", F.array_join("references", ",").alias("refs"))
 
 
-def prompt_search_step(spark, sf_dir):
-    """Mean F1 of answers without a model, against each passage itself, for the base prompt and its first candidates."""
-    held = _contexts(spark, sf_dir)
+def _echo(prompt):
+    """A stand-in for a model whose answer depends on all of its prompt: the end of it, by its length."""
+    return F.right(prompt, F.lit(30) + F.length(prompt) % 200)
+
+
+def _prompt_search(spark, sf_dir):
     examples = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("reference_answer"))
+    return _contexts(spark, sf_dir), examples
+
+
+def prompt_search_step(spark, sf_dir):
+    """Mean F1 of answers, against each passage itself, for the base prompt and its first candidates."""
+    held, examples = _prompt_search(spark, sf_dir)
     prompts = ["Use the context.", *prompt_search.candidates("Use the context.", prompt_search.Search())]
-    found = prompt_search.scored(prompts, held, examples)
+    found = prompt_search.scored(prompts, held, examples, _echo)
     return spark.createDataFrame([(p, round(found[p], 6)) for p in prompts], "prompt string, score double")
 
 
+def prompt_search_best(spark, sf_dir):
+    """Where one step of the search ends."""
+    held, examples = _prompt_search(spark, sf_dir)
+    prompt, steps = prompt_search.optimize("Use the context.", held, examples, prompt_search.Search(max_steps=1, min_gain=0.001), _echo)
+    return spark.createDataFrame([(prompt, len(steps) - 1, round(steps[-1]["score"], 6))], "prompt string, steps long, score double")
+
+
+def jsonl_documents(spark, sf_dir):
+    """documents written as JSON lines and read back as a source."""
+    path = f"{store.shared_folder(spark)}/documents-{uuid.uuid4().hex}.jsonl"
+    base.table(spark, sf_dir, "documents").select(F.format_string("d%d", "doc_id").alias("id"), "text", "lang", "source").write.json(path)
+    rows = ingest.normalized(ingest.documents(spark, path))
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+
+
 _JOINED = "top JOIN documents d ON d.doc_id = top.doc_id"
 _FALLBACK = f"'{generation.NO_MODEL}' || coalesce(chr(10) || x, '')"
 _ITEMS = f"b.item_id, b.text AS q, string_agg('[' || top.doc_id || '] ' || regexp_replace(d.text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY rank) AS c, string_agg('- [' || top.doc_id || '] ' || substr(d.text, 1, 150) || '...', chr(10) ORDER BY rank) AS x, string_agg(cast(top.doc_id AS varchar), ',' ORDER BY rank) AS refs FROM benchmark b LEFT JOIN ({_JOINED}) ON top.item_id = b.item_id GROUP BY b.item_id, b.text"
 _HELD_SQL = f"WITH {BM25_SQL}, held AS (SELECT {_ITEMS})"
 _PROMPTS = ["Use the context.", *prompt_search.candidates("Use the context.", prompt_search.Search())]
-_PROMPT_ROWS = ", ".join("('" + p.replace("'", "''") + "')" for p in _PROMPTS)
+_FIRST_STEP = ["Use the context.", *prompt_search.candidates("Use the context.", prompt_search.Search(), 1)]
+_PROMPT_ROWS, _FIRST_STEP_ROWS = (", ".join(f"({i}::bigint, '" + p.replace("'", "''") + "')" for i, p in enumerate(x)) for x in (_PROMPTS, _FIRST_STEP))
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
-QUERIES = {f.__name__: f for f in (ingest_normalize, chunk_token_windows, chunk_stats, sentence_split, bm25_tokens, bm25_doc_freq, bm25_idf, bm25_topk, bm25_normalized, answer_exact_match, answer_f1, prompt_f1, nq_table_like, html_text, structure_hints, pair_rerank_topn, graph_rerank, prompt_build, fallback_answer, prompt_search_step)}
+_SEARCH_SQL = f"""{BM25_SQL}, held AS (SELECT {_ITEMS}), prompts AS (
+  SELECT place, prompt, q, prompt || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(nullif(c, ''), '{generation.NO_CONTEXT}') || chr(10) || chr(10) || 'Question: ' || q || chr(10) || 'Answer:' AS p
+  FROM held, (VALUES {{rows}}) v(place, prompt)
+), parts AS (SELECT place, prompt, {_WORDS.format("right(p, 30 + length(p) % 200)")} AS a, {_WORDS.format("q")} AS b FROM prompts),
+shared AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0)::double AS s FROM parts),
+means AS (SELECT place, prompt, avg(CASE WHEN s = 0 THEN 0.0::double ELSE 2 * (s / len(a)) * (s / len(b)) / (s / len(a) + s / len(b)) END) AS f FROM shared GROUP BY place, prompt)"""
+
+QUERIES = {f.__name__: f for f in (ingest_normalize, chunk_token_windows, chunk_stats, sentence_split, bm25_tokens, bm25_doc_freq, bm25_idf, bm25_topk, bm25_normalized, answer_exact_match, answer_f1, prompt_f1, nq_table_like, html_text, structure_hints, pair_rerank_topn, graph_rerank, prompt_build, fallback_answer, prompt_search_step, prompt_search_best, jsonl_documents)}
 SQL = {
     "ingest_normalize": "SELECT cast(doc_id AS varchar) AS doc_id, md5(text) AS text_md5, lang, source FROM documents",
     "chunk_token_windows": f"WITH {CHUNKS_SQL} SELECT chunk_id, doc_id, chunk_index, len(t) AS token_count, md5(array_to_string(t, ' ')) AS text_md5 FROM chunks",
@@ -232,8 +266,10 @@ SQL = {
     "graph_rerank": GRAPH_SQL,
     "prompt_build": f"{_HELD_SQL}, p AS (SELECT item_id, 'Use the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(nullif(c, ''), '{generation.NO_CONTEXT}') || chr(10) || chr(10) || 'Question: ' || q || chr(10) || 'Answer:' AS p FROM held) SELECT item_id, length(p) AS n_chars, md5(p) AS prompt_md5 FROM p",
     "fallback_answer": f"{_HELD_SQL} SELECT item_id, {_FALLBACK} AS answer, coalesce(refs, '') AS refs FROM held",
-    "prompt_search_step": f"""{_HELD_SQL}, parts AS (SELECT {_WORDS.format(_FALLBACK)} AS a, {_WORDS.format("q")} AS b FROM held),
-shared AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0)::double AS s FROM parts),
-f AS (SELECT avg(CASE WHEN s = 0 THEN 0.0::double ELSE 2 * (s / len(a)) * (s / len(b)) / (s / len(a) + s / len(b)) END) AS f FROM shared)
-SELECT prompt, round(f, 6) AS score FROM f, (VALUES {_PROMPT_ROWS}) v(prompt)""",
+    "prompt_search_step": f"WITH {_SEARCH_SQL.replace("{rows}", _PROMPT_ROWS)} SELECT prompt, round(f, 6) AS score FROM means",
+    "prompt_search_best": f"""WITH RECURSIVE {_SEARCH_SQL.replace("{rows}", _FIRST_STEP_ROWS)},
+walk AS (SELECT 0::bigint AS n, prompt, f FROM means WHERE place = 0 UNION ALL
+  SELECT m.place, CASE WHEN m.f > w.f + 0.001 THEN m.prompt ELSE w.prompt END, CASE WHEN m.f > w.f + 0.001 THEN m.f ELSE w.f END FROM walk w JOIN means m ON m.place = w.n + 1)
+SELECT prompt, cast(prompt <> 'Use the context.' AS bigint) AS steps, round(f, 6) AS score FROM walk WHERE n = {len(_FIRST_STEP) - 1}""",
+    "jsonl_documents": "SELECT 'd' || doc_id AS doc_id, md5(text) AS text_md5, lang, source FROM documents",
 }

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Retrieval, Stage
+from ..config import Retrieval, Settings, Stage
+from ..engine import Engine
 from ..functions import structure as sx
 from ..functions import vectors as vx
 from ..operators import embedding, evaluation, filters, fusion, index, structural
+from ..sources import ingest
 from . import base
 
 #: Every so many-th vector asks, against all.
@@ -89,7 +91,7 @@ def stage_fusion(spark, sf_dir):
 
 def metadata_priors(spark, sf_dir):
     docs = base.table(spark, sf_dir, "documents").join(base.table(spark, sf_dir, "labels"), "doc_id", "left")
-    meta = F.create_map(F.lit("reliability"), F.col("quality").cast("string"), F.lit("recency_score"), F.col("lang"), F.lit("domain_score"), (F.col("n_chars") / 1000.0).cast("string"))
+    meta = F.create_map(F.lit("reliability"), F.col("quality").cast("string"), F.lit("recency_score"), F.when(F.col("lang") == "en", F.concat(F.lit("0."), F.col("doc_id").cast("string"))).otherwise(F.col("lang")), F.lit("domain_score"), (F.col("n_chars") / 1000.0).cast("string"))
     return docs.select("doc_id", *[c.alias(k) for k, c in fusion.priors(meta).items()]).select("doc_id", "reliability", "recency_score", F.round("domain_score", 6).alias("domain_score"))
 
 
@@ -209,11 +211,31 @@ per AS (SELECT stage, query_id, k, hits::double / k AS precision, hits::double /
 
 def filter_terms(spark, sf_dir):
     """Terms of filter values in both notations, as one text each."""
-    rows = base.table(spark, sf_dir, "events").select("event_id", F.concat(F.col("event_type"), F.lit("; "), F.col("user_id").cast("string"), F.lit(" ,, X")).alias("raw"))
-    return rows.select("event_id", F.array_join(filters.filter_terms(F.col("raw")), "|").alias("terms"))
+    rows = base.table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("u"))
+    separated = F.concat(F.col("event_type"), F.lit("; "), F.col("u"), F.lit(" ,, X"))
+    listed = F.concat(F.lit('["'), F.upper("event_type"), F.lit('", " ", "'), F.col("u"), F.lit(', y"]'))
+    each = rows.select("event_id", F.explode(F.create_map(F.lit("separated"), separated, F.lit("listed"), listed)).alias("notation", "raw"))
+    return each.select("event_id", "notation", F.array_join(filters.filter_terms(F.col("raw")), "|").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (vector_l2_normalize, vector_slice_renorm, vector_pad_truncate, hash_embedding, vector_topk_dot, vector_topk_inverse_l2, vector_topk_blocks, stage_fusion, metadata_priors, weighted_fusion, metadata_filter_soft, filter_terms, structure_text, structural_similarity, unique_docs, eval_precision_recall, eval_mrr, eval_ndcg, eval_by_stage)}
+def embed_stages(spark, sf_dir):
+    """Stage vectors of passages, as documents and as queries are normalised."""
+    texts = base.questions(spark, sf_dir)
+    stages = Retrieval(stages=(Stage("d16", 16, 5, 0.5), Stage("d48", 48, 5, 0.5)))
+    parts = [embedding.by_stage(texts, stages, id_col="query_id", query=q).withColumn("asked", F.lit(q)) for q in (False, True)]
+    rows = parts[0].unionByName(parts[1]).select("query_id", "stage", "asked", F.posexplode("vector").alias("pos", "x"))
+    return rows.select("query_id", "stage", "asked", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+def engine_retrieve(spark, sf_dir):
+    """The public API from documents to ranked chunks: ingestion, windows, vectors, search, fusion."""
+    engine = Engine(spark, Settings(retrieval=Retrieval(stages=(Stage("coarse", 32, 20, 1.0),), lambda_similarity=1.0, zeta_structural_similarity=0.0)))
+    engine.add_documents(ingest.normalized(base.texts(spark, sf_dir)))
+    rows = engine.retrieve(base.questions(spark, sf_dir))
+    return rows.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (vector_l2_normalize, vector_slice_renorm, vector_pad_truncate, hash_embedding, vector_topk_dot, vector_topk_inverse_l2, vector_topk_blocks, stage_fusion, metadata_priors, weighted_fusion, metadata_filter_soft, filter_terms, structure_text, structural_similarity, unique_docs, eval_precision_recall, eval_mrr, eval_ndcg, eval_by_stage, embed_stages, engine_retrieve)}
 
 _POS = "SELECT vec_id, i AS pos, round(v[i + 1], 6)::double AS x FROM (SELECT *, unnest(generate_series(0, len(v) - 1)) AS i FROM ({0}))"
 _TOP = f"SELECT query_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({{0}}, 9) AS score FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings) q, (SELECT vec_id, embedding::double[] AS e FROM embeddings) c WHERE q.vec_id % {EVERY} = 0)) WHERE rank <= {K}"
@@ -226,10 +248,16 @@ SQL = {
     "vector_topk_inverse_l2": _TOP.format("1.0::double / (1.0::double + list_sum(list_transform(generate_series(1, len(q.e)), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))"),
     "vector_topk_blocks": _TOP.format("list_dot_product(q.e, c.e)"),
     "stage_fusion": f"WITH {STAGED_SQL} SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM summed",
-    "metadata_priors": "SELECT d.doc_id, coalesce(try_cast(quality AS double), 0.0::double) AS reliability, coalesce(try_cast(lang AS double), 0.0::double) AS recency_score, round(n_chars / 1000.0::double, 6) AS domain_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "metadata_priors": "SELECT d.doc_id, coalesce(try_cast(quality AS double), 0.0::double) AS reliability, coalesce(try_cast(CASE WHEN lang = 'en' THEN '0.' || d.doc_id ELSE lang END AS double), 0.0::double) AS recency_score, round(n_chars / 1000.0::double, 6) AS domain_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "weighted_fusion": f"WITH {FUSED_SQL} SELECT query_id, chunk_id, round(similarity, 6) AS combined, round(weighted, 6) AS weighted, rank FROM placed WHERE rank <= {STAGES.stages[-1].top_k}",
     "metadata_filter_soft": f"WITH {FUSED_SQL}, m AS (SELECT p.*, (p.label = q.label OR p.label = 9) AS ok FROM placed p JOIN res q ON q.vec_id = p.query_id), kept AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS anyone FROM m) SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM kept WHERE ok OR NOT anyone) WHERE place <= {STAGES.stages[-1].top_k}",
-    "filter_terms": "SELECT event_id, lower(event_type) || '|' || user_id || '|x' AS terms FROM events",
+    "filter_terms": "SELECT event_id, 'separated' AS notation, lower(event_type) || '|' || user_id || '|x' AS terms FROM events UNION ALL SELECT event_id, 'listed', lower(event_type) || '|' || user_id || ', y' FROM events",
+    "embed_stages": f"""WITH v AS (SELECT cast(item_id AS varchar) AS query_id, d, list_transform(generate_series(0, d - 1), lambda i: cast('0x' || substr(sha256(text), 2 * (i % 32) + 1, 2) AS int) / 255.0::double) AS v FROM benchmark, (SELECT unnest([16, 48])::bigint AS d)),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM v)
+SELECT query_id, 'd' || d AS stage, asked, i AS pos, round(v[i + 1] / (l + CASE WHEN asked THEN 1e-8::double ELSE 0 END), 6) AS x FROM (SELECT *, unnest(generate_series(0, d - 1)) AS i FROM n), (SELECT unnest([true, false]) AS asked)""",
+    "engine_retrieve": f"""WITH {{chunks}}, c AS (SELECT chunk_id, {_hash_sql("array_to_string(t, ' ')")} AS v FROM chunks), q AS (SELECT cast(item_id AS varchar) AS query_id, {_hash_sql("text")} AS v FROM benchmark),
+s AS (SELECT query_id, chunk_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(c.v, c.v)) * (sqrt(list_dot_product(q.v, q.v)) + 1e-8::double)), 12) AS s FROM q, c)
+SELECT query_id, chunk_id, rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM s) WHERE rank <= 20""",
     "structure_text": f"WITH {STRUCTURE_SQL} SELECT table_id, text, normal FROM said",
     "structural_similarity": f"WITH {STRUCTURE_SQL}, q AS (SELECT cast(item_id AS varchar) AS query_id, {{hint}} AS h FROM benchmark), qv AS (SELECT query_id, {_hash_sql('h')} AS v FROM q), cv AS (SELECT table_id || '_full_table' AS chunk_id, {_hash_sql('text')} AS v FROM said) SELECT query_id, chunk_id, round(least(1.0::double, greatest(0.0::double, (list_dot_product(qv.v, cv.v) / sqrt(list_dot_product(qv.v, qv.v) * list_dot_product(cv.v, cv.v)) + 1) / 2)), 6) AS value FROM qv, cv",
     "unique_docs": f"WITH {STAGED_SQL}, f AS (SELECT query_id, chunk_id // 7 AS doc_id, min(rank) AS first FROM hits WHERE stage = 'd64' GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id) AS rank FROM f",
@@ -241,7 +269,9 @@ SQL = {
 
 
 def _with_hint() -> None:
-    from .text import _hints_sql
+    from .text import CHUNKS_SQL, _hints_sql
+
+    SQL["engine_retrieve"] = SQL["engine_retrieve"].replace("{chunks}", CHUNKS_SQL)
 
     SQL["structural_similarity"] = SQL["structural_similarity"].replace("{hint}", _hints_sql(sx.HINTS, "Expected structure: ", "General table structure query"))
 

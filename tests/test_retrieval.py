@@ -41,16 +41,29 @@ def test_compare_many_queries(spark):
     assert got.count() == got.select("query_id").distinct().count() == 5000
 
 
-def test_near_candidates(spark):
-    import random
-
-    rng = random.Random(1)
-    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
-    rows = [(str(i), unit([rng.gauss(0, 1) for _ in range(8)])) for i in range(300)]
-    corpus, asked = vectors(spark, "item_id", rows), vectors(spark, "query_id", rows[:10])
-    exact = {(r["query_id"], r["item_id"]) for r in index.top_k(asked, corpus, 5).collect()}
-    near = {(r["query_id"], r["item_id"]) for r in index.near_candidates(asked, corpus, 5, bucket_length=2.0, tables=8).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
+@pytest.mark.parametrize("metric", ["dot", "inverse_l2"])
+def test_near_candidates(spark, metric):
+    """At its defaults the cell search finds 0.9 of the exact neighbours; with all cells it finds all."""
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(10, 32))
+    points = middle[rng.integers(0, 10, 3000)] + rng.normal(size=(3000, 32)) * 0.8
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(str(i), [float(x) for x in v]) for i, v in enumerate(points)]
+    corpus, asked = vectors(spark, "item_id", rows), vectors(spark, "query_id", rows[::50])
+    pairs = lambda df: {(r["query_id"], r["item_id"]) for r in df.collect()}
+    exact = pairs(index.top_k(asked, corpus, 10, metric=metric))
+    assert len(exact & pairs(index.near_candidates(asked, corpus, 10, metric=metric))) / len(exact) >= 0.9
+    assert pairs(index.near_candidates(asked, corpus, 10, metric=metric, probes=1000)) == exact
+    assert index.near_candidates(asked, corpus.limit(0), 10).count() == 0
+
+
+def test_cells_as_a_stage(spark):
+    rows = [(str(i), "s", [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    held = spark.createDataFrame(rows, "chunk_id string, stage string, vector array<double>")
+    asked = held.where("chunk_id in ('1', '2')").withColumnRenamed("chunk_id", "query_id")
+    found = [index.search(asked, held, config.Retrieval(stages=(config.Stage("s", 3, 5, 1.0, search=how, probes=100),))) for how in ("exact", "cells")]
+    rows = [sorted((r["query_id"], r["chunk_id"], r["stage_rank"]) for r in f.collect()) for f in found]
+    assert rows[0] == rows[1] and len(rows[0]) == 10
 
 
 def test_stages_need_vectors(spark):
@@ -140,6 +153,9 @@ def test_prompt_search(spark):
     search = prompt_search.Search(instructions=("Use magic.", "Be brief."))
     best, history = prompt_search.optimize("Base ", held, examples, search, model)
     assert best == "Base\n\nUse magic." and [h["score"] for h in history] == [0.0, 1.0]
+    trial = lambda score: prompt_search.Trial(1, score, str(score))
+    assert prompt_search.chosen(trial(0.5), [trial(0.505), trial(0.6), trial(0.605)], 0.01).score == 0.6
+    assert prompt_search.optimize("Base", held, examples, prompt_search.Search(max_steps=0), model)[1] == [{"step": 0, "score": 0.0, "prompt": "Base"}]
     with pytest.raises(ValueError):
         prompt_search.optimize("Base", held, examples.limit(0))
 
