@@ -31,6 +31,9 @@ U64 = np.uint64
 LENGTH, GRAM = 100, 32
 #: Contexts of one gram that a task holds; further ones follow in pieces, whose strings meet on disk.
 HELD_ROWS = 40_000
+#: A gram with more than one in so many of all places is common, if it has more than the other number; its contexts are
+#: dealt by the bytes beside it.
+COMMON, LEAST_COMMON = 1000, 64
 #: Places, over all documents, that may be broadcast after counting them; more go through a shuffle.
 BROADCAST_PLACES = 4_000_000
 #: Positions of a slice whose windows are searched at once: they share 64 bits with the hash.
@@ -150,7 +153,7 @@ def known_repeats(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, tie: n
 def _by_document(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From what _met gives, sorted by document and place: one row for each document."""
-        for rows, _ in sorted_runs(batches, "doc", 1 << 62):
+        for rows, _ in sorted_runs(batches, "row", 1 << 62):
             doc, tie, place = (rows.column(c).to_numpy() for c in ("doc", "tie", "place"))
             key = rows.column("gram").combine_chunks()
             open_ = key.is_valid().to_numpy(zero_copy_only=False)
@@ -171,25 +174,45 @@ def _by_document(length: int, gram: int):
     return run
 
 
-def _contexts(length: int, gram: int):
+def _contexts(length: int, gram: int, common: np.ndarray):
     reach = length - gram
+    near = reach // 2
 
     def per_batch(batch: pa.RecordBatch):
-        """The bytes around each place of a text, cut at its ends."""
+        """The bytes around each place of a text, cut at its ends, and the key under which they are sorted.
+
+        That is the gram, but for a common one: there strings that go on far to its right meet by the gram and the bytes
+        next to it on the right, the others by the gram and the bytes on its left; each has the one or the other.
+        """
         places, grams = batch.column("place"), batch.column("gram")
         at, flat, keys = places.offsets.to_numpy(), places.values.to_numpy(), grams.values.to_numpy()
         doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
         for a, b, data, offsets in slices(batch.column("text")):
-            own = flat[at[a] : at[b]]
+            own, key = flat[at[a] : at[b]], keys[at[a] : at[b]]
             text = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
             if not len(own):
                 continue
             low, high = np.maximum(own - reach, 0), np.minimum(own + length, (offsets[1:] - offsets[:-1])[text])
+            hot = np.isin(key, common)
+            if hot.any():
+                total, down = running(data)
+                begin = offsets[text] + own
+                right, left = np.flatnonzero(hot & (high >= own + gram + near)), np.flatnonzero(hot & (own - low >= reach - near + 1))
+                value = lambda x, y: mix((total[y] - total[x]) * down[x] + (y - x).astype(U64)).view(np.int64)  # noqa: E731, B023
+                to_right, to_left = value(begin[right], begin[right] + gram + near), value(begin[left] - (reach - near + 1), begin[left] + gram)
+                cold = np.flatnonzero(~hot)
+                pick = np.concatenate([cold, right, left])
+                key = np.concatenate([key[cold], to_right, to_left])
+                low = np.concatenate([low[cold], np.maximum(low[right], own[right] - (reach - near)), low[left]])
+                high = np.concatenate([high[cold], high[right], np.minimum(high[left], own[left] + gram + near - 1)])
+                own, text = own[pick], text[pick]
+                if not len(own):
+                    continue
             size = high - low
             body = data[np.repeat(low + offsets[text], size) + ranges(size)]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield batch_of(
-                gram=keys[at[a] : at[b]],
+                gram=key,
                 doc=doc[a:b][text],
                 tie=tie[a:b][text],
                 place=own,
@@ -296,11 +319,15 @@ def repeats(rows: pa.Table, length: int, gram: int, alone: bool = True) -> tuple
     row = np.full(len(text), -1, np.int32)
     row[starts] = np.repeat(np.arange(len(used), dtype=np.int32), windows)
     order = suffix_order(text, length)
-    order = order[row[order] >= 0]
+    kept = np.flatnonzero(row[order["at"]] >= 0)
+    # What a string shares with the one before it: the least over the suffixes between them.
+    shared = np.minimum.reduceat(order["lcp"][: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1])) if len(kept) else np.zeros(0, np.int32)
+    order = order["at"][kept]
     own = row[order]
     where = at[own] - before[own] + order - begin[own]
     value = mix((total[where + length] - total[where]) * down[where])
-    equal = np.concatenate([[False], value[1:] == value[:-1]])
+    equal = shared >= length
+    equal[:1] = False
     pairs = np.flatnonzero(equal)
     span = np.arange(length)
     for k in range(0, len(pairs), 50_000):
@@ -315,10 +342,10 @@ def repeats(rows: pa.Table, length: int, gram: int, alone: bool = True) -> tuple
     least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(rank))))
     again = rank > least
     if not alone:
-        kept = np.flatnonzero(~again)
-        firsts = np.empty(len(kept), _FIRST)
+        first_rows = np.flatnonzero(~again)
+        firsts = np.empty(len(first_rows), _FIRST)
         for name, column in zip(_FIRST.names, (value, d, t, s), strict=True):
-            firsts[name] = column[kept]
+            firsts[name] = column[first_rows]
     if not again.any():
         return None, firsts
     chosen = in_order[again[in_order]]
@@ -359,11 +386,23 @@ def _sorted_shards(length: int, gram: int):
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """doc_id, doc, text, tie, and whether ids are unique: a null id stands after all; rows that share an id and differ in
-    text are told apart by tie."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("doc"), F.col(text_col).alias("text"))
+    text are told apart by tie. Ids that aren't whole numbers are numbered in their order."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        docs = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LATE)))
+    else:
+        # Places in a sorted frame ascend from partition to partition.
+        places = stored(docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().sort("_id").withColumn("_doc", F.monotonically_increasing_id()))
+        docs = docs.join(places, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_doc", F.lit(_LATE)).alias("doc"))
     if docs.groupBy("doc").count().where("count > 1").isEmpty():
         return docs.withColumn("tie", F.lit(0).cast("long")), True
-    return docs.withColumn("tie", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))).cast("long")), False
+    return docs.withColumn("tie", F.xxhash64("text")), False
+
+
+def by_row(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of a document together, and in order: those that share an id, null or not, go by their texts, not to one task."""
+    rows = rows.withColumn("row", F.xxhash64("doc", "tie"))
+    return rows.repartition("row").sortWithinPartitions("row", "doc", "tie", *order)
 
 
 def _with(docs: DataFrame, places: DataFrame, counted: str, how: str) -> DataFrame:
@@ -393,20 +432,24 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
 
     found = in_arrow(docs.select("doc", "tie", "text"), anchored, "route long, known boolean, context long, doc long, tie long, place long")
     found = found.repartition("route").sortWithinPartitions("route", "known", "context", "doc", "tie", "place")
-    met = streamed(found, _met, "doc long, tie long, place long, gram long").repartition("doc").sortWithinPartitions("doc", "tie", "place")
+    met = by_row(streamed(found, _met, "doc long, tie long, place long, gram long"), "place")
     met = stored(streamed(met, _by_document(length, gram), "doc long, tie long, low array<long>, high array<long>, place array<long>, gram array<long>"))
     open_ = met.where("size(gram) > 0").select("doc", "tie", "place", "gram")
     texts = docs.select("doc", "tie", "text")
     around = _with(texts if unique else texts.dropDuplicates(["doc", "tie"]), open_, F.size("gram"), "inner")
-    around = in_arrow(around, _contexts(length, gram), "gram long, doc long, tie long, place long, left long, bytes binary")
+    counts = open_.select(F.explode("gram").alias("gram")).groupBy("gram").count()
+    total = open_.agg(F.coalesce(F.sum(F.size("gram")), F.lit(0))).first()[0]
+    # Fewer than COMMON grams have so large a share of all places.
+    common = np.array([r["gram"] for r in counts.where(F.col("count") * COMMON > F.greatest(F.lit(total), F.lit(COMMON * LEAST_COMMON))).select("gram").collect()], np.int64)
+    around = in_arrow(around, _contexts(length, gram, common), "gram long, doc long, tie long, place long, left long, bytes binary")
     shards = streamed(around.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "place"), _sorted_shards(length, gram), "doc long, tie long, low long, high long")
     both = shards.union(met.select("doc", "tie", F.explode(F.arrays_zip("low", "high")).alias("r")).select("doc", "tie", "r.low", "r.high"))
-    both = streamed(both.repartition("doc").sortWithinPartitions("doc", "tie", "low"), _united, "doc long, tie long, low array<long>, high array<long>")
+    both = streamed(by_row(both, "low"), _united, "doc long, tie long, low array<long>, high array<long>")
     return _with(docs, stored(both), F.size("low"), "left").select("doc_id", F.encode("text", "utf-8").alias("text"), "low", F.transform("high", lambda x: F.least(x, F.octet_length("text"))).alias("high"))
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _ in sorted_runs(batches, "doc", 1 << 62):
+    for rows, _ in sorted_runs(batches, "row", 1 << 62):
         doc, tie, low, high = (rows.column(c).to_numpy() for c in ("doc", "tie", "low", "high"))
         number = _documents(doc, tie)
         first = np.searchsorted(number, np.arange(int(number[-1]) + 1))

@@ -51,12 +51,45 @@ def test_nulls_and_long_texts():
     assert [(a, b, len(d)) for a, b, d, _ in k.slices(column, 100)] == [(0, 2, 0), (2, 3, 3000), (3, 4, 1)]
 
 
-@settings(deadline=None, max_examples=150)
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.sampled_from([8, 1 << 20]))
-def test_suffix_order(body, limit):
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.sampled_from([8, 1 << 20]), st.sampled_from([3, 7, 1000]))
+def test_suffix_order(body, limit, depth):
     text = np.array([*body, 0])
-    want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
-    assert suffix_sort.suffix_order(text, 1000, limit).tolist() == want
+    got = suffix_sort.suffix_order(text, depth, limit)
+    places, shared = got["at"].tolist(), got["lcp"].tolist()
+    assert sorted(places) == list(range(len(text)))
+    suffix = [text[i:].tolist() for i in places]
+    assert all(x[:depth] <= y[:depth] for x, y in itertools.pairwise(suffix))
+    assert shared == [0, *(min(depth, common(x, y)) for x, y in itertools.pairwise(suffix))]
+    if depth == 1000:
+        assert suffix == sorted(suffix)
+
+
+def test_sorting_beyond_memory(monkeypatch):
+    """A text whose tuples are far larger than the bound: queues and runs go to disk, order and prefixes stay exact."""
+    spilled, spill = [], suffix_sort.BucketQueue.spill
+
+    def counted(self):
+        before = self.spilled
+        spill(self)
+        spilled.append(self.spilled - before)
+
+    monkeypatch.setattr(suffix_sort.BucketQueue, "spill", counted)
+    rng = np.random.default_rng(4)
+    piece = rng.integers(1, 30, 400)
+    text = np.concatenate([np.concatenate([rng.integers(1, 30, 300), piece[rng.integers(0, 300) :]]) for _ in range(60)] + [[0]])
+    limit = 4 << 10
+    got = suffix_sort.suffix_order(text, 100, limit)
+    assert len(text) * suffix_sort.TUPLE.itemsize > 40 * limit and sum(spilled) > 20 * limit
+    raw = text.astype(np.uint8).tobytes()
+    suffix = [raw[i : i + 100] for i in got["at"].tolist()]
+    assert suffix == sorted(suffix) and len(set(got["at"].tolist())) == len(text)
+    assert got["lcp"].tolist() == [0, *(common(x, y) for x, y in itertools.pairwise(suffix))]
+    assert (got == suffix_sort.suffix_order(text, 100)).all()
 
 
 def test_queue_spills():

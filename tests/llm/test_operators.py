@@ -330,22 +330,46 @@ def test_repeats(spark, seed):
     assert sum(map(sum, want.values())) > 500
 
 
-def test_repeats_in_pieces(spark, monkeypatch):
-    """A gram with more contexts than a task holds."""
+@pytest.mark.parametrize(("held", "common", "batch"), [(40_000, 0, 10_000), (7, 0, 10_000), (4, 0, 3), (4, 1000, 3), (40_000, 1000, 3)])
+@pytest.mark.parametrize("shape", ["twice", "next", "prose"])
+def test_repeats_in_pieces(spark, monkeypatch, held, common, batch, shape):
+    """A gram with more contexts than a task holds, or common; one that comes twice in a document; in several batches."""
     rng = random.Random(4)
-    passage = prose(rng, 8)
-    rows = [(i, prose(rng, 3) + passage + prose(rng, 3)) for i in range(80)]
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = letters(20)
+    make = {
+        "twice": lambda: letters(25) + line + letters(3) + line + letters(25),
+        "next": lambda: letters(25) + line + line + letters(25),
+        "prose": lambda p=prose(rng, 8): prose(rng, 3) + p + prose(rng, 3),
+    }[shape]
+    rows = [(i, make()) for i in range(60)]
+    rows += [(100 + i, rows[i][1][5:-5] + letters(9)) for i in range(0, 60, 7)]
     want = brute_repeats(rows, 40)
-    from tesserae.llm.common import sorted_runs
-
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(repeats, "HELD_ROWS", 7)
-    for r in repeats.without_repeats(frame, length=40, gram=12).collect():
+    monkeypatch.setattr(repeats, "HELD_ROWS", held)
+    monkeypatch.setattr(repeats, "COMMON", common or 1)
+    monkeypatch.setattr(repeats, "LEAST_COMMON", 3 if common else 1 << 40)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=12).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    for r in got:
         gone = [False] * len(r["text"])
-        for a, b in zip(r["low"] or [], r["high"] or [], strict=True):
-            gone[a:b] = [True] * (b - a)
-        assert gone == want[r["doc_id"]]
-    assert sorted_runs is not None
+        for x, y in zip(r["low"] or [], r["high"] or [], strict=True):
+            gone[x:y] = [True] * (y - x)
+        assert gone == want[r["doc_id"]], r["doc_id"]
+
+
+def test_repeats_of_any_ids(spark):
+    """Ids that aren't numbers go by their order; rows without one come last, and are told apart by their texts."""
+    rng = random.Random(9)
+    body = prose(rng, 30)
+    rows = [("b", "x" + body), ("a", body), (None, body + "y"), (None, "z" + body + "y"), ("c", None)]
+    got = {(r["doc_id"], bytes(r["text"] or b"")[:1]): sum(r["high"] or []) - sum(r["low"] or []) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got["a", body[:1].encode()] == 0 and got["b", b"x"] == len(body) and got["c", b""] == 0
+    last = sorted(v for (k, _), v in got.items() if k is None)
+    assert last[0] == len(body) and last[1] in (len(body), len(body) + 1)
 
 
 def test_repeats_edges(spark, edges, none):
