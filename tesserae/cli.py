@@ -58,7 +58,7 @@ def chat(args: argparse.Namespace) -> None:
         print(f"{row['rank']}. {row['title']} [{row['chunk_id']}] {row['similarity']:.4f}\n   {row['preview']}")
     if args.save_chunks:
         ranked.drop("scores").write.mode("overwrite").json(args.save_chunks)
-    print(generation.answers(generation.contexts(query, ranked), prompt, engine.plugins.generator).first()["answer"])
+    print(generation.answers(generation.contexts(query, ranked), prompt, engine.plugins.generator_of(engine.settings.generation)).first()["answer"])
 
 
 def evaluate(args: argparse.Namespace) -> None:

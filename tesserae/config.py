@@ -12,7 +12,7 @@ from typing import Any
 class Chunking:
     max_tokens: int = 512
     overlap_tokens: int = 32
-    tokenizer_name: str = "whitespace"
+    #: Grains of table chunks that are indexed.
     enabled_chunk_types: tuple[str, ...] = ("full_table", "table_row")
 
     @property
@@ -63,7 +63,6 @@ class Embedding:
     model_name: str = "hash"
     batch_size: int = 64
     normalize: bool = True
-    truncate_dims: tuple[int, ...] | None = None
 
 
 @dataclass(frozen=True)

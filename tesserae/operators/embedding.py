@@ -28,7 +28,9 @@ def model_encoder(make: ModelMaker, batch: int = 64) -> Encoder:
             rows = [[float(x) for x in v] for i in range(0, len(texts), batch) for v in model(texts[i : i + batch])]
             yield pd.Series(rows, index=part.index)
 
-    return lambda text, dimension: vx.fitted(encode(text), dimension)
+    # Called once a text: the optimizer doesn't copy what may differ from call to call.
+    once = encode.asNondeterministic()
+    return lambda text, dimension: vx.fitted(once(text), dimension)
 
 
 def hash_encoder(text: Column, dimension: int) -> Column:
@@ -43,11 +45,14 @@ def by_stage(rows: DataFrame, retrieval: Retrieval, *, id_col: str, text_col: st
     settings = settings or Embedding()
     encoders = encoders or {}
     normal = vx.query_normalized if query else vx.l2_normalized
-    parts = []
-    for stage in retrieval.stages:
+    parts, raw = [], {}
+    for i, stage in enumerate(retrieval.stages):
         encode = encoders.get(stage.name) or encoders.get(stage.model_name or "") or hash_encoder
-        vector = vx.fitted(encode(F.col(text_col), stage.dimension), stage.dimension)
+        # A column of its own: a model can't be called within the expressions that normalise.
+        raw[f"_raw{i}"] = vx.fitted(encode(F.col(text_col), stage.dimension), stage.dimension)
+        vector = F.col(f"_raw{i}")
         parts.append(F.struct(F.lit(stage.name).alias("stage"), (normal(vector) if settings.normalize else vector).alias("vector")))
+    rows = rows.select(id_col, *[c.alias(name) for name, c in raw.items()])
     return rows.select(F.col(id_col), F.explode(F.array(*parts)).alias("s")).select(id_col, "s.stage", "s.vector")
 
 

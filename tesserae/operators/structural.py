@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import structure as sx
 from ..functions import vectors as vx
+from ..sources import store
 from .embedding import Encoder, hash_encoder
 from .index import BLOCK
 
@@ -17,6 +18,20 @@ def structure_vectors(structures: DataFrame, dimension: int, encoder: Encoder =
     return rows.select("table_id", sx.cache_key(F.col("text")).alias("content_key"), encoder(F.col("text"), dimension).alias("vector"))
 
 
+def cached_vectors(structures: DataFrame, root: str, dimension: int, encoder: Encoder = hash_encoder) -> DataFrame:
+    """(table_id, content_key, vector), from the vectors kept under a folder by what they are of; what it lacks is made
+    and added, so that a text is encoded once, however many tables say it and whenever they come."""
+    spark, path = structures.sparkSession, f"{root}/structures-{dimension}"
+    texts = structures.select("table_id", sx.structure_text(F.col("structure")).alias("text"))
+    held = store.load(spark, root, f"structures-{dimension}", ["vectors"])
+    known = held["vectors"] if held else spark.createDataFrame([], "content_key string, vector array<double>")
+    lacking = store.missing_vectors(texts, known).dropDuplicates(["content_key"])
+    made = lacking.select("content_key", encoder(F.col("text"), dimension).cast("array<double>").alias("vector"))
+    store.kept(made).write.mode("append").parquet(f"{path}/vectors")
+    known = spark.read.parquet(f"{path}/vectors")
+    return texts.select("table_id", F.md5(F.col("text").cast("binary")).alias("content_key")).join(known, "content_key").select("table_id", "content_key", "vector")
+
+
 def table_of(chunk_id: str = "chunk_id") -> F.Column:
     """A chunk's table: named in its metadata, else what stands before the first `_` of its id."""
     return F.coalesce(F.try_element_at("metadata", F.lit("table_id")), F.substring_index(chunk_id, "_", 1))

@@ -6,6 +6,7 @@ question under a length limit, and a plain one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -160,9 +161,23 @@ def table_structure(tables: DataFrame) -> DataFrame:
     return _chunks(some, F.lit("structure"), "table_structure", content, example_id=F.col("example_id"), num_columns=F.size(last), total_columns=F.size("headers"), patterns=patterns)
 
 
-def general_chunks(tables: DataFrame) -> DataFrame:
-    """All eight grains; the parse above them should be stored or cached, each grain reads it."""
-    return _union([f(tables) for f in (full_table, pure_table, table_only, table_rows, table_columns, sliding_windows, table_sample, table_structure)])
+GENERAL = {
+    "full_table": full_table,
+    "pure_table": pure_table,
+    "table_only": table_only,
+    "table_row": table_rows,
+    "table_column": table_columns,
+    "sliding_window": sliding_windows,
+    "table_sample": table_sample,
+    "table_structure": table_structure,
+}
+
+
+def general_chunks(tables: DataFrame, types: Sequence[str] = tuple(GENERAL)) -> DataFrame:
+    """The grains of some types, all eight by default; the parse above them should be stored, each grain reads it."""
+    if unknown := set(types) - GENERAL.keys():
+        raise ValueError(f"unknown chunk types: {sorted(unknown)}")
+    return _union([GENERAL[t](tables) for t in types])
 
 
 # --- the family with the question, under a length limit -------------------------------------------------------------

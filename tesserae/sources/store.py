@@ -33,10 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.kept"
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written as Parquet to the shared folder: later reads take the columns they need,
     and a lost executor loses nothing. The files stay until the folder goes."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -185,6 +185,66 @@ def test_engine(spark, tmp_path):
     assert fusion.stage_sums(engine.search(asked), settings.retrieval).count() == engine.chunks.count() == 4
 
 
+def test_engine_batches_and_models(spark, tmp_path):
+    """A failing batch is left out; makers of models get their settings; saving goes where the settings say."""
+    seen = tmp_path / "seen"
+
+    def encoder(settings, model):
+        return lambda: lambda texts: [[float(len(t)), float(settings.batch_size), 1.0] for t in texts]
+
+    def generator(settings):
+        return lambda: lambda prompts: [f"{settings.max_new_tokens} {settings.temperature}" for _ in prompts]
+
+    stages = (config.Stage("s", 3, 5, 1.0, model_name="m"),)
+    settings = config.Settings(retrieval=config.Retrieval(stages=stages), generation=config.Generation(max_new_tokens=7, temperature=0.5), cross_encoder=config.CrossEncoder(top_n=1), storage_dir=str(seen), run_name="r")
+    scorer = lambda settings: lambda: lambda pairs: [float(settings.top_n)] * len(pairs)
+    engine = Engine(spark, settings, Plugins(make_encoder=encoder, make_generator=generator, make_scorer=scorer))
+    good = spark.createDataFrame([("a", "the red fox")], "doc_id string, text string")
+    bad = good.withColumn("text", F.raise_error(F.lit("broken")).cast("string"))
+    failed = engine.add_batches([good, bad, good.withColumn("doc_id", F.lit("b"))])
+    assert [i for i, _ in failed] == [1], failed[0][1][:600]
+    assert "broken" in failed[0][1] and engine.chunks.count() == 2
+    asked = spark.createDataFrame([("q", "red fox")], "query_id string, text string")
+    row = engine.retrieve(asked).collect()
+    assert len(row) == 1 and row[0]["similarity"] == 1.0
+    assert engine.answer(asked).first()["answer"] == "7 0.5"
+    key = engine.save()
+    assert (seen / "r" / key / "chunks").is_dir()
+
+
+def test_structure_cache(spark, tmp_path):
+    """A structure text is encoded once, whichever table says it and whenever it comes."""
+    kind = "struct<table_description:string,columns:array<struct<name:string,type:string,samples:array<string>>>,rows:int,patterns:array<string>>"
+    rows = [(t, (said, [], 3, [])) for t, said in (("a", "x"), ("b", "x"), ("c", "y"))]
+    frame = spark.createDataFrame(rows, f"table_id string, structure {kind}")
+    got = {r["table_id"]: r["vector"] for r in structural.cached_vectors(frame.where("table_id != 'c'"), str(tmp_path), 8).collect()}
+    assert got["a"] == got["b"] and spark.read.parquet(f"{tmp_path}/structures-8/vectors").count() == 1
+    other = structural.cached_vectors(frame, str(tmp_path), 8, lambda text, n: F.array_repeat(F.lit(9.0), n))
+    found = {r["table_id"]: r["vector"] for r in other.collect()}
+    assert found["a"] == got["a"] and found["c"] == [9.0] * 8
+    plain = {r["table_id"]: r["vector"] for r in structural.structure_vectors(frame, 8).collect()}
+    assert plain["a"] == got["a"]
+
+
+def test_engine_tables(spark):
+    from tesserae.operators import html_tables
+
+    engine = Engine(spark, config.Settings(chunking=config.Chunking(enabled_chunk_types=("table_row",)), retrieval=config.Retrieval(stages=(config.Stage("s", 8, 5, 1.0),))))
+    html = "<table><tr><th>id</th><th>name</th></tr><tr><td>1</td><td>x</td></tr><tr><td>2</td><td>y</td></tr></table>"
+    tables = html_tables.processed(spark.createDataFrame([("e", "q?", html, ["x"])], "example_id string, question string, table_text string, answers array<string>"))
+    assert sorted(r["text"] for r in engine.add_tables(tables).collect()) == ["id: 1 | name: x", "id: 2 | name: y"]
+    with pytest.raises(ValueError):
+        Engine(spark, config.Settings(chunking=config.Chunking(enabled_chunk_types=("other",)))).add_tables(tables)
+
+
+def test_seeded_vectors(spark):
+    from tesserae.functions import vectors as vx
+
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "t string").select(vx.seeded_vector(F.col("t"), 5).alias("v")).collect()
+    assert all(len(r["v"]) == 5 and all(0 <= x < 1 for x in r["v"]) for r in rows) and rows[0]["v"] != rows[1]["v"]
+    assert rows[0]["v"] == spark.createDataFrame([("a",)], "t string").select(vx.seeded_vector(F.col("t"), 5)).first()[0]
+
+
 def test_streaming(spark, tmp_path):
     from tesserae.streaming import ingest as stream
 

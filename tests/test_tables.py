@@ -48,6 +48,16 @@ def test_edges(spark):
     assert blank["headers"] == ["b"]
 
 
+def test_regular_tables_need_no_parser(spark):
+    """What is split by expressions is what the parser finds; anything odd goes to the parser."""
+    plain = ["<table><tr><td></td><td> a  b </td></tr></table>", "<table><caption>C</caption><tr><th>x</th></tr></table>", "<table><tr><th>only one long head cell here</th></tr><tr><td>y</td></tr></table>", "<table><tr><td>" + "z" * 600 + "</td></tr></table>", PLAIN, "<table>" + "<tr><td>r</td></tr>" * 130 + "</table>", "<table><tr><td>é'\"</td></tr></table>"]
+    odd = ["<table><tr></tr></table>", "<table></table>", "<table><tr><td>x&amp;</td></tr></table>", "<table><tr><td>a</th></tr></table>", "<table><tr><td>a</td></tr></table> ", "", "<TABLE><tr><td>a</td></tr></TABLE>", "<table><tr><td>a\nb</td></tr></table>", "<table><tr><td>a\u00a0</td></tr></table>"]
+    df = spark.createDataFrame(list(enumerate(plain + odd)), "i int, t string")
+    rows = df.select("i", ht.regular(F.col("t")).alias("r"), ht.parsed(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r["r"] for r in rows] == [True] * len(plain) + [False] * len(odd)
+    assert [r["p"].asDict(recursive=True) for r in rows] == [ht.parse(t) for t in plain + odd]
+
+
 def test_any_length():
     row = "<tr><td>" + "y" * 40 + "</td><td>2</td></tr>"
     html = "<p>before</p><table><tr><th>a</th><th>b</th></tr>" + row * 70_000 + "<tr><th colspan=2>The title</th></tr></table>"
