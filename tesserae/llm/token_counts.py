@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -79,17 +80,18 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def token_counts(docs: DataFrame, path: str, *, limit: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str | Callable[[], str], *, limit: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of docs.
 
-    path: a tokenizers JSON file, opened by each worker. Null and empty texts have 0 bytes
+    path: a tokenizers JSON file, opened by each worker, or what gives a worker its path there. Null and empty texts have 0 bytes
     and 0 tokens; a null id, repeated ids and extra columns change nothing: one row for each row.
     """
 
     def per_batch(batch: pa.RecordBatch):
-        if path not in _counters:
-            _counters[path] = Counter(path)
-        counter = _counters[path]
+        here = path() if callable(path) else path
+        if here not in _counters:
+            _counters[here] = Counter(here)
+        counter = _counters[here]
         ids, texts = batch.column(0), batch.column(1)
         for a, b, _, offsets in slices(texts):
             counts = counter.count(texts.slice(a, b - a))
@@ -99,7 +101,12 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = MAX_TOKENS, id_col:
     return in_arrow(docs.select(id_col, text_col), per_batch, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary() -> str:
+    """Where the tokenizer file lies on this machine."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path(VOCABULARY)))
+    return str(public_tokenizers.path(VOCABULARY))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary)
