@@ -95,26 +95,23 @@ def member_sets(docs: DataFrame, words: int, num: int, den: int, *, whole: bool,
     return in_arrow(docs.select(id_col, text_col), per_batch, f"doc_id {kind}, n long, s1 long, s2 long, counted long, tokens array<long>")
 
 
-def _shared(below: np.uint64):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (h, s1) sorted by both: (s1, h, df) of the tokens that more than one set has, or that aren't counted."""
-        hot = None
-        for rows, more in sorted_runs(batches, "h", HELD_ROWS):
-            h, s = (rows.column(c).to_numpy() for c in ("h", "s1"))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            h, s = h[new], s[new]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            df = np.repeat(np.diff(np.concatenate([starts, [len(h)]])), np.diff(np.concatenate([starts, [len(h)]])))
-            if hot is not None:
-                df[h == hot] = HELD_ROWS
-            hot = int(h[-1]) if more else None
-            df = np.full(len(h), HELD_ROWS) if more else np.minimum(df, HELD_ROWS)
-            keep = (df > 1) | (h.view(U64) >= below)
-            if keep.any():
-                yield batch_of(s1=s[keep], h=h[keep], df=df[keep].astype(np.int64))
-
-    return run
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (h, s1) sorted by both: (s1, h, df) of the tokens that more than one set lists."""
+    hot = None
+    for rows, more in sorted_runs(batches, "h", HELD_ROWS):
+        h, s = (rows.column(c).to_numpy() for c in ("h", "s1"))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        h, s = h[new], s[new]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        df = np.repeat(np.diff(np.concatenate([starts, [len(h)]])), np.diff(np.concatenate([starts, [len(h)]])))
+        if hot is not None:
+            df[h == hot] = HELD_ROWS
+        hot = int(h[-1]) if more else None
+        df = np.full(len(h), HELD_ROWS) if more else np.minimum(df, HELD_ROWS)
+        keep = df > 1
+        if keep.any():
+            yield batch_of(s1=s[keep], h=h[keep], df=df[keep].astype(np.int64))
 
 
 def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, counted: int, num: int, den: int) -> list[int]:
@@ -255,7 +252,9 @@ def _settled(whole: DataFrame, giant: DataFrame, num: int, den: int) -> tuple[Da
     own = beside(whole.select("gid", "node", "s2", "n"), giant, "gid", F.col("s2"))
     picks = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)])
     pivots = own.groupBy("gid").agg(F.array_distinct(picks).alias("_p")).select("gid", F.explode("_p").alias("pivot"))
-    pivots = stored(pivots.join(whole.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens")).dropDuplicates(["pivot"]), "pivot"))
+    pivots = stored(pivots)
+    held = semi(whole.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens")), pivots.select("pivot"), "pivot")
+    pivots = stored(pivots.join(held.dropDuplicates(["pivot"]), "pivot"))
     met = beside(whole, pivots, "gid", F.col("s2")).where("node != pivot")
     both = F.size(F.array_intersect("tokens", "ptokens"))
     met = met.select("node", "pivot", "n", "pn", both.alias("both")).where(F.col("both") * den >= num * (F.col("n") + F.col("pn") - F.col("both")))
@@ -290,13 +289,14 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     members = stored(member_sets(docs, words, num, den, whole=False, id_col=id_col, text_col=text_col))
     sets = members.where("n > 0")
     tokens = sets.select(F.explode("tokens").alias("h"), "s1").repartition("h").sortWithinPartitions("h", "s1")
-    shared = streamed(tokens, _shared(U64(counted_range(num, den))), "s1 long, h long, df long")
+    shared = streamed(tokens, _shared, "s1 long, h long, df long")
     shared = shared.groupBy("s1").agg(F.collect_list(F.struct("h", "df")).alias("shared"))
     nodes = sets.groupBy("s1").agg(F.max("n").alias("n"), F.max("counted").alias("counted"))
     # A set without shared tokens among those counted still has keys if it has too few counted ones.
     keys = in_arrow(nodes.join(shared, "s1").select("s1", "n", "counted", "shared"), _keys(num, den), "key long, s1 long, n long")
     chained = streamed(keys.repartition("key").sortWithinPartitions("key", "n", "s1"), _chains(num, den), "a long, b long")
     groups = stored(components(chained)).toDF("s1", "gid")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
 
     chosen = members.select("doc_id", "n", "s1", "s2").join(groups, "s1")
     ids = chosen.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
@@ -309,9 +309,12 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     some_giant = not giant.isEmpty()
     if some_giant:
         whole = stored(whole)
-        pivoted, left = _settled(whole, giant, num, den)
+        large = semi(whole, giant.select("gid"), "gid")
+        pivoted, left = _settled(large, giant, num, den)
+        left = stored(left)
+        left = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
         small = whole.join(giant, "gid", "left_anti")
-        again = whole.select("node", "tokens").dropDuplicates(["node"]).join(left, "node").select(F.col("key").alias("gid"), "node", "settled", "tokens")
+        again = large.select("node", "tokens").join(left, "node").select(F.col("key").alias("gid"), "node", "settled", "tokens")
         blocks = small.select("gid", "node", F.lit(False).alias("settled"), "tokens").union(again)
     else:
         blocks = whole.select("gid", "node", F.lit(False).alias("settled"), "tokens")
