@@ -47,7 +47,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=True)
 
 
-STAGES = [("toxicity", toxic), ("jaccard join", near_duplicates), ("decontamination", leaks), ("secret scans", credentials), ("source mixing", mixture)]
+STAGES = [
+    ("toxicity", toxic),
+    ("jaccard join", near_duplicates),
+    ("decontamination", leaks),
+    ("secret scans", credentials),
+    ("source mixing", mixture)
+]
 #: The stages learn, join by similarity and follow seeded orders, which SQL can't express.
 ORACLE_SQL = None
 

@@ -53,12 +53,24 @@ def chat(args: argparse.Namespace) -> None:
         print(json.dumps(history, indent=1))
     query = asked(spark, args.question, filters.filter_metadata(args.locations, args.filter))
     ranked = engine.retrieve(query)
-    shown = ranked.select("rank", "chunk_id", "similarity", F.col("metadata")["title"].alias("title"), F.substring("text", 1, 200).alias("preview"))
+    shown = ranked.select(
+        "rank",
+        "chunk_id",
+        "similarity",
+        F.col("metadata")["title"].alias("title"),
+        F.substring("text", 1, 200).alias("preview"),
+    )
     for row in shown.orderBy("rank").limit(args.show).collect():
         print(f"{row['rank']}. {row['title']} [{row['chunk_id']}] {row['similarity']:.4f}\n   {row['preview']}")
     if args.save_chunks:
         ranked.drop("scores").write.mode("overwrite").json(args.save_chunks)
-    print(generation.answers(generation.contexts(query, ranked), prompt, engine.plugins.generator_of(engine.settings.generation)).first()["answer"])
+    print(
+        generation.answers(
+            generation.contexts(query, ranked),
+            prompt,
+            engine.plugins.generator_of(engine.settings.generation),
+        ).first()["answer"]
+    )
 
 
 def evaluate(args: argparse.Namespace) -> None:
@@ -74,11 +86,21 @@ def evaluate(args: argparse.Namespace) -> None:
             engine.load(args.cache_dir, key)
     else:
         engine.add_documents(data.corpus)
-    queries = evaluation.first_queries(data.queries, args.max_queries, "query_id").join(evaluation.relevant(data.qrels).select("query_id").distinct(), "query_id", "left_semi")
+    queries = evaluation.first_queries(data.queries, args.max_queries, "query_id").join(
+        evaluation.relevant(data.qrels).select("query_id").distinct(),
+        "query_id",
+        "left_semi",
+    )
     ranked, hits = engine.retrieve_with_details(queries)
     docs = engine.chunks.select("chunk_id", "doc_id")
-    final = evaluation.unique_documents(ranked.select("query_id", "chunk_id", "rank").join(docs, "chunk_id").withColumn("stage", F.lit("final")), ["stage", "query_id"])
-    staged = evaluation.unique_documents(hits.select("query_id", "stage", "chunk_id", F.col("stage_rank").alias("rank")).join(docs, "chunk_id"), ["stage", "query_id"])
+    final = evaluation.unique_documents(
+        ranked.select("query_id", "chunk_id", "rank").join(docs, "chunk_id").withColumn("stage", F.lit("final")),
+        ["stage", "query_id"],
+    )
+    staged = evaluation.unique_documents(
+        hits.select("query_id", "stage", "chunk_id", F.col("stage_rank").alias("rank")).join(docs, "chunk_id"),
+        ["stage", "query_id"],
+    )
     per = evaluation.metrics(final.unionByName(staged), data.qrels, args.ks, ("stage",))
     means = evaluation.averages(per, ("stage",)).cache()
     for row in means.orderBy("stage", "k").collect():

@@ -31,7 +31,10 @@ class Plugins:
         if self.make_encoder is None:
             return self.encoders
         named = {s.name: s.model_name or settings.embedding.model_name for s in settings.retrieval.stages}
-        return {stage: embedding.model_encoder(self.make_encoder(settings.embedding, model), settings.embedding.batch_size) for stage, model in named.items()}
+        return {
+            stage: embedding.model_encoder(self.make_encoder(settings.embedding, model), settings.embedding.batch_size) for stage,
+            model in named.items()
+        }
 
     def scorer_of(self, settings: CrossEncoder) -> Callable[[Column, Column], Column] | None:
         return rerank.pair_scorer(self.make_scorer(settings), settings.batch_size) if self.make_scorer else self.scorer
@@ -78,13 +81,29 @@ class Engine:
         """Chunks of processed tables, in the grains that the settings enable."""
         rows = table_chunks.general_chunks(store.kept(tables), self.settings.chunking.enabled_chunk_types)
         meta = F.create_map(F.lit("chunk_type"), F.col("chunk_type"), F.lit("table_id"), F.col("table_id"))
-        return self.add_chunks(rows.select(F.col("id").alias("chunk_id"), F.col("table_id").alias("doc_id"), F.col("content").alias("text"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"), F.size(tx.words(F.col("content"))).alias("token_count"), meta.alias("metadata")))
+        return self.add_chunks(
+            rows.select(
+                F.col("id").alias("chunk_id"),
+                F.col("table_id").alias("doc_id"),
+                F.col("content").alias("text"),
+                F.lit(0).alias("start_char"),
+                F.lit(0).alias("end_char"),
+                F.size(tx.words(F.col("content"))).alias("token_count"),
+                meta.alias("metadata"),
+            )
+        )
 
     def add_chunks(self, new: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
         """Ready-made chunks, with vectors (chunk_id, stage, vector) or without; both are made once and kept."""
         new = store.kept(new)
         if vectors is None:
-            vectors = embedding.by_stage(new, self.settings.retrieval, id_col="chunk_id", settings=self.settings.embedding, encoders=self.plugins.encoders_of(self.settings))
+            vectors = embedding.by_stage(
+                new,
+                self.settings.retrieval,
+                id_col="chunk_id",
+                settings=self.settings.embedding,
+                encoders=self.plugins.encoders_of(self.settings),
+            )
         else:
             index.checked_stages(new, vectors, self.settings.retrieval)
         vectors = store.kept(vectors)
@@ -116,7 +135,14 @@ class Engine:
     def search(self, queries: DataFrame) -> DataFrame:
         """Candidates of every stage for (query_id, text)."""
         self._indexed()
-        asked = embedding.by_stage(queries, self.settings.retrieval, id_col="query_id", settings=self.settings.embedding, encoders=self.plugins.encoders_of(self.settings), query=True)
+        asked = embedding.by_stage(
+            queries,
+            self.settings.retrieval,
+            id_col="query_id",
+            settings=self.settings.embedding,
+            encoders=self.plugins.encoders_of(self.settings),
+            query=True,
+        )
         return index.search(asked, self.vectors, self.settings.retrieval)
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
@@ -134,17 +160,30 @@ class Engine:
         if retrieval.epsilon_bm25:
             self._words = self._words or bm25.fit(self.chunks, "chunk_id")
             raw = bm25.scores(queries, self._words, candidates=pairs.withColumnRenamed("chunk_id", "item_id"))
-            words = raw.select("query_id", F.col("item_id").alias("chunk_id"), bm25.normalized(F.col("score"), self._words.mean_length).alias("value"))
+            words = raw.select(
+                "query_id",
+                F.col("item_id").alias("chunk_id"),
+                bm25.normalized(F.col("score"), self._words.mean_length).alias("value"),
+            )
         if retrieval.enable_structural_similarity and retrieval.zeta_structural_similarity and self.structures is not None:
             stage = retrieval.stages[0]
             encode = self.plugins.encoders_of(self.settings).get(stage.name, embedding.hash_encoder)
             if self._structure_vectors is None:
-                self._structure_vectors = structural.cached_vectors(self.structures, self.structure_cache or store.new_folder(self.spark), stage.dimension, encode)
+                self._structure_vectors = structural.cached_vectors(
+                    self.structures,
+                    self.structure_cache or store.new_folder(self.spark),
+                    stage.dimension,
+                    encode,
+                )
             similar = structural.scores(pairs, queries, self.chunks, self._structure_vectors, stage.dimension, encode)
         rows = fusion.fuse(hits, self.chunks, queries, retrieval, bm25=words, structural=similar)
         asked = queries.select("query_id", F.col("text").alias("question"))
         if self.settings.cross_encoder is not None:
-            rows = rerank.pairs(rows.join(asked, "query_id"), self.settings.cross_encoder.top_n, self.plugins.scorer_of(self.settings.cross_encoder)).drop("question")
+            rows = rerank.pairs(
+                rows.join(asked, "query_id"),
+                self.settings.cross_encoder.top_n,
+                self.plugins.scorer_of(self.settings.cross_encoder),
+            ).drop("question")
         if self.settings.use_graph_rerank:
             rows = rerank.graph(rows)
         return rows.withColumn("scores", fusion.score_map()), hits
@@ -153,7 +192,11 @@ class Engine:
         """(query_id, question, prompt, answer, references, metadata) for all queries."""
         ranked = self.retrieve(queries)
         held = generation.contexts(queries, ranked)
-        return generation.answers(held, system_prompt or self.settings.generation.system_prompt, self.plugins.generator_of(self.settings.generation))
+        return generation.answers(
+            held,
+            system_prompt or self.settings.generation.system_prompt,
+            self.plugins.generator_of(self.settings.generation),
+        )
 
     def structure_of(self, chunks: DataFrame) -> DataFrame:
         """Structure records from table structure chunks, kept for structural similarity."""

@@ -68,13 +68,18 @@ def normalized_structure(s: Column) -> Column:
 
     def column(c: Column) -> Column:
         samples = F.filter(F.slice(F.coalesce(c["samples"], F.array().cast("array<string>")), 1, 3), lambda x: x.rlike(r"\S"))
-        shown = F.when(F.size(samples) > 0, F.concat(F.lit(": "), F.array_join(F.transform(samples, lambda x: F.substring(x, 1, 50)), ", "))).otherwise(F.lit(""))
+        shown = F.when(
+            F.size(samples) > 0,
+            F.concat(F.lit(": "), F.array_join(F.transform(samples, lambda x: F.substring(x, 1, 50)), ", ")),
+        ).otherwise(F.lit(""))
         return F.concat(c["name"], F.lit(" ("), F.coalesce(c["type"], F.lit("unknown")), F.lit(")"), shown)
 
     named = F.filter(s["columns"], lambda c: c["name"] != "")
     size = F.when(s["rows"] > 100, F.lit("large")).when(s["rows"] < 5, F.lit("small"))
     width = F.when(F.size(s["columns"]) > 8, F.lit("wide")).when(F.size(s["columns"]) <= 2, F.lit("narrow"))
-    patterns = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce(s["patterns"], F.array().cast("array<string>")), F.array(size, width)))))
+    patterns = F.array_sort(
+        F.array_distinct(F.array_compact(F.concat(F.coalesce(s["patterns"], F.array().cast("array<string>")), F.array(size, width))))
+    )
     parts = F.array(
         F.when(description.isNotNull() & (s["table_description"] != ""), F.concat(F.lit("Description: "), description)),
         F.when(F.size(named) > 0, F.concat(F.lit("Columns: "), F.array_join(F.transform(named, column), " | "))),

@@ -73,7 +73,17 @@ def idf(n: int):
     return F.greatest(F.lit(0.1), F.log(F.greatest(F.lit(1.1), (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
 
 
-def scores(queries: DataFrame, known: Statistics, *, query_col: str = "query_id", text_col: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON, candidates: DataFrame | None = None) -> DataFrame:
+def scores(
+    queries: DataFrame,
+    known: Statistics,
+    *,
+    query_col: str = "query_id",
+    text_col: str = "text",
+    k1: float = K1,
+    b: float = B,
+    epsilon: float = EPSILON,
+    candidates: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, item_id, score) of documents that share a term with a query.
 
     candidates: (query_id, item_id) pairs to score; without it every document is. A term that the fitted corpus lacks
@@ -85,7 +95,9 @@ def scores(queries: DataFrame, known: Statistics, *, query_col: str = "query_id"
         hits = hits.join(candidates.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_semi")
     weights = known.frequencies.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", idf(known.n))
     hits = hits.join(weights, "term", "left")
-    tf, qtf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(known.mean_length, 1e-9))), F.col("qtf") * (k1 + 1) / (F.col("qtf") + k1)
+    tf, qtf = F.col("tf") * (k1 + 1) / (
+        F.col("tf") + k1 * (1 - b + b * F.col("length") / max(known.mean_length, 1e-9))
+    ), F.col("qtf") * (k1 + 1) / (F.col("qtf") + k1)
     gain = F.when(F.col("df").isNull(), epsilon * math.log(known.n + 1) * F.col("qtf")).otherwise(F.col("idf") * tf * qtf)
     return hits.groupBy("query_id", "item_id").agg(F.sum(gain).alias("score"))
 

@@ -20,8 +20,15 @@ def token_chunks(docs: DataFrame, settings: Chunking | None = None) -> DataFrame
     """
     settings = settings or Chunking()
     stride = settings.stride
-    meta = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")) if "metadata" in docs.columns else F.create_map().cast("map<string,string>")
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), tx.words(F.col("text")).alias("_tokens"), meta.alias("_meta")).where(F.size("_tokens") > 0)
+    meta = F.coalesce(
+        F.col("metadata"),
+        F.create_map().cast("map<string,string>"),
+    ) if "metadata" in docs.columns else F.create_map().cast("map<string,string>")
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        tx.words(F.col("text")).alias("_tokens"),
+        meta.alias("_meta"),
+    ).where(F.size("_tokens") > 0)
     starts = F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(stride))
     windows = F.transform(starts, lambda i: F.slice("_tokens", i + 1, settings.max_tokens))
     each = rows.select("doc_id", "_meta", F.posexplode(windows).alias("chunk_index", "_window"))

@@ -37,7 +37,16 @@ def hash_encoder(text: Column, dimension: int) -> Column:
     return vx.hash_vector(text, dimension)
 
 
-def by_stage(rows: DataFrame, retrieval: Retrieval, *, id_col: str, text_col: str = "text", settings: Embedding | None = None, encoders: dict[str, Encoder] | None = None, query: bool = False) -> DataFrame:
+def by_stage(
+    rows: DataFrame,
+    retrieval: Retrieval,
+    *,
+    id_col: str,
+    text_col: str = "text",
+    settings: Embedding | None = None,
+    encoders: dict[str, Encoder] | None = None,
+    query: bool = False,
+) -> DataFrame:
     """(id, stage, vector): each stage's encoder, cut or filled to its dimension, normalised if asked for.
 
     encoders: by model name or stage name; a stage without one uses hashes. query: normalise as queries are.
@@ -56,13 +65,25 @@ def by_stage(rows: DataFrame, retrieval: Retrieval, *, id_col: str, text_col: st
     return rows.select(F.col(id_col), F.explode(F.array(*parts)).alias("s")).select(id_col, "s.stage", "s.vector")
 
 
-def multi_resolution(rows: DataFrame, dimensions: list[int], *, id_col: str, vector_col: str = "vector", normalize: bool = True) -> DataFrame:
+def multi_resolution(
+    rows: DataFrame,
+    dimensions: list[int],
+    *,
+    id_col: str,
+    vector_col: str = "vector",
+    normalize: bool = True,
+) -> DataFrame:
     """(id, dimension, vector): the full vector, cut or filled to the largest dimension, and its first numbers for each
     smaller one, normalised again after the cut."""
     most = max(dimensions, default=2048)
     full = vx.fitted(F.col(vector_col), most)
     base = rows.select(id_col, (vx.l2_normalized(full) if normalize else full).alias("_full"))
-    parts = [F.struct(F.lit(d).alias("dimension"), vx.l2_normalized(F.slice("_full", 1, d)).alias("vector")) for d in sorted(set(dimensions) or {most})]
+    parts = [
+        F.struct(
+            F.lit(d).alias("dimension"),
+            vx.l2_normalized(F.slice("_full", 1, d)).alias("vector"),
+        ) for d in sorted(set(dimensions) or {most})
+    ]
     return base.select(id_col, F.explode(F.array(*parts)).alias("s")).select(id_col, "s.dimension", "s.vector")
 
 
@@ -70,5 +91,8 @@ def one_vector_each(texts: DataFrame, dimensions: list[int], encoder: Encoder =
     """(id, dimension, vector) of texts that have no id: ids are `row-` and the place."""
     from ..sources.ingest import numbered
 
-    rows = numbered(texts, "_place").select(F.concat(F.lit("row-"), F.col("_place").cast("string")).alias("id"), encoder(F.col("text"), max(dimensions)).alias("vector"))
+    rows = numbered(texts, "_place").select(
+        F.concat(F.lit("row-"), F.col("_place").cast("string")).alias("id"),
+        encoder(F.col("text"), max(dimensions)).alias("vector"),
+    )
     return multi_resolution(rows, dimensions, id_col="id")

@@ -26,18 +26,35 @@ def metrics(ranked: DataFrame, qrels: DataFrame, ks: list[int], keys: tuple[str,
     """
     by = [*keys, "query_id"]
     good = relevant(qrels)
-    wanted = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.sort_array(F.collect_list("relevance"), asc=False).alias("all"))
+    wanted = good.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("wanted"),
+        F.sort_array(F.collect_list("relevance"), asc=False).alias("all"),
+    )
     rows = ranked.join(good, ["query_id", "doc_id"], "left").withColumn("gain", F.coalesce("relevance", F.lit(0.0)))
     best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("gain"), F.asc("rank")))
     rows = rows.withColumn("ideal", best)
     at = lambda name, k: F.sum(F.when(F.col(name) <= k, F.col("gain") / F.log2(F.col(name) + 1.0)).otherwise(0.0))
     found = [F.min(F.when(F.col("gain") > 0, F.col("rank"))).alias("first")]
     for k in ks:
-        found += [F.count_if((F.col("rank") <= k) & (F.col("gain") > 0)).alias(f"hits{k}"), at("rank", k).alias(f"dcg{k}"), at("ideal", k).alias(f"idcg{k}")]
+        found += [
+            F.count_if((F.col("rank") <= k) & (F.col("gain") > 0)).alias(f"hits{k}"),
+            at("rank", k).alias(f"dcg{k}"),
+            at("ideal", k).alias(f"idcg{k}")
+        ]
     per = rows.groupBy(*by).agg(*found).join(wanted, "query_id")
     full = lambda k: F.aggregate(F.transform(F.slice("all", 1, k), lambda g, i: g / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"hits{k}") / max(k, 1)).alias("precision"), (F.col(f"hits{k}") / F.greatest("wanted", F.lit(1))).alias("recall"), ratio(F.col(f"dcg{k}"), F.col(f"idcg{k}")).alias("ndcg"), ratio(F.col(f"dcg{k}"), full(k)).alias("ndcg_full")) for k in ks])
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("k"),
+                (F.col(f"hits{k}") / max(k, 1)).alias("precision"),
+                (F.col(f"hits{k}") / F.greatest("wanted", F.lit(1))).alias("recall"),
+                ratio(F.col(f"dcg{k}"), F.col(f"idcg{k}")).alias("ndcg"),
+                ratio(F.col(f"dcg{k}"), full(k)).alias("ndcg_full"),
+            ) for k in ks
+        ]
+    )
     return per.select(*by, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.explode(each).alias("m")).select(*by, "m.*", "mrr")
 
 

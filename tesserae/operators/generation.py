@@ -26,12 +26,25 @@ def contexts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def prompt(system: Column | str) -> Column:
     head = F.lit(system) if isinstance(system, str) else system
-    blocks = F.array_join(F.transform("items", lambda x: F.concat(F.lit("["), x["chunk_id"].cast("string"), F.lit("] "), tx.stripped(x["text"]))), "\n\n")
-    return F.concat(head, F.lit("\n\nContext:\n"), F.when(blocks == "", NO_CONTEXT).otherwise(blocks), F.lit("\n\nQuestion: "), F.col("question"), F.lit("\nAnswer:"))
+    blocks = F.array_join(
+        F.transform("items", lambda x: F.concat(F.lit("["), x["chunk_id"].cast("string"), F.lit("] "), tx.stripped(x["text"]))),
+        "\n\n",
+    )
+    return F.concat(
+        head,
+        F.lit("\n\nContext:\n"),
+        F.when(blocks == "", NO_CONTEXT).otherwise(blocks),
+        F.lit("\n\nQuestion: "),
+        F.col("question"),
+        F.lit("\nAnswer:"),
+    )
 
 
 def fallback() -> Column:
-    lines = F.transform("items", lambda x: F.concat(F.lit("- ["), x["chunk_id"].cast("string"), F.lit("] "), F.substring(x["text"], 1, 150), F.lit("...")))
+    lines = F.transform(
+        "items",
+        lambda x: F.concat(F.lit("- ["), x["chunk_id"].cast("string"), F.lit("] "), F.substring(x["text"], 1, 150), F.lit("...")),
+    )
     return F.array_join(F.concat(F.array(F.lit(NO_MODEL)), lines), "\n")
 
 
@@ -51,5 +64,8 @@ def answers(held: DataFrame, system: Column | str, model: Callable[[Column], Col
     rows = held.withColumn("prompt", prompt(system))
     said = F.coalesce(F.nullif(model(F.col("prompt")), F.lit("")), fallback()) if model else fallback()
     return rows.withColumn("answer", said).select(
-        "query_id", "question", "prompt", "answer", F.transform("items", lambda x: x["chunk_id"]).alias("references"), F.create_map(F.lit("retrieved_chunks"), F.size("items").cast("double")).alias("metadata")
+        "query_id", "question", "prompt", "answer", F.transform("items", lambda x: x["chunk_id"]).alias("references"), F.create_map(
+            F.lit("retrieved_chunks"),
+            F.size("items").cast("double"),
+        ).alias("metadata")
     )

@@ -145,7 +145,11 @@ def parse(html: str | None, normalize_tags: bool = False) -> dict | None:
     except (AssertionError, RecursionError, ValueError):
         return None
     found = all_below(root, ("table",))
-    rows = [[{"head": c.name == "th", "text": clean(shown(c))} for c in all_below(r, ("td", "th"))] for r in all_below(found[0], ("tr",))[:MOST_ROWS]] if found else []
+    rows = [
+        [
+            {"head": c.name == "th", "text": clean(shown(c))} for c in all_below(r, ("td", "th"))
+        ] for r in all_below(found[0], ("tr",))[:MOST_ROWS]
+    ] if found else []
     return {"found": bool(found), "rows": rows, "title": named}
 
 
@@ -156,7 +160,11 @@ _CELLS = rf"<t[dh]>{_PLAIN}*+</t[dh]>"
 
 def regular(html: Column) -> Column:
     """Whether a text is one table of plain rows and cells, with a caption or without, and nothing else."""
-    rest = F.regexp_replace(F.regexp_replace(html, r"<td>(_PLAIN*+)</td>|<th>(_PLAIN*+)</th>".replace("_PLAIN", _PLAIN), "\u0001"), "<tr>\u0001++</tr>", "\u0002")
+    rest = F.regexp_replace(
+        F.regexp_replace(html, r"<td>(_PLAIN*+)</td>|<th>(_PLAIN*+)</th>".replace("_PLAIN", _PLAIN), "\u0001"),
+        "<tr>\u0001++</tr>",
+        "\u0002",
+    )
     return rest.rlike(rf"^<table>(?:<caption>{_PLAIN}*+</caption>)?\u0002++</table>$")
 
 
@@ -166,12 +174,20 @@ def _regular_parse(html: Column) -> Column:
     cells = lambda r: F.transform(F.filter(F.split(r, "</t[dh]>"), lambda c: c != ""), lambda c: F.struct(c.startswith("<th>").alias("head"), flat(F.substr(c, F.lit(5))).alias("text")))
     # The first rows, cut before they are split: a text may hold many more.
     body = F.substring_index(F.substring_index(html, "</tr>", MOST_ROWS), "<tr>", -MOST_ROWS)
-    body = F.when(F.contains(html, F.lit("</caption>")), F.regexp_replace(body, "^.*</caption>", "")).otherwise(F.regexp_replace(body, "^<table>", ""))
-    rows = F.transform(F.filter(F.split(F.regexp_replace(body, "</?tr>", "\u0001"), "\u0001+"), lambda r: (r != "") & ~r.startswith("</table>")), cells)
+    body = F.when(
+        F.contains(html, F.lit("</caption>")),
+        F.regexp_replace(body, "^.*</caption>", ""),
+    ).otherwise(F.regexp_replace(body, "^<table>", ""))
+    rows = F.transform(
+        F.filter(F.split(F.regexp_replace(body, "</?tr>", "\u0001"), "\u0001+"), lambda r: (r != "") & ~r.startswith("</table>")),
+        cells,
+    )
     caption = flat(F.regexp_extract(html, "^<table><caption>([^<]*)</caption>", 1))
     first = flat(F.regexp_extract(html, "<th>([^<]*)</th>", 1))
     title = F.when(caption != "", caption).when(F.length(first) > 20, first)
-    return F.struct(F.lit(True).alias("found"), rows.alias("rows"), title.alias("title")).cast(f"struct<{PARSED.replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean')}>")
+    return F.struct(F.lit(True).alias("found"), rows.alias("rows"), title.alias("title")).cast(
+        f"struct<{PARSED.replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean')}>"
+    )
 
 
 def parsed(html: Column, normalize_tags: bool = False) -> Column:
@@ -206,22 +222,40 @@ def is_infobox(rows: Column) -> Column:
 def structured(tables: DataFrame) -> DataFrame:
     """Adds kind, headers, rows, num_rows, num_cols to a frame with `table` (as parsed): data table, infobox or text."""
     texts = lambda r: F.transform(r, lambda c: c["text"])
-    df = tables.withColumn("_rows", F.slice(F.coalesce("table.rows", F.array().cast("array<array<struct<head:boolean,text:string>>>")), 1, 50))
+    df = tables.withColumn(
+        "_rows",
+        F.slice(F.coalesce("table.rows", F.array().cast("array<array<struct<head:boolean,text:string>>>")), 1, 50),
+    )
     df = df.withColumn("_box", is_infobox(F.col("_rows")))
     pairs = F.filter(F.filter("_rows", lambda r: F.size(r) >= 2), lambda r: r[0]["text"] != "")
-    places = F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), lambda i: (F.size(F.get("_rows", i)) > 0) & ((i == 0) | F.exists(F.get("_rows", i), lambda c: c["head"])))
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("_rows") - 1),
+        lambda i: (F.size(F.get("_rows", i)) > 0) & ((i == 0) | F.exists(F.get("_rows", i), lambda c: c["head"])),
+    )
     df = df.withColumn("_head", F.when(F.size("_rows") > 0, F.try_element_at(places, F.lit(1))))
     df = df.withColumn("_names", F.filter(texts(F.slice(F.get("_rows", F.col("_head")), 1, 10)), lambda x: x != ""))
-    body = F.filter(F.transform("_rows", lambda r, i: F.struct(i.alias("i"), texts(F.slice(r, 1, 10)).alias("c"))), lambda x: (F.coalesce(x["i"] != F.col("_head"), F.lit(True))) & F.exists(x["c"], lambda t: t != ""))
+    body = F.filter(
+        F.transform("_rows", lambda r, i: F.struct(i.alias("i"), texts(F.slice(r, 1, 10)).alias("c"))),
+        lambda x: (F.coalesce(x["i"] != F.col("_head"), F.lit(True))) & F.exists(x["c"], lambda t: t != ""),
+    )
     df = df.withColumn("_body", F.transform(body, lambda x: x["c"]))
     found = F.coalesce(F.col("table.found"), F.lit(False))
     none = F.array().cast("array<string>")
-    names = F.when(F.col("_box"), F.slice(F.transform(pairs, lambda r: r[0]["text"]), 1, 10)).otherwise(F.slice(F.coalesce("_names", none), 1, 10))
+    names = F.when(
+        F.col("_box"),
+        F.slice(F.transform(pairs, lambda r: r[0]["text"]), 1, 10),
+    ).otherwise(F.slice(F.coalesce("_names", none), 1, 10))
     values = F.when(F.col("_box"), F.slice(F.transform(pairs, lambda r: F.array(r[1]["text"])), 1, 10)).otherwise(F.slice("_body", 1, 50))
-    widest = F.when(F.size("_body") > 0, F.array_max(F.transform("_body", lambda r: F.size(r)))).otherwise(F.size(F.coalesce("_names", none)))
+    widest = F.when(
+        F.size("_body") > 0,
+        F.array_max(F.transform("_body", lambda r: F.size(r))),
+    ).otherwise(F.size(F.coalesce("_names", none)))
     return df.withColumns(
         {
-            "kind": F.when(F.col("table.found").isNull(), "fallback").when(~found, "text").when(F.col("_box"), "infobox").otherwise("table"),
+            "kind": F.when(
+                F.col("table.found").isNull(),
+                "fallback",
+            ).when(~found, "text").when(F.col("_box"), "infobox").otherwise("table"),
             "headers": F.when(found, names).otherwise(none),
             "rows": F.when(found, values).otherwise(F.array().cast("array<array<string>>")),
             "num_rows": F.when(found, F.when(F.col("_box"), F.size(pairs)).otherwise(F.size("_body"))).otherwise(0),
@@ -232,8 +266,18 @@ def structured(tables: DataFrame) -> DataFrame:
 
 def description(kind: Column, headers: Column, num_rows: Column, question: Column) -> Column:
     """A sentence about a table, with its question; at most 500 characters."""
-    columns = F.when(F.size(headers) > 0, F.concat(F.lit(" with columns: "), F.array_join(F.slice(headers, 1, 5), ", "))).otherwise(F.lit(""))
-    said = F.concat(F.lit("This table contains "), num_rows.cast("string"), F.lit(" rows"), columns, F.lit(". It relates to the question: "), F.substring(question, 1, 100))
+    columns = F.when(
+        F.size(headers) > 0,
+        F.concat(F.lit(" with columns: "), F.array_join(F.slice(headers, 1, 5), ", ")),
+    ).otherwise(F.lit(""))
+    said = F.concat(
+        F.lit("This table contains "),
+        num_rows.cast("string"),
+        F.lit(" rows"),
+        columns,
+        F.lit(". It relates to the question: "),
+        F.substring(question, 1, 100),
+    )
     plain = F.concat(F.lit("Table related to: "), question)
     return F.substring(F.when(kind.isin("table", "infobox"), said).otherwise(plain), 1, 500)
 
@@ -267,4 +311,7 @@ def normalized_cells(html: Column, normalize: Column | None = None) -> Column:
     table = parsed(html)
     each = normalize or (lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"([^\p{L}\p{N}\s])", " $1 "), r"\s+", " ")))
     rows = F.transform(table["rows"], lambda r: F.transform(r, lambda c: each(c["text"])))
-    return F.struct(F.coalesce(F.try_element_at(rows, F.lit(1)), F.array().cast("array<string>")).alias("headers"), F.slice(rows, 2, 1000).alias("rows"))
+    return F.struct(
+        F.coalesce(F.try_element_at(rows, F.lit(1)), F.array().cast("array<string>")).alias("headers"),
+        F.slice(rows, 2, 1000).alias("rows"),
+    )

@@ -58,7 +58,11 @@ def top_k_blocks(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str =
     """The same by products of matrices over Arrow batches. A query matrix holds about BLOCK queries; more go block by
     block."""
     blocks = max(1, -(-queries.count() // BLOCK))
-    marked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    marked = queries.where(F.col("vector").isNotNull()).select(
+        "query_id",
+        F.col("vector").cast("array<double>").alias("vector"),
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"),
+    )
     parts = [_block_scores(marked.where(F.col("_block") == b), corpus, k, metric, precision) for b in range(blocks)]
     out = functools.reduce(DataFrame.union, parts)
     return ranked(out, ["query_id"], "item_id", k).select("query_id", "item_id", "score", "stage_rank")
@@ -101,7 +105,10 @@ def _block_scores(queries: DataFrame, corpus: DataFrame, k: int, metric: str, pr
         if held is not None:
             scores, items = held
             query = pa.concat_arrays(ids.chunks).take(pa.array(np.tile(np.arange(len(ids)), len(scores))))
-            yield pa.RecordBatch.from_arrays([query, pa.array(items.ravel(), kind), pa.array(scores.ravel())], ["query_id", "item_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [query, pa.array(items.ravel(), kind), pa.array(scores.ravel())],
+                ["query_id", "item_id", "score"],
+            )
 
     kinds = dict(corpus.dtypes) | dict(queries.dtypes)
     items = corpus.where(F.col("vector").isNotNull()).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
@@ -114,7 +121,13 @@ def search(queries: DataFrame, corpus: DataFrame, retrieval: Retrieval) -> DataF
     for stage in retrieval.stages:
         own = corpus.where(F.col("stage") == stage.name).select(F.col("chunk_id").alias("item_id"), "vector")
         asked = queries.where(F.col("stage") == stage.name).select("query_id", "vector")
-        found = near_candidates(asked, own, stage.top_k, probes=stage.probes, metric=stage.metric) if stage.search == "cells" else top_k(asked, own, stage.top_k, metric=stage.metric)
+        found = near_candidates(
+            asked,
+            own,
+            stage.top_k,
+            probes=stage.probes,
+            metric=stage.metric,
+        ) if stage.search == "cells" else top_k(asked, own, stage.top_k, metric=stage.metric)
         parts.append(found.withColumn("stage", F.lit(stage.name)))
     out = parts[0]
     for p in parts[1:]:
@@ -171,14 +184,25 @@ def in_cells(rows: DataFrame, name: str, centres: np.ndarray, k: int) -> DataFra
             for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
                 cells = nearest(matrix(part.column(1)), sent.value, k)
                 at = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(cells.ravel().astype(np.int32))], [name, "vector", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(cells.ravel().astype(np.int32))],
+                    [name, "vector", "cell"],
+                )
 
     kind = dict(rows.dtypes)[name]
     rows = rows.where(F.col("vector").isNotNull()).select(name, F.col("vector").cast("array<double>").alias("vector"))
     return rows.mapInArrow(assign, f"{name} {kind}, vector array<double>, cell int")
 
 
-def near_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, probes: int = 12, metric: str = "dot", centres: np.ndarray | None = None) -> DataFrame:
+def near_candidates(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    *,
+    probes: int = 12,
+    metric: str = "dot",
+    centres: np.ndarray | None = None,
+) -> DataFrame:
     """Approximate search: all items lie in cells, a query looks at its `probes` nearest ones, scores are exact there.
 
     Cells are fitted on a bounded sample, every item is in one. A cell with many items is dealt over SALTS tasks. Recall
@@ -187,8 +211,14 @@ def near_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, probes: in
     centres = cell_centres(corpus) if centres is None else centres
     if not len(centres):
         return top_k(queries, corpus, k, metric=metric)
-    items = in_cells(corpus, "item_id", centres, 1).withColumnRenamed("vector", "_item").withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)))
-    asked = in_cells(queries, "query_id", centres, probes).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    items = in_cells(corpus, "item_id", centres, 1).withColumnRenamed("vector", "_item").withColumn(
+        "_salt",
+        F.pmod(F.xxhash64("item_id"), F.lit(SALTS)),
+    )
+    asked = in_cells(queries, "query_id", centres, probes).withColumn(
+        "_salt",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))),
+    )
     met = items.join(asked, ["cell", "_salt"])
     scores = met.select("query_id", "item_id", similarity(metric, F.col("vector"), F.col("_item")).alias("score"))
     return ranked(scores, ["query_id"], "item_id", k).select("query_id", "item_id", "score", "stage_rank")

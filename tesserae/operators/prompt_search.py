@@ -47,8 +47,22 @@ def scored(prompts: list[str], held: DataFrame, examples: DataFrame, model: Call
     """Mean F1 of the answers to all examples under each prompt, in one job: contexts don't depend on the prompt."""
     given = examples.sparkSession.createDataFrame(list(enumerate(prompts)), "n int, system string")
     rows = held.join(examples.select("query_id", "reference_answer"), "query_id").crossJoin(F.broadcast(given))  # a few prompts
-    said = generation.answers(rows.select("query_id", "question", "items", "n", "system", "reference_answer").withColumn("query_id", F.struct("query_id", "n", "reference_answer")), F.col("system"), model)
-    means = said.select(F.col("query_id.n").alias("n"), tx.prompt_f1(F.col("query_id.reference_answer"), F.col("answer")).alias("f")).groupBy("n").agg(F.avg("f").alias("f"))
+    said = generation.answers(
+        rows.select(
+            "query_id",
+            "question",
+            "items",
+            "n",
+            "system",
+            "reference_answer",
+        ).withColumn("query_id", F.struct("query_id", "n", "reference_answer")),
+        F.col("system"),
+        model,
+    )
+    means = said.select(
+        F.col("query_id.n").alias("n"),
+        tx.prompt_f1(F.col("query_id.reference_answer"), F.col("answer")).alias("f"),
+    ).groupBy("n").agg(F.avg("f").alias("f"))
     found = {r["n"]: r["f"] for r in means.collect()}
     return {p: found.get(i, 0.0) for i, p in enumerate(prompts)}
 
@@ -65,14 +79,27 @@ def chosen(held: Trial, tried: Sequence[Trial], gain: float) -> Trial:
     return functools.reduce(lambda best, trial: trial if trial.score > best.score + gain else best, tried, held)
 
 
-def trials(prompt: str, step: int, held: DataFrame, examples: DataFrame, settings: Search, model: Callable[[Column], Column] | None) -> list[Trial]:
+def trials(
+    prompt: str,
+    step: int,
+    held: DataFrame,
+    examples: DataFrame,
+    settings: Search,
+    model: Callable[[Column], Column] | None,
+) -> list[Trial]:
     """A step's candidates with their scores, from one job."""
     texts = candidates(prompt, settings, step) if step else [prompt]
     found = scored(texts, held, examples, model) if texts else {}
     return [Trial(step, found[t], t) for t in texts]
 
 
-def history(base: str, held: DataFrame, examples: DataFrame, settings: Search | None = None, model: Callable[[Column], Column] | None = None) -> list[Trial]:
+def history(
+    base: str,
+    held: DataFrame,
+    examples: DataFrame,
+    settings: Search | None = None,
+    model: Callable[[Column], Column] | None = None,
+) -> list[Trial]:
     """The base prompt and each prompt that replaced the one before it, until a step brings nothing or steps run out."""
     settings = settings or Search()
     if examples.isEmpty():
@@ -88,7 +115,13 @@ def history(base: str, held: DataFrame, examples: DataFrame, settings: Search |
     return kept
 
 
-def optimize(base: str, held: DataFrame, examples: DataFrame, settings: Search | None = None, model: Callable[[Column], Column] | None = None) -> tuple[str, list[dict]]:
+def optimize(
+    base: str,
+    held: DataFrame,
+    examples: DataFrame,
+    settings: Search | None = None,
+    model: Callable[[Column], Column] | None = None,
+) -> tuple[str, list[dict]]:
     """The best prompt, and what led to it."""
     kept = history(base, held, examples, settings, model)
     return kept[-1].prompt, [dataclasses.asdict(t) for t in kept]

@@ -60,7 +60,12 @@ def graph(ranked: DataFrame, threshold: float = 0.1, boost: float = 0.05) -> Dat
         either = F.size(a["w"]) + F.size(b["w"]) - both
         return (a["rank"] != b["rank"]) & (either > 0) & (both / F.greatest(either, F.lit(1)) >= threshold)
 
-    degrees = F.transform("all", lambda a: F.struct(a["chunk_id"].alias("chunk_id"), F.size(F.filter("all", lambda b: near(a, b))).alias("degree")))
-    each = held.select("query_id", F.explode(degrees).alias("d")).select("query_id", "d.chunk_id", "d.degree").groupBy("query_id", "chunk_id").agg(F.sum("degree").cast("int").alias("degree"))
+    degrees = F.transform(
+        "all",
+        lambda a: F.struct(a["chunk_id"].alias("chunk_id"), F.size(F.filter("all", lambda b: near(a, b))).alias("degree")),
+    )
+    each = held.select("query_id", F.explode(degrees).alias("d")).select("query_id", "d.chunk_id", "d.degree").groupBy("query_id", "chunk_id").agg(
+        F.sum("degree").cast("int").alias("degree")
+    )
     rows = ranked.join(each, ["query_id", "chunk_id"]).withColumn("similarity", F.col("similarity") + boost * F.col("degree"))
     return _ranked(rows, "similarity")

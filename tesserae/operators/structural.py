@@ -29,7 +29,10 @@ def cached_vectors(structures: DataFrame, root: str, dimension: int, encoder: En
     made = lacking.select("content_key", encoder(F.col("text"), dimension).cast("array<double>").alias("vector"))
     store.kept(made).write.mode("append").parquet(f"{path}/vectors")
     known = spark.read.parquet(f"{path}/vectors")
-    return texts.select("table_id", F.md5(F.col("text").cast("binary")).alias("content_key")).join(known, "content_key").select("table_id", "content_key", "vector")
+    return texts.select(
+        "table_id",
+        F.md5(F.col("text").cast("binary")).alias("content_key"),
+    ).join(known, "content_key").select("table_id", "content_key", "vector")
 
 
 def table_of(chunk_id: str = "chunk_id") -> F.Column:
@@ -37,12 +40,23 @@ def table_of(chunk_id: str = "chunk_id") -> F.Column:
     return F.coalesce(F.try_element_at("metadata", F.lit("table_id")), F.substring_index(chunk_id, "_", 1))
 
 
-def scores(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, vectors: DataFrame, dimension: int, encoder: Encoder = hash_encoder) -> DataFrame:
+def scores(
+    candidates: DataFrame,
+    queries: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    dimension: int,
+    encoder: Encoder = hash_encoder,
+) -> DataFrame:
     """(query_id, chunk_id, value) in 0..1 for candidate pairs; 0 for a chunk whose table has no structure."""
     asked = queries.select("query_id", encoder(sx.query_structure(F.col("text")), dimension).alias("_q"))
     rows = candidates.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", table_of().alias("table_id")), "chunk_id")
     rows = rows.join(vectors.select("table_id", "vector"), "table_id", "left").join(asked, "query_id")
-    return rows.select("query_id", "chunk_id", F.coalesce(vx.unit_interval(vx.cosine(F.col("_q"), F.col("vector"))), F.lit(0.0)).alias("value"))
+    return rows.select(
+        "query_id",
+        "chunk_id",
+        F.coalesce(vx.unit_interval(vx.cosine(F.col("_q"), F.col("vector"))), F.lit(0.0)).alias("value"),
+    )
 
 
 def compare(query: DataFrame, candidates: DataFrame, dimension: int, encoder: Encoder = hash_encoder) -> DataFrame:
@@ -54,6 +68,10 @@ def compare(query: DataFrame, candidates: DataFrame, dimension: int, encoder: En
     marked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     out = None
     for b in range(blocks):
-        part = held.crossJoin(F.broadcast(marked.where(F.col("_block") == b))).select("query_id", "candidate_id", vx.unit_interval(vx.cosine(F.col("_q"), F.col("_c"))).alias("value"))
+        part = held.crossJoin(F.broadcast(marked.where(F.col("_block") == b))).select(
+            "query_id",
+            "candidate_id",
+            vx.unit_interval(vx.cosine(F.col("_q"), F.col("_c"))).alias("value"),
+        )
         out = part if out is None else out.union(part)
     return out

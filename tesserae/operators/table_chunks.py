@@ -21,7 +21,13 @@ def _shown(cell: Column) -> Column:
 
 def _chunks(df: DataFrame, tail: Column, kind: str, content: Column, **metadata: Column) -> DataFrame:
     meta = F.to_json(F.struct(*[c.alias(k) for k, c in metadata.items()]))
-    return df.select(F.concat("table_id", F.lit("_"), tail).alias("id"), "table_id", F.lit(kind).alias("chunk_type"), content.alias("content"), meta.alias("metadata"))
+    return df.select(
+        F.concat("table_id", F.lit("_"), tail).alias("id"),
+        "table_id",
+        F.lit(kind).alias("chunk_type"),
+        content.alias("content"),
+        meta.alias("metadata"),
+    )
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -53,13 +59,23 @@ def column_values(rows: Column, at: Column, most: int) -> Column:
 
 def last_value_map(names: Column, values: Column) -> Column:
     """A map from two arrays in which the last of equal names wins; values that show nothing are left out."""
-    pairs = F.filter(F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), lambda e: e["key"].isNotNull() & _shown(e["value"]))
+    pairs = F.filter(
+        F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))),
+        lambda e: e["key"].isNotNull() & _shown(e["value"]),
+    )
     place = F.transform(pairs, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
     last = F.filter(place, lambda x: ~F.exists(place, lambda y: (y["e"]["key"] == x["e"]["key"]) & (y["i"] > x["i"])))
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["e"]["key"], tx.stripped(x["e"]["value"]))))
 
 
-def windows(text: Column, size: int, overlap: int, ratio: float = 0.7, separators: tuple[str, ...] = (" || ", " | ", " "), keep_separator: bool = True) -> Column:
+def windows(
+    text: Column,
+    size: int,
+    overlap: int,
+    ratio: float = 0.7,
+    separators: tuple[str, ...] = (" || ", " | ", " "),
+    keep_separator: bool = True,
+) -> Column:
     """Overlapping windows as array<struct<start,end>>, in closed form.
 
     Only the first window ends at a separator (the last one found beyond `ratio` of it); the others end where they end.
@@ -73,7 +89,13 @@ def windows(text: Column, size: int, overlap: int, ratio: float = 0.7, separator
     end = F.when(n <= size, n).otherwise(end).cast("int")
     step = size - overlap
     more = F.when(end >= n, 0).otherwise(1 + F.greatest(F.lit(0), F.ceil((n - (end - overlap + size)) / F.lit(step)).cast("int")))
-    rest = F.transform(F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>")), lambda i: F.struct((end - overlap + (i - 1) * step).cast("int").alias("start"), F.least(end - overlap + (i - 1) * step + size, n).cast("int").alias("end")))
+    rest = F.transform(
+        F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(
+            (end - overlap + (i - 1) * step).cast("int").alias("start"),
+            F.least(end - overlap + (i - 1) * step + size, n).cast("int").alias("end"),
+        ),
+    )
     return F.concat(F.array(F.struct(F.lit(0).alias("start"), end.alias("end"))), rest)
 
 
@@ -87,56 +109,127 @@ def _windows(tables: DataFrame, above: int, size: int, overlap: int, **options)
 
 
 def full_table(tables: DataFrame) -> DataFrame:
-    return _chunks(tables.where(_shown(F.col("linearized"))), F.lit("full_table"), "full_table", F.col("linearized"), answers=F.col("answers"), example_id=F.col("example_id"))
+    return _chunks(
+        tables.where(_shown(F.col("linearized"))),
+        F.lit("full_table"),
+        "full_table",
+        F.col("linearized"),
+        answers=F.col("answers"),
+        example_id=F.col("example_id"),
+    )
 
 
 def table_only(tables: DataFrame) -> DataFrame:
-    return _chunks(tables.where(_shown(F.col("linearized"))), F.lit("table_only"), "table_only", F.col("linearized"), example_id=F.col("example_id"))
+    return _chunks(
+        tables.where(_shown(F.col("linearized"))),
+        F.lit("table_only"),
+        "table_only",
+        F.col("linearized"),
+        example_id=F.col("example_id"),
+    )
 
 
 def pure_table(tables: DataFrame) -> DataFrame:
     some = tables.where("size(headers) > 0 and size(rows) > 0")
     content = F.to_json(F.struct(F.col("headers").alias("columns"), F.col("rows").alias("rows")))
-    return _chunks(some, F.lit("pure_table"), "pure_table", content, table_id=F.col("table_id"), num_rows=F.size("rows"), num_columns=F.size("headers"), format=F.lit("pure_table_json"))
+    return _chunks(
+        some,
+        F.lit("pure_table"),
+        "pure_table",
+        content,
+        table_id=F.col("table_id"),
+        num_rows=F.size("rows"),
+        num_columns=F.size("headers"),
+        format=F.lit("pure_table_json"),
+    )
 
 
 def table_rows(tables: DataFrame) -> DataFrame:
     each = _rows(tables).withColumn("_text", row_text(F.col("headers"), F.col("row"))).where("_text != ''")
-    return _chunks(each, F.concat(F.lit("row_"), F.col("row_index").cast("string")), "table_row", F.col("_text"), example_id=F.col("example_id"), row_index=F.col("row_index"))
+    return _chunks(
+        each,
+        F.concat(F.lit("row_"), F.col("row_index").cast("string")),
+        "table_row",
+        F.col("_text"),
+        example_id=F.col("example_id"),
+        row_index=F.col("row_index"),
+    )
 
 
 def table_columns(tables: DataFrame) -> DataFrame:
     each = tables.where("size(rows) > 0").select("*", F.posexplode("headers").alias("at", "head"))
     each = each.withColumn("_all", column_values(F.col("rows"), F.col("at"), 100)).where("size(_all) > 0")
     each = each.withColumn("_some", F.slice(F.array_distinct("_all"), 1, 20))
-    more = F.when(F.size("_all") > F.size("_some"), F.format_string(" (showing %d unique values out of %d total)", F.size("_some"), F.size("_all"))).otherwise(F.lit(""))
+    more = F.when(
+        F.size("_all") > F.size("_some"),
+        F.format_string(" (showing %d unique values out of %d total)", F.size("_some"), F.size("_all")),
+    ).otherwise(F.lit(""))
     content = F.concat(F.lit("Column '"), F.col("head"), F.lit("': "), F.array_join("_some", " | "), more)
-    return _chunks(each, F.concat(F.lit("column_"), F.col("at").cast("string")), "table_column", content, example_id=F.col("example_id"), column_index=F.col("at"), column_name=F.col("head"), unique_values=F.size("_some"), total_values=F.size("_all"))
+    return _chunks(
+        each,
+        F.concat(F.lit("column_"), F.col("at").cast("string")),
+        "table_column",
+        content,
+        example_id=F.col("example_id"),
+        column_index=F.col("at"),
+        column_name=F.col("head"),
+        unique_values=F.size("_some"),
+        total_values=F.size("_all"),
+    )
 
 
 def sliding_windows(tables: DataFrame) -> DataFrame:
     each = _windows(tables, 3000, 2000, 200)
     content = F.concat(F.lit("Table Section "), (F.col("n") + 1).cast("string"), F.lit(": "), F.col("section"))
-    return _chunks(each, F.concat(F.lit("window_"), F.col("n").cast("string")), "sliding_window", content, example_id=F.col("example_id"), window_number=F.col("n"), start_position=F.col("w.start"), end_position=F.col("w.end"))
+    return _chunks(
+        each,
+        F.concat(F.lit("window_"), F.col("n").cast("string")),
+        "sliding_window",
+        content,
+        example_id=F.col("example_id"),
+        window_number=F.col("n"),
+        start_position=F.col("w.start"),
+        end_position=F.col("w.end"),
+    )
 
 
 def sample_json(headers: Column, rows: Column, most: Column) -> Column:
     """Heads, up to `most` of the first five rows as objects, and counts."""
     data = F.transform(F.slice(rows, 1, 5), lambda r, i: F.struct((i + 1).alias("row_index"), last_value_map(headers, F.slice(r, 1, 1 << 20)).alias("data")))
     data = F.slice(F.filter(data, lambda x: F.size(F.map_keys(x["data"])) > 0), 1, most)
-    return F.to_json(F.struct(F.slice(headers, 1, 10).alias("headers"), data.alias("sample_rows"), F.size(rows).alias("total_rows"), F.size(data).alias("showing_rows")))
+    return F.to_json(
+        F.struct(
+            F.slice(headers, 1, 10).alias("headers"),
+            data.alias("sample_rows"),
+            F.size(rows).alias("total_rows"),
+            F.size(data).alias("showing_rows"),
+        )
+    )
 
 
 def table_sample(tables: DataFrame) -> DataFrame:
     some = tables.where("num_rows > 10 and size(headers) > 0").withColumn("_json", sample_json(F.col("headers"), F.col("rows"), F.lit(5)))
     shown = F.get_json_object("_json", "$.showing_rows").cast("int")
-    return _chunks(some, F.lit("sample"), "table_sample", F.col("_json"), example_id=F.col("example_id"), total_rows=F.size("rows"), sample_rows=shown, format=F.lit("json"), structure=F.lit("headers_with_sample_rows"))
+    return _chunks(
+        some,
+        F.lit("sample"),
+        "table_sample",
+        F.col("_json"),
+        example_id=F.col("example_id"),
+        total_rows=F.size("rows"),
+        sample_rows=shown,
+        format=F.lit("json"),
+        structure=F.lit("headers_with_sample_rows"),
+    )
 
 
 def column_kind(values: Column) -> Column:
     """numeric if over 70 % look so, text if one is over 50 characters, else categorical; null without values."""
     numeric = F.size(F.filter(values, tx.numeric_looking))
-    return F.when(F.size(values) == 0, F.lit(None)).when(numeric > F.size(values) * 0.7, "numeric").when(F.exists(values, lambda v: F.length(v) > 50), "text").otherwise("categorical")
+    return F.when(F.size(values) == 0, F.lit(None)).when(numeric > F.size(values) * 0.7, "numeric").when(
+        F.exists(values, lambda v: F.length(v) > 50),
+        "text",
+    ).otherwise("categorical")
 
 
 def table_structure(tables: DataFrame) -> DataFrame:
@@ -146,7 +239,10 @@ def table_structure(tables: DataFrame) -> DataFrame:
     last = F.filter(heads, lambda x: ~F.exists(heads, lambda y: (y["h"] == x["h"]) & (y["i"] > x["i"])))
     def info(x: Column) -> Column:
         values = column_values(F.col("rows"), x["i"], 20)
-        return F.struct(x["h"].alias("key"), F.struct(F.slice(values, 1, 3).alias("samples"), column_kind(values).alias("type")).alias("value"))
+        return F.struct(
+            x["h"].alias("key"),
+            F.struct(F.slice(values, 1, 3).alias("samples"), column_kind(values).alias("type")).alias("value"),
+        )
 
     columns = F.map_from_entries(F.transform(last, info))
     marker = "It relates to the question:"
@@ -155,10 +251,30 @@ def table_structure(tables: DataFrame) -> DataFrame:
     counted = F.concat(F.format_string("This table contains %d rows with %d columns", F.size("rows"), F.size("headers")), heading)
     about = F.when(F.contains(F.col("description"), F.lit(marker)), said).otherwise(counted)
     name = tx.ascii_title(F.col("title"))
-    about = F.when(name.isNotNull() & (F.length(name) > 3) & ~F.contains(F.lower(about), F.lower(name)), F.concat(name, F.lit(". "), about)).otherwise(about)
-    patterns = F.array_compact(F.array(F.when(F.size("headers") > 5, F.lit("wide")), F.when(F.size("rows") > 50, F.lit("large")), F.when(F.exists("headers", lambda h: F.contains(F.lower(h), F.lit("id"))), F.lit("keyed"))))
-    content = F.to_json(F.struct(about.alias("table_description"), columns.alias("columns"), F.size("rows").alias("rows"), patterns.alias("patterns")))
-    return _chunks(some, F.lit("structure"), "table_structure", content, example_id=F.col("example_id"), num_columns=F.size(last), total_columns=F.size("headers"), patterns=patterns)
+    about = F.when(
+        name.isNotNull() & (F.length(name) > 3) & ~F.contains(F.lower(about), F.lower(name)),
+        F.concat(name, F.lit(". "), about),
+    ).otherwise(about)
+    patterns = F.array_compact(
+        F.array(
+            F.when(F.size("headers") > 5, F.lit("wide")),
+            F.when(F.size("rows") > 50, F.lit("large")),
+            F.when(F.exists("headers", lambda h: F.contains(F.lower(h), F.lit("id"))), F.lit("keyed")),
+        )
+    )
+    content = F.to_json(
+        F.struct(about.alias("table_description"), columns.alias("columns"), F.size("rows").alias("rows"), patterns.alias("patterns"))
+    )
+    return _chunks(
+        some,
+        F.lit("structure"),
+        "table_structure",
+        content,
+        example_id=F.col("example_id"),
+        num_columns=F.size(last),
+        total_columns=F.size("headers"),
+        patterns=patterns,
+    )
 
 
 GENERAL = {
@@ -202,9 +318,23 @@ def _asked(rest: Column) -> Column:
 
 
 def full_with_question(tables: DataFrame, most: int = 1500) -> DataFrame:
-    body = F.when(_shown(F.col("linearized")), F.concat(F.lit("Table: "), F.col("linearized"))).otherwise(F.lit("Table: [Empty or malformed table]"))
+    body = F.when(
+        _shown(F.col("linearized")),
+        F.concat(F.lit("Table: "), F.col("linearized")),
+    ).otherwise(F.lit("Table: [Empty or malformed table]"))
     content = limited(_asked(body), most)
-    return _chunks(tables, F.lit("full"), "full_table", content, question=F.col("question"), answers=F.col("answers"), example_id=F.col("example_id"), strategy=F.lit("full_context"), content_length=F.length(content), has_table_content=_shown(F.col("linearized")))
+    return _chunks(
+        tables,
+        F.lit("full"),
+        "full_table",
+        content,
+        question=F.col("question"),
+        answers=F.col("answers"),
+        example_id=F.col("example_id"),
+        strategy=F.lit("full_context"),
+        content_length=F.length(content),
+        has_table_content=_shown(F.col("linearized")),
+    )
 
 
 def question_context(tables: DataFrame, most: int = 1500) -> DataFrame:
@@ -216,36 +346,101 @@ def question_context(tables: DataFrame, most: int = 1500) -> DataFrame:
     df = df.withColumn("_bare", F.length(whole(F.array().cast("array<array<string>>"))))
     total = lambda k: F.col("_bare") + F.aggregate(F.slice("_sizes", 1, k), F.lit(0), lambda a, x: a + x) + k - 1
     fitting = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("rows"))), lambda k: total(k) <= most)
-    df = df.withColumn("_kept", F.when(F.size("rows") <= 1, F.size("rows")).otherwise(F.greatest(F.lit(1), F.coalesce(F.array_max(fitting), F.lit(1)))))
+    df = df.withColumn(
+        "_kept",
+        F.when(F.size("rows") <= 1, F.size("rows")).otherwise(F.greatest(F.lit(1), F.coalesce(F.array_max(fitting), F.lit(1)))),
+    )
     df = df.withColumn("_json", whole(F.slice("rows", 1, F.col("_kept"))))
-    return _chunks(df, F.lit("context"), "question_context", F.col("_json"), question=F.col("question"), example_id=F.col("example_id"), strategy=F.lit("structured_json"), content_length=F.length("_json"), format=F.lit("structured_json"), has_answer_coordinates=F.lit(False), answer_count=F.size(F.coalesce("answers", none)))
+    return _chunks(
+        df,
+        F.lit("context"),
+        "question_context",
+        F.col("_json"),
+        question=F.col("question"),
+        example_id=F.col("example_id"),
+        strategy=F.lit("structured_json"),
+        content_length=F.length("_json"),
+        format=F.lit("structured_json"),
+        has_answer_coordinates=F.lit(False),
+        answer_count=F.size(F.coalesce("answers", none)),
+    )
 
 
 def limited_table_only(tables: DataFrame, most: int = 1500) -> DataFrame:
     content = limited(F.col("linearized"), most)
-    return _chunks(tables, F.lit("table_only"), "table_only", content, example_id=F.col("example_id"), strategy=F.lit("table_content"), content_length=F.length(content))
+    return _chunks(
+        tables,
+        F.lit("table_only"),
+        "table_only",
+        content,
+        example_id=F.col("example_id"),
+        strategy=F.lit("table_content"),
+        content_length=F.length(content),
+    )
 
 
 def rows_with_question(tables: DataFrame, most: int = 1500) -> DataFrame:
     each = _rows(tables)
     content = limited(_asked(F.concat(F.lit("Row: "), row_text(F.col("headers"), F.col("row")))), most)
-    return _chunks(each, F.concat(F.lit("row_"), F.col("row_index").cast("string")), "table_row", content, question=F.col("question"), example_id=F.col("example_id"), row_index=F.col("row_index"), strategy=F.lit("row_level"), content_length=F.length(content), has_headers=F.size("headers") > 0)
+    return _chunks(
+        each,
+        F.concat(F.lit("row_"), F.col("row_index").cast("string")),
+        "table_row",
+        content,
+        question=F.col("question"),
+        example_id=F.col("example_id"),
+        row_index=F.col("row_index"),
+        strategy=F.lit("row_level"),
+        content_length=F.length(content),
+        has_headers=F.size("headers") > 0,
+    )
 
 
 def answer_cells(tables: DataFrame) -> DataFrame:
     """Cells that hold an answer or lie in one, without regard to case; one chunk for a cell."""
-    each = tables.where("size(answers) > 0").select("*", F.posexplode("rows").alias("i", "row")).select("*", F.posexplode("row").alias("j", "cell")).where(_shown(F.col("cell")))
+    each = tables.where("size(answers) > 0").select(
+        "*",
+        F.posexplode("rows").alias("i", "row"),
+    ).select("*", F.posexplode("row").alias("j", "cell")).where(_shown(F.col("cell")))
     low = F.lower("cell")
     each = each.where(F.exists("answers", lambda a: F.contains(low, F.lower(a)) | F.contains(F.lower(a), low)))
-    head = F.when(F.col("j") < F.size("headers"), F.get("headers", F.col("j"))).otherwise(F.concat(F.lit("Column_"), F.col("j").cast("string")))
+    head = F.when(
+        F.col("j") < F.size("headers"),
+        F.get("headers", F.col("j")),
+    ).otherwise(F.concat(F.lit("Column_"), F.col("j").cast("string")))
     content = _asked(F.concat(head, F.lit(": "), F.col("cell")))
-    return _chunks(each, F.concat_ws("_", F.lit("cell"), F.col("i").cast("string"), F.col("j").cast("string")), "table_cell", content, question=F.col("question"), example_id=F.col("example_id"), row_index=F.col("i"), col_index=F.col("j"), header=head, strategy=F.lit("cell_level"), content_length=F.length(content), answer_match=F.lit(True))
+    return _chunks(
+        each,
+        F.concat_ws("_", F.lit("cell"), F.col("i").cast("string"), F.col("j").cast("string")),
+        "table_cell",
+        content,
+        question=F.col("question"),
+        example_id=F.col("example_id"),
+        row_index=F.col("i"),
+        col_index=F.col("j"),
+        header=head,
+        strategy=F.lit("cell_level"),
+        content_length=F.length(content),
+        answer_match=F.lit(True),
+    )
 
 
 def windows_with_question(tables: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     each = _windows(tables, size, size, overlap)
     content = _asked(F.concat(F.lit("Table Section "), (F.col("n") + 1).cast("string"), F.lit(": "), F.col("section")))
-    return _chunks(each, F.concat(F.lit("window_"), F.col("n").cast("string")), "sliding_window", content, question=F.col("question"), example_id=F.col("example_id"), window_number=F.col("n"), start_position=F.col("w.start"), end_position=F.col("w.end"), strategy=F.lit("sliding_window"), content_length=F.length(content))
+    return _chunks(
+        each,
+        F.concat(F.lit("window_"), F.col("n").cast("string")),
+        "sliding_window",
+        content,
+        question=F.col("question"),
+        example_id=F.col("example_id"),
+        window_number=F.col("n"),
+        start_position=F.col("w.start"),
+        end_position=F.col("w.end"),
+        strategy=F.lit("sliding_window"),
+        content_length=F.length(content),
+    )
 
 
 def limited_sample(tables: DataFrame, most: int = 1500) -> DataFrame:
@@ -253,9 +448,25 @@ def limited_sample(tables: DataFrame, most: int = 1500) -> DataFrame:
     some = tables.where("num_rows > 10 and size(headers) > 0")
     tried = F.array(*[sample_json(F.col("headers"), F.col("rows"), F.lit(k)) for k in range(5, 0, -1)])
     df = some.withColumn("_tried", tried)
-    df = df.withColumn("_json", F.coalesce(F.try_element_at(F.filter("_tried", lambda j: F.length(j) <= most), F.lit(1)), F.element_at("_tried", -1)))
+    df = df.withColumn(
+        "_json",
+        F.coalesce(F.try_element_at(F.filter("_tried", lambda j: F.length(j) <= most), F.lit(1)), F.element_at("_tried", -1)),
+    )
     shown = F.get_json_object("_json", "$.showing_rows").cast("int")
-    return _chunks(df, F.lit("sample"), "table_sample", F.col("_json"), question=F.col("question"), example_id=F.col("example_id"), total_rows=F.size("rows"), sample_rows=shown, strategy=F.lit("sample_rows_json"), content_length=F.length("_json"), format=F.lit("json"), structure=F.lit("headers_with_sample_rows"))
+    return _chunks(
+        df,
+        F.lit("sample"),
+        "table_sample",
+        F.col("_json"),
+        question=F.col("question"),
+        example_id=F.col("example_id"),
+        total_rows=F.size("rows"),
+        sample_rows=shown,
+        strategy=F.lit("sample_rows_json"),
+        content_length=F.length("_json"),
+        format=F.lit("json"),
+        structure=F.lit("headers_with_sample_rows"),
+    )
 
 
 def question_chunks(tables: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -278,16 +489,89 @@ def plain_chunks(tables: DataFrame, size: int = 512, overlap: int = 50) -> DataF
     """Table, rows, context and samples, sections; metadata says the granularity."""
     say = F.when(F.col("description") != "", F.concat(F.lit(" | Description: "), F.col("description"))).otherwise(F.lit(""))
     whole = F.concat(F.lit("Question: "), F.col("question"), say, F.lit(" | Table: "), F.col("linearized"))
-    parts = [_chunks(tables, F.lit("full"), "full_table", whole, granularity=F.lit("table"), question=F.col("question"), answers=F.col("answers"), example_id=F.col("example_id"), chunk_size=F.length(whole), has_context=F.lit(True))]
-    each = tables.select("*", F.posexplode("rows").alias("row_index", "row")).withColumn("_text", row_text(F.col("headers"), F.col("row"), exact=True)).where(_shown(F.col("_text")))
-    parts.append(_chunks(each, F.concat(F.lit("row_"), F.col("row_index").cast("string")), "table_row", F.col("_text"), granularity=F.lit("row"), question=F.col("question"), example_id=F.col("example_id"), row_index=F.col("row_index"), chunk_size=F.length("_text"), has_headers=F.size("headers") > 0))
+    parts = [
+        _chunks(
+            tables,
+            F.lit("full"),
+            "full_table",
+            whole,
+            granularity=F.lit("table"),
+            question=F.col("question"),
+            answers=F.col("answers"),
+            example_id=F.col("example_id"),
+            chunk_size=F.length(whole),
+            has_context=F.lit(True),
+        )
+    ]
+    each = tables.select("*", F.posexplode("rows").alias("row_index", "row")).withColumn(
+        "_text",
+        row_text(F.col("headers"), F.col("row"), exact=True),
+    ).where(_shown(F.col("_text")))
+    parts.append(
+        _chunks(
+            each,
+            F.concat(F.lit("row_"), F.col("row_index").cast("string")),
+            "table_row",
+            F.col("_text"),
+            granularity=F.lit("row"),
+            question=F.col("question"),
+            example_id=F.col("example_id"),
+            row_index=F.col("row_index"),
+            chunk_size=F.length("_text"),
+            has_headers=F.size("headers") > 0,
+        )
+    )
     said = tables.where("description != ''")
     context = _asked(F.concat(F.lit("Context: "), F.col("description")))
-    parts.append(_chunks(said, F.lit("context"), "question_context", context, granularity=F.lit("context"), question=F.col("question"), answers=F.col("answers"), example_id=F.col("example_id"), chunk_size=F.length(context), content_type=F.lit("contextual")))
-    lines = F.filter(F.transform(F.slice("rows", 1, 3), lambda r, i: F.when(F.exists(r, _shown), F.concat(F.lit("Sample Row "), (i + 1).cast("string"), F.lit(": "), F.array_join(F.filter(r, _shown), " | ")))), lambda x: x.isNotNull())
+    parts.append(
+        _chunks(
+            said,
+            F.lit("context"),
+            "question_context",
+            context,
+            granularity=F.lit("context"),
+            question=F.col("question"),
+            answers=F.col("answers"),
+            example_id=F.col("example_id"),
+            chunk_size=F.length(context),
+            content_type=F.lit("contextual"),
+        )
+    )
+    lines = F.filter(
+        F.transform(F.slice("rows", 1, 3), lambda r, i: F.when(F.exists(r, _shown), F.concat(F.lit("Sample Row "), (i + 1).cast("string"), F.lit(": "), F.array_join(F.filter(r, _shown), " | ")))),
+        lambda x: x.isNotNull(),
+    )
     sample = _asked(F.concat_ws(" | ", F.concat(F.lit("Table Headers: "), F.array_join("headers", " | ")), lines))
-    parts.append(_chunks(tables.where("kind in ('table', 'infobox')"), F.lit("question_sample"), "question_sample", sample, granularity=F.lit("contextual"), question=F.col("question"), answers=F.col("answers"), example_id=F.col("example_id"), chunk_size=F.length(sample), sample_rows_count=F.least(F.size("rows"), F.lit(3))))
+    parts.append(
+        _chunks(
+            tables.where("kind in ('table', 'infobox')"),
+            F.lit("question_sample"),
+            "question_sample",
+            sample,
+            granularity=F.lit("contextual"),
+            question=F.col("question"),
+            answers=F.col("answers"),
+            example_id=F.col("example_id"),
+            chunk_size=F.length(sample),
+            sample_rows_count=F.least(F.size("rows"), F.lit(3)),
+        )
+    )
     cut = _windows(tables, size, size, overlap, ratio=0.8, separators=(" ",), keep_separator=False)
     section = _asked(F.concat(F.lit("Table Section: "), F.col("section")))
-    parts.append(_chunks(cut, F.concat(F.lit("window_"), F.col("n").cast("string")), "sliding_window", section, granularity=F.lit("section"), question=F.col("question"), example_id=F.col("example_id"), chunk_number=F.col("n"), start_pos=F.col("w.start"), end_pos=F.col("w.end"), chunk_size=F.length(section), is_partial=F.lit(True)))
+    parts.append(
+        _chunks(
+            cut,
+            F.concat(F.lit("window_"), F.col("n").cast("string")),
+            "sliding_window",
+            section,
+            granularity=F.lit("section"),
+            question=F.col("question"),
+            example_id=F.col("example_id"),
+            chunk_number=F.col("n"),
+            start_pos=F.col("w.start"),
+            end_pos=F.col("w.end"),
+            chunk_size=F.length(section),
+            is_partial=F.lit(True),
+        )
+    )
     return _union(parts)

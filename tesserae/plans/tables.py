@@ -24,25 +24,53 @@ def table_id(spark, sf_dir):
 
 def table_cells(spark, sf_dir):
     rows = base.order_tables(spark, sf_dir).select("example_id", html_tables.parsed(F.col("table_text")).alias("t"))
-    return rows.select("example_id", F.posexplode("t.rows").alias("i", "r")).select("example_id", F.col("i").cast("long").alias("i"), F.posexplode("r").alias("j", "c")).select("example_id", "i", F.col("j").cast("long").alias("j"), F.col("c.head").alias("head"), F.col("c.text").alias("cell"))
+    return rows.select("example_id", F.posexplode("t.rows").alias("i", "r")).select("example_id", F.col("i").cast("long").alias("i"), F.posexplode("r").alias("j", "c")).select(
+        "example_id",
+        "i",
+        F.col("j").cast("long").alias("j"),
+        F.col("c.head").alias("head"),
+        F.col("c.text").alias("cell"),
+    )
 
 
 def table_linearize(spark, sf_dir):
-    return base.processed_orders(spark, sf_dir).select("table_id", F.md5(F.col("linearized").cast("binary")).alias("text_md5"), F.length("linearized").cast("long").alias("n_chars"))
+    return base.processed_orders(spark, sf_dir).select(
+        "table_id",
+        F.md5(F.col("linearized").cast("binary")).alias("text_md5"),
+        F.length("linearized").cast("long").alias("n_chars"),
+    )
 
 
 def table_structure(spark, sf_dir):
     rows = base.processed_orders(spark, sf_dir)
-    return rows.select("table_id", "kind", F.array_join("headers", "|").alias("headers"), F.col("num_rows").cast("long").alias("num_rows"), F.col("num_cols").cast("long").alias("num_cols"), "title")
+    return rows.select(
+        "table_id",
+        "kind",
+        F.array_join("headers", "|").alias("headers"),
+        F.col("num_rows").cast("long").alias("num_rows"),
+        F.col("num_cols").cast("long").alias("num_cols"),
+        "title",
+    )
 
 
 def table_infobox(spark, sf_dir):
     rows = html_tables.processed(base.part_tables(spark, sf_dir))
-    return rows.select("example_id", "kind", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), "|").alias("cells"), F.col("num_rows").cast("long").alias("num_rows"))
+    return rows.select(
+        "example_id",
+        "kind",
+        F.array_join("headers", "|").alias("headers"),
+        F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), "|").alias("cells"),
+        F.col("num_rows").cast("long").alias("num_rows"),
+    )
 
 
 def table_description(spark, sf_dir):
-    return base.processed_orders(spark, sf_dir).select("table_id", "description", F.col("estimated_size").cast("long").alias("estimated_size"), "has_table_tag")
+    return base.processed_orders(spark, sf_dir).select(
+        "table_id",
+        "description",
+        F.col("estimated_size").cast("long").alias("estimated_size"),
+        "has_table_tag",
+    )
 
 
 def _orders(spark, sf_dir, make, *names):
@@ -69,13 +97,27 @@ def chunk_table_column(spark, sf_dir):
 def chunk_table_structure(spark, sf_dir):
     rows = tc.table_structure(base.processed_orders(spark, sf_dir))
     get = lambda p: F.get_json_object("content", p)
-    return rows.select("id", get("$.table_description").alias("description"), get("$.rows").cast("long").alias("n_rows"), get("$.columns['price'].type").alias("price_type"), get("$.columns['flag'].type").alias("flag_type"), get("$.columns['part'].samples[0]").alias("first_part"), get("$.patterns[0]").alias("pattern"))
+    return rows.select(
+        "id",
+        get("$.table_description").alias("description"),
+        get("$.rows").cast("long").alias("n_rows"),
+        get("$.columns['price'].type").alias("price_type"),
+        get("$.columns['flag'].type").alias("flag_type"),
+        get("$.columns['part'].samples[0]").alias("first_part"),
+        get("$.patterns[0]").alias("pattern"),
+    )
 
 
 def chunk_table_sample(spark, sf_dir):
     rows = tc.table_sample(html_tables.processed(base.nation_tables(spark, sf_dir)))
     get = lambda p: F.get_json_object("content", p)
-    return rows.select("id", get("$.total_rows").cast("long").alias("total_rows"), get("$.showing_rows").cast("long").alias("showing_rows"), get("$.sample_rows[0].data['order id']").alias("first_id"), get("$.sample_rows[4].data.customer").alias("fifth_customer"))
+    return rows.select(
+        "id",
+        get("$.total_rows").cast("long").alias("total_rows"),
+        get("$.showing_rows").cast("long").alias("showing_rows"),
+        get("$.sample_rows[0].data['order id']").alias("first_id"),
+        get("$.sample_rows[4].data.customer").alias("fifth_customer"),
+    )
 
 
 def chunk_table_window(spark, sf_dir):
@@ -98,7 +140,12 @@ def answer_cell_match(spark, sf_dir):
 def chunk_question_context(spark, sf_dir):
     rows = tc.question_context(base.processed_orders(spark, sf_dir))
     get = lambda p: F.get_json_object("content", p)
-    return rows.select("id", get("$.question").alias("question"), get("$.table.rows[0][1]").alias("first_part"), get("$.answer_text[0]").alias("answer"))
+    return rows.select(
+        "id",
+        get("$.question").alias("question"),
+        get("$.table.rows[0][1]").alias("first_part"),
+        get("$.answer_text[0]").alias("answer"),
+    )
 
 
 def chunk_question_window(spark, sf_dir):
@@ -118,7 +165,13 @@ def chunk_limited_sample(spark, sf_dir):
     """Samples of long tables under a limit that some rows don't fit."""
     rows = tc.limited_sample(html_tables.processed(base.nation_tables(spark, sf_dir)), 400)
     get = lambda p: F.get_json_object("content", p)
-    return rows.select("id", get("$.total_rows").cast("long").alias("total_rows"), get("$.showing_rows").cast("long").alias("showing_rows"), F.length("content").cast("long").alias("n_chars"), get("$.sample_rows[0].data['order id']").alias("first_id"))
+    return rows.select(
+        "id",
+        get("$.total_rows").cast("long").alias("total_rows"),
+        get("$.showing_rows").cast("long").alias("showing_rows"),
+        F.length("content").cast("long").alias("n_chars"),
+        get("$.sample_rows[0].data['order id']").alias("first_id"),
+    )
 
 
 def nq_interactions(spark, sf_dir):
@@ -129,12 +182,26 @@ def nq_interactions(spark, sf_dir):
     span = lambda a, b: F.struct(a.alias("start_token"), b.alias("end_token"))
     one, end = F.lit(1), F.size("t")
     answer = lambda at: F.struct(one.alias("start_token"), end.alias("end_token"), F.lit(at).alias("candidate_index"))
-    annotations = F.array(*[F.struct(answer(at).alias("long_answer"), F.array(span(F.lit(2), F.lit(5))).alias("short_answers")) for at in (-1, 0)])
-    record = F.struct("example_id", F.col("question").alias("question_text"), F.transform("t", lambda x: F.struct(x.alias("token"))).alias("document_tokens"), F.array(F.struct(one.alias("start_token"), end.alias("end_token"), F.lit(True).alias("top_level"))).alias("long_answer_candidates"), annotations.alias("annotations"))
+    annotations = F.array(
+        *[F.struct(answer(at).alias("long_answer"), F.array(span(F.lit(2), F.lit(5))).alias("short_answers")) for at in (-1, 0)]
+    )
+    record = F.struct(
+        "example_id",
+        F.col("question").alias("question_text"),
+        F.transform("t", lambda x: F.struct(x.alias("token"))).alias("document_tokens"),
+        F.array(F.struct(one.alias("start_token"), end.alias("end_token"), F.lit(True).alias("top_level"))).alias("long_answer_candidates"),
+        annotations.alias("annotations"),
+    )
     path = f"{store.shared_folder(spark)}/records-{uuid.uuid4().hex}.jsonl"
     orders.withColumn("t", tokens).select(F.to_json(record).alias("value")).write.text(path)
     rows = sources.interactions(sources.nq_records(spark, path))
-    return rows.select("example_id", "question", F.md5(F.col("table_text").cast("binary")).alias("text_md5"), F.col("answers")[0].alias("answer"), F.col("table_end_token").cast("long").alias("end_token"))
+    return rows.select(
+        "example_id",
+        "question",
+        F.md5(F.col("table_text").cast("binary")).alias("text_md5"),
+        F.col("answers")[0].alias("answer"),
+        F.col("table_end_token").cast("long").alias("end_token"),
+    )
 
 
 def _collection(spark, sf_dir):
@@ -163,19 +230,58 @@ def beir_files(spark, sf_dir):
     data = beir.split(spark, root)
     part = lambda name, df, key, said: df.select(F.lit(name).alias("part"), key.alias("id"), F.md5(said.cast("string").cast("binary")).alias("content_md5"))
     qrels = part("qrels", data.qrels, F.concat_ws(">", "query_id", "doc_id"), F.col("relevance"))
-    return part("corpus", data.corpus, F.col("doc_id"), F.col("text")).union(part("queries", data.queries, F.col("query_id"), F.col("text"))).union(qrels)
+    return part("corpus", data.corpus, F.col("doc_id"), F.col("text")).union(
+        part("queries", data.queries, F.col("query_id"), F.col("text"))
+    ).union(qrels)
 
 
 def beir_filter(spark, sf_dir):
     """What is kept when only pure tables stay."""
-    return beir.restricted(_collection(spark, sf_dir)[0], ["pure_table"])[1].select("part", "original", "kept", "removed", F.round("rate", 6).alias("rate"))
+    return beir.restricted(_collection(spark, sf_dir)[0], ["pure_table"])[1].select(
+        "part",
+        "original",
+        "kept",
+        "removed",
+        F.round("rate", 6).alias("rate"),
+    )
 
 
 def chunk_statistics(spark, sf_dir):
     return store.chunk_statistics(_collection(spark, sf_dir)[1])
 
 
-QUERIES = {f.__name__: f for f in (table_id, table_cells, table_linearize, table_structure, table_infobox, table_description, chunk_table_full, chunk_table_pure, chunk_table_row, chunk_table_column, chunk_table_structure, chunk_table_sample, chunk_table_window, chunk_question_full, chunk_question_row, answer_cell_match, chunk_question_context, chunk_question_window, chunk_plain, chunk_limited_table, chunk_limited_sample, nq_interactions, beir_files, beir_corpus, beir_queries, beir_qrels, beir_filter, chunk_statistics)}
+QUERIES = {
+    f.__name__: f for f in (
+        table_id,
+        table_cells,
+        table_linearize,
+        table_structure,
+        table_infobox,
+        table_description,
+        chunk_table_full,
+        chunk_table_pure,
+        chunk_table_row,
+        chunk_table_column,
+        chunk_table_structure,
+        chunk_table_sample,
+        chunk_table_window,
+        chunk_question_full,
+        chunk_question_row,
+        answer_cell_match,
+        chunk_question_context,
+        chunk_question_window,
+        chunk_plain,
+        chunk_limited_table,
+        chunk_limited_sample,
+        nq_interactions,
+        beir_files,
+        beir_corpus,
+        beir_queries,
+        beir_qrels,
+        beir_filter,
+        chunk_statistics,
+    )
+}
 
 # --- SQL ------------------------------------------------------------------------------------------------------------
 

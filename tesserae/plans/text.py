@@ -17,12 +17,23 @@ K = 10
 
 def ingest_normalize(spark, sf_dir):
     rows = ingest.normalized(base.texts(spark, sf_dir))
-    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+    return rows.select(
+        "doc_id",
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        F.col("metadata")["lang"].alias("lang"),
+        F.col("metadata")["source"].alias("source"),
+    )
 
 
 def chunk_token_windows(spark, sf_dir):
     rows = chunking.token_chunks(base.texts(spark, sf_dir))
-    return rows.select("chunk_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return rows.select(
+        "chunk_id",
+        "doc_id",
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("token_count").cast("long").alias("token_count"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
 
 
 CHUNKS_SQL = f"""w AS (SELECT cast(doc_id AS varchar) AS doc_id, lang, {base.words_sql("text")} AS t FROM documents),
@@ -34,7 +45,11 @@ def chunk_stats(spark, sf_dir):
     rows = chunking.token_chunks(base.texts(spark, sf_dir)).select(F.col("metadata")["lang"].alias("lang"), F.col("text").alias("content"))
     out = chunking.chunk_lengths(rows, "lang")
     counts = [c for c in out.columns if c not in ("lang", "avg_length")]
-    return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), *[F.col(c).cast("long").alias(c) for c in counts], F.round("avg_length", 6).alias("avg_length"))
+    return out.select(
+        F.coalesce("lang", F.lit("all")).alias("lang"),
+        *[F.col(c).cast("long").alias(c) for c in counts],
+        F.round("avg_length", 6).alias("avg_length")
+    )
 
 
 STATS = "count(*) AS chunks, cast(sum(length(c)) AS bigint) AS total_length, min(length(c)) AS min_length, max(length(c)) AS max_length, count(*) FILTER (length(c) < 200) AS short, count(*) FILTER (length(c) >= 200 AND length(c) < 800) AS medium, count(*) FILTER (length(c) >= 800 AND length(c) < 1500) AS long, count(*) FILTER (length(c) >= 1500) AS very_long, round(avg(length(c)), 6) AS avg_length"
@@ -42,12 +57,20 @@ STATS = "count(*) AS chunks, cast(sum(length(c)) AS bigint) AS total_length, min
 
 def sentence_split(spark, sf_dir):
     rows = base.table(spark, sf_dir, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
-    return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n").cast("binary")).alias("sentences_md5"))
+    return rows.select(
+        "doc_id",
+        F.size("s").cast("long").alias("n_sentences"),
+        F.md5(F.array_join("s", "\n").cast("binary")).alias("sentences_md5"),
+    )
 
 
 def bm25_tokens(spark, sf_dir):
     rows = base.table(spark, sf_dir, "documents").select("doc_id", tx.rank_tokens(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
+    return rows.select(
+        "doc_id",
+        F.size("t").cast("long").alias("n_tokens"),
+        F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"),
+    )
 
 
 def bm25_doc_freq(spark, sf_dir):
@@ -68,12 +91,21 @@ def _top(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     """The flagship: the ten best documents for each benchmark passage."""
     _, top = _top(spark, sf_dir)
-    return top.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), F.col("stage_rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return top.select(
+        F.col("query_id").alias("item_id"),
+        F.col("item_id").alias("doc_id"),
+        F.col("stage_rank").cast("long").alias("rank"),
+        F.round("score", 6).alias("score"),
+    )
 
 
 def bm25_normalized(spark, sf_dir):
     known, top = _top(spark, sf_dir)
-    return top.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), F.round(bm25.normalized(F.col("score"), known.mean_length), 6).alias("score"))
+    return top.select(
+        F.col("query_id").alias("item_id"),
+        F.col("item_id").alias("doc_id"),
+        F.round(bm25.normalized(F.col("score"), known.mean_length), 6).alias("score"),
+    )
 
 
 BM25_SQL = f"""toks AS (SELECT doc_id, {base.tokens_sql("text")} AS t FROM documents WHERE regexp_matches(text, '\\S')),
@@ -113,8 +145,14 @@ _NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', '', 'g
 
 
 def nq_table_like(spark, sf_dir):
-    pages = base.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("t"))
-    docs = base.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("t"))
+    pages = base.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
+        F.col("html").alias("t"),
+    )
+    docs = base.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.col("text").alias("t"),
+    )
     return pages.union(docs).select("id", tx.table_like(F.col("t")).alias("table_like"))
 
 
@@ -135,7 +173,12 @@ def html_text(spark, sf_dir):
 
 def structure_hints(spark, sf_dir):
     rows = base.table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", sx.query_structure(F.col("text")).alias("hints"), sx.rich_query_structure(F.col("text")).alias("rich_hints"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        sx.query_structure(F.col("text")).alias("hints"),
+        sx.rich_query_structure(F.col("text")).alias("rich_hints"),
+    )
 
 
 def _hints_sql(groups, prefix, nothing):
@@ -148,9 +191,21 @@ def pair_rerank_topn(spark, sf_dir):
     _, top = _top(spark, sf_dir)
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     asked = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    rows = top.join(docs, "item_id").join(asked, "query_id").select("query_id", "question", F.col("item_id").alias("chunk_id"), "text", F.col("stage_rank").alias("rank"), F.col("score").alias("similarity"))
+    rows = top.join(docs, "item_id").join(asked, "query_id").select(
+        "query_id",
+        "question",
+        F.col("item_id").alias("chunk_id"),
+        "text",
+        F.col("stage_rank").alias("rank"),
+        F.col("score").alias("similarity"),
+    )
     out = rerank.pairs(rows, 5)
-    return out.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("score"))
+    return out.select(
+        F.col("query_id").alias("item_id"),
+        F.col("chunk_id").alias("doc_id"),
+        F.col("rank").cast("long").alias("rank"),
+        F.round("similarity", 6).alias("score"),
+    )
 
 
 PAIR_SQL = f"""WITH {BM25_SQL}, held AS (
@@ -164,9 +219,21 @@ SELECT item_id, doc_id, rank, round(s, 6)::double AS score FROM again WHERE rank
 def graph_rerank(spark, sf_dir):
     _, top = _top(spark, sf_dir)
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    rows = top.join(docs, "item_id").select("query_id", F.col("item_id").alias("chunk_id"), "text", F.col("stage_rank").alias("rank"), F.col("score").alias("similarity"))
+    rows = top.join(docs, "item_id").select(
+        "query_id",
+        F.col("item_id").alias("chunk_id"),
+        "text",
+        F.col("stage_rank").alias("rank"),
+        F.col("score").alias("similarity"),
+    )
     out = rerank.graph(rows)
-    return out.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.col("degree").cast("long").alias("degree"), F.round("similarity", 6).alias("score"))
+    return out.select(
+        F.col("query_id").alias("item_id"),
+        F.col("chunk_id").alias("doc_id"),
+        F.col("rank").cast("long").alias("rank"),
+        F.col("degree").cast("long").alias("degree"),
+        F.round("similarity", 6).alias("score"),
+    )
 
 
 GRAPH_SQL = f"""WITH {BM25_SQL}, held AS (
@@ -181,14 +248,23 @@ SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC,
 def _contexts(spark, sf_dir):
     _, top = _top(spark, sf_dir)
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    rows = top.join(docs, "item_id").select("query_id", F.col("item_id").cast("string").alias("chunk_id"), "text", F.col("stage_rank").alias("rank"))
+    rows = top.join(docs, "item_id").select(
+        "query_id",
+        F.col("item_id").cast("string").alias("chunk_id"),
+        "text",
+        F.col("stage_rank").alias("rank"),
+    )
     asked = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return generation.contexts(asked, rows)
 
 
 def prompt_build(spark, sf_dir):
     rows = _contexts(spark, sf_dir).select("query_id", generation.prompt("Use the context.").alias("p"))
-    return rows.select(F.col("query_id").alias("item_id"), F.length("p").cast("long").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("prompt_md5"))
+    return rows.select(
+        F.col("query_id").alias("item_id"),
+        F.length("p").cast("long").alias("n_chars"),
+        F.md5(F.col("p").cast("binary")).alias("prompt_md5"),
+    )
 
 
 def fallback_answer(spark, sf_dir):
@@ -226,7 +302,12 @@ def jsonl_documents(spark, sf_dir):
     path = f"{store.shared_folder(spark)}/documents-{uuid.uuid4().hex}.jsonl"
     base.table(spark, sf_dir, "documents").select(F.format_string("d%d", "doc_id").alias("id"), "text", "lang", "source").write.json(path)
     rows = ingest.normalized(ingest.documents(spark, path))
-    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+    return rows.select(
+        "doc_id",
+        F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        F.col("metadata")["lang"].alias("lang"),
+        F.col("metadata")["source"].alias("source"),
+    )
 
 
 _JOINED = "top JOIN documents d ON d.doc_id = top.doc_id"
@@ -235,7 +316,9 @@ _ITEMS = f"b.item_id, b.text AS q, string_agg('[' || top.doc_id || '] ' || regex
 _HELD_SQL = f"WITH {BM25_SQL}, held AS (SELECT {_ITEMS})"
 _PROMPTS = ["Use the context.", *prompt_search.candidates("Use the context.", prompt_search.Search())]
 _FIRST_STEP = ["Use the context.", *prompt_search.candidates("Use the context.", prompt_search.Search(), 1)]
-_PROMPT_ROWS, _FIRST_STEP_ROWS = (", ".join(f"({i}::bigint, '" + p.replace("'", "''") + "')" for i, p in enumerate(x)) for x in (_PROMPTS, _FIRST_STEP))
+_PROMPT_ROWS, _FIRST_STEP_ROWS = (
+    ", ".join(f"({i}::bigint, '" + p.replace("'", "''") + "')" for i, p in enumerate(x)) for x in (_PROMPTS, _FIRST_STEP)
+)
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 _SEARCH_SQL = f"""{BM25_SQL}, held AS (SELECT {_ITEMS}), prompts AS (
@@ -245,7 +328,32 @@ _SEARCH_SQL = f"""{BM25_SQL}, held AS (SELECT {_ITEMS}), prompts AS (
 shared AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0)::double AS s FROM parts),
 means AS (SELECT place, prompt, avg(CASE WHEN s = 0 THEN 0.0::double ELSE 2 * (s / len(a)) * (s / len(b)) / (s / len(a) + s / len(b)) END) AS f FROM shared GROUP BY place, prompt)"""
 
-QUERIES = {f.__name__: f for f in (ingest_normalize, chunk_token_windows, chunk_stats, sentence_split, bm25_tokens, bm25_doc_freq, bm25_idf, bm25_topk, bm25_normalized, answer_exact_match, answer_f1, prompt_f1, nq_table_like, html_text, structure_hints, pair_rerank_topn, graph_rerank, prompt_build, fallback_answer, prompt_search_step, prompt_search_best, jsonl_documents)}
+QUERIES = {
+    f.__name__: f for f in (
+        ingest_normalize,
+        chunk_token_windows,
+        chunk_stats,
+        sentence_split,
+        bm25_tokens,
+        bm25_doc_freq,
+        bm25_idf,
+        bm25_topk,
+        bm25_normalized,
+        answer_exact_match,
+        answer_f1,
+        prompt_f1,
+        nq_table_like,
+        html_text,
+        structure_hints,
+        pair_rerank_topn,
+        graph_rerank,
+        prompt_build,
+        fallback_answer,
+        prompt_search_step,
+        prompt_search_best,
+        jsonl_documents,
+    )
+}
 SQL = {
     "ingest_normalize": "SELECT cast(doc_id AS varchar) AS doc_id, md5(text) AS text_md5, lang, source FROM documents",
     "chunk_token_windows": f"WITH {CHUNKS_SQL} SELECT chunk_id, doc_id, chunk_index, len(t) AS token_count, md5(array_to_string(t, ' ')) AS text_md5 FROM chunks",
@@ -257,7 +365,10 @@ SQL = {
     "bm25_topk": f"WITH {BM25_SQL} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM top",
     "bm25_normalized": f"WITH {BM25_SQL} SELECT item_id, doc_id, round(1.0::double / (1.0::double + exp(-score / (5.0::double + ln(mean + 1)))), 6) AS score FROM top, stats",
     "answer_exact_match": f"WITH {base.ANSWERS_SQL} SELECT conv_id, turn, cast({_NORMAL.format('question')} = {_NORMAL.format('answer')} AS double) AS exact FROM pairs",
-    "answer_f1": _f1_sql(f"list_filter(string_split({_NORMAL}, ' '), lambda x: x <> '')", "CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE 0.0 END"),
+    "answer_f1": _f1_sql(
+        f"list_filter(string_split({_NORMAL}, ' '), lambda x: x <> '')",
+        "CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE 0.0 END",
+    ),
     "prompt_f1": _f1_sql(_WORDS, "0.0"),
     "nq_table_like": TABLE_LIKE_SQL,
     "html_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t",

@@ -16,20 +16,38 @@ from . import base
 EVERY = 50
 K = 10
 STAGES = Retrieval(stages=(Stage("d16", 16, 20, 0.2), Stage("d32", 32, 20, 0.3), Stage("d64", 64, 20, 0.5)))
-WEIGHTS = Retrieval(stages=STAGES.stages, lambda_similarity=0.6, alpha_reliability=0.2, beta_temporal=0.1, gamma_domain=0.05, zeta_structural_similarity=0.05, epsilon_bm25=0.1)
+WEIGHTS = Retrieval(
+    stages=STAGES.stages,
+    lambda_similarity=0.6,
+    alpha_reliability=0.2,
+    beta_temporal=0.1,
+    gamma_domain=0.05,
+    zeta_structural_similarity=0.05,
+    epsilon_bm25=0.1,
+)
 
 
 def _each(df, name="vec_id"):
-    return df.select(name, F.posexplode("v").alias("pos", "x")).select(name, F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+    return df.select(name, F.posexplode("v").alias("pos", "x")).select(
+        name,
+        F.col("pos").cast("long").alias("pos"),
+        F.round("x", 6).alias("x"),
+    )
 
 
 def vector_l2_normalize(spark, sf_dir):
-    return _each(base.unit_vectors(spark, sf_dir).select("vec_id", vx.l2_normalized(F.transform("embedding", lambda x: x * 3.0)).alias("v")))
+    return _each(
+        base.unit_vectors(spark, sf_dir).select("vec_id", vx.l2_normalized(F.transform("embedding", lambda x: x * 3.0)).alias("v"))
+    )
 
 
 def vector_slice_renorm(spark, sf_dir):
     rows = embedding.multi_resolution(base.unit_vectors(spark, sf_dir), [16, 32], id_col="vec_id", vector_col="embedding")
-    return rows.select("vec_id", F.col("dimension").cast("long").alias("dimension"), F.posexplode("vector").alias("pos", "x")).select("vec_id", "dimension", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+    return rows.select(
+        "vec_id",
+        F.col("dimension").cast("long").alias("dimension"),
+        F.posexplode("vector").alias("pos", "x"),
+    ).select("vec_id", "dimension", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def vector_pad_truncate(spark, sf_dir):
@@ -71,7 +89,9 @@ def vector_topk_blocks(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     rows = base.unit_vectors(spark, sf_dir)
-    parts = F.array(*[F.struct(F.lit(s.name).alias("stage"), vx.resolution(F.col("embedding"), s.dimension).alias("vector")) for s in STAGES.stages])
+    parts = F.array(
+        *[F.struct(F.lit(s.name).alias("stage"), vx.resolution(F.col("embedding"), s.dimension).alias("vector")) for s in STAGES.stages]
+    )
     staged = rows.select("vec_id", F.explode(parts).alias("s")).select("vec_id", "s.*")
     asked = staged.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
     return index.search(asked, staged.withColumnRenamed("vec_id", "chunk_id"), STAGES)
@@ -91,26 +111,56 @@ def stage_fusion(spark, sf_dir):
 
 def metadata_priors(spark, sf_dir):
     docs = base.table(spark, sf_dir, "documents").join(base.table(spark, sf_dir, "labels"), "doc_id", "left")
-    meta = F.create_map(F.lit("reliability"), F.col("quality").cast("string"), F.lit("recency_score"), F.when(F.col("lang") == "en", F.concat(F.lit("0."), F.col("doc_id").cast("string"))).otherwise(F.col("lang")), F.lit("domain_score"), (F.col("n_chars") / 1000.0).cast("string"))
-    return docs.select("doc_id", *[c.alias(k) for k, c in fusion.priors(meta).items()]).select("doc_id", "reliability", "recency_score", F.round("domain_score", 6).alias("domain_score"))
+    meta = F.create_map(
+        F.lit("reliability"),
+        F.col("quality").cast("string"),
+        F.lit("recency_score"),
+        F.when(F.col("lang") == "en", F.concat(F.lit("0."), F.col("doc_id").cast("string"))).otherwise(F.col("lang")),
+        F.lit("domain_score"),
+        (F.col("n_chars") / 1000.0).cast("string"),
+    )
+    return docs.select("doc_id", *[c.alias(k) for k, c in fusion.priors(meta).items()]).select(
+        "doc_id",
+        "reliability",
+        "recency_score",
+        F.round("domain_score", 6).alias("domain_score"),
+    )
 
 
 def _chunks(spark, sf_dir):
     """Vectors as chunks: label gives lang-like metadata and priors."""
     rows = base.unit_vectors(spark, sf_dir)
-    meta = F.create_map(F.lit("group"), F.concat(F.lit("G"), F.col("label").cast("string")), F.lit("reliability"), (F.col("label") / 10.0).cast("string"), F.lit("recency_score"), F.lit("0.5"), F.lit("domain_score"), F.lit("none"))
+    meta = F.create_map(
+        F.lit("group"),
+        F.concat(F.lit("G"), F.col("label").cast("string")),
+        F.lit("reliability"),
+        (F.col("label") / 10.0).cast("string"),
+        F.lit("recency_score"),
+        F.lit("0.5"),
+        F.lit("domain_score"),
+        F.lit("none"),
+    )
     return rows.select(F.col("vec_id").alias("chunk_id"), F.lit("").alias("text"), meta.alias("metadata"))
 
 
 def _queries(spark, sf_dir, filtered):
     rows = base.unit_vectors(spark, sf_dir).where(F.col("vec_id") % EVERY == 0)
-    wanted = F.create_map(F.lit("filter__group"), F.format_string('["g%d", "G9"]', F.col("label"))) if filtered else F.create_map().cast("map<string,string>")
+    wanted = F.create_map(
+        F.lit("filter__group"),
+        F.format_string('["g%d", "G9"]', F.col("label")),
+    ) if filtered else F.create_map().cast("map<string,string>")
     return rows.select(F.col("vec_id").alias("query_id"), wanted.alias("metadata"))
 
 
 def weighted_fusion(spark, sf_dir):
     rows = fusion.fuse(_hits(spark, sf_dir), _chunks(spark, sf_dir), _queries(spark, sf_dir, False), WEIGHTS)
-    return rows.select("query_id", "chunk_id", F.round("combined", 6).alias("combined"), F.round("weighted", 6).alias("weighted"), F.col("rank").cast("long").alias("rank"))
+    return rows.select(
+        "query_id",
+        "chunk_id",
+        F.round("combined", 6).alias("combined"),
+        F.round("weighted", 6).alias("weighted"),
+        F.col("rank").cast("long").alias("rank"),
+    )
 
 
 def metadata_filter_soft(spark, sf_dir):
@@ -125,15 +175,28 @@ FUSED_SQL = f"""{STAGED_SQL}, fused AS (
 
 
 def structure_text(spark, sf_dir):
-    return _structures(spark, sf_dir).select("table_id", sx.structure_text(F.col("structure")).alias("text"), sx.normalized_structure(F.col("structure")).alias("normal"))
+    return _structures(spark, sf_dir).select(
+        "table_id",
+        sx.structure_text(F.col("structure")).alias("text"),
+        sx.normalized_structure(F.col("structure")).alias("normal"),
+    )
 
 
 def _structures(spark, sf_dir):
     """A structure record for each part brand: its types and sizes as columns."""
     parts = base.table(spark, sf_dir, "part")
-    rows = parts.groupBy("p_brand").agg(F.count(F.lit(1)).cast("int").alias("n"), F.slice(F.array_sort(F.collect_set("p_type")), 1, 3).alias("types"), F.slice(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), 1, 3).alias("sizes"))
+    rows = parts.groupBy("p_brand").agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        F.slice(F.array_sort(F.collect_set("p_type")), 1, 3).alias("types"),
+        F.slice(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), 1, 3).alias("sizes"),
+    )
     column = lambda name, kind, c: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.col(c).alias("samples"))
-    s = F.struct(F.concat(F.lit("Parts of "), F.col("p_brand")).alias("table_description"), F.array(column("type", "categorical", "types"), column("size", "numeric", "sizes")).alias("columns"), F.col("n").alias("rows"), F.array(F.lit("keyed")).alias("patterns"))
+    s = F.struct(
+        F.concat(F.lit("Parts of "), F.col("p_brand")).alias("table_description"),
+        F.array(column("type", "categorical", "types"), column("size", "numeric", "sizes")).alias("columns"),
+        F.col("n").alias("rows"),
+        F.array(F.lit("keyed")).alias("patterns"),
+    )
     return rows.select(F.col("p_brand").alias("table_id"), s.cast(sx.STRUCTURE).alias("structure"))
 
 
@@ -147,7 +210,10 @@ said AS (SELECT p_brand AS table_id, n, 'Table: Parts of ' || p_brand || ' Colum
 def structural_similarity(spark, sf_dir):
     vectors = structural.structure_vectors(_structures(spark, sf_dir), 32)
     asked = base.questions(spark, sf_dir)
-    chunks = _structures(spark, sf_dir).select(F.concat("table_id", F.lit("_full_table")).alias("chunk_id"), F.create_map().cast("map<string,string>").alias("metadata"))
+    chunks = _structures(spark, sf_dir).select(
+        F.concat("table_id", F.lit("_full_table")).alias("chunk_id"),
+        F.create_map().cast("map<string,string>").alias("metadata"),
+    )
     pairs = asked.select("query_id").crossJoin(F.broadcast(chunks.select("chunk_id")))  # 25 brands
     rows = structural.scores(pairs, asked, chunks, vectors, 32)
     return rows.select("query_id", "chunk_id", F.round("value", 6).alias("value"))
@@ -166,12 +232,19 @@ def _judged(spark, sf_dir):
 
 def _run(spark, sf_dir):
     hits = _hits(spark, sf_dir).where("chunk_id != query_id")
-    return evaluation.unique_documents(hits.select("stage", "query_id", F.col("chunk_id").alias("doc_id"), F.col("stage_rank").alias("rank")), ["stage", "query_id"])
+    return evaluation.unique_documents(
+        hits.select("stage", "query_id", F.col("chunk_id").alias("doc_id"), F.col("stage_rank").alias("rank")),
+        ["stage", "query_id"],
+    )
 
 
 def unique_docs(spark, sf_dir):
     """Vectors as chunks of documents of seven: the first chunk places the document."""
-    hits = _hits(spark, sf_dir).where("stage = 'd64'").select("query_id", F.floor(F.col("chunk_id") / 7).alias("doc_id"), F.col("stage_rank").alias("rank"))
+    hits = _hits(spark, sf_dir).where("stage = 'd64'").select(
+        "query_id",
+        F.floor(F.col("chunk_id") / 7).alias("doc_id"),
+        F.col("stage_rank").alias("rank"),
+    )
     return evaluation.unique_documents(hits, ["query_id"]).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -180,7 +253,13 @@ def _metrics(spark, sf_dir):
 
 
 def eval_precision_recall(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("stage", "query_id", F.col("k").cast("long").alias("k"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return _metrics(spark, sf_dir).select(
+        "stage",
+        "query_id",
+        F.col("k").cast("long").alias("k"),
+        F.round("precision", 6).alias("precision"),
+        F.round("recall", 6).alias("recall"),
+    )
 
 
 def eval_mrr(spark, sf_dir):
@@ -188,12 +267,23 @@ def eval_mrr(spark, sf_dir):
 
 
 def eval_ndcg(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("stage", "query_id", F.col("k").cast("long").alias("k"), F.round("ndcg", 6).alias("ndcg"), F.round("ndcg_full", 6).alias("ndcg_full"))
+    return _metrics(spark, sf_dir).select(
+        "stage",
+        "query_id",
+        F.col("k").cast("long").alias("k"),
+        F.round("ndcg", 6).alias("ndcg"),
+        F.round("ndcg_full", 6).alias("ndcg_full"),
+    )
 
 
 def eval_by_stage(spark, sf_dir):
     rows = evaluation.averages(_metrics(spark, sf_dir), ("stage",))
-    return rows.select("stage", F.col("k").cast("long").alias("k"), F.col("queries").cast("long").alias("queries"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "ndcg_full", "mrr")])
+    return rows.select(
+        "stage",
+        F.col("k").cast("long").alias("k"),
+        F.col("queries").cast("long").alias("queries"),
+        *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "ndcg_full", "mrr")]
+    )
 
 
 EVAL_SQL = f"""{STAGED_SQL}, run AS (
@@ -229,23 +319,58 @@ def embed_stages(spark, sf_dir):
 
 def engine_retrieve(spark, sf_dir):
     """The public API from documents to ranked chunks: ingestion, windows, vectors, search, fusion."""
-    engine = Engine(spark, Settings(retrieval=Retrieval(stages=(Stage("coarse", 32, 20, 1.0),), lambda_similarity=1.0, zeta_structural_similarity=0.0)))
+    engine = Engine(
+        spark,
+        Settings(retrieval=Retrieval(stages=(Stage("coarse", 32, 20, 1.0),), lambda_similarity=1.0, zeta_structural_similarity=0.0)),
+    )
     engine.add_documents(ingest.normalized(base.texts(spark, sf_dir)))
     rows = engine.retrieve(base.questions(spark, sf_dir))
     return rows.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (vector_l2_normalize, vector_slice_renorm, vector_pad_truncate, hash_embedding, vector_topk_dot, vector_topk_inverse_l2, vector_topk_blocks, stage_fusion, metadata_priors, weighted_fusion, metadata_filter_soft, filter_terms, structure_text, structural_similarity, unique_docs, eval_precision_recall, eval_mrr, eval_ndcg, eval_by_stage, embed_stages, engine_retrieve)}
+QUERIES = {
+    f.__name__: f for f in (
+        vector_l2_normalize,
+        vector_slice_renorm,
+        vector_pad_truncate,
+        hash_embedding,
+        vector_topk_dot,
+        vector_topk_inverse_l2,
+        vector_topk_blocks,
+        stage_fusion,
+        metadata_priors,
+        weighted_fusion,
+        metadata_filter_soft,
+        filter_terms,
+        structure_text,
+        structural_similarity,
+        unique_docs,
+        eval_precision_recall,
+        eval_mrr,
+        eval_ndcg,
+        eval_by_stage,
+        embed_stages,
+        engine_retrieve,
+    )
+}
 
 _POS = "SELECT vec_id, i AS pos, round(v[i + 1], 6)::double AS x FROM (SELECT *, unnest(generate_series(0, len(v) - 1)) AS i FROM ({0}))"
 _TOP = f"SELECT query_id, item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({{0}}, 9) AS score FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings) q, (SELECT vec_id, embedding::double[] AS e FROM embeddings) c WHERE q.vec_id % {EVERY} = 0)) WHERE rank <= {K}"
 SQL = {
-    "vector_l2_normalize": _POS.format("SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (SELECT vec_id, list_transform(embedding::double[], lambda x: x * 3) AS e FROM embeddings)"),
+    "vector_l2_normalize": _POS.format(
+        "SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM (SELECT vec_id, list_transform(embedding::double[], lambda x: x * 3) AS e FROM embeddings)"
+    ),
     "vector_slice_renorm": "WITH s AS (SELECT vec_id, d AS dimension, list_slice(embedding::double[], 1, d) AS e FROM embeddings, (SELECT unnest([16, 32])::bigint AS d)), n AS (SELECT vec_id, dimension, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM s) SELECT vec_id, dimension, i AS pos, round(v[i + 1], 6) AS x FROM (SELECT *, unnest(generate_series(0, len(v) - 1)) AS i FROM n)",
-    "vector_pad_truncate": _POS.format("SELECT vec_id, list_transform(generate_series(1, 80), lambda i: coalesce(embedding[i]::double, 0.0)) AS v FROM embeddings"),
-    "hash_embedding": _POS.format("SELECT item_id AS vec_id, list_transform(generate_series(0, 47), lambda i: cast('0x' || substr(sha256(text), 2 * (i % 32) + 1, 2) AS int) / 255.0::double) AS v FROM benchmark"),
+    "vector_pad_truncate": _POS.format(
+        "SELECT vec_id, list_transform(generate_series(1, 80), lambda i: coalesce(embedding[i]::double, 0.0)) AS v FROM embeddings"
+    ),
+    "hash_embedding": _POS.format(
+        "SELECT item_id AS vec_id, list_transform(generate_series(0, 47), lambda i: cast('0x' || substr(sha256(text), 2 * (i % 32) + 1, 2) AS int) / 255.0::double) AS v FROM benchmark"
+    ),
     "vector_topk_dot": _TOP.format("list_dot_product(q.e, c.e)"),
-    "vector_topk_inverse_l2": _TOP.format("1.0::double / (1.0::double + list_sum(list_transform(generate_series(1, len(q.e)), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))"),
+    "vector_topk_inverse_l2": _TOP.format(
+        "1.0::double / (1.0::double + list_sum(list_transform(generate_series(1, len(q.e)), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))))"
+    ),
     "vector_topk_blocks": _TOP.format("list_dot_product(q.e, c.e)"),
     "stage_fusion": f"WITH {STAGED_SQL} SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM summed",
     "metadata_priors": "SELECT d.doc_id, coalesce(try_cast(quality AS double), 0.0::double) AS reliability, coalesce(try_cast(CASE WHEN lang = 'en' THEN '0.' || d.doc_id ELSE lang END AS double), 0.0::double) AS recency_score, round(n_chars / 1000.0::double, 6) AS domain_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
@@ -273,7 +398,10 @@ def _with_hint() -> None:
 
     SQL["engine_retrieve"] = SQL["engine_retrieve"].replace("{chunks}", CHUNKS_SQL)
 
-    SQL["structural_similarity"] = SQL["structural_similarity"].replace("{hint}", _hints_sql(sx.HINTS, "Expected structure: ", "General table structure query"))
+    SQL["structural_similarity"] = SQL["structural_similarity"].replace(
+        "{hint}",
+        _hints_sql(sx.HINTS, "Expected structure: ", "General table structure query"),
+    )
 
 
 _with_hint()

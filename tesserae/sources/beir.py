@@ -41,7 +41,9 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
 def qrels(spark: SparkSession, path: str) -> DataFrame:
     """Four fields a line: query, anything, document, relevance; another number of fields raises."""
     parts = F.split(tx.stripped(F.col("value")), r"\s+")
-    rows = spark.read.text(path).where(F.col("value") != "").select(F.when(F.size(parts) == 4, parts).otherwise(F.raise_error(F.concat(F.lit("not four fields: "), F.col("value")))).alias("p"))
+    rows = spark.read.text(path).where(F.col("value") != "").select(
+        F.when(F.size(parts) == 4, parts).otherwise(F.raise_error(F.concat(F.lit("not four fields: "), F.col("value")))).alias("p")
+    )
     return rows.select(F.col("p")[0].alias("query_id"), F.col("p")[2].alias("doc_id"), F.col("p")[3].cast("double").alias("relevance"))
 
 
@@ -73,11 +75,21 @@ def restricted(data: Split, types: list[str] | None = None) -> tuple[Split, Data
     kept = data.corpus.where(F.col("title").isin(*types)) if types else data.corpus
     asked = data.queries.join(kept.select(F.col("table_id").alias("_id")), "_id", "left_semi")
     found = kept.join(asked.select(F.col("_id").alias("table_id")), "table_id", "left_semi").select(*kept.columns)
-    judged = data.qrels.join(asked.select(F.col("_id").alias("query_id")), "query_id", "left_semi").join(found.select(F.col("_id").alias("doc_id")), "doc_id", "left_semi").select(*data.qrels.columns)
+    judged = data.qrels.join(
+        asked.select(F.col("_id").alias("query_id")),
+        "query_id",
+        "left_semi",
+    ).join(found.select(F.col("_id").alias("doc_id")), "doc_id", "left_semi").select(*data.qrels.columns)
     rows = None
     for name, old, new in (("corpus", data.corpus, found), ("queries", data.queries, asked), ("qrels", data.qrels, judged)):
         both = old.agg(F.count(F.lit(1)).alias("original")).join(new.agg(F.count(F.lit(1)).alias("kept")))
-        row = both.select(F.lit(name).alias("part"), "original", "kept", (F.col("original") - F.col("kept")).alias("removed"), F.when(F.col("original") > 0, F.col("kept") / F.col("original")).otherwise(0.0).alias("rate"))
+        row = both.select(
+            F.lit(name).alias("part"),
+            "original",
+            "kept",
+            (F.col("original") - F.col("kept")).alias("removed"),
+            F.when(F.col("original") > 0, F.col("kept") / F.col("original")).otherwise(0.0).alias("rate"),
+        )
         rows = row if rows is None else rows.union(row)
     return Split(found, asked, judged), rows
 

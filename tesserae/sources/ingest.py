@@ -28,7 +28,11 @@ def text_files(spark: SparkSession, folder: str, metadata: dict[str, Any] | None
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     stem = F.regexp_extract("_path", r"([^/]*)\.txt$", 1)
     rows = files.select(F.col("value").alias("text"), path.alias("_path"))
-    return rows.select(stem.alias("doc_id"), "text", F.map_concat(metadata_map(metadata), F.create_map(F.lit("source_path"), F.col("_path"))).alias("metadata"))
+    return rows.select(
+        stem.alias("doc_id"),
+        "text",
+        F.map_concat(metadata_map(metadata), F.create_map(F.lit("source_path"), F.col("_path"))).alias("metadata"),
+    )
 
 
 def json_documents(spark: SparkSession, path: str, text_field: str = "text", id_field: str = "id") -> DataFrame:
@@ -38,7 +42,10 @@ def json_documents(spark: SparkSession, path: str, text_field: str = "text", id_
     """
     fields = F.from_json("value", JSON_MAP)
     rows = spark.read.text(path).select(fields.alias("f"), "value")
-    text = F.when(F.col("f").isNull() | F.col("f")[text_field].isNull(), F.raise_error(F.concat(F.lit("no text in: "), F.substring("value", 1, 200)))).otherwise(F.col("f")[text_field])
+    text = F.when(
+        F.col("f").isNull() | F.col("f")[text_field].isNull(),
+        F.raise_error(F.concat(F.lit("no text in: "), F.substring("value", 1, 200))),
+    ).otherwise(F.col("f")[text_field])
     known = lambda c: F.when(~c.isin("", "0", "false", "null"), c)
     ident = F.coalesce(known(F.col("f")[id_field]), known(F.col("f")["doc_id"]), F.sha2(F.col("f")[text_field], 256))
     rest = F.map_filter("f", lambda k, v: ~k.isin(text_field, id_field))
@@ -100,7 +107,13 @@ def plain_pages(content: bytes) -> list[str]:
     return pages
 
 
-def pdf_documents(spark: SparkSession, folder: str, settings: PdfIngestion | None = None, read: PageReader = plain_pages, locations: Callable[[str], list[str]] | None = None) -> DataFrame:
+def pdf_documents(
+    spark: SparkSession,
+    folder: str,
+    settings: PdfIngestion | None = None,
+    read: PageReader = plain_pages,
+    locations: Callable[[str], list[str]] | None = None,
+) -> DataFrame:
     """Pages of the PDF files below a folder, split by characters, with the metadata of a segment.
 
     read gives a file's pages, locations the places a text names: both are plug-ins. Document type, department,
@@ -114,7 +127,10 @@ def pdf_documents(spark: SparkSession, folder: str, settings: PdfIngestion | Non
             rows = [(p, i, t) for p, c in zip(batch["path"], batch["content"], strict=True) for i, t in enumerate(read(c))]
             yield pd.DataFrame(rows, columns=["path", "page", "text"])
 
-    paged = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content").mapInPandas(pages, "path string, page int, text string")
+    paged = files.select(
+        F.regexp_replace("path", "^file:/+", "/").alias("path"),
+        "content",
+    ).mapInPandas(pages, "path string, page int, text string")
     split = character_chunks(paged, settings.chunk_size, settings.chunk_overlap, keep=["path", "page"])
     rows = numbered(split, "_place", ["path", "page", "chunk_index"]).withColumn("text", tx.stripped(F.col("text"))).where("text != ''")
     named = locations or (lambda _: [])

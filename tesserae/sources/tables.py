@@ -28,11 +28,25 @@ def interactions(records: DataFrame) -> DataFrame:
         first, last = candidate["start_token"], candidate["end_token"]
         usable = F.coalesce(candidate["top_level"] & (first >= 0) & (last > first) & (last <= F.size("document_tokens")), F.lit(False))
         body = F.when(usable, span(first, last))
-        answers = F.transform(F.filter(a["short_answers"], lambda s: (s["start_token"] >= 0) & (s["end_token"] > s["start_token"])), lambda s: span(s["start_token"], s["end_token"]))
-        return F.struct(body.alias("table_text"), answers.alias("answers"), first.alias("table_start_token"), last.alias("table_end_token"), answer["start_token"].alias("long_answer_start"), answer["end_token"].alias("long_answer_end"))
+        answers = F.transform(
+            F.filter(a["short_answers"], lambda s: (s["start_token"] >= 0) & (s["end_token"] > s["start_token"])),
+            lambda s: span(s["start_token"], s["end_token"]),
+        )
+        return F.struct(
+            body.alias("table_text"),
+            answers.alias("answers"),
+            first.alias("table_start_token"),
+            last.alias("table_end_token"),
+            answer["start_token"].alias("long_answer_start"),
+            answer["end_token"].alias("long_answer_end"),
+        )
 
     found = F.filter(F.transform("annotations", read), lambda x: x["table_text"].isNotNull() & tx.table_like(x["table_text"]))
-    rows = records.select(F.coalesce("example_id", F.lit("unknown")).alias("example_id"), F.col("question_text").alias("question"), F.try_element_at(found, F.lit(1)).alias("x"))
+    rows = records.select(
+        F.coalesce("example_id", F.lit("unknown")).alias("example_id"),
+        F.col("question_text").alias("question"),
+        F.try_element_at(found, F.lit(1)).alias("x"),
+    )
     return rows.where("x is not null").select("example_id", "question", "x.*")
 
 
@@ -41,14 +55,21 @@ def nq_records(spark: SparkSession, path: str, sample: int | None = None) -> Dat
     lines = spark.read.text(path)
     if sample:
         lines = numbered(lines, "_place").where(F.col("_place") < sample)
-    return lines.select(F.from_json("value", schemas.NQ_RECORD, {"mode": "PERMISSIVE"}).alias("r")).where("r.annotations is not null or r.document_tokens is not null").select("r.*")
+    return lines.select(
+        F.from_json("value", schemas.NQ_RECORD, {"mode": "PERMISSIVE"}).alias("r")
+    ).where("r.annotations is not null or r.document_tokens is not null").select("r.*")
 
 
 def extraction_counts(records: DataFrame, found: DataFrame) -> DataFrame:
-    seen = records.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.exists("long_answer_candidates", lambda c: c["top_level"])).alias("candidates"))
+    seen = records.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.exists("long_answer_candidates", lambda c: c["top_level"])).alias("candidates"),
+    )
     got = found.agg(F.count(F.lit(1)).alias("extracted"))
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return seen.join(got).withColumns({"candidate_rate": rate(F.col("candidates"), F.col("total")), "extraction_rate": rate(F.col("extracted"), F.col("total"))})
+    return seen.join(got).withColumns(
+        {"candidate_rate": rate(F.col("candidates"), F.col("total")), "extraction_rate": rate(F.col("extracted"), F.col("total"))}
+    )
 
 
 def chunk_text() -> F.Column:
@@ -64,7 +85,12 @@ def table_chunks(spark: SparkSession, path: str, types: list[str] | None = None)
     if types:
         rows = rows.where(F.col("chunk_type").isin(*types))
     ident = F.coalesce("id", "chunk_id")
-    return rows.select(ident.alias("id"), "chunk_type", F.coalesce("table_id", F.substring_index(ident, "_", 1)).alias("table_id"), chunk_text().alias("text"))
+    return rows.select(
+        ident.alias("id"),
+        "chunk_type",
+        F.coalesce("table_id", F.substring_index(ident, "_", 1)).alias("table_id"),
+        chunk_text().alias("text"),
+    )
 
 
 def json_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -77,8 +103,19 @@ def structures(chunks: DataFrame) -> DataFrame:
     kind = "struct<table_description:string,columns:map<string,struct<type:string,samples:array<string>>>,rows:int,patterns:array<string>>"
     rows = chunks.where("chunk_type = 'table_structure'").withColumn("_n", F.row_number().over(latest)).where("_n = 1")
     parsed = rows.select("table_id", F.from_json("content", kind).alias("s"))
-    columns = F.transform(F.map_entries("s.columns"), lambda e: F.struct(e["key"].alias("name"), e["value"]["type"].alias("type"), e["value"]["samples"].alias("samples")))
-    return parsed.select("table_id", F.struct(F.col("s.table_description"), columns.alias("columns"), F.col("s.rows"), F.col("s.patterns")).cast(structure.STRUCTURE).alias("structure"))
+    columns = F.transform(
+        F.map_entries("s.columns"),
+        lambda e: F.struct(e["key"].alias("name"), e["value"]["type"].alias("type"), e["value"]["samples"].alias("samples")),
+    )
+    return parsed.select(
+        "table_id",
+        F.struct(
+            F.col("s.table_description"),
+            columns.alias("columns"),
+            F.col("s.rows"),
+            F.col("s.patterns"),
+        ).cast(structure.STRUCTURE).alias("structure"),
+    )
 
 
 def prompt_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -93,4 +130,9 @@ def prompt_examples(spark: SparkSession, path: str) -> DataFrame:
     each = whole.select(F.posexplode(rows).alias("_i", "e")).select("_i", "e.*")
     answer = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("reference_answer", "ideal_answer", "answer")])
     ident = F.coalesce(F.when(F.col("query_id") != "", F.col("query_id")), F.format_string("textgrad-%04d", "_i"))
-    return each.select(ident.alias("query_id"), "question", answer.alias("reference_answer"), "metadata").where("question != '' and reference_answer is not null")
+    return each.select(
+        ident.alias("query_id"),
+        "question",
+        answer.alias("reference_answer"),
+        "metadata",
+    ).where("question != '' and reference_answer is not null")

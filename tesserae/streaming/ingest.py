@@ -17,7 +17,11 @@ def json_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     f = F.from_json("value", JSON_MAP)
     rows = lines.select(f.alias("f")).where("f['text'] is not null")
     ident = F.coalesce(F.nullif(F.col("f")["id"], F.lit("")), F.col("f")["doc_id"], F.sha2(F.col("f")["text"], 256))
-    return rows.select(ident.alias("doc_id"), F.col("f")["text"].alias("text"), F.map_filter("f", lambda k, v: ~k.isin("text", "id")).alias("metadata"))
+    return rows.select(
+        ident.alias("doc_id"),
+        F.col("f")["text"].alias("text"),
+        F.map_filter("f", lambda k, v: ~k.isin("text", "id")).alias("metadata"),
+    )
 
 
 def index_stream(docs: DataFrame, settings: Settings, root: str, checkpoint: str, encoders: dict | None = None) -> StreamingQuery:

@@ -37,7 +37,15 @@ def test_sentences_and_cells(spark):
 
 @pytest.mark.parametrize(
     ("text", "like"),
-    [("<TABLE>", True), ("<li>a<li>b<li>c", True), ("<li>a<li>b", False), ("a\tb\nc\nd", True), ("a|b\nc|d|e\nf|g", True), ("one two three\nfour five six\nseven eight nine\nten eleven twelve", True), ("one line", False)],
+    [
+        ("<TABLE>", True),
+        ("<li>a<li>b<li>c", True),
+        ("<li>a<li>b", False),
+        ("a\tb\nc\nd", True),
+        ("a|b\nc|d|e\nf|g", True),
+        ("one two three\nfour five six\nseven eight nine\nten eleven twelve", True),
+        ("one line", False)
+    ],
 )
 def test_table_like(spark, text, like):
     assert one(spark, tx.table_like(F.col("t")), t=text) is like
@@ -69,7 +77,9 @@ def test_hints(spark):
 
 
 def test_normalized_structure(spark):
-    s = F.expr("named_struct('table_description', '', 'columns', array(named_struct('name','a','type',cast(null as string),'samples',array('x',' '))), 'rows', 3, 'patterns', array('keyed'))").cast(sx.STRUCTURE)
+    s = F.expr(
+        "named_struct('table_description', '', 'columns', array(named_struct('name','a','type',cast(null as string),'samples',array('x',' '))), 'rows', 3, 'patterns', array('keyed'))"
+    ).cast(sx.STRUCTURE)
     assert one(spark, sx.normalized_structure(s)) == "Columns: a (unknown): x | Patterns: keyed, narrow, small | Rows: 3"
     assert one(spark, sx.structure_text(s)) == "Table:  Columns: a (unknown): x,   Patterns: keyed Rows: 3"
 

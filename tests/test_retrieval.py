@@ -29,7 +29,10 @@ def test_top_k(spark):
 def test_top_k_blocks_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(index, "BLOCK", 3)
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(10)]
-    items, asked = spark.createDataFrame(rows, "item_id long, vector array<double>"), spark.createDataFrame(rows, "query_id long, vector array<double>")
+    items, asked = spark.createDataFrame(rows, "item_id long, vector array<double>"), spark.createDataFrame(
+        rows,
+        "query_id long, vector array<double>",
+    )
     want = {(q, sorted(range(10), key=lambda i: (-np.dot(v, rows[i][1]), i))[0]) for q, v in rows}
     assert {(r["query_id"], r["item_id"]) for r in index.top_k_blocks(asked, items, 1).collect()} == want
 
@@ -61,7 +64,13 @@ def test_cells_as_a_stage(spark):
     rows = [(str(i), "s", [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     held = spark.createDataFrame(rows, "chunk_id string, stage string, vector array<double>")
     asked = held.where("chunk_id in ('1', '2')").withColumnRenamed("chunk_id", "query_id")
-    found = [index.search(asked, held, config.Retrieval(stages=(config.Stage("s", 3, 5, 1.0, search=how, probes=100),))) for how in ("exact", "cells")]
+    found = [
+        index.search(
+            asked,
+            held,
+            config.Retrieval(stages=(config.Stage("s", 3, 5, 1.0, search=how, probes=100),)),
+        ) for how in ("exact", "cells")
+    ]
     rows = [sorted((r["query_id"], r["chunk_id"], r["stage_rank"]) for r in f.collect()) for f in found]
     assert rows[0] == rows[1] and len(rows[0]) == 10
 
@@ -74,7 +83,10 @@ def test_stages_need_vectors(spark):
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame([("a", "cat cat dog"), ("b", "dog bird"), ("c", " "), ("d", "fish bird bird bird")], "id string, text string")
+    docs = spark.createDataFrame(
+        [("a", "cat cat dog"), ("b", "dog bird"), ("c", " "), ("d", "fish bird bird bird")],
+        "id string, text string",
+    )
     known = bm25.fit(docs, "id")
     assert known.n == 3 and known.mean_length == pytest.approx(3.0)
     asked = spark.createDataFrame([("q", "cat dog dog")], "query_id string, text string")
@@ -91,10 +103,20 @@ def test_bm25(spark):
 
 def test_filters(spark):
     rows = [("json", '["HR", " "]'), ("list", "hr; Finance,,"), ("none", ";,")]
-    got = {r["k"]: r["t"] for r in spark.createDataFrame(rows, "k string, v string").select("k", filters.filter_terms(F.col("v")).alias("t")).collect()}
+    got = {
+        r["k"]: r["t"] for r in spark.createDataFrame(rows, "k string, v string").select(
+            "k",
+            filters.filter_terms(F.col("v")).alias("t"),
+        ).collect()
+    }
     assert got == {"json": ["hr"], "list": ["hr", "finance"], "none": []}
-    meta = spark.createDataFrame([("HR dept", 1), ("Ops", 2)], "d string, i int").select("i", F.create_map(F.lit("department"), F.col("d")).alias("m"))
-    wanted = filters.query_filters(F.create_map(F.lit("filter__department"), F.lit("hr"), F.lit("x"), F.lit("y"), F.lit("filter__none"), F.lit(",")))
+    meta = spark.createDataFrame([("HR dept", 1), ("Ops", 2)], "d string, i int").select(
+        "i",
+        F.create_map(F.lit("department"), F.col("d")).alias("m"),
+    )
+    wanted = filters.query_filters(
+        F.create_map(F.lit("filter__department"), F.lit("hr"), F.lit("x"), F.lit("y"), F.lit("filter__none"), F.lit(","))
+    )
     assert [r["i"] for r in meta.where(filters.matches(F.col("m"), wanted)).collect()] == [1]
     ranked = spark.createDataFrame([("q", 1, False), ("q", 2, True), ("r", 1, False)], "query_id string, rank int, matched boolean")
     assert sorted((r["query_id"], r["rank"]) for r in filters.soft(ranked).collect()) == [("q", 2), ("r", 1)]
@@ -104,7 +126,10 @@ def test_filters(spark):
 
 
 def test_rerank(spark):
-    rows = spark.createDataFrame([("q", "cats", "a", "dogs run", 1, 0.9), ("q", "cats", "b", "cats run", 2, 0.8), ("q", "cats", "c", "other words", 3, 0.7)], "query_id string, question string, chunk_id string, text string, rank int, similarity double")
+    rows = spark.createDataFrame(
+        [("q", "cats", "a", "dogs run", 1, 0.9), ("q", "cats", "b", "cats run", 2, 0.8), ("q", "cats", "c", "other words", 3, 0.7)],
+        "query_id string, question string, chunk_id string, text string, rank int, similarity double",
+    )
     assert [(r["chunk_id"], r["rank"]) for r in rerank.pairs(rows, 2).orderBy("rank").collect()] == [("b", 1), ("a", 2)]
     assert rerank.pairs(rows, 0).count() == 3 and rerank.pairs(rows, 1, None).count() == 3
     got = {r["chunk_id"]: (r["rank"], r["degree"], round(r["similarity"], 6)) for r in rerank.graph(rows).collect()}
@@ -116,7 +141,10 @@ def test_rerank(spark):
 @pytest.mark.parametrize(("at", "mrr", "ndcg"), [(6, 1 / 6, 1 / math.log2(7)), (2, 0.5, 1 / math.log2(3))])
 def test_metrics_of_one_hit(spark, at, mrr, ndcg):
     run = spark.createDataFrame([("q", f"d{i}", i) for i in range(1, 11)], "query_id string, doc_id string, rank int")
-    qrels = spark.createDataFrame([("q", f"d{at}", 1.0), ("q", "zero", 0.0), ("other", "d1", 1.0)], "query_id string, doc_id string, relevance double")
+    qrels = spark.createDataFrame(
+        [("q", f"d{at}", 1.0), ("q", "zero", 0.0), ("other", "d1", 1.0)],
+        "query_id string, doc_id string, relevance double",
+    )
     rows = evaluation.metrics(run, qrels, [1, 10]).collect()
     ten = next(r for r in rows if r["k"] == 10)
     assert (ten["precision"], ten["recall"]) == (0.1, 1.0) and ten["mrr"] == pytest.approx(mrr) and ten["ndcg"] == pytest.approx(ndcg)
@@ -136,7 +164,10 @@ def test_metrics_edges(spark):
 
 def test_generation(spark):
     asked = spark.createDataFrame([("q", "Why?"), ("r", "How?")], "query_id string, text string")
-    ranked = spark.createDataFrame([("q", "b", " second ", 2), ("q", "a", "first", 1)], "query_id string, chunk_id string, text string, rank int")
+    ranked = spark.createDataFrame(
+        [("q", "b", " second ", 2), ("q", "a", "first", 1)],
+        "query_id string, chunk_id string, text string, rank int",
+    )
     rows = {r["query_id"]: r for r in generation.answers(generation.contexts(asked, ranked), "S").collect()}
     assert rows["q"]["prompt"] == "S\n\nContext:\n[a] first\n\n[b] second\n\nQuestion: Why?\nAnswer:"
     assert rows["r"]["prompt"] == f"S\n\nContext:\n{generation.NO_CONTEXT}\n\nQuestion: How?\nAnswer:"
@@ -148,14 +179,23 @@ def test_generation(spark):
 
 def test_prompt_search(spark):
     examples = spark.createDataFrame([("q", "red fox")], "query_id string, reference_answer string")
-    held = generation.contexts(spark.createDataFrame([("q", "Which?")], "query_id string, text string"), spark.createDataFrame([], "query_id string, chunk_id string, text string, rank int"))
+    held = generation.contexts(
+        spark.createDataFrame([("q", "Which?")], "query_id string, text string"),
+        spark.createDataFrame([], "query_id string, chunk_id string, text string, rank int"),
+    )
     model = generation.generator(lambda: lambda prompts: ["red fox" if "magic" in p else "blue" for p in prompts])
     search = prompt_search.Search(instructions=("Use magic.", "Be brief."))
     best, history = prompt_search.optimize("Base ", held, examples, search, model)
     assert best == "Base\n\nUse magic." and [h["score"] for h in history] == [0.0, 1.0]
     trial = lambda score: prompt_search.Trial(1, score, str(score))
     assert prompt_search.chosen(trial(0.5), [trial(0.505), trial(0.6), trial(0.605)], 0.01).score == 0.6
-    assert prompt_search.optimize("Base", held, examples, prompt_search.Search(max_steps=0), model)[1] == [{"step": 0, "score": 0.0, "prompt": "Base"}]
+    assert prompt_search.optimize(
+        "Base",
+        held,
+        examples,
+        prompt_search.Search(max_steps=0),
+        model,
+    )[1] == [{"step": 0, "score": 0.0, "prompt": "Base"}]
     with pytest.raises(ValueError):
         prompt_search.optimize("Base", held, examples.limit(0))
 
@@ -168,7 +208,12 @@ def test_multi_resolution(spark):
 
 def test_engine(spark, tmp_path):
     stages = (config.Stage("s", 32, 5, 1.0),)
-    settings = config.Settings(chunking=config.Chunking(8, 2), retrieval=config.Retrieval(stages=stages, epsilon_bm25=0.5), cross_encoder=config.CrossEncoder(top_n=3), use_graph_rerank=True)
+    settings = config.Settings(
+        chunking=config.Chunking(8, 2),
+        retrieval=config.Retrieval(stages=stages, epsilon_bm25=0.5),
+        cross_encoder=config.CrossEncoder(top_n=3),
+        use_graph_rerank=True,
+    )
     engine = Engine(spark, settings, Plugins())
     asked = spark.createDataFrame([("q", "red fox", {})], "query_id string, text string, metadata map<string,string>")
     with pytest.raises(RuntimeError):
@@ -196,7 +241,13 @@ def test_engine_batches_and_models(spark, tmp_path):
         return lambda: lambda prompts: [f"{settings.max_new_tokens} {settings.temperature}" for _ in prompts]
 
     stages = (config.Stage("s", 3, 5, 1.0, model_name="m"),)
-    settings = config.Settings(retrieval=config.Retrieval(stages=stages), generation=config.Generation(max_new_tokens=7, temperature=0.5), cross_encoder=config.CrossEncoder(top_n=1), storage_dir=str(seen), run_name="r")
+    settings = config.Settings(
+        retrieval=config.Retrieval(stages=stages),
+        generation=config.Generation(max_new_tokens=7, temperature=0.5),
+        cross_encoder=config.CrossEncoder(top_n=1),
+        storage_dir=str(seen),
+        run_name="r",
+    )
     scorer = lambda settings: lambda: lambda pairs: [float(settings.top_n)] * len(pairs)
     engine = Engine(spark, settings, Plugins(make_encoder=encoder, make_generator=generator, make_scorer=scorer))
     good = spark.createDataFrame([("a", "the red fox")], "doc_id string, text string")
@@ -229,9 +280,17 @@ def test_structure_cache(spark, tmp_path):
 def test_engine_tables(spark):
     from tesserae.operators import html_tables
 
-    engine = Engine(spark, config.Settings(chunking=config.Chunking(enabled_chunk_types=("table_row",)), retrieval=config.Retrieval(stages=(config.Stage("s", 8, 5, 1.0),))))
+    engine = Engine(
+        spark,
+        config.Settings(
+            chunking=config.Chunking(enabled_chunk_types=("table_row",)),
+            retrieval=config.Retrieval(stages=(config.Stage("s", 8, 5, 1.0),)),
+        ),
+    )
     html = "<table><tr><th>id</th><th>name</th></tr><tr><td>1</td><td>x</td></tr><tr><td>2</td><td>y</td></tr></table>"
-    tables = html_tables.processed(spark.createDataFrame([("e", "q?", html, ["x"])], "example_id string, question string, table_text string, answers array<string>"))
+    tables = html_tables.processed(
+        spark.createDataFrame([("e", "q?", html, ["x"])], "example_id string, question string, table_text string, answers array<string>")
+    )
     assert sorted(r["text"] for r in engine.add_tables(tables).collect()) == ["id: 1 | name: x", "id: 2 | name: y"]
     with pytest.raises(ValueError):
         Engine(spark, config.Settings(chunking=config.Chunking(enabled_chunk_types=("other",)))).add_tables(tables)
@@ -252,7 +311,12 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in/1.jsonl").write_text('{"id":"a","text":"one two"}\n{"id":"b"}\n')
     settings = config.Settings(retrieval=config.Retrieval(stages=(config.Stage("s", 8, 5, 1.0),)))
     for _ in range(2):
-        query = stream.index_stream(stream.json_stream(spark, str(tmp_path / "in")), settings, str(tmp_path / "out"), str(tmp_path / "check"))
+        query = stream.index_stream(
+            stream.json_stream(spark, str(tmp_path / "in")),
+            settings,
+            str(tmp_path / "out"),
+            str(tmp_path / "check"),
+        )
         query.awaitTermination(60)
         (tmp_path / "in/2.jsonl").write_text('{"id":"c","text":"three"}\n')
     assert {r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()} == {"a__00000", "c__00000"}

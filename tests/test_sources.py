@@ -17,7 +17,11 @@ def test_text_and_json(spark, tmp_path):
     rows = {r["doc_id"]: r for r in ingest.documents(spark, str(tmp_path / "t"), metadata={"k": 1}).collect()}
     assert rows["a"]["text"] == "Ä text\nwith lines"
     assert rows["b"]["metadata"] == {"k": "1", "source_path": str(tmp_path / "t/sub/b.txt")}
-    lines = [{"id": "x", "text": "one", "reliability": "0.8"}, {"id": 0, "doc_id": "y", "text": "two"}, {"id": "", "text": "three", "n": {"a": 1}}]
+    lines = [
+        {"id": "x", "text": "one", "reliability": "0.8"},
+        {"id": 0, "doc_id": "y", "text": "two"},
+        {"id": "", "text": "three", "n": {"a": 1}}
+    ]
     (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, lines)))
     got = {r["text"]: r for r in ingest.documents(spark, str(tmp_path / "d.jsonl")).collect()}
     assert got["one"]["doc_id"] == "x" and got["one"]["metadata"] == {"reliability": "0.8"}
@@ -36,7 +40,9 @@ def test_numbering(spark):
     assert sorted(r["place"] for r in got) == list(range(1000))
     got = ingest.numbered(rows, "place", ["id"]).collect()
     assert all(r["place"] == r["id"] for r in got)
-    norm = ingest.normalized(spark.createDataFrame([("", "a", None), ("k", "b", {"m": "1"})], "doc_id string, text string, metadata map<string,string>")).collect()
+    norm = ingest.normalized(
+        spark.createDataFrame([("", "a", None), ("k", "b", {"m": "1"})], "doc_id string, text string, metadata map<string,string>")
+    ).collect()
     assert {r["doc_id"] for r in norm} >= {"k"} and any(r["doc_id"].startswith("doc-0000000") for r in norm)
 
 
@@ -59,14 +65,26 @@ def nq(**more):
         "example_id": "e",
         "question_text": "q",
         "document_tokens": [{"token": t} for t in tokens],
-        "long_answer_candidates": [{"start_token": 0, "end_token": 5, "top_level": True}, {"start_token": 5, "end_token": 6, "top_level": True}],
-        "annotations": [{"long_answer": {"start_token": 5, "end_token": 6, "candidate_index": 1}, "short_answers": []}, {"long_answer": {"start_token": 0, "end_token": 5, "candidate_index": 0}, "short_answers": [{"start_token": 2, "end_token": 3}]}],
+        "long_answer_candidates": [
+            {"start_token": 0, "end_token": 5, "top_level": True},
+            {"start_token": 5, "end_token": 6, "top_level": True}
+        ],
+        "annotations": [
+            {"long_answer": {"start_token": 5, "end_token": 6, "candidate_index": 1}, "short_answers": []},
+            {"long_answer": {"start_token": 0, "end_token": 5, "candidate_index": 0}, "short_answers": [{"start_token": 2, "end_token": 3}]}
+        ],
     }
     return json.dumps(base | more)
 
 
 def test_interactions(spark, tmp_path):
-    lines = [nq(), "not json", nq(annotations=[{"long_answer": {"start_token": -1, "end_token": -1, "candidate_index": -1}, "short_answers": []}]), nq(long_answer_candidates=[]), nq(annotations=[])]
+    lines = [
+        nq(),
+        "not json",
+        nq(annotations=[{"long_answer": {"start_token": -1, "end_token": -1, "candidate_index": -1}, "short_answers": []}]),
+        nq(long_answer_candidates=[]),
+        nq(annotations=[])
+    ]
     (tmp_path / "n.jsonl").write_text("\n".join(lines))
     records = tables.nq_records(spark, str(tmp_path / "n.jsonl"))
     rows = tables.interactions(records).collect()
@@ -77,9 +95,15 @@ def test_interactions(spark, tmp_path):
 
 def test_prompt_examples(spark, tmp_path):
     rows = [{"question": "a", "answer": "x"}, {"question": "", "answer": "y"}, {"question": "c", "ideal_answer": "z", "query_id": "k"}]
-    for name, text in (("l.jsonl", "\n".join(map(json.dumps, rows))), ("a.json", json.dumps(rows)), ("o.json", json.dumps({"examples": rows}))):
+    for name, text in (
+        ("l.jsonl", "\n".join(map(json.dumps, rows))),
+        ("a.json", json.dumps(rows)),
+        ("o.json", json.dumps({"examples": rows})),
+    ):
         (tmp_path / name).write_text(text)
-        got = sorted((r["query_id"], r["question"], r["reference_answer"]) for r in tables.prompt_examples(spark, str(tmp_path / name)).collect())
+        got = sorted(
+            (r["query_id"], r["question"], r["reference_answer"]) for r in tables.prompt_examples(spark, str(tmp_path / name)).collect()
+        )
         assert got == [("k", "c", "z"), ("textgrad-0000", "a", "x")], name
 
 
@@ -109,7 +133,14 @@ def test_environment(tmp_path, monkeypatch):
 
 
 def test_config():
-    got = config.from_dict({"retrieval": {"stages": [{"name": "a", "dimension": 8, "top_k": 5, "weight": 1.0}], "epsilon_bm25": 0.1}, "cross_encoder": {"top_n": 3}, "unknown": 1, "chunking": None})
+    got = config.from_dict(
+        {
+            "retrieval": {"stages": [{"name": "a", "dimension": 8, "top_k": 5, "weight": 1.0}], "epsilon_bm25": 0.1},
+            "cross_encoder": {"top_n": 3},
+            "unknown": 1,
+            "chunking": None,
+        }
+    )
     assert got.retrieval.stages[0].dimension == 8 and got.cross_encoder.top_n == 3 and got.chunking.max_tokens == 512
     with pytest.raises(ValueError):
         _ = config.Chunking(4, 4).stride

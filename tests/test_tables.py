@@ -20,7 +20,14 @@ PLAIN = "<table><caption>A caption</caption><tr><th>id</th><th>name</th></tr><tr
 
 def test_data_table(spark):
     r = processed(spark, PLAIN).first()
-    assert (r["kind"], r["headers"], r["rows"], r["num_rows"], r["num_cols"], r["title"]) == ("table", ["id", "name"], [["1", "x"], ["2", ""]], 2, 2, "A caption")
+    assert (
+        r["kind"],
+        r["headers"],
+        r["rows"],
+        r["num_rows"],
+        r["num_cols"],
+        r["title"],
+    ) == ("table", ["id", "name"], [["1", "x"], ["2", ""]], 2, 2, "A caption")
     assert r["linearized"] == "id | name || 1 | x || 2"
     assert r["description"] == "This table contains 2 rows with columns: id, name. It relates to the question: q?"
 
@@ -29,7 +36,11 @@ def test_infobox_and_text(spark):
     box = "<table>" + "".join(f"<tr><th>k{i}</th><td>v{i}</td></tr>" for i in range(12)) + "</table>"
     text = "no <b>table</b>  here"
     a, b = processed(spark, box, text).orderBy("example_id").collect()
-    assert a["kind"] == "infobox" and a["headers"][0] == "k0" and a["rows"][1] == ["v1"] and (len(a["rows"]), a["num_rows"], a["num_cols"]) == (10, 12, 1)
+    assert a["kind"] == "infobox" and a["headers"][0] == "k0" and a["rows"][1] == ["v1"] and (
+        len(a["rows"]),
+        a["num_rows"],
+        a["num_cols"],
+    ) == (10, 12, 1)
     assert (b["kind"], b["linearized"], b["headers"]) == ("text", "no table here", [])
 
 
@@ -50,8 +61,26 @@ def test_edges(spark):
 
 def test_regular_tables_need_no_parser(spark):
     """What is split by expressions is what the parser finds; anything odd goes to the parser."""
-    plain = ["<table><tr><td></td><td> a  b </td></tr></table>", "<table><caption>C</caption><tr><th>x</th></tr></table>", "<table><tr><th>only one long head cell here</th></tr><tr><td>y</td></tr></table>", "<table><tr><td>" + "z" * 600 + "</td></tr></table>", PLAIN, "<table>" + "<tr><td>r</td></tr>" * 130 + "</table>", "<table><tr><td>é'\"</td></tr></table>"]
-    odd = ["<table><tr></tr></table>", "<table></table>", "<table><tr><td>x&amp;</td></tr></table>", "<table><tr><td>a</th></tr></table>", "<table><tr><td>a</td></tr></table> ", "", "<TABLE><tr><td>a</td></tr></TABLE>", "<table><tr><td>a\nb</td></tr></table>", "<table><tr><td>a\u00a0</td></tr></table>"]
+    plain = [
+        "<table><tr><td></td><td> a  b </td></tr></table>",
+        "<table><caption>C</caption><tr><th>x</th></tr></table>",
+        "<table><tr><th>only one long head cell here</th></tr><tr><td>y</td></tr></table>",
+        "<table><tr><td>" + "z" * 600 + "</td></tr></table>",
+        PLAIN,
+        "<table>" + "<tr><td>r</td></tr>" * 130 + "</table>",
+        "<table><tr><td>é'\"</td></tr></table>"
+    ]
+    odd = [
+        "<table><tr></tr></table>",
+        "<table></table>",
+        "<table><tr><td>x&amp;</td></tr></table>",
+        "<table><tr><td>a</th></tr></table>",
+        "<table><tr><td>a</td></tr></table> ",
+        "",
+        "<TABLE><tr><td>a</td></tr></TABLE>",
+        "<table><tr><td>a\nb</td></tr></table>",
+        "<table><tr><td>a\u00a0</td></tr></table>"
+    ]
     df = spark.createDataFrame(list(enumerate(plain + odd)), "i int, t string")
     rows = df.select("i", ht.regular(F.col("t")).alias("r"), ht.parsed(F.col("t")).alias("p")).orderBy("i").collect()
     assert [r["r"] for r in rows] == [True] * len(plain) + [False] * len(odd)
@@ -83,7 +112,11 @@ def test_pruned_tree(monkeypatch):
     monkeypatch.setattr(ht, "MOST_ROWS", 3)
     pick, tags = random.Random(5), "table tr td th caption p".split()
     for _ in range(3000):
-        html = "".join(pick.choice([f"<{t}>", f"</{t}>", f"<{t}/>", "<th colspan=2>", "<tr><td>", "</td></tr>", "text", "long one "]) for t in pick.choices(tags, k=pick.randint(1, 40)))
+        html = "".join(
+            pick.choice(
+                [f"<{t}>", f"</{t}>", f"<{t}/>", "<th colspan=2>", "<tr><td>", "</td></tr>", "text", "long one "]
+            ) for t in pick.choices(tags, k=pick.randint(1, 40))
+        )
         got = ht.parse(html)
         with monkeypatch.context() as m:
             m.setattr(ht, "_Tree", Whole)
