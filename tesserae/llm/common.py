@@ -124,7 +124,9 @@ def hash_share(hashed: Column, sample: int, count: int | Column) -> Column:
     """Whether a 64-bit hash falls into the share sample / count of all its values: exact for any count, all if count is
     sample at most."""
     count = F.greatest(F.lit(1), F.lit(count) if isinstance(count, int) else count).cast("long")
-    bound = F.when(count <= sample, F.lit(_MOST)).otherwise(F.floor(F.lit(_MOST).cast("decimal(38,0)") * F.lit(sample).cast("decimal(18,0)") / count.cast("decimal(19,0)")).cast("long"))
+    bound = F.when(count <= sample, F.lit(_MOST)).otherwise(
+        F.floor(F.lit(_MOST).cast("decimal(38,0)") * F.lit(sample).cast("decimal(18,0)") / count.cast("decimal(19,0)")).cast("long")
+    )
     return hashed.bitwiseAND(F.lit(_MOST)) <= bound
 
 

@@ -67,7 +67,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star round: neighbours of a node move to its least neighbour."""
     both = edges.union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
-    moved = least.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else least.select("b", "m").toDF("a", "b").union(least.select("a", "m").toDF("a", "b"))
+    moved = least.where("b > a").select(
+        F.col("b").alias("a"),
+        F.col("m").alias("b"),
+    ) if large else least.select("b", "m").toDF("a", "b").union(least.select("a", "m").toDF("a", "b"))
     return moved.where("a != b").distinct()
 
 

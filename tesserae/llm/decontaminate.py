@@ -144,7 +144,10 @@ def _reader(data: np.ndarray, offsets: np.ndarray, rows: pa.RecordBatch, a: int)
 
 
 def _normalised(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("item").isNotNull()).distinct()
+    return benchmark.select(
+        F.col(id_col).cast("string").alias("item"),
+        F.col(text_col).alias("text"),
+    ).where(F.col("item").isNotNull()).distinct()
 
 
 def _windows(frame: DataFrame, keys: list[str], sizes: Callable[[int], list[int]], passes=None) -> DataFrame:
@@ -171,7 +174,12 @@ def _windows(frame: DataFrame, keys: list[str], sizes: Callable[[int], list[int]
                     said.append(joined(low, starts, ends, i, size))
             if rows:
                 held = [batch.column(k).take(pa.array(rows)) for k in keys]
-                yield batch_of(**dict(zip(keys, held, strict=True)), at=np.array(ats, np.int32), size=np.array(lengths, np.int32), gram=pa.array(said, pa.binary()))
+                yield batch_of(
+                    **dict(zip(keys, held, strict=True)),
+                    at=np.array(ats, np.int32),
+                    size=np.array(lengths, np.int32),
+                    gram=pa.array(said, pa.binary()),
+                )
 
     return in_arrow(frame.select(*keys, "text"), per_batch, f"{kinds}, at int, size int, gram binary")
 
@@ -218,13 +226,21 @@ def _met(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     asked = stored(_windows(docs, ["_key"], lambda n: [s for s in sizes if s <= n], passes))
     known = _windows(items, ["item"], lambda n: [min(window, n)] if n else []).select("gram", "item").distinct()
     total = asked.count()
-    common = F.broadcast(stored(asked.groupBy("gram").count().where(F.col("count") * COMMON > total).select(F.col("gram").alias("_common"))))
+    common = F.broadcast(
+        stored(asked.groupBy("gram").count().where(F.col("count") * COMMON > total).select(F.col("gram").alias("_common")))
+    )
 
     def salted(rows: DataFrame, salt) -> DataFrame:
-        return rows.join(common, F.col("gram") == F.col("_common"), "left").withColumn("_salt", F.when(F.col("_common").isNotNull(), salt)).drop("_common")
+        return rows.join(common, F.col("gram") == F.col("_common"), "left").withColumn(
+            "_salt",
+            F.when(F.col("_common").isNotNull(), salt),
+        ).drop("_common")
 
     asked = salted(asked, F.pmod(F.xxhash64("_key", "at"), F.lit(SALTS))).withColumn("_salt", F.coalesce("_salt", F.lit(0).cast("long")))
-    known = salted(known, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).withColumn("_salt", F.explode(F.coalesce("_salt", F.array(F.lit(0).cast("long")))))
+    known = salted(
+        known,
+        F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")),
+    ).withColumn("_salt", F.explode(F.coalesce("_salt", F.array(F.lit(0).cast("long")))))
     hits = asked.join(known, ["gram", "_salt"])
     return hits.groupBy("_key").agg(F.collect_set(F.struct("at", "size")).alias("_at"), F.collect_set("item").alias("_items"))
 
@@ -246,7 +262,18 @@ def judged(docs: DataFrame, benchmark: DataFrame, text_col: str, *, window: int,
     return keyed.join(F.broadcast(met) if few else met, "_key", "left").select(*docs.columns, "_at", "_items"), _reader
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    window: int = WINDOW,
+    min_items: int = ITEMS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """For each document its words, the words inside occurrences of benchmark windows, the items found, and the spans.
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (array of code point start and end,
@@ -255,7 +282,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     repeats counts once. Repeated rows come back each; other columns, whatever their names, don't matter; an empty
     table of documents gives an empty result, one of benchmarks no hits.
     """
-    rows, judge = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", window=window, item_col=item_col, item_text_col=item_text_col, broadcast_bytes=broadcast_bytes)
+    rows, judge = judged(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+        benchmark,
+        "text",
+        window=window,
+        item_col=item_col,
+        item_text_col=item_text_col,
+        broadcast_bytes=broadcast_bytes,
+    )
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -270,7 +305,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                     continue
                 point = np.concatenate([[0], np.cumsum((data[offsets[t] : offsets[t + 1]] & 0xC0) != 0x80)])
                 lo, hi = v.runs()
-                spans.append([{"start": s, "end": e} for s, e in zip(point[lo - offsets[t]].tolist(), point[hi - offsets[t]].tolist(), strict=True)])
+                spans.append(
+                    [{"start": s, "end": e} for s, e in zip(point[lo - offsets[t]].tolist(), point[hi - offsets[t]].tolist(), strict=True)]
+                )
             counts = np.array([len(v.items) for v in found], np.int64)
             yield batch_of(
                 doc_id=batch.column(0).slice(a, b - a),
@@ -285,7 +322,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return in_arrow(rows, per_batch, schema)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", window: int = WINDOW, min_items: int = ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    mode: str = "documents",
+    window: int = WINDOW,
+    min_items: int = ITEMS,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """docs without contaminated documents (mode "documents"), or with the spans cut from their text (mode "spans").
 
     All columns stay as they were; n_chars, where there is one, follows a shortened text. Null and empty texts are
@@ -293,7 +341,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, mode: str = "docume
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode: {mode}")
-    rows, judge = judged(docs, benchmark, text_col, window=window, item_col=item_col, item_text_col=item_text_col, broadcast_bytes=broadcast_bytes)
+    rows, judge = judged(
+        docs,
+        benchmark,
+        text_col,
+        window=window,
+        item_col=item_col,
+        item_text_col=item_text_col,
+        broadcast_bytes=broadcast_bytes,
+    )
     names = docs.columns
     place, length = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
@@ -326,7 +382,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, mode: str = "docume
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("spans").cast("long").alias("n_spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        "items_sha256",
+        "contaminated",
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

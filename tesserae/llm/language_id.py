@@ -123,7 +123,10 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS,
         for a, b, data, offsets in slices(batch.column(0)):
             keep = has_letter(data, offsets)
             x = frequencies(data, offsets)[keep]
-            yield batch_of(lang=batch.column(1).slice(a, b - a).filter(pa.array(keep)), vector=pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary()))
+            yield batch_of(
+                lang=batch.column(1).slice(a, b - a).filter(pa.array(keep)),
+                vector=pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())
+            )
 
     vectors = stored(in_arrow(picked.select("text", "lang"), per_batch, "lang string, vector binary"))
 
@@ -147,9 +150,19 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS,
     def per_language(group: pa.Table) -> pa.Table:
         own = np.stack([np.frombuffer(v, np.float16) for v in sorted(group["vector"].to_pylist())]).astype(np.float32)
         found, least = fit(weighted(own, idf), centroids=centroids)
-        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(found), pa.string()), "c": pa.array(range(len(found)), pa.int32()), "vector": pa.array([x.astype(np.float32).tobytes() for x in found], pa.binary()), "least": least})
-
-    got = vectors.groupBy("lang").applyInArrow(per_language, "lang string, c int, vector binary, least double").toArrow().sort_by([("lang", "ascending"), ("c", "ascending")])
+        return pa.table(
+            {
+                "lang": pa.array([group["lang"][0].as_py()] * len(found), pa.string()),
+                "c": pa.array(range(len(found)), pa.int32()),
+                "vector": pa.array([x.astype(np.float32).tobytes() for x in found], pa.binary()),
+                "least": least
+            }
+        )
+
+    got = vectors.groupBy("lang").applyInArrow(
+        per_language,
+        "lang string, c int, vector binary, least double",
+    ).toArrow().sort_by([("lang", "ascending"), ("c", "ascending")])
     names = got["lang"].unique().to_pylist()
     at = {name: k for k, name in enumerate(names)}
     centres = np.empty((got.num_rows, 1 << BITS), np.float32)

@@ -115,7 +115,25 @@ def encode_bmp(image: np.ndarray) -> bytes:
     body[:, : flat.shape[1]] = flat
     grey = _GREY if bits == 8 else b""
     start = 54 + len(grey)
-    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + body.size, 0, 0, start, 40, width, height, 1, bits, 0, body.size, 2835, 2835, 256 if grey else 0, 0) + grey + body[::-1].tobytes()
+    return struct.pack(
+        "<2sIHHIIiiHHIIiiII",
+        b"BM",
+        start + body.size,
+        0,
+        0,
+        start,
+        40,
+        width,
+        height,
+        1,
+        bits,
+        0,
+        body.size,
+        2835,
+        2835,
+        256 if grey else 0,
+        0,
+    ) + grey + body[::-1].tobytes()
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -203,12 +221,34 @@ def media_tiles(images: DataFrame, *, id_col: str, data_col: str, tile: int = TI
                 mark = difference_hash(image)
             except (ValueError, struct.error, IndexError) as e:
                 none = pa.nulls(1, pa.int32())
-                yield batch_of(id=key, row=none, col=none, height=none, width=none, dhash=pa.nulls(1, pa.string()), npy=pa.nulls(1, pa.binary()), error=[str(e)])
+                yield batch_of(
+                    id=key,
+                    row=none,
+                    col=none,
+                    height=none,
+                    width=none,
+                    dhash=pa.nulls(1, pa.string()),
+                    npy=pa.nulls(1, pa.binary()),
+                    error=[str(e)],
+                )
                 continue
             for y, x, npy in npy_tiles(image, tile):
-                yield batch_of(id=key, row=np.array([y], np.int32), col=np.array([x], np.int32), height=np.array([image.shape[0]], np.int32), width=np.array([image.shape[1]], np.int32), dhash=[mark], npy=pa.array([npy], pa.binary()), error=pa.nulls(1, pa.string()))
-
-    return in_arrow(images.select(id_col, data_col), per_batch, f"id {kind}, row int, col int, height int, width int, dhash string, npy binary, error string")
+                yield batch_of(
+                    id=key,
+                    row=np.array([y], np.int32),
+                    col=np.array([x], np.int32),
+                    height=np.array([image.shape[0]], np.int32),
+                    width=np.array([image.shape[1]], np.int32),
+                    dhash=[mark],
+                    npy=pa.array([npy], pa.binary()),
+                    error=pa.nulls(1, pa.string()),
+                )
+
+    return in_arrow(
+        images.select(id_col, data_col),
+        per_batch,
+        f"id {kind}, row int, col int, height int, width int, dhash string, npy binary, error string",
+    )
 
 
 def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -235,9 +275,32 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 archive = packed(iter(tiles))
                 image = unpacked(archive, tile)
                 payload = image.tobytes()
-                rows.append((size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(archive), hashlib.sha256(archive).hexdigest(), difference_hash(image), len(tiles), archive))
+                rows.append(
+                    (
+                        size,
+                        len(payload),
+                        hashlib.sha256(payload).hexdigest(),
+                        zlib.crc32(payload[-64:]),
+                        len(archive),
+                        hashlib.sha256(archive).hexdigest(),
+                        difference_hash(image),
+                        len(tiles),
+                        archive,
+                    )
+                )
             cols = list(zip(*rows, strict=True))
-            yield batch_of(doc_id=ids.slice(a, b - a), n_bytes=cols[0], payload_bytes=cols[1], payload_sha256=cols[2], tail_crc32=cols[3], media_bytes=cols[4], media_sha256=cols[5], feature=cols[6], n_tiles=cols[7], tiles=pa.array(cols[8], pa.binary()))
+            yield batch_of(
+                doc_id=ids.slice(a, b - a),
+                n_bytes=cols[0],
+                payload_bytes=cols[1],
+                payload_sha256=cols[2],
+                tail_crc32=cols[3],
+                media_bytes=cols[4],
+                media_sha256=cols[5],
+                feature=cols[6],
+                n_tiles=cols[7],
+                tiles=pa.array(cols[8], pa.binary()),
+            )
 
     return in_arrow(docs.select(id_col, text_col), per_batch, schema)
 

@@ -133,7 +133,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = (known | ~again) & (shut | wide)
         if keep.any():
             rows = rows.select(["doc", "tie", "place"]).filter(pa.array(keep))
-            yield batch_of(**{c: rows.column(c).combine_chunks() for c in ("doc", "tie", "place")}, gram=pa.array(gram[keep], mask=shut[keep]))
+            yield batch_of(
+                **{c: rows.column(c).combine_chunks() for c in ("doc", "tie", "place")},
+                gram=pa.array(gram[keep], mask=shut[keep])
+            )
 
 
 def known_repeats(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -199,7 +202,10 @@ def _contexts(length: int, gram: int, common: np.ndarray):
                 begin = offsets[text] + own
                 right, left = np.flatnonzero(hot & (high >= own + gram + near)), np.flatnonzero(hot & (own - low >= reach - near + 1))
                 value = lambda x, y: mix((total[y] - total[x]) * down[x] + (y - x).astype(U64)).view(np.int64)  # noqa: E731, B023
-                to_right, to_left = value(begin[right], begin[right] + gram + near), value(begin[left] - (reach - near + 1), begin[left] + gram)
+                to_right, to_left = value(begin[right], begin[right] + gram + near), value(
+                    begin[left] - (reach - near + 1),
+                    begin[left] + gram,
+                )
                 cold = np.flatnonzero(~hot)
                 pick = np.concatenate([cold, right, left])
                 key = np.concatenate([key[cold], to_right, to_left])
@@ -223,7 +229,16 @@ def _contexts(length: int, gram: int, common: np.ndarray):
     return per_batch
 
 
-def reachable(keys: np.ndarray, total: np.ndarray, down: np.ndarray, at: np.ndarray, room: np.ndarray, reach: int, sign: int, gram: int) -> np.ndarray:
+def reachable(
+    keys: np.ndarray,
+    total: np.ndarray,
+    down: np.ndarray,
+    at: np.ndarray,
+    room: np.ndarray,
+    reach: int,
+    sign: int,
+    gram: int,
+) -> np.ndarray:
     """For each context, how far beside its gram another context of the gram may agree at most."""
     steps = [*range(reach // 8, reach, reach // 8), reach]
     out = np.zeros(len(keys), np.int64)
@@ -281,7 +296,12 @@ class Firsts:
                 first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
                 again = rows[(rows["doc"] != first["doc"]) | (rows["tie"] != first["tie"]) | (rows["at"] != first["at"])]
                 if len(again):
-                    yield batch_of(doc=np.ascontiguousarray(again["doc"]), tie=np.ascontiguousarray(again["tie"]), low=np.ascontiguousarray(again["at"]), high=again["at"] + length)
+                    yield batch_of(
+                        doc=np.ascontiguousarray(again["doc"]),
+                        tie=np.ascontiguousarray(again["tie"]),
+                        low=np.ascontiguousarray(again["at"]),
+                        high=again["at"] + length,
+                    )
 
 
 def repeats(rows: pa.Table, length: int, gram: int, alone: bool = True) -> tuple[pa.RecordBatch | None, np.ndarray | None]:
@@ -392,8 +412,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
         docs = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LATE)))
     else:
         # Places in a sorted frame ascend from partition to partition.
-        places = stored(docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().sort("_id").withColumn("_doc", F.monotonically_increasing_id()))
-        docs = docs.join(places, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("_doc", F.lit(_LATE)).alias("doc"))
+        places = stored(
+            docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().sort("_id").withColumn(
+                "_doc",
+                F.monotonically_increasing_id(),
+            )
+        )
+        docs = docs.join(places, F.col("doc_id") == F.col("_id"), "left").select(
+            "doc_id",
+            "text",
+            F.coalesce("_doc", F.lit(_LATE)).alias("doc"),
+        )
     if docs.groupBy("doc").count().where("count > 1").isEmpty():
         return docs.withColumn("tie", F.lit(0).cast("long")), True
     return docs.withColumn("tie", F.xxhash64("text")), False
@@ -412,7 +441,14 @@ def _with(docs: DataFrame, places: DataFrame, counted: str, how: str) -> DataFra
     return docs.join(F.broadcast(places) if few else places, ["doc", "tie"], how)
 
 
-def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    *,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, text as UTF-8 bytes, and low and high: the maximal removed runs of each row of docs.
 
     Null and short texts lose nothing. Rows that share an id and a text are one document, and so not each other's
@@ -433,19 +469,41 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     found = in_arrow(docs.select("doc", "tie", "text"), anchored, "route long, known boolean, context long, doc long, tie long, place long")
     found = found.repartition("route").sortWithinPartitions("route", "known", "context", "doc", "tie", "place")
     met = by_row(streamed(found, _met, "doc long, tie long, place long, gram long"), "place")
-    met = stored(streamed(met, _by_document(length, gram), "doc long, tie long, low array<long>, high array<long>, place array<long>, gram array<long>"))
+    met = stored(
+        streamed(
+            met,
+            _by_document(length, gram),
+            "doc long, tie long, low array<long>, high array<long>, place array<long>, gram array<long>",
+        )
+    )
     open_ = met.where("size(gram) > 0").select("doc", "tie", "place", "gram")
     texts = docs.select("doc", "tie", "text")
     around = _with(texts if unique else texts.dropDuplicates(["doc", "tie"]), open_, F.size("gram"), "inner")
     counts = open_.select(F.explode("gram").alias("gram")).groupBy("gram").count()
     total = open_.agg(F.coalesce(F.sum(F.size("gram")), F.lit(0))).first()[0]
     # Fewer than COMMON grams have so large a share of all places.
-    common = np.array([r["gram"] for r in counts.where(F.col("count") * COMMON > F.greatest(F.lit(total), F.lit(COMMON * LEAST_COMMON))).select("gram").collect()], np.int64)
+    common = np.array(
+        [
+            r["gram"] for r in counts.where(
+                F.col("count") * COMMON > F.greatest(F.lit(total), F.lit(COMMON * LEAST_COMMON))
+            ).select("gram").collect()
+        ],
+        np.int64
+    )
     around = in_arrow(around, _contexts(length, gram, common), "gram long, doc long, tie long, place long, left long, bytes binary")
-    shards = streamed(around.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "place"), _sorted_shards(length, gram), "doc long, tie long, low long, high long")
+    shards = streamed(
+        around.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "place"),
+        _sorted_shards(length, gram),
+        "doc long, tie long, low long, high long",
+    )
     both = shards.union(met.select("doc", "tie", F.explode(F.arrays_zip("low", "high")).alias("r")).select("doc", "tie", "r.low", "r.high"))
     both = streamed(by_row(both, "low"), _united, "doc long, tie long, low array<long>, high array<long>")
-    return _with(docs, stored(both), F.size("low"), "left").select("doc_id", F.encode("text", "utf-8").alias("text"), "low", F.transform("high", lambda x: F.least(x, F.octet_length("text"))).alias("high"))
+    return _with(docs, stored(both), F.size("low"), "left").select(
+        "doc_id",
+        F.encode("text", "utf-8").alias("text"),
+        "low",
+        F.transform("high", lambda x: F.least(x, F.octet_length("text"))).alias("high"),
+    )
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +534,13 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             removed.append(gone)
             spans.append(len(low or ()))
             digests.append(out.hexdigest())
-        yield batch_of(doc_id=batch.column("doc_id"), n_bytes=np.array(sizes, np.int64), n_removed=np.array(removed, np.int64), n_spans=np.array(spans, np.int64), kept_sha256=digests)
+        yield batch_of(
+            doc_id=batch.column("doc_id"),
+            n_bytes=np.array(sizes, np.int64),
+            n_removed=np.array(removed, np.int64),
+            n_spans=np.array(spans, np.int64),
+            kept_sha256=digests,
+        )
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return in_arrow(found, per_batch, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -269,9 +269,19 @@ def secret_spans(docs: DataFrame, *, dear: float = DEAR, id_col: str = "doc_id",
                 spans[t] = joined(every)
                 costs = [guess_cost(text[v:e]) for _, e, k, v in every if k in ("assign", "guess")]
                 dearest[t] = round(max(costs), 6) if costs else None
-            yield batch_of(doc_id=batch.column(0).slice(a, n), **{f"n_{k}": pa.array(counts[k], pa.int64()) for k in KINDS}, base_sha256=digest, spans=spans, max_cost=pa.array(dearest, pa.float64()))
-
-    return in_arrow(docs.select(id_col, text_col), per_batch, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, max_cost double")
+            yield batch_of(
+                doc_id=batch.column(0).slice(a, n),
+                **{f"n_{k}": pa.array(counts[k], pa.int64()) for k in KINDS},
+                base_sha256=digest,
+                spans=spans,
+                max_cost=pa.array(dearest, pa.float64())
+            )
+
+    return in_arrow(
+        docs.select(id_col, text_col),
+        per_batch,
+        f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, max_cost double",
+    )
 
 
 def redacted(docs: DataFrame, *, mark: str = "[SECRET]", dear: float = DEAR, text_col: str = "text") -> DataFrame:

@@ -90,7 +90,14 @@ def member_sets(docs: DataFrame, words: int, num: int, den: int, *, whole: bool,
                 tokens.append((s if whole else s[: max(c, spare(len(s), num, den) + differing(len(s), num, den) + 2)]).view(np.int64))
             ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))
-            yield batch_of(doc_id=batch.column(0).slice(a, b - a), n=np.array(sizes, np.int64), s1=np.array(one, np.int64), s2=np.array(two, np.int64), counted=np.array(counted, np.int64), tokens=lists)
+            yield batch_of(
+                doc_id=batch.column(0).slice(a, b - a),
+                n=np.array(sizes, np.int64),
+                s1=np.array(one, np.int64),
+                s2=np.array(two, np.int64),
+                counted=np.array(counted, np.int64),
+                tokens=lists,
+            )
 
     return in_arrow(docs.select(id_col, text_col), per_batch, f"doc_id {kind}, n long, s1 long, s2 long, counted long, tokens array<long>")
 
@@ -124,7 +131,9 @@ def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, counted: int, num: int, d
     if not both or alone > d:
         return []
     order = np.lexsort((h[first], df[first]))
-    h, frequent = np.concatenate([h[first][order], h[~first]]), np.concatenate([df[first][order] >= FREQUENT, np.ones(int((~first).sum()), bool)])
+    h, frequent = np.concatenate([h[first][order], h[~first]]), np.concatenate(
+        [df[first][order] >= FREQUENT, np.ones(int((~first).sum()), bool)]
+    )
     plain = slice(0, d + 1 - alone)
     out = [mix(h[plain][~frequent[plain]])]
     before = alone + int((~frequent).sum())
@@ -253,11 +262,17 @@ def _settled(whole: DataFrame, giant: DataFrame, num: int, den: int) -> tuple[Da
     picks = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(PIVOTS)])
     pivots = own.groupBy("gid").agg(F.array_distinct(picks).alias("_p")).select("gid", F.explode("_p").alias("pivot"))
     pivots = stored(pivots)
-    held = semi(whole.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens")), pivots.select("pivot"), "pivot")
+    held = semi(
+        whole.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens")),
+        pivots.select("pivot"),
+        "pivot",
+    )
     pivots = stored(pivots.join(held.dropDuplicates(["pivot"]), "pivot"))
     met = beside(whole, pivots, "gid", F.col("s2")).where("node != pivot")
     both = F.size(F.array_intersect("tokens", "ptokens"))
-    met = met.select("node", "pivot", "n", "pn", both.alias("both")).where(F.col("both") * den >= num * (F.col("n") + F.col("pn") - F.col("both")))
+    met = met.select("node", "pivot", "n", "pn", both.alias("both")).where(
+        F.col("both") * den >= num * (F.col("n") + F.col("pn") - F.col("both"))
+    )
     edges = stored(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
     labels = components(edges).toDF("node", "_label")
     own = stored(own.join(labels, "node", "left").withColumn("_label", F.coalesce("_label", "node")))
@@ -270,7 +285,10 @@ def _settled(whole: DataFrame, giant: DataFrame, num: int, den: int) -> tuple[Da
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
     place = lambda kind, i, j: F.xxhash64("gid", F.lit(kind), i, j)
     main = F.transform(upto("_rests"), lambda j: place("main", F.col("_own"), j))
-    rest = F.concat(F.transform(upto("_mains"), lambda i: place("main", i, F.col("_own"))), F.transform(upto("_rests"), lambda k: place("rest", F.least("_own", k), F.greatest("_own", k))))
+    rest = F.concat(
+        F.transform(upto("_mains"), lambda i: place("main", i, F.col("_own"))),
+        F.transform(upto("_rests"), lambda k: place("rest", F.least("_own", k), F.greatest("_own", k))),
+    )
     return edges, own.select("node", "settled", F.explode(F.when(F.col("settled"), main).otherwise(rest)).alias("key"))
 
 
@@ -279,7 +297,15 @@ def node() -> Column:
     return F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0"))
 
 
-def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(
+    docs: DataFrame,
+    *,
+    words: int = 5,
+    num: int = 80,
+    den: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: documents linked when den * both >= num * either.
 
     Component: the least doc_id that links reach, equal sets included. A text of fewer than `words` words is one
@@ -302,7 +328,15 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     ids = chosen.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     some = semi(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), stored(ids), "_id")
     some = some.union(docs.where(F.col(id_col).isNull()).select(id_col, text_col))
-    whole = member_sets(some, words, num, den, whole=True, id_col="_id", text_col="_text").where("n > 0").select("s1", "s2", "n", "tokens").join(groups, "s1")
+    whole = member_sets(
+        some,
+        words,
+        num,
+        den,
+        whole=True,
+        id_col="_id",
+        text_col="_text",
+    ).where("n > 0").select("s1", "s2", "n", "tokens").join(groups, "s1")
     whole = whole.withColumn("node", node())
     weights = chosen.groupBy("gid", "s1").agg(F.max("n").alias("n")).groupBy("gid").agg(F.sum(F.col("n") + 500).alias("weight"))
     giant = stored(weights.where(F.col("weight") > BLOCK))
@@ -322,10 +356,18 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 80, den: int =
     linked = components(edges.union(pivoted) if some_giant else edges).toDF("_node", "_label")
 
     members = members.select("doc_id", "n", F.when(F.col("n") > 0, node()).alias("node"))
-    labelled = members.join(linked, F.col("node") == F.col("_node"), "left").select("doc_id", "n", F.coalesce("_label", "node").alias("label"))
+    labelled = members.join(linked, F.col("node") == F.col("_node"), "left").select(
+        "doc_id",
+        "n",
+        F.coalesce("_label", "node").alias("label"),
+    )
     least = labelled.where("label is not null").groupBy(F.col("label").alias("_of")).agg(F.min("doc_id").alias("_least"))
     out = labelled.join(least, F.col("label") == F.col("_of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

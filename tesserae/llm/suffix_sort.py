@@ -165,7 +165,11 @@ class Pushes:
         last = np.flatnonzero(np.concatenate([letters[1:] != letters[:-1], [True]])) if len(letters) else np.zeros(0, np.int64)
         tail = np.minimum.accumulate(lcp[::-1])[::-1]
         after = place[last] + 1
-        self.since[letters[last]] = np.where(after < len(lcp), tail[np.minimum(after, max(len(lcp) - 1, 0))], self.depth) if len(last) else 0
+        self.since[letters[last]] = np.where(
+            after < len(lcp),
+            tail[np.minimum(after, max(len(lcp) - 1, 0))],
+            self.depth,
+        ) if len(last) else 0
         return shared
 
 

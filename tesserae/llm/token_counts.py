@@ -35,10 +35,14 @@ def splits_at_space(path: str) -> bool:
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     split = pre[0] if pre else {}
     pattern = (split.get("pattern") or {}).get("Regex", "")
-    specials = [t for t in spec.get("added_tokens", []) if any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]]
+    specials = [
+        t for t in spec.get("added_tokens", []) if any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
+    ]
     normal = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
     drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
-    return drops and not specials and normal <= {"NFC", "Replace", "Lowercase"} and all("\\s" not in part or part.startswith("[^") for part in pattern.split("|"))
+    return drops and not specials and normal <= {"NFC", "Replace", "Lowercase"} and all(
+        "\\s" not in part or part.startswith("[^") for part in pattern.split("|")
+    )
 
 
 class Counter:
@@ -72,7 +76,9 @@ class Counter:
         fresh = dict(zip(new, self.lengths(new), strict=True))
         known.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST)
         sizes = np.array([known[x] if x in known else fresh[x] for x in names], np.int64)
-        total = np.concatenate([[0], np.cumsum(sizes[flat.indices.to_numpy(zero_copy_only=False)])]) if len(names) else np.zeros(1, np.int64)
+        total = np.concatenate(
+            [[0], np.cumsum(sizes[flat.indices.to_numpy(zero_copy_only=False)])]
+        ) if len(names) else np.zeros(1, np.int64)
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         return total[offsets[1:]] - total[offsets[:-1]]
 
@@ -80,7 +86,14 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def token_counts(docs: DataFrame, path: str | Callable[[], str], *, limit: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(
+    docs: DataFrame,
+    path: str | Callable[[], str],
+    *,
+    limit: int = MAX_TOKENS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of docs.
 
     path: a tokenizers JSON file, opened by each worker, or what gives a worker its path there. Null and empty texts have 0 bytes

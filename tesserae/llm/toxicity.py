@@ -126,7 +126,9 @@ def labelled(docs: DataFrame, labels: DataFrame, *, sample: int, seed: int) -> l
     several labels counts as toxic if any says so; one whose id repeats is several documents, and where such rows make
     the sample too large, equal ones count once and a second draw goes by their text.
     """
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max(F.col("toxic").cast("int")).alias("_toxic")
+    )
     marks = marks.select("_id", (F.col("_toxic") > 0).cast("int").alias("_toxic"))
 
     def drawn(rows: DataFrame, counts: dict[int, int], *key: str) -> DataFrame:
@@ -151,8 +153,15 @@ def labelled(docs: DataFrame, labels: DataFrame, *, sample: int, seed: int) -> l
         for a, b, data, offsets in slices(batch.column(0)):
             ids, first = text_features(data, offsets)
             feats = [np.unique(ids[s:e]).astype(np.int32) for s, e in itertools.pairwise(first.tolist())]
-            found = [[{"features": f, "goes": x, "comes": y} for f, x, y in swaps(data[s:e].tobytes().decode())] for s, e in itertools.pairwise(offsets.tolist())]
-            yield batch_of(toxic=batch.column(1).slice(a, b - a), features=pa.array(feats, pa.list_(pa.int32())), swaps=pa.array(found, swap))
+            found = [
+                [{"features": f, "goes": x, "comes": y} for f, x, y in swaps(data[s:e].tobytes().decode())] for s,
+                e in itertools.pairwise(offsets.tolist())
+            ]
+            yield batch_of(
+                toxic=batch.column(1).slice(a, b - a),
+                features=pa.array(feats, pa.list_(pa.int32())),
+                swaps=pa.array(found, swap),
+            )
 
     schema = "toxic int, features array<int>, swaps array<struct<features:array<int>,goes:int,comes:int>>"
     rows = in_arrow(picked.select("text", "_toxic"), per_batch, schema).toArrow()
@@ -167,7 +176,9 @@ def boundary(logits: np.ndarray, y: np.ndarray) -> float:
     order = np.argsort(logits, kind="stable")
     held, toxic = logits[order], y[order] > 0
     # Cost of a boundary before each place: toxic ones below, clean ones at or above.
-    cost = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum() + CLEAN_COST * np.concatenate([np.cumsum(~toxic[::-1])[::-1], [0]]) / (~toxic).sum()
+    cost = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum() + CLEAN_COST * np.concatenate(
+        [np.cumsum(~toxic[::-1])[::-1], [0]]
+    ) / (~toxic).sum()
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     low, high = held[max(best[0] - 1, 0)], held[min(best[-1], len(held) - 1)]
     return float((low + high) / 2)
@@ -208,7 +219,13 @@ class Sparse:
 class Loss:
     """Mean logistic loss, ridge, and penalty times the mean squared change of the probability under swaps."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, changes: dict[tuple[tuple[int, ...], tuple[int, ...]], int], penalty: float) -> None:
+    def __init__(
+        self,
+        rows: list[np.ndarray],
+        y: np.ndarray,
+        changes: dict[tuple[tuple[int, ...], tuple[int, ...]], int],
+        penalty: float,
+    ) -> None:
         self.x, self.y = Sparse(rows), y
         self.before = Sparse([np.array(a, np.int64) for a, _ in changes])
         self.after = Sparse([np.array(b, np.int64) for _, b in changes])
@@ -280,7 +297,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
     Null labels and ids teach nothing, null texts are empty ones. Empty tables give a model without weights.
     """
     share = labels.where(F.col("toxic").isNotNull()).agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    return calibrated(labelled(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample=sample, seed=seed), share, penalty=penalty)
+    return calibrated(
+        labelled(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample=sample, seed=seed),
+        share,
+        penalty=penalty,
+    )
 
 
 def held_out(doc_id) -> F.Column:
@@ -321,4 +342,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
     found = scored(docs, model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.lit(model.swaps).cast("long").alias("fit_swaps"))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.lit(model.swaps).cast("long").alias("fit_swaps"),
+    )

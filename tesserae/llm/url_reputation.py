@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: (host, path, verdict), fixed by the task.
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
 #: Pages that a prior weighs at least and at most, and where a level says nothing about it.
 LEAST_STRENGTH, MOST_STRENGTH, STRENGTH = 1.0, 1000.0, 8.0
 #: Deviation of the normal distribution's lower 10 % quantile, that of the posterior which is the bound; share of bad
@@ -51,7 +57,10 @@ def levels(host: Column) -> tuple[Column, Column]:
     """Registered domain and public suffix of a host, without what names a user or a port."""
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two), F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(
+        two.isin(*SUFFIXES),
+        F.substring_index(name, ".", -3),
+    ).otherwise(two), F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def strength(members: DataFrame, n: str, k: str, mean: str) -> float:
@@ -62,7 +71,10 @@ def strength(members: DataFrame, n: str, k: str, mean: str) -> float:
     n, k, m = F.col(n), F.col(k), F.col(mean)
     plain, more = n * m * (1 - m), n * (n - 1) * m * (1 - m)
     rho = (F.sum((k - n * m) * (k - n * m)) - F.sum(plain)) / F.sum(more)
-    fitted = F.when(F.sum(more) > 0, F.when(rho > 0, F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), 1 / rho - 1))).otherwise(F.lit(MOST_STRENGTH)))
+    fitted = F.when(
+        F.sum(more) > 0,
+        F.when(rho > 0, F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), 1 / rho - 1))).otherwise(F.lit(MOST_STRENGTH)),
+    )
     return members.agg(F.round(F.coalesce(fitted, F.lit(STRENGTH)), 4)).first()[0]
 
 
@@ -86,7 +98,11 @@ def reputation(pages: DataFrame, *, deviation: float = DEVIATION) -> DataFrame:
     Counts are summed by host first and kept; hosts are summed to domains and domains to suffixes, so that no level
     collects pages and they are read once. The driver gets one number for each level.
     """
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("rows"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    hosts = pages.groupBy("host").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("bad").alias("n"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("k"),
+    )
     domain, suffix = levels(F.col("host"))
     hosts = stored(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
@@ -107,7 +123,16 @@ def reputation(pages: DataFrame, *, deviation: float = DEVIATION) -> DataFrame:
     return hosts.select("host", (F.col("rows") * HOT > total).alias("hot"), "mean", bound.alias("bound"))
 
 
-def judged(pages: DataFrame, *, rules=RULES, outcomes: DataFrame | None = None, threshold: float = THRESHOLD, deviation: float = DEVIATION, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged(
+    pages: DataFrame,
+    *,
+    rules=RULES,
+    outcomes: DataFrame | None = None,
+    threshold: float = THRESHOLD,
+    deviation: float = DEVIATION,
+    id_col: str = "page_id",
+    url_col: str = "url",
+) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation (posterior mean), bound for each row of pages.
 
     outcomes: (page_id, bad) labels; without it, the pages that a rule decides are the labelled ones. A null url has
@@ -130,17 +155,33 @@ def judged(pages: DataFrame, *, rules=RULES, outcomes: DataFrame | None = None,
     out = page.join(F.broadcast(hot), page["host"] == F.col("_hot"), "left")
     # Hosts hold no blank after a `/`-free start, so a key with one meets no host.
     key = F.when(F.col("_hot").isNull(), F.col("host")).otherwise(F.concat(F.lit("/ "), F.xxhash64("page_id", "path").cast("string")))
-    out = out.withColumn("_key", key).join(known.select(F.col("host").alias("_host"), "mean", "bound"), F.col("_key") == F.col("_host"), "left")
+    out = out.withColumn("_key", key).join(
+        known.select(F.col("host").alias("_host"), "mean", "bound"),
+        F.col("_key") == F.col("_host"),
+        "left",
+    )
     out = out.withColumns({"mean": F.coalesce("_hot_mean", "mean"), "bound": F.coalesce("_hot_bound", "bound")})
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") > threshold, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.round("mean", 6).alias("reputation"), F.round("bound", 6).alias("bound"))
+    return out.select(
+        "page_id",
+        "host",
+        "path",
+        F.col("_rule.rule").alias("rule"),
+        verdict.alias("verdict"),
+        F.round("mean", 6).alias("reputation"),
+        F.round("bound", 6).alias("bound"),
+    )
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"))
 
 
-SQL_RULE = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))) + " END"
+SQL_RULE = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h,
+    p,
+    _ in sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))
+) + " END"
 _TWO = "array_to_string(list_slice(labels, -2, -1), '.')"
 _IS_TWO = f"{_TWO} IN ({', '.join(repr(x) for x in SUFFIXES)})"
 

@@ -27,7 +27,10 @@ def found(spark, name):
 def test_op1(spark):
     larger = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{larger}/documents.parquet").collect()}
-    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    assign = re.compile(
+        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        re.IGNORECASE | re.ASCII,
+    )
     got = {r["doc_id"]: r for r in queries.QUERIES["op1_secret_scans"](spark, larger).collect()}
     assert got.keys() == docs.keys()
     some = 0
@@ -74,7 +77,12 @@ def test_op4(spark, docs):
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         runs = len(re.findall(rb"\x01+", bytes(gone)))
         r = got[i]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        assert (
+            r["n_bytes"],
+            r["n_removed"],
+            r["n_spans"],
+            r["kept_sha256"],
+        ) == (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())
         gone_somewhere += sum(gone)
     assert gone_somewhere > 1000
 
@@ -106,8 +114,16 @@ def test_op8(spark, docs):
     for i, r in got.items():
         data = (docs[i]["text"] or "").encode()
         payload = data + bytes(max(1, -(-len(data) // 64)) * 64 - len(data))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["media_bytes"] >= r["payload_bytes"] and re.fullmatch("[0-9a-f]{64}", r["media_sha256"]) and re.fullmatch("[0-9a-f]{16}", r["feature"])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (
+            len(data),
+            len(payload),
+            hashlib.sha256(payload).hexdigest(),
+            zlib.crc32(payload[-64:]),
+        )
+        assert r["media_bytes"] >= r["payload_bytes"] and re.fullmatch(
+            "[0-9a-f]{64}",
+            r["media_sha256"],
+        ) and re.fullmatch("[0-9a-f]{16}", r["feature"])
 
 
 def test_op10(spark, docs):
