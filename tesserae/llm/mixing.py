@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import BROADCAST_ROWS, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -51,7 +51,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     out = out.withColumn("_level", left / rest)
     # The first source that isn't capped fixes the level for itself and all after it.
     free = F.col("_level") * F.col("_weight") < F.col("_cap")
-    level = F.first(F.when(free, F.col("_level")), ignorenulls=True).over(full.orderBy((F.col("_cap") / F.col("_weight")).asc(), F.col("source").asc_nulls_last()))
+    level = F.first(F.when(free, F.col("_level")), ignorenulls=True).over(
+        full.orderBy((F.col("_cap") / F.col("_weight")).asc(), F.col("source").asc_nulls_last())
+    )
     out = out.withColumn("_final", level)
     target = F.when(F.col("_final").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_final") * F.col("_weight")))
     return out.withColumn("target", target).drop("_weight", "_cap", "_want", "_level", "_final")
@@ -68,26 +70,56 @@ def apportion(votes: DataFrame, group: list[str], key: list[str], vote: str, sea
     n, total = F.count(F.lit(1)).over(whole), F.sum(vote).over(whole)
     rounded = lambda d: F.floor(F.col(vote) / d + 0.5).cast("long")
     d = votes.withColumns({"_n": n, "_total": total})
-    d = d.withColumn("_low", F.when(F.col(seats) > F.col("_n"), rounded(F.col("_total") / (F.col(seats) - F.col("_n")))).otherwise(F.lit(0).cast("long")))
-    d = d.withColumn("_high", F.when((F.col("_total") > 0) & (F.col(seats) > 0), rounded(F.col("_total") / (F.col(seats) + F.col("_n"))) + 1).otherwise(F.lit(0).cast("long")))
+    d = d.withColumn(
+        "_low",
+        F.when(F.col(seats) > F.col("_n"), rounded(F.col("_total") / (F.col(seats) - F.col("_n")))).otherwise(F.lit(0).cast("long")),
+    )
+    d = d.withColumn(
+        "_high",
+        F.when(
+            (F.col("_total") > 0) & (F.col(seats) > 0),
+            rounded(F.col("_total") / (F.col(seats) + F.col("_n"))) + 1,
+        ).otherwise(F.lit(0).cast("long")),
+    )
     base = d.withColumn("_need", F.col(seats) - F.sum("_low").over(whole))
     each = base.where("_high > _low").select(*group, *key, vote, "_need", F.explode(F.expr("sequence(_low, _high - 1)")).alias("_k"))
     ranked = Window.partitionBy(*group).orderBy((F.col(vote) / (2 * F.col("_k") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in key])
-    won = each.withColumn("_rank", F.row_number().over(ranked)).where("_rank <= _need").groupBy(*group, *key).agg(F.count(F.lit(1)).alias("_won"))
+    won = each.withColumn(
+        "_rank",
+        F.row_number().over(ranked),
+    ).where("_rank <= _need").groupBy(*group, *key).agg(F.count(F.lit(1)).alias("_won"))
     won = won.select(*[F.col(c).alias("_w_" + c) for c in [*group, *key]], "_won")
     same = [F.col(c).eqNullSafe(F.col("_w_" + c)) for c in [*group, *key]]
     joined = base.join(won, same, "left").select(*base.columns, F.coalesce("_won", F.lit(0)).alias("_won"))
     return joined.withColumn(out, F.col("_low") + F.col("_won")).drop("_n", "_total", "_low", "_high", "_need", "_won")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, keep: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame,
+    *,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST,
+    seed: int = 17,
+    shard_tokens: int = SHARD_TOKENS,
+    block_tokens: int = BLOCK_TOKENS,
+    keep: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs; taken counts words, repeats included.
 
     keep: all columns of docs, followed by size, source_size, target and taken, which replace columns of these names.
     A null text has size 0; null sources are one source, which comes last. A null id is an id like any other;
     repeated rows are separate documents. An empty table gives an empty result; sources without words get target 0.
     """
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct("*").alias("_row")] if keep else []))
+    held = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        *([F.struct("*").alias("_row")] if keep else []),
+    )
     sized = stored(held.drop("_row"))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -95,30 +127,59 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(least / 1000))).cast("long"))
     sources = sources.withColumns({"_all": F.lit(0), "seats": F.round(F.sum("target").over(everything) / F.col("block")).cast("long")})
     sources = apportion(sources, ["_all"], ["source"], "target", "seats", "quota").drop("_all", "seats")
-    sources = stored(sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_tokens))).cast("long")))
+    sources = stored(
+        sources.withColumn(
+            "shards",
+            F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_tokens))).cast("long"),
+        )
+    )
 
     def sharded(rows: DataFrame) -> DataFrame:
         out = rows.join(sources.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
-        return out.withColumns({"_order": F.xxhash64(F.lit(seed), "doc_id"), "shard": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards"))})
-
-    shards = sharded(sized).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("block").alias("block"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+        return out.withColumns(
+            {"_order": F.xxhash64(F.lit(seed), "doc_id"), "shard": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards"))}
+        )
+
+    shards = sharded(sized).groupBy("source", "shard").agg(
+        F.sum("size").alias("shard_size"),
+        F.first("quota").alias("source_quota"),
+        F.first("block").alias("block"),
+        F.first("target").alias("target"),
+        F.first("source_size").alias("source_size"),
+    )
     shards = apportion(shards, ["source"], ["shard"], "shard_size", "source_quota", "shard_quota")
     # A capped source is taken most times whole, its last blocks included though they may be short.
-    words = F.when(F.col("target") >= most * F.col("source_size"), most * F.col("shard_size")).otherwise(F.least(F.col("shard_quota") * F.col("block"), most * F.col("shard_size")))
-    shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", words.alias("words"))
+    words = F.when(
+        F.col("target") >= most * F.col("source_size"),
+        most * F.col("shard_size"),
+    ).otherwise(F.least(F.col("shard_quota") * F.col("block"), most * F.col("shard_size")))
+    shards = stored(shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", words.alias("words")))
+    # One row for each shard: documents are shuffled once, for the window over their shard.
+    shards = F.broadcast(shards) if shards.count() <= BROADCAST_ROWS else shards
 
     joined = sharded(held if keep else sized)
     placed = joined.join(shards, joined["source"].eqNullSafe(F.col("_source")) & (joined["shard"] == F.col("_shard")))
-    order = Window.partitionBy("source", "shard").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "shard").orderBy(
+        "_order",
+        F.col("doc_id").asc_nulls_last(),
+        "size",
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_end", F.sum("size").over(order)).withColumn("_start", F.col("_end") - F.col("size"))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")
-    placed = placed.withColumns({"_passes": passes, "_blocks": F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")})
+    placed = placed.withColumns(
+        {"_passes": passes, "_blocks": F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")}
+    )
     placed = placed.withColumn("_rest", F.col("words") - F.col("_passes") * F.col("shard_size"))
     placed = placed.withColumn("_from", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("_blocks")) * F.col("block"))
     placed = placed.withColumn("_to", F.col("_from") + F.col("_rest"))
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("_end"), hi) - F.greatest(F.col("_start"), lo))
     run = overlap(F.col("_from"), F.col("_to")) + overlap(F.lit(0), F.col("_to") - F.col("shard_size"))
-    out = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target").cast("double"), "taken": (F.col("size") * F.col("_passes") + run).cast("long")}
+    out = {
+        "size": F.col("size"),
+        "source_size": F.col("source_size"),
+        "target": F.col("target").cast("double"),
+        "taken": (F.col("size") * F.col("_passes") + run).cast("long"),
+    }
     own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in out] if keep else [F.col("doc_id")]
     return placed.select(*own, *[c.alias(name) for name, c in out.items()])
 
