@@ -66,6 +66,11 @@ def held(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """The same value, but not to be copied: filters and projections above would otherwise repeat what makes it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def numbered(items: Column) -> Column:
     """Each element of an array of texts with its number among its equals: multisets as sets, by one sort."""
 

@@ -45,7 +45,7 @@ def interactions(records: DataFrame) -> DataFrame:
     rows = records.select(
         F.coalesce("example_id", F.lit("unknown")).alias("example_id"),
         F.col("question_text").alias("question"),
-        F.try_element_at(found, F.lit(1)).alias("x"),
+        tx.once(F.try_element_at(found, F.lit(1))).alias("x"),
     )
     return rows.where("x is not null").select("example_id", "question", "x.*")
 
@@ -56,7 +56,7 @@ def nq_records(spark: SparkSession, path: str, sample: int | None = None) -> Dat
     if sample:
         lines = numbered(lines, "_place").where(F.col("_place") < sample)
     return lines.select(
-        F.from_json("value", schemas.NQ_RECORD, {"mode": "PERMISSIVE"}).alias("r")
+        tx.once(F.from_json("value", schemas.NQ_RECORD, {"mode": "PERMISSIVE"})).alias("r")
     ).where("r.annotations is not null or r.document_tokens is not null").select("r.*")
 
 

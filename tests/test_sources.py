@@ -162,3 +162,14 @@ def test_character_chunks(spark):
     assert chunking.split_characters("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
     docs = spark.createDataFrame([("d", text), ("e", None)], "doc_id string, text string")
     assert chunking.character_chunks(docs, 200, 50).count() == len(pieces)
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    """Parsing again for each field, filter and answer is what made a large collection run out of time."""
+    from tesserae.sources import tables
+
+    (tmp_path / "r.jsonl").write_text("")
+    rows = tables.interactions(tables.nq_records(spark, str(tmp_path / "r.jsonl")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert rows.count() == 0
