@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import held
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
@@ -24,14 +26,13 @@ def norm(vector: Column) -> Column:
 
 def l2_normalized(vector: Column) -> Column:
     """The vector by its length; a zero vector stays."""
-    length = norm(vector)
-    return F.transform(as_double(vector), lambda x: x / F.when(length == 0, 1.0).otherwise(length))
+    by = lambda v: held(norm(v), lambda n: held(F.when(n == 0, 1.0).otherwise(n), lambda n: F.transform(v, lambda x: x / n)))
+    return held(as_double(vector), by)
 
 
 def query_normalized(vector: Column) -> Column:
     """The vector by its length and a little more, as queries are normalised."""
-    length = norm(vector) + 1e-8
-    return F.transform(as_double(vector), lambda x: x / length)
+    return held(as_double(vector), lambda v: held(norm(v) + 1e-8, lambda n: F.transform(v, lambda x: x / n)))
 
 
 def fitted(vector: Column, dimension: int) -> Column:
@@ -66,9 +67,14 @@ def inverse_distance(a: Column, b: Column) -> Column:
 def hash_vector(text: Column, dimension: int) -> Column:
     """The bytes of SHA-256, repeated to a dimension, by 255: a deterministic stand-in for a model."""
     digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return held(digest, lambda d: _bytes(d, dimension))
+
+
+def _bytes(digest: Column, dimension: int) -> Column:
     byte = lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("double")
     once = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(i) / 255.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.element_at(once, F.pmod(i, F.lit(32)) + 1))
+    every = lambda v: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.element_at(v, F.pmod(i, F.lit(32)) + 1))
+    return held(once, every)
 
 
 def seeded_vector(text: Column, dimension: int = 384) -> Column:

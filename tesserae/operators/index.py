@@ -18,8 +18,8 @@ from ..functions import vectors as vx
 BLOCK = 4096
 #: Queries up to which expressions compare vectors; more are compared as a matrix.
 FEW = 16
-#: Items whose scores for a block of queries are held at once.
-PART = 1024
+#: Items that are compared at once, at most, and scores that a worker holds of them (16 MB).
+PART, SCORES = 1024, 1 << 21
 
 
 def ranked(scores: DataFrame, keys: list[str], item: str, k: int, score: str = "score") -> DataFrame:
@@ -77,36 +77,55 @@ def _block_scores(queries: DataFrame, corpus: DataFrame, k: int, metric: str, pr
     rows = queries.select("query_id", "vector").toArrow().combine_chunks()
     sent = corpus.sparkSession.sparkContext.broadcast(rows)
 
-    def best(scores: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best k of each column of (items, queries), ties by item."""
-        order = np.argsort(items, axis=0, kind="stable")
-        scores, items = np.take_along_axis(scores, order, 0), np.take_along_axis(items, order, 0)
-        order = np.argsort(-scores, axis=0, kind="stable")[:k]
-        return np.take_along_axis(scores, order, 0), np.take_along_axis(items, order, 0)
+    digits = precision or 12
+
+    def compared(own: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        scores = own @ asked.T
+        if metric == "inverse_l2":
+            scores *= -2
+            scores += (own**2).sum(1)[:, None]
+            scores += (asked**2).sum(1)
+            np.maximum(scores, 0, out=scores)
+            scores += 1
+            np.divide(1, scores, out=scores)
+        return scores
+
+    def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """The best k (query, score, item) of each query, ties by item."""
+        query, score, item = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((np.unique(item, return_inverse=True)[1], -score, query))
+        first = np.searchsorted(query[order], query[order])
+        order = order[np.arange(len(order)) - first < k]
+        return query[order], score[order], item[order]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = sent.value.column("query_id")
         if not len(ids):
             return
         asked = matrix(sent.value.column("vector").combine_chunks())
-        held, kind = None, None
+        rows = max(1, min(PART, SCORES // len(asked)))
+        # What is found so far, and the score below which an item is no longer among the best k of a query.
+        found, pending, floor, kind = [], 0, np.full(len(asked), -np.inf), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
-                own = matrix(part.column(1))
-                scores = own @ asked.T
-                if metric == "inverse_l2":
-                    scores = 1 / (1 + np.maximum((own**2).sum(1)[:, None] + (asked**2).sum(1) - 2 * scores, 0))
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                scores = compared(matrix(part.column(1)), asked)
+                if len(scores) >= k and np.isneginf(floor).any():
+                    floor = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
                 # Products of equal vectors may differ in their last bits, which must not order them.
-                scores = np.round(scores, precision or 12)
-                items = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False)[:, None], scores.shape)
-                found = best(scores, items)
-                held = found if held is None else best(*(np.concatenate(x) for x in zip(held, found, strict=True)))
-        if held is not None:
-            scores, items = held
-            query = pa.concat_arrays(ids.chunks).take(pa.array(np.tile(np.arange(len(ids)), len(scores))))
+                item, query = np.nonzero(scores >= floor - 10.0**-digits)
+                found.append((query, np.round(scores[item, query], digits), part.column(0).to_numpy(zero_copy_only=False)[item]))
+                pending += len(query)
+                if pending > max(1 << 16, 2 * k * len(asked)):
+                    found, pending = [best(found)], 0
+                    query, score, _ = found[0]
+                    size = np.bincount(query, minlength=len(asked))
+                    full = size >= k
+                    floor[full] = np.maximum(floor[full], score[np.cumsum(size)[full] - 1])
+        if found:
+            query, score, item = best(found)
             yield pa.RecordBatch.from_arrays(
-                [query, pa.array(items.ravel(), kind), pa.array(scores.ravel())],
+                [pa.concat_arrays(ids.chunks).take(pa.array(query)), pa.array(item, kind), pa.array(score)],
                 ["query_id", "item_id", "score"],
             )
 

@@ -9,7 +9,7 @@ from ..engine import Engine
 from ..functions import structure as sx
 from ..functions import vectors as vx
 from ..operators import embedding, evaluation, filters, fusion, index, structural
-from ..sources import ingest
+from ..sources import ingest, store
 from . import base
 
 #: Every so many-th vector asks, against all.
@@ -92,7 +92,8 @@ def _hits(spark, sf_dir):
     parts = F.array(
         *[F.struct(F.lit(s.name).alias("stage"), vx.resolution(F.col("embedding"), s.dimension).alias("vector")) for s in STAGES.stages]
     )
-    staged = rows.select("vec_id", F.explode(parts).alias("s")).select("vec_id", "s.*")
+    # Each stage searches these vectors and asks some of them: they are made once.
+    staged = store.kept(rows.select("vec_id", F.explode(parts).alias("s")).select("vec_id", "s.*"))
     asked = staged.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
     return index.search(asked, staged.withColumnRenamed("vec_id", "chunk_id"), STAGES)
 

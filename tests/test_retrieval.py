@@ -321,3 +321,19 @@ def test_streaming(spark, tmp_path):
         (tmp_path / "in/2.jsonl").write_text('{"id":"c","text":"three"}\n')
     assert {r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()} == {"a__00000", "c__00000"}
     assert spark.read.parquet(str(tmp_path / "out/vectors")).count() == 2
+
+
+@pytest.mark.parametrize("metric", ["dot", "inverse_l2"])
+def test_blocks_hold_bounded_scores(spark, monkeypatch, metric):
+    """Parts of a few items, ties within and across them, ids that are texts: the same as all pairs sorted."""
+    monkeypatch.setattr(index, "SCORES", 300)
+    vectors = {f"v{i}": [float(i % 7), float(i % 5), float(i % 3)] for i in range(200)}
+    items = spark.createDataFrame(list(vectors.items()), "item_id string, vector array<double>").repartition(3)
+    asked = [(i, list(vectors[f"v{i}"])) for i in range(40)]
+    rows = index.top_k_blocks(spark.createDataFrame(asked, "query_id int, vector array<double>"), items, 6, metric=metric).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    far = lambda a, b: 1 / (1 + sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))
+    score = dot if metric == "dot" else far
+    for i, q in asked:
+        want = sorted(vectors, key=lambda n: (-round(score(q, vectors[n]), 12), n))[:6]
+        assert [r["item_id"] for r in sorted(rows, key=lambda r: r["stage_rank"]) if r["query_id"] == i] == want
