@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from ..functions import text as tx
 
 #: found: whether there is a table; rows: its rows and cells; title: what the markup calls it.
 PARSED = "found boolean, rows array<array<struct<head:boolean,text:string>>>, title string"
+_KIND = f"struct<{PARSED.replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean')}>"
 #: Rows of the first table that are taken; the rest of a text is read on only for its title.
 MOST_ROWS = 100
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -155,53 +156,58 @@ def parse(html: str | None, normalize_tags: bool = False) -> dict | None:
 
 #: What a regular table's texts are made of: no markup, no white space but blanks, nothing that parsers treat in a way of their own.
 _PLAIN = r"[ -%'-;=?-~\u00C0-\u024F]"
-_CELLS = rf"<t[dh]>{_PLAIN}*+</t[dh]>"
+#: All repeats are possessive, which Java takes in a loop, so long tables need no deep stack.
+_REGULAR = rf"^<table>(?:<caption>{_PLAIN}*+</caption>)?+(?:<tr>(?:<td>{_PLAIN}*+</td>|<th>{_PLAIN}*+</th>)++</tr>)++</table>$"
 
 
 def regular(html: Column) -> Column:
     """Whether a text is one table of plain rows and cells, with a caption or without, and nothing else."""
-    rest = F.regexp_replace(
-        F.regexp_replace(html, r"<td>(_PLAIN*+)</td>|<th>(_PLAIN*+)</th>".replace("_PLAIN", _PLAIN), "\u0001"),
-        "<tr>\u0001++</tr>",
-        "\u0002",
-    )
-    return rest.rlike(rf"^<table>(?:<caption>{_PLAIN}*+</caption>)?\u0002++</table>$")
+    return html.rlike(_REGULAR)
 
 
 def _regular_parse(html: Column) -> Column:
     """The parse of a regular table, by splitting its text."""
-    flat = lambda x: F.substring(F.trim(F.regexp_replace(x, " {2,}", " ")), 1, 500)
-    cells = lambda r: F.transform(F.filter(F.split(r, "</t[dh]>"), lambda c: c != ""), lambda c: F.struct(c.startswith("<th>").alias("head"), flat(F.substr(c, F.lit(5))).alias("text")))
+    squeezed = lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+    flat = lambda x: F.substring(F.trim(squeezed(x)), 1, 500)
+    cell = lambda c: F.struct(c.startswith("h").alias("head"), flat(F.substr(c, F.lit(3))).alias("text"))
     # The first rows, cut before they are split: a text may hold many more.
-    body = F.substring_index(F.substring_index(html, "</tr>", MOST_ROWS), "<tr>", -MOST_ROWS)
-    body = F.when(
-        F.contains(html, F.lit("</caption>")),
-        F.regexp_replace(body, "^.*</caption>", ""),
-    ).otherwise(F.regexp_replace(body, "^<table>", ""))
+    body = F.substring_index(html, "</tr>", MOST_ROWS)
     rows = F.transform(
-        F.filter(F.split(F.regexp_replace(body, "</?tr>", "\u0001"), "\u0001+"), lambda r: (r != "") & ~r.startswith("</table>")),
-        cells,
+        F.slice(F.split(body, "<tr>"), 2, MOST_ROWS),
+        lambda r: F.transform(F.regexp_extract_all(r, F.lit("<t([dh]>[^<]*+)"), F.lit(1)), cell),
     )
     caption = flat(F.regexp_extract(html, "^<table><caption>([^<]*)</caption>", 1))
     first = flat(F.regexp_extract(html, "<th>([^<]*)</th>", 1))
     title = F.when(caption != "", caption).when(F.length(first) > 20, first)
-    return F.struct(F.lit(True).alias("found"), rows.alias("rows"), title.alias("title")).cast(
-        f"struct<{PARSED.replace(' array', ':array').replace(' string', ':string').replace(' boolean', ':boolean')}>"
-    )
+    return F.struct(F.lit(True).alias("found"), rows.alias("rows"), title.alias("title")).cast(_KIND)
+
+
+def _parsed(plain: Column, html: Column, normalize_tags: bool) -> Column:
+    """Texts in which plain holds are split by expressions; the parser gets nulls for them, of which it makes no rows."""
+    cell = pa.struct([("head", pa.bool_()), ("text", pa.string())])
+    kind = pa.struct([("found", pa.bool_()), ("rows", pa.list_(pa.list_(cell))), ("title", pa.string())])
+
+    @F.arrow_udf(PARSED)
+    def run(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):
+            return pa.nulls(len(texts), kind)
+        return pa.array([parse(t, normalize_tags) for t in texts.to_pylist()], kind)
+
+    other = run.asNondeterministic()(F.when(~plain, html))
+    none = F.struct(*[F.lit(None).alias(n) for n in ("found", "rows", "title")]).cast(_KIND)
+    # Not to be copied: filters and projections above would otherwise repeat the parse.
+    return tx.once(F.when(plain, _regular_parse(html)).otherwise(F.coalesce(other, none)))
 
 
 def parsed(html: Column, normalize_tags: bool = False) -> Column:
     """Regular tables are split by expressions; the rest goes to the parser."""
+    return _parsed(F.coalesce(regular(html), F.lit(False)), html, normalize_tags)
 
-    @F.pandas_udf(PARSED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [parse(t, normalize_tags) or {"found": None, "rows": None, "title": None} for t in texts]
-        return pd.DataFrame(rows, columns=["found", "rows", "title"])
 
-    plain = F.coalesce(regular(html), F.lit(False))
-    # Always true, but not to be copied: filters and projections above would otherwise repeat the parse.
-    once = F.monotonically_increasing_id() >= 0
-    return F.when(plain & once, _regular_parse(html)).otherwise(run.asNondeterministic()(F.when(~plain, html)))
+def with_parsed(tables: DataFrame, html: str, name: str, normalize_tags: bool = False) -> DataFrame:
+    """Adds the parse of a text column; what is regular is found once, for the parser and for the expressions."""
+    df = tables.withColumn("_regular", tx.once(F.coalesce(regular(F.col(html)), F.lit(False))))
+    return df.withColumn(name, _parsed(F.col("_regular"), F.col(html), normalize_tags)).drop("_regular")
 
 
 def linearized(table: Column, html: Column) -> Column:
@@ -284,7 +290,7 @@ def description(kind: Column, headers: Column, num_rows: Column, question: Colum
 
 def processed(interactions: DataFrame, normalize_tags: bool = False) -> DataFrame:
     """Processed tables from (example_id, question, table_text, answers): identity, text, structure, description."""
-    df = interactions.withColumn("table", parsed(F.col("table_text"), normalize_tags))
+    df = with_parsed(interactions, "table_text", "table", normalize_tags)
     df = structured(df.withColumn("linearized", linearized(F.col("table"), F.col("table_text"))))
     return df.select(
         tx.table_id(F.col("example_id"), F.col("question")).alias("table_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from . import store
 from .ingest import JSON_MAP, numbered
 
 
@@ -66,6 +67,19 @@ def qrel_rows(tables: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select(F.col("table_id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(1.0).alias("relevance"))
 
 
+def _keys(data: Split, types: list[str] | None) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(part, all, kept) with keys alone, as `restricted` keeps them. Each frame is made once and read as files."""
+    chunks = store.kept(data.corpus.select("_id", "title", "table_id"))
+    queries = store.kept(data.queries.select("_id"))
+    qrels = store.kept(data.qrels.select("query_id", "doc_id"))
+    kept = chunks.where(F.col("title").isin(*types)) if types else chunks
+    asked = store.kept(queries.join(kept.select(F.col("table_id").alias("_id")), "_id", "left_semi"))
+    found = store.kept(kept.join(asked.select(F.col("_id").alias("table_id")), "table_id", "left_semi").select("_id"))
+    judged = qrels.join(asked.select(F.col("_id").alias("query_id")), "query_id", "left_semi")
+    judged = judged.join(found.select(F.col("_id").alias("doc_id")), "doc_id", "left_semi")
+    return [("corpus", chunks, found), ("queries", queries, asked), ("qrels", qrels, judged)]
+
+
 def restricted(data: Split, types: list[str] | None = None) -> tuple[Split, DataFrame]:
     """What belongs together after chunks of some types were chosen, and how much of it was kept.
 
@@ -81,7 +95,7 @@ def restricted(data: Split, types: list[str] | None = None) -> tuple[Split, Data
         "left_semi",
     ).join(found.select(F.col("_id").alias("doc_id")), "doc_id", "left_semi").select(*data.qrels.columns)
     rows = None
-    for name, old, new in (("corpus", data.corpus, found), ("queries", data.queries, asked), ("qrels", data.qrels, judged)):
+    for name, old, new in _keys(data, types):
         both = old.agg(F.count(F.lit(1)).alias("original")).join(new.agg(F.count(F.lit(1)).alias("kept")))
         row = both.select(
             F.lit(name).alias("part"),
