@@ -191,7 +191,7 @@ def pair_rerank_topn(spark, sf_dir):
     _, top = _top(spark, sf_dir)
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     asked = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    rows = top.join(docs, "item_id").join(asked, "query_id").select(
+    rows = _with_texts(top, docs).join(asked, "query_id").select(
         "query_id",
         "question",
         F.col("item_id").alias("chunk_id"),
@@ -219,7 +219,7 @@ SELECT item_id, doc_id, rank, round(s, 6)::double AS score FROM again WHERE rank
 def graph_rerank(spark, sf_dir):
     _, top = _top(spark, sf_dir)
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    rows = top.join(docs, "item_id").select(
+    rows = _with_texts(top, docs).select(
         "query_id",
         F.col("item_id").alias("chunk_id"),
         "text",
@@ -245,10 +245,17 @@ GRAPH_SQL = f"""WITH {BM25_SQL}, held AS (
 SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, before, doc_id) AS rank, degree, round(s, 6) AS score FROM again"""
 
 
+def _with_texts(top, docs):
+    """top with its texts: what was found is kept, and few rows, as counted, are sent to the documents."""
+    top = store.kept(top)
+    few = top.limit(bm25.BROADCAST_ROWS + 1).count() <= bm25.BROADCAST_ROWS
+    return docs.join(F.broadcast(top) if few else top, "item_id")
+
+
 def _contexts(spark, sf_dir):
     _, top = _top(spark, sf_dir)
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    rows = top.join(docs, "item_id").select(
+    rows = _with_texts(top, docs).select(
         "query_id",
         F.col("item_id").cast("string").alias("chunk_id"),
         "text",
@@ -279,7 +286,8 @@ def _echo(prompt):
 
 def _prompt_search(spark, sf_dir):
     examples = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("reference_answer"))
-    return _contexts(spark, sf_dir), examples
+    # Each step of the search reads the contexts, which are few texts of many.
+    return store.kept(_contexts(spark, sf_dir)), examples
 
 
 def prompt_search_step(spark, sf_dir):

@@ -337,3 +337,19 @@ def test_blocks_hold_bounded_scores(spark, monkeypatch, metric):
     for i, q in asked:
         want = sorted(vectors, key=lambda n: (-round(score(q, vectors[n]), 12), n))[:6]
         assert [r["item_id"] for r in sorted(rows, key=lambda r: r["stage_rank"]) if r["query_id"] == i] == want
+
+
+def test_texts_of_what_was_found_are_not_shuffled(spark):
+    """The prompt search sent all documents through a shuffle, twice, for the few that were found."""
+    from tesserae.plans import text as plans
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "item_id int, text string")
+    top = spark.createDataFrame([(1, 7), (2, 9)], "query_id int, item_id int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = plans._with_texts(top, docs)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert {(r["query_id"], r["text"]) for r in rows.collect()} == {(1, "t7"), (2, "t9")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
