@@ -29,7 +29,7 @@ def blank(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Parts between white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{_SPACE}+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"{_SPACE}+"), "")
 
 
 def rank_parts(text: Column) -> Column:

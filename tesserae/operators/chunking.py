@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Chunking
@@ -24,21 +24,26 @@ def token_chunks(docs: DataFrame, settings: Chunking | None = None) -> DataFrame
         F.col("metadata"),
         F.create_map().cast("map<string,string>"),
     ) if "metadata" in docs.columns else F.create_map().cast("map<string,string>")
-    rows = docs.select(
+
+    def windows(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(stride))
+        said = lambda i: F.array_join(F.slice(tokens, i + 1, settings.max_tokens), " ")
+        size = lambda i: F.least(F.size(tokens) - i, F.lit(settings.max_tokens))
+        return F.when(F.size(tokens) > 0, F.transform(starts, lambda i: F.struct(said(i).alias("text"), size(i).alias("size"))))
+
+    # Tokens stay within one expression: as a column they would be written out for each text, and split again by filters.
+    each = docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        tx.words(F.col("text")).alias("_tokens"),
         meta.alias("_meta"),
-    ).where(F.size("_tokens") > 0)
-    starts = F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(stride))
-    windows = F.transform(starts, lambda i: F.slice("_tokens", i + 1, settings.max_tokens))
-    each = rows.select("doc_id", "_meta", F.posexplode(windows).alias("chunk_index", "_window"))
+        F.posexplode(tx.held(tx.words(F.col("text")), windows)).alias("chunk_index", "_window"),
+    )
     return each.select(
         F.format_string("%s__%05d", "doc_id", "chunk_index").alias("chunk_id"),
         "doc_id",
-        F.array_join("_window", " ").alias("text"),
+        F.col("_window.text").alias("text"),
         F.lit(0).alias("start_char"),
         F.lit(0).alias("end_char"),
-        F.size("_window").alias("token_count"),
+        F.col("_window.size").alias("token_count"),
         F.map_concat("_meta", F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"))).alias("metadata"),
         "chunk_index",
     )
