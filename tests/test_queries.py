@@ -34,6 +34,30 @@ def test_query(spark, con, name):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture(scope="module")
+def shared_id(tmp_path_factory):
+    """Lines of two orders that share a table_id, and of a third. Their first lines are alike: the SQL leaves open which of
+    two lines at one place comes first."""
+    folder = tmp_path_factory.mktemp("shared")
+    con = duckdb.connect()
+    con.sql(
+        """create table lineitem as select k::bigint as l_orderkey, p::bigint as l_partkey, 7::bigint as l_suppkey, n::int as l_linenumber,
+        n::double as l_quantity, p + 0.5::double as l_extendedprice, 'N' as l_returnflag
+        from (values (271769, 4, 11), (7733795, 4, 11), (7733795, 5, 12), (7733795, 6, 13), (5, 1, 11)) t(k, n, p)"""
+    )
+    con.sql(f"copy lineitem to '{folder}/lineitem.parquet' (format parquet)")
+    return con, str(folder)
+
+
+@pytest.mark.parametrize("name", ["beir_corpus", "beir_qrels", "beir_filter", "chunk_statistics"])
+def test_orders_that_share_a_table_id(spark, shared_id, name):
+    con, folder = shared_id
+    got = catalogue.QUERIES[name](spark, folder).toPandas()
+    want = con.sql(catalogue.SQL[name]).df()
+    rows = lambda df: sorted(map(str, df[sorted(got.columns)].itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
 def test_all_have_sql():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
 
