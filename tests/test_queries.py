@@ -49,7 +49,7 @@ def shared_id(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["beir_corpus", "beir_qrels", "beir_filter", "chunk_statistics"])
+@pytest.mark.parametrize("name", ["beir_corpus", "beir_files", "beir_qrels", "beir_filter", "chunk_statistics"])
 def test_orders_that_share_a_table_id(spark, shared_id, name):
     con, folder = shared_id
     got = catalogue.QUERIES[name](spark, folder).toPandas()

@@ -59,6 +59,17 @@ def test_beir(spark, tmp_path):
         beir.qrels(spark, str(tmp_path / "qrels/bad.tsv")).collect()
 
 
+def test_beir_keeps_every_line(spark, tmp_path):
+    corpus = spark.createDataFrame([("1", "T", "x", "t"), ("1", "T", "y", "t"), ("1", "T", "y", "t")], "_id string, title string, text string, table_id string")
+    asked = spark.createDataFrame([("q", "a"), ("q", "b")], "_id string, text string")
+    judged = spark.createDataFrame([("q", "1", 1.0)], "query_id string, doc_id string, relevance double")
+    beir.write(beir.Split(corpus, asked, judged), str(tmp_path))
+    data = beir.split(spark, str(tmp_path), every=True)
+    assert sorted((r["doc_id"], r["text"], r["metadata"]["table_id"]) for r in data.corpus.collect()) == [("1", "T\n" + x, "t") for x in "xyy"]
+    assert sorted(map(tuple, data.queries.collect())) == [("q", "a"), ("q", "b")]
+    assert beir.split(spark, str(tmp_path)).corpus.count() == 1
+
+
 def nq(**more):
     tokens = ["<Table>", "<Tr>", "a", "</Tr>", "</Table>", "b"]
     base = {
